@@ -42,6 +42,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 class Scratch:
     """Named intermediate tables of one operator call, written as Parquet in the shared folder.
 
@@ -50,7 +56,6 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_groups, lower_bytes, mix64, span_hashes, word_spans
+from .common import Scratch, byte_groups, lower_bytes, map_arrow, mix64, span_hashes, word_spans
 from .components import connected_components
 
 WIDTH = 5  # words in a shingle
@@ -118,7 +118,7 @@ def sketch_rows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"),
     )
-    return rows.mapInArrow(run, "rid long, doc_id long, th long, n long, digest binary, keys array<long>, sketch array<long>")
+    return map_arrow(rows, run, "rid long, doc_id long, th long, n long, digest binary, keys array<long>, sketch array<long>")
 
 
 def _xor_bits(a: str, b: str):
@@ -157,7 +157,7 @@ def _confirm(pairs: DataFrame, width: int, percent: int) -> DataFrame:
                     linked.append(len(x) > 0 and 100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
+    return map_arrow(pairs.select("a", "b", "text_a", "text_b"), run, "a long, b long, linked boolean")
 
 
 def _compare_blocks(blocks: DataFrame, fan: int | None, percent: int) -> DataFrame:
@@ -210,7 +210,7 @@ def _compare_blocks(blocks: DataFrame, fan: int | None, percent: int) -> DataFra
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return blocks.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(blocks, run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:

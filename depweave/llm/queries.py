@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup
+from . import minhash_dedup, packing
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -17,4 +18,9 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup,)}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), path)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing)}

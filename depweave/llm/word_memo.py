@@ -1,0 +1,73 @@
+"""A bounded memo of token ids by word, for tokenizers that never look across white space."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from .common import byte_groups
+
+MEMO_WORDS = 400_000  # the memo starts anew beyond this many words; about 100 bytes each
+
+
+def ascii_words(column, limit: int = 1 << 20):
+    """Yield (first row, words of the rows as bytes, words per row) over an Arrow string column."""
+    for at, data, off in byte_groups(column, limit):
+        raw = data.tobytes()
+        rows = [raw[a:b].split() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        yield at, [w for r in rows for w in r], np.array([len(r) for r in rows], np.int64)
+
+
+class WordMemo:
+    """Token ids of words, encoded in bulk once and gathered by NumPy afterwards."""
+
+    def __init__(self, encode):
+        self.encode = encode
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.length = np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.index) + len(words) > MEMO_WORDS:
+            self.clear()
+        at = len(self.index)
+        found = self.encode(words)
+        lengths = np.array([len(x) for x in found], np.int64)
+        while at + len(words) > len(self.start):
+            self.start, self.length = (np.concatenate((a, np.zeros_like(a))) for a in (self.start, self.length))
+        while self.used + int(lengths.sum()) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.length[at : at + len(words)] = lengths
+        self.start[at : at + len(words)] = self.used + np.cumsum(lengths) - lengths
+        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.index.update(zip(words, range(at, at + len(words)), strict=True))
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """Each word's place in the memo; new words are learnt first."""
+        distinct = set(words)
+        new = [w for w in distinct if w not in self.index]
+        if new:
+            held = len(self.index)
+            self._learn(new)
+            if len(self.index) < held + len(new):  # the memo started anew
+                self._learn([w for w in distinct if w not in self.index])
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def ids(self, words: list[bytes], counts: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' ids in one array, with each row's bounds; ``end_id`` ends each row."""
+        at = self.rows(words)
+        n = self.length[at]
+        word_end = np.cumsum(n)
+        total = int(word_end[-1]) if len(n) else 0
+        flat = self.flat[np.repeat(self.start[at] - word_end + n, n) + np.arange(total)]
+        bounds = np.concatenate(([0], np.concatenate(([0], word_end))[np.cumsum(counts)]))
+        if end_id is not None:
+            flat = np.insert(flat, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+        return flat.astype("<u4", copy=False), bounds
