@@ -137,7 +137,7 @@ def solve_patterns(demand: dict[int, int], slots: int, gap: float = GAP) -> list
 
     Column generation on the covering program, then rounding down and a greedy fill of the rest.
     """
-    sizes = np.array(sorted(s for s, n in demand.items() if n > 0), int)
+    sizes = np.array(sorted(s for s, n in demand.items() if s > 0 and n > 0), int)
     if not len(sizes):
         return []
     need = np.array([demand[s] for s in sizes], float)
@@ -152,7 +152,7 @@ def solve_patterns(demand: dict[int, int], slots: int, gap: float = GAP) -> list
             column, c = -np.eye(m)[spare], 0.0
         else:
             worth, column = _best_pattern(price, sizes, slots)
-            if worth <= 1 + 1e-9 or (cost @ x) * (1 - 1 / worth) <= max(gap * (cost @ x), 1e-6):
+            if worth <= 1 + 1e-9 or (cost @ x) * (1 - 1 / worth) <= max(gap * (cost @ x), 0.5):
                 break
             c = 1.0
         step = inverse @ column

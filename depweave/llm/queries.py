@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup, packing
+from . import minhash_dedup, packing, sentencepiece_bpe
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -23,4 +23,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing)}
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_bpe.encode_decode(_table(spark, sf_dir, "documents"), path)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op7_sentencepiece)}
