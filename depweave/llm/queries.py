@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash_dedup, packing, sentencepiece_bpe
+from . import minhash_dedup, packing, quality, sentencepiece_bpe
+from .common import crc32_mod
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -23,9 +25,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), path)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc32_mod(F.col("doc_id"), 3) == 1
+    return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return sentencepiece_bpe.encode_decode(_table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op7_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_quality, op7_sentencepiece)}
