@@ -25,4 +25,10 @@ FROM documents d JOIN reach r ON r.node = d.doc_id LEFT JOIN sizes s ON s.doc_id
 GROUP BY d.doc_id
 """
 
-ORACLES = {"op1_minhash_dedup": OP1}
+OP5 = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM n WINDOW g AS (PARTITION BY t)
+"""
+
+ORACLES = {"op1_minhash_dedup": OP1, "op5_exact_dedup": OP5}

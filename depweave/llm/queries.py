@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash_dedup, packing, quality, sentencepiece_bpe
+from . import exact_dedup, langid, minhash_dedup, packing, quality, sentencepiece_bpe
 from .common import crc32_mod
 from .oracles import ORACLES  # noqa: F401
 
@@ -30,6 +30,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out)
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 5) == 0)
 
@@ -39,4 +43,4 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(_table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_quality, op6_language, op7_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_quality, op5_exact_dedup, op6_language, op7_sentencepiece)}
