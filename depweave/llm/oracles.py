@@ -31,4 +31,21 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM n WINDOW g AS (PARTITION BY t)
 """
 
-ORACLES = {"op1_minhash_dedup": OP1, "op5_exact_dedup": OP5}
+OP8 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+keyed AS (
+  SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines),
+firsts AS (SELECT k, min(doc_id) AS first_doc FROM keyed WHERE length(k) >= 10 GROUP BY k),
+marked AS (
+  SELECT d.doc_id, d.pos, d.line, f.first_doc IS NOT NULL AND d.doc_id <> f.first_doc AS gone
+  FROM keyed d LEFT JOIN firsts f ON f.k = d.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLES = {"op8_line_dedup": OP8, "op1_minhash_dedup": OP1, "op5_exact_dedup": OP5}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, minhash_dedup, packing, quality, sentencepiece_bpe
+from . import exact_dedup, langid, line_dedup, minhash_dedup, packing, quality, sentencepiece_bpe
 from .common import crc32_mod
 from .oracles import ORACLES  # noqa: F401
 
@@ -43,4 +43,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(_table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_quality, op5_exact_dedup, op6_language, op7_sentencepiece)}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate_lines(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_quality, op5_exact_dedup, op6_language, op7_sentencepiece, op8_line_dedup)}
