@@ -48,4 +48,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLES = {"op8_line_dedup": OP8, "op1_minhash_dedup": OP1, "op5_exact_dedup": OP5}
+OP4 = r"""
+WITH rules(rhost, rpath, verdict) AS (VALUES
+  ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+hits AS (
+  SELECT page_id, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS n
+  FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM p LEFT JOIN hits ON hits.page_id = p.page_id AND n = 1
+"""
+
+ORACLES = {"op4_url_filter": OP4, "op8_line_dedup": OP8, "op1_minhash_dedup": OP1, "op5_exact_dedup": OP5}

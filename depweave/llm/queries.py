@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, line_dedup, minhash_dedup, packing, quality, sentencepiece_bpe
+from . import exact_dedup, langid, line_dedup, minhash_dedup, packing, quality, sentencepiece_bpe, url_filter
 from .common import crc32_mod
 from .oracles import ORACLES  # noqa: F401
 
@@ -30,6 +30,20 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out)
 
 
+#: Host and path of each rule, and whether it allows.
+URL_RULES = (
+    ("org", "/", True),
+    ("example.org", "/es/", False),
+    ("example.org", "/en/1", False),
+    ("com", "/fr/", True),
+    ("com", "/de/", False),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), [url_filter.Rule(*r) for r in URL_RULES])
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
 
@@ -47,4 +61,4 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate_lines(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_quality, op5_exact_dedup, op6_language, op7_sentencepiece, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_quality, op4_url_filter, op5_exact_dedup, op6_language, op7_sentencepiece, op8_line_dedup)}
