@@ -11,10 +11,13 @@ Steps, each a Spark job over tables in the shared folder:
 2. *hub round*: in each band bucket every node is paired with the bucket's smallest node only;
 3. pairs that survive the size bound and the sketch are confirmed on the full sets of the two texts, and
    confirmed links are contracted to components;
-4. *rest rounds*: buckets that still hold more than one component are compared by sketch, in blocks of
-   bounded size, across components only; survivors are confirmed and contracted until none is left.
+4. *rest round*: buckets that still hold more than one component are compared by sketch, in blocks of
+   bounded size, across components only.  A block gives a spanning forest of its candidates, whose
+   connected components are *families*: every link still unknown lies within one.  The texts of a family
+   are then compared on full sets, again in blocks and across components only.
 
-Nothing is dropped: a bucket of any size is covered, the large ones in many tasks.
+Nothing is dropped: a bucket or family of any size is covered, the large ones in many tasks, and no step
+emits more than a few rows per document and block, however many pairs are similar.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ BITS = 1024  # bits of the odd sketch
 #: A pair at the threshold differs in 64 +- 7 of 256 samples and XORs to 113 +- 11 bits; five deviations above.
 MAX_XOR = 176
 BLOCK = 1024  # nodes of a bucket compared in one block
+FAMILY_BLOCK = 256  # texts of a family compared in one block
 BROADCAST_ROWS = 100_000  # join keys (24 bytes each) are broadcast up to this many, shuffled beyond
 
 _RNG = np.random.default_rng(7)
@@ -160,59 +164,156 @@ def _confirm(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     return map_arrow(pairs.select("a", "b", "text_a", "text_b"), run, "a long, b long, linked boolean")
 
 
-def _compare_blocks(blocks: DataFrame, fan: int | None, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one block whose sizes and sketches allow the similarity.
+def _union(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Join the label classes of the node pairs (u, v); returns which pairs joined two classes."""
+    joined = np.zeros(len(u), bool)
+    while True:
+        x, y = labels[u], labels[v]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        open_ = np.flatnonzero(low != high)
+        if not len(open_):
+            return joined
+        # each class is drawn once into another, so these pairs form a forest
+        _, pick = np.unique(high[open_], return_index=True)
+        pick = open_[pick]
+        target = np.arange(int(labels.max()) + 1)
+        target[high[pick]] = low[pick]
+        while True:
+            jump = target[target]
+            if (jump == target).all():
+                break
+            target = jump
+        labels[:] = target[labels]
+        joined[pick] = True
+
+
+def _groups(batches, keys: tuple[str, ...]):
+    """Slices of sorted record batches that hold one group of ``keys`` each."""
+    import pyarrow as pa
 
-    ``blocks`` has (key, bi, bj, side, node, component, n, sketch), grouped and sorted by (key, bi, bj);
-    a group holds about two blocks of nodes at most.  ``fan``: only that many nearest partners of a node.
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None else pa.concat_batches([rest, batch])
+        ids = np.stack([rest.column(c).to_numpy() for c in keys])
+        cut = np.concatenate(([0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1))
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            yield rest.slice(lo, hi - lo)
+        rest = rest.slice(int(cut[-1]))
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _sides(rows) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of the two sides of a block pair; within one block both are all rows."""
+    within = rows.column("bi")[0].as_py() == rows.column("bj")[0].as_py()
+    side = rows.column("side").to_numpy()
+    if within:
+        return np.arange(len(rows)), np.arange(len(rows)), True
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1), False
+
+
+def _candidate_edges(blocks: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what sketches and sizes allow to be similar across components.
+
+    ``blocks`` has (key, bi, bj, side, node, component, n, sketch), grouped by (key, bi, bj), about two
+    blocks of nodes at most in a group.  A group gives no more than a few edges per node: a spanning
+    forest of its candidate graph, and one partner for every node that has any.
     """
     import pyarrow as pa
 
-    def pairs_of(side, node, comp, n, sketch, within):
-        left = np.arange(len(node)) if within else np.flatnonzero(side == 0)
-        right = np.arange(len(node)) if within else np.flatnonzero(side == 1)
-        found = []
-        for lo in range(0, len(left), 32):
-            i = left[lo : lo + 32]
-            x = np.bitwise_count(sketch[i][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
-            small, large = np.minimum(n[i][:, None], n[right]), np.maximum(n[i][:, None], n[right])
-            ok = (x <= MAX_XOR) & (comp[i][:, None] != comp[right]) & (100 * small >= percent * large)
-            if fan is not None and ok.shape[1] > fan:
-                cost = np.where(ok, x, BITS + 1)
-                near = np.argpartition(cost, fan - 1, axis=1)[:, :fan]
-                keep = np.zeros_like(ok)
-                np.put_along_axis(keep, near, True, axis=1)
-                ok &= keep
-            u, v = np.nonzero(ok)
-            found.append((node[i[u]], node[right[v]]))
-        a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    def run(batches):
+        for rows in _groups(batches, ("key", "bi", "bj")):
+            left, right, _ = _sides(rows)
+            if not len(left) or not len(right):
+                continue
+            node, n = rows.column("node").to_numpy(), rows.column("n").to_numpy()
+            _, comp = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+            sketch = rows.column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
+            labels, seen, found = comp.copy(), np.zeros(len(rows), bool), []
+            for lo in range(0, len(left), 32):
+                i = left[lo : lo + 32]
+                x = np.bitwise_count(sketch[i][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
+                small, large = np.minimum(n[i][:, None], n[right]), np.maximum(n[i][:, None], n[right])
+                ok = (x <= MAX_XOR) & (comp[i][:, None] != comp[right]) & (100 * small >= percent * large)
+                if not ok.any():
+                    continue
+                u, v = np.nonzero(ok)
+                u, v = i[u], right[v]
+                keep = _union(labels, u, v)
+                for side in (u, v):  # a first partner for every node
+                    first, at = np.unique(side, return_index=True)
+                    keep[at[~seen[first]]] = True
+                    seen[first] = True
+                found.append((node[u[keep]], node[v[keep]]))
+            if found:
+                a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return map_arrow(blocks, run, "a long, b long").distinct()
+
+
+def _family_links(blocks: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that connect components within blocks of one family's texts.
+
+    ``blocks`` has (family, bi, bj, side, node, component, text).  Every pair across components is decided
+    on full shingle sets unless the two are connected by then; a group gives a forest of links.
+    """
+    import pyarrow as pa
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            rest = batch if rest is None else pa.concat_batches([rest, batch])
-            ids = np.stack([rest.column(c).to_numpy() for c in ("key", "bi", "bj")])
-            cut = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
-            if len(cut):
-                yield from emit(rest.slice(0, int(cut[-1])))
-                rest = rest.slice(int(cut[-1]))
-        if rest is not None:
-            yield from emit(rest)
-
-    def emit(rows):
-        ids = np.stack([rows.column(c).to_numpy() for c in ("key", "bi", "bj")])
-        cut = np.concatenate(([0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1, [len(rows)]))
-        side, node, comp, n = (rows.column(c).to_numpy() for c in ("side", "node", "component", "n"))
-        sketch = rows.column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            a, b = pairs_of(side[lo:hi], node[lo:hi], comp[lo:hi], n[lo:hi], sketch[lo:hi], ids[1, lo] == ids[2, lo])
-            if len(a):
+        for rows in _groups(batches, ("family", "bi", "bj")):
+            left, right, within = _sides(rows)
+            if not len(left) or not len(right):
+                continue
+            node = rows.column("node").to_numpy()
+            _, labels = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+            flat, sizes = [], []
+            for _, data, off in byte_groups(rows.column("text")):
+                x, at = shingle_sets(data, off, width)
+                flat.append(x)
+                sizes.append(np.diff(at))
+            n = np.concatenate(sizes)
+            at = np.concatenate(([0], np.cumsum(n)))
+            names, ids = np.unique(np.concatenate(flat), return_inverse=True)
+            mark = np.zeros(len(names), np.int64)
+            found = []
+            for i in left.tolist():
+                if not n[i]:
+                    continue
+                others = right[(labels[right] != labels[i]) & (n[right] > 0)]
+                if within:
+                    others = others[others > i]
+                if not len(others):
+                    continue
+                mark[ids[at[i] : at[i + 1]]] = 1
+                if len(others) * 4 < len(node):
+                    same = np.array([mark[ids[at[j] : at[j + 1]]].sum() for j in others])
+                else:
+                    run_sum = np.concatenate(([0], np.cumsum(mark[ids])))
+                    same = run_sum[at[others + 1]] - run_sum[at[others]]
+                mark[ids[at[i] : at[i + 1]]] = 0
+                hits = others[100 * same >= percent * (n[i] + n[others] - same)]
+                if len(hits):
+                    u = np.full(len(hits), i)
+                    joined = _union(labels, u, hits)
+                    found.append((node[u[joined]], node[hits[joined]]))
+            if found:
+                a, b = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return map_arrow(blocks, run, "a long, b long").distinct()
 
 
+def _in_blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
+    """Rows of a group dealt to pairs of blocks: group, bi, bj and side; each row goes to every pair of its block."""
+    count = F.ceil(F.col(size) / block).cast("int")
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    dealt = dealt.select(
+        "*", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), (F.col("mine") > F.col("other")).cast("int").alias("side")
+    ).drop("mine", "other", size)
+    return dealt.repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
     """Components of documents linked by 100 * |A & B| >= percent * |A | B| over word-shingle sets.
 
@@ -252,40 +353,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
             (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_xor_bits("s_a", "s_b") <= MAX_XOR)
         ).select("a", "b")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs with their verdict on full sets; texts are fetched for their nodes only."""
-        wanted = nodes.join(
-            pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"
-        ).filter("th is not null").select("node", "doc_id", "th")
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(node, text) of the wanted nodes."""
+        wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("d"), F.col("th").alias("t"))
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
-        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-        texts = source.join(wanted.withColumnRenamed("doc_id", "d").withColumnRenamed("th", "t"), source.doc_id.eqNullSafe(F.col("d")) & (source.th == F.col("t")))
-        texts = scratch.write(texts.select("node", "text").dropDuplicates(["node"]), "texts")
-        out = scratch.write(_confirm(_with_texts(pairs, texts), width, percent), "verdicts")
-        scratch.drop(texts)
-        return out
-
-    first = scratch.write(screened(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "hub-pairs")
-    tested = confirmed(first)
-    component = scratch.write(connected_components(scratch, tested.filter("linked").select("a", "b")), "components")
-    for fan in (2, None):
-        placed = buckets.join(component, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        mixed = placed.join(mixed, "key", "left_semi").join(slim, "node")
-        count = F.ceil(F.col("size") / BLOCK).cast("int")
-        mine = F.pmod(F.xxhash64("node"), count).cast("int")
-        blocks = (
-            mixed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-            .select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"),
-                    (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "sketch")
+        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        source = source.withColumn("th", F.xxhash64("text"))
+        found = source.join(wanted, source.doc_id.eqNullSafe(F.col("d")) & (source.th == F.col("t")))
+        return scratch.write(found.select("node", "text").dropDuplicates(["node"]), "texts")
+
+    hub_pairs = scratch.write(screened(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "hub-pairs")
+    texts = texts_of(hub_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    links = scratch.write(_confirm(_with_texts(hub_pairs, texts), width, percent).filter("linked").select("a", "b"), "hub-links")
+    component = scratch.write(connected_components(scratch, links), "components")
+
+    placed = buckets.join(component, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    mixed = placed.join(mixed, "key", "left_semi").join(slim, "node")
+    edges = scratch.write(_candidate_edges(_in_blocks(mixed, "key", "size", BLOCK), percent), "candidates")
+    scratch.drop(buckets, texts, hub_pairs)
+    if not edges.isEmpty():
+        family = scratch.write(connected_components(scratch, edges).withColumnRenamed("component", "family"), "families")
+        members = family.groupBy("family").agg(F.count("*").alias("members"))
+        texts = texts_of(family.select("node"))
+        family = (
+            family.join(members, "family").join(component, "node", "left").join(texts, "node")
+            .select("family", "members", "node", F.coalesce("component", "node").alias("component"), "text")
         )
-        blocks = blocks.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-        fresh = scratch.write(_compare_blocks(blocks, fan, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest-pairs")
-        if fresh.isEmpty():
-            break
-        tested = tested.unionByName(confirmed(fresh))
-        component = scratch.write(connected_components(scratch, tested.filter("linked").select("a", "b")), "components")
+        more = scratch.write(_family_links(_in_blocks(family, "family", "members", FAMILY_BLOCK), width, percent), "family-links")
+        component = scratch.write(connected_components(scratch, links.union(more)), "components")
+        scratch.drop(texts)
 
     placed = (
         rows.select("doc_id", "th", "rid", "n", "digest")
