@@ -42,7 +42,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)

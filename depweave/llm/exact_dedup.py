@@ -111,3 +111,26 @@ def deduplicate(docs: DataFrame, state_dir: str | None = None, digest=sha256_dig
         )
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stay: one of each group of equal texts.
+
+    Of rows that repeat both doc_id and text, one stays.  Rows to drop are fewer than rows to keep, so the
+    former are looked up: broadcast where they are few, else by a shuffle.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-first")
+    verdict = scratch.write(deduplicate(docs).select("doc_id", "kept", "text_sha256"), "verdicts")
+    digest = F.sha2(normalised(F.col("text")).cast("binary"), 256)
+    named = [F.col("doc_id").isNull().alias("__unnamed"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id")]
+    rows = docs.select("*", *named, digest.alias("__sha"))
+    keys = ["__unnamed", "__id", "__sha"]
+    verdict = verdict.select(*named, F.col("text_sha256").alias("__sha"), "kept")
+    gone = verdict.filter(~F.col("kept")).select(*keys).distinct()
+    again = verdict.filter("kept").groupBy(*keys).count().filter("count > 1").select(*keys)
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    out = rows.join(gone, keys, "left_anti")
+    if not again.isEmpty():
+        out = out.join(again, keys, "left_anti").unionByName(out.join(again, keys, "left_semi").dropDuplicates(keys))
+    return out.select(*docs.columns)

@@ -99,6 +99,43 @@ def compressed_sizes(text: str, levels: list) -> list[int]:
     return sizes
 
 
+def predict(text: str | None, names: list[str], levels: list) -> tuple[str, float, float]:
+    """(language, score, margin) of one text."""
+    if not names or text is None or not _LETTER.search(text):
+        return UNDETERMINED, 0.0, 0.0
+    sizes = np.array(compressed_sizes(text, levels), float)
+    order = np.argsort(sizes, kind="stable")
+    best = sizes[order[0]]
+    margin = (sizes[order[1]] - best) / best if len(sizes) > 1 else 1.0
+    weights = np.exp2(-(sizes - best) / max(1.0, 0.02 * best))
+    return names[order[0]], float(1 / weights.sum()), float(margin)
+
+
+def _learn(docs: DataFrame, held_out: Column) -> dict[str, bytes]:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return sample_dictionaries(rows.filter(~F.coalesce(held_out, F.lit(True))).select("text", "lang"))
+
+
+def keep_identified(docs: DataFrame, held_out: Column, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of docs, with all their columns, that ``identify_languages`` would not reject."""
+    import pyarrow as pa
+
+    dictionaries = _learn(docs, held_out)
+    names = sorted(dictionaries)
+
+    def run(batches):
+        levels = _compressors(dictionaries) if names else []
+        for batch in batches:
+            keep = []
+            for lo in range(0, len(batch), 256):
+                for text in batch.column("text").slice(lo, 256).to_pylist():
+                    lang, _, margin = predict(text, names, levels)
+                    keep.append(lang != UNDETERMINED and margin >= min_margin)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def identify_languages(docs: DataFrame, held_out: Column, min_margin: float = MIN_MARGIN) -> DataFrame:
     """Predict every document's language: doc_id, held_out, lang_pred, score, margin, rejected.
 
@@ -110,9 +147,9 @@ def identify_languages(docs: DataFrame, held_out: Column, min_margin: float = MI
     """
     import pyarrow as pa
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", F.coalesce(held_out, F.lit(True)))
-    dictionaries = sample_dictionaries(rows.filter(~F.col("held_out")).select("text", "lang"))
+    dictionaries = _learn(docs, held_out)
     names = sorted(dictionaries)
 
     def run(batches):
@@ -120,21 +157,8 @@ def identify_languages(docs: DataFrame, held_out: Column, min_margin: float = MI
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                pred, score, margin = [], [], []
-                for text in part.column("text").to_pylist():
-                    if not names or text is None or not _LETTER.search(text):
-                        pred.append(UNDETERMINED)
-                        score.append(0.0)
-                        margin.append(0.0)
-                        continue
-                    sizes = np.array(compressed_sizes(text, levels), float)
-                    order = np.argsort(sizes, kind="stable")
-                    best = sizes[order[0]]
-                    gap = (sizes[order[1]] - best) / best if len(sizes) > 1 else 1.0
-                    weights = np.exp2(-(sizes - best) / max(1.0, 0.02 * best))
-                    pred.append(names[order[0]])
-                    score.append(float(1 / weights.sum()))
-                    margin.append(float(gap))
+                found = [predict(text, names, levels) for text in part.column("text").to_pylist()]
+                pred, score, margin = ([f[k] for f in found] for k in range(3))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())],
                     names=["doc_id", "held_out", "lang_pred", "score", "margin"],

@@ -397,3 +397,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     return placed.join(names, "component").select(
         "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "th"
     )
+
+
+def keep_representatives(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
+    """The rows of docs, with all their columns, that ``near_duplicates`` keeps: one of each component.
+
+    Rows that are dropped are looked up by doc_id and a hash of the text, broadcast where they are few,
+    else by a shuffle.  Rows whose component has no named row stay.
+    """
+    scratch = Scratch(docs.sparkSession, "representatives")
+    found = scratch.write(near_duplicates(docs, percent, width).select("doc_id", "th", "component_id", "kept"), "verdicts")
+    gone = found.filter(F.col("component_id").isNotNull() & ~F.coalesce("kept", F.lit(False)))
+    gone = gone.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    rows = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
+    return rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("__th") == F.col("t")), "left_anti").drop("__th")

@@ -203,6 +203,34 @@ def score_statistics(stats: DataFrame, model: Discriminant | None) -> DataFrame:
     return map_arrow(stats, run, "doc_id long, score double")
 
 
+def _train(docs: DataFrame, labels: DataFrame, held_out: Column, scratch: Scratch) -> tuple[DataFrame, Discriminant | None]:
+    stats = scratch.write(statistics_table(docs).withColumn("held_out", F.coalesce(held_out, F.lit(True))), "statistics")
+    known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
+    return stats, fit(stats.filter(~F.col("held_out")).join(known, "doc_id"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that ``classify_quality`` would predict 1 for.
+
+    Each row is judged where it is read; nothing but the statistics is written or moved.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    stats, model = _train(docs, labels, held_out, scratch)
+    scratch.drop(stats)
+    if model is None:
+        return docs
+
+    def run(batches):
+        for batch in batches:
+            keep = [model.score(document_statistics(data, off)) >= threshold for _, data, off in byte_groups(batch.column("text"))]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    import pyarrow as pa
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.5) -> DataFrame:
     """Score every document: doc_id, held_out, score (0 to 1, higher is better), predicted (0 or 1).
 
@@ -212,9 +240,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, held_out: Column, thres
     each; a document labelled more than once counts for each label.  Without any label all scores are 0.5.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.write(statistics_table(docs).withColumn("held_out", F.coalesce(held_out, F.lit(True))), "statistics")
-    known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
-    model = fit(stats.filter(~F.col("held_out")).join(known, "doc_id"))
+    stats, model = _train(docs, labels, held_out, scratch)
     scored = score_statistics(stats, model)
     return scored.withColumn("held_out", F.coalesce(held_out, F.lit(True))).select(
         "doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted")
