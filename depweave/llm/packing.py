@@ -12,6 +12,7 @@ rows of one length are spread over salts whose counts give each salt its first r
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -29,11 +30,18 @@ SALT_ROWS = 200_000  # pieces per salt on average
 _MEMO: dict[str, WordMemo] = {}
 
 
+_LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"  # a-z and the Latin-1 letters
+_MARK = rb"[!-&(-/:-@\[-`{-~]"  # ASCII punctuation but the apostrophe, which may start a contraction
+_UNIT = re.compile(_LETTER + rb"+(?=" + _MARK + rb"|[0-9]|\Z)|" + _MARK + rb"+(?=" + _LETTER + rb"|\Z)|.+", re.S)
+_LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+
+
 def _encoder(path: str) -> WordMemo:
-    """Word ids by the tokenizers library, one word at a time.
+    """Word ids by the tokenizers library, one unit of a word at a time.
 
     The vocabulary's normalizer and pre-tokenizer never look across ASCII white space, and drop it, so a
-    text's ids are its words' ids in a row; words are encoded once per worker and remembered.
+    text's ids are its words' ids in a row.  They also keep letters and punctuation apart; words are cut
+    there where that is plain to see, and each unit is encoded once per worker and remembered.
     """
     if path not in _MEMO:
         import os
@@ -43,31 +51,27 @@ def _encoder(path: str) -> WordMemo:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        mark = "\x01"
-        (mark_id,) = tokenizer.encode(mark, add_special_tokens=False).ids
-
-        def encode(words: list[bytes]) -> list[np.ndarray]:
-            """Many words in one call, kept apart by a control character with an id of its own."""
-            out: list = [None] * len(words)
-            plain = [i for i, w in enumerate(words) if b"\x01" not in w]
-            for lo in range(0, len(plain), 2000):
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+        def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            texts = [u.decode() for u in units]
+            out: list = [None] * len(units)
+            plain = [i for i, x in enumerate(texts) if _LETTERS.fullmatch(x)]
+            for lo in range(0, len(plain), 2000):  # many units of letters in one call: the last token of each is a word end
                 some = plain[lo : lo + 2000]
-                text = f" {mark} ".join(words[i].decode() for i in some)
-                ids = np.asarray(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-                parts = np.split(ids, np.flatnonzero(ids == mark_id))
-                if len(parts) != len(some):
-                    plain_ids = [tokenizer.encode(words[i].decode(), add_special_tokens=False).ids for i in some]
-                    parts = [np.asarray(x, np.uint32) for x in plain_ids]
-                else:
-                    parts[1:] = [x[1:] for x in parts[1:]]
-                for i, x in zip(some, parts, strict=True):
-                    out[i] = x
-            for i, x in enumerate(out):
-                if x is None:
-                    out[i] = np.asarray(tokenizer.encode(words[i].decode(), add_special_tokens=False).ids, np.uint32)
-            return out
-
-        _MEMO[path] = WordMemo(encode)
+                ids = np.asarray(tokenizer.encode_batch_fast([" ".join([texts[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)
+                stop = np.flatnonzero(ends[ids]) + 1
+                if len(stop) == len(some):
+                    for i, a, b in zip(some, [0, *stop[:-1].tolist()], stop.tolist(), strict=True):
+                        out[i] = ids[a:b]
+            rest = [i for i, x in enumerate(out) if x is None]
+            for i, x in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = np.asarray(x.ids, np.uint32)
+            return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+        _MEMO[path] = WordMemo(encode, _UNIT.findall)
     return _MEMO[path]
 
 

@@ -6,22 +6,35 @@ import numpy as np
 
 from .common import byte_groups
 
-MEMO_WORDS = 400_000  # the memo starts anew beyond this many words; about 100 bytes each
+MEMO_WORDS = 1_200_000  # the memo starts anew beyond this many words; about 180 bytes each
 
 
 def ascii_words(column, limit: int = 1 << 20):
-    """Yield (first row, words of the rows as bytes, words per row) over an Arrow string column."""
+    """Yield (first row, words of the rows as bytes, words per row) over an Arrow string column.
+
+    A-Z is lower-cased, but for rows that hold a combining mark (U+0300 to U+036F): lower case may compose with one
+    where upper case does not.
+    """
     for at, data, off in byte_groups(column, limit):
         raw = data.tobytes()
-        rows = [raw[a:b].split() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        if b"\xcc" in raw or b"\xcd" in raw:
+            rows = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            rows = [r.split() if b"\xcc" in r or b"\xcd" in r else r.lower().split() for r in rows]
+        else:
+            raw = raw.lower()
+            rows = [raw[a:b].split() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
         yield at, [w for r in rows for w in r], np.array([len(r) for r in rows], np.int64)
 
 
 class WordMemo:
-    """Token ids of words, encoded in bulk once and gathered by NumPy afterwards."""
+    """Token ids of words, encoded in bulk once and gathered by NumPy afterwards.
+
+    ``split`` cuts a word into units that the tokenizer never merges across; ``encode`` gives the ids of
+    many units as one array with their lengths.  Words of several units are put together from them.
+    """
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, split):
+        self.encode, self.split = encode, split
         self.clear()
 
     def clear(self) -> None:
@@ -31,43 +44,54 @@ class WordMemo:
         self.length = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.index) + len(words) > MEMO_WORDS:
-            self.clear()
+    def _append(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
         at = len(self.index)
-        found = self.encode(words)
-        lengths = np.array([len(x) for x in found], np.int64)
         while at + len(words) > len(self.start):
             self.start, self.length = (np.concatenate((a, np.zeros_like(a))) for a in (self.start, self.length))
-        while self.used + int(lengths.sum()) > len(self.flat):
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.length[at : at + len(words)] = lengths
         self.start[at : at + len(words)] = self.used + np.cumsum(lengths) - lengths
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         self.index.update(zip(words, range(at, at + len(words)), strict=True))
 
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        """Each word's place in the memo; new words are learnt first."""
+    def _learn(self, words: list[bytes]) -> None:
+        cut = [(w, self.split(w)) for w in words]
+        units = [u for u in {u for _, parts in cut for u in parts} if u not in self.index]
+        if units:
+            self._append(units, *self.encode(units))
+        joined = [(w, parts) for w, parts in cut if len(parts) > 1]
+        if joined:
+            flat, bounds = self._gather([u for _, parts in joined for u in parts], np.array([len(parts) for _, parts in joined]))
+            self._append([w for w, _ in joined], flat, np.diff(bounds))
+
+    def know(self, words: list[bytes]) -> None:
+        """Learn the words that are new."""
         distinct = set(words)
         new = [w for w in distinct if w not in self.index]
         if new:
-            held = len(self.index)
+            if len(self.index) + len(new) > MEMO_WORDS:
+                self.clear()
+                new = list(distinct)
             self._learn(new)
-            if len(self.index) < held + len(new):  # the memo started anew
-                self._learn([w for w in distinct if w not in self.index])
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def ids(self, words: list[bytes], counts: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The rows' ids in one array, with each row's bounds; ``end_id`` ends each row."""
-        at = self.rows(words)
-        n = self.length[at]
-        word_end = np.cumsum(n)
-        total = int(word_end[-1]) if len(n) else 0
-        flat = self.flat[np.repeat(self.start[at] - word_end + n, n) + np.arange(total)]
-        bounds = np.concatenate(([0], np.concatenate(([0], word_end))[np.cumsum(counts)]))
+        self.know(words)
+        flat, bounds = self._gather(words, counts)
         if end_id is not None:
             flat = np.insert(flat, bounds[1:], end_id)
             bounds = bounds + np.arange(len(bounds))
         return flat.astype("<u4", copy=False), bounds
+
+    def _gather(self, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self._places(words)
+        n = self.length[at]
+        word_end = np.cumsum(n)
+        total = int(word_end[-1]) if len(n) else 0
+        flat = self.flat[np.repeat(self.start[at] - word_end + n, n) + np.arange(total)]
+        return flat, np.concatenate(([0], np.concatenate(([0], word_end))[np.cumsum(counts)]))
