@@ -408,8 +408,8 @@ def keep_representatives(docs: DataFrame, percent: int = 75, width: int = WIDTH)
     scratch = Scratch(docs.sparkSession, "representatives")
     found = scratch.write(near_duplicates(docs, percent, width).select("doc_id", "th", "component_id", "kept"), "verdicts")
     gone = found.filter(F.col("component_id").isNotNull() & ~F.coalesce("kept", F.lit(False)))
-    gone = gone.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
+    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("th").alias("__gone_th")).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     rows = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
-    return rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("__th") == F.col("t")), "left_anti").drop("__th")
+    return rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__th") == F.col("__gone_th")), "left_anti").drop("__th")
