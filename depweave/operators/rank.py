@@ -32,7 +32,7 @@ def pagerank(packages: DataFrame, iterations: int = ITERATIONS, damping: float =
         state = nodes.join(push, F.col("import_path") == F.col("target"), "left").select(
             "import_path", (F.lit(1 - damping) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("weight")
         )
-        if k % KEEP_EVERY == 0 and k < iterations:
+        if k % KEEP_EVERY == 0 or k == iterations:  # the result is a table too: it is read for its maximum and its rows
             state = rounds.write(state)
     return state
 

@@ -83,7 +83,7 @@ def reverse_page(packages: DataFrame, patterns: list[str], limit: int = PAGE_SIZ
     next_hit = first.filter((F.col("run") > limit) & (F.col("n") > 1) & (F.col("first_run") <= limit)).agg(F.min("source").alias("next_page"))
     passing = rows.filter(source_filter(F.col("import_path"), matching)) if matching else rows
     blown = first.filter((F.col("n") == 1) & (F.col("first_run") > limit)).select("first")
-    next_row = passing.join(F.broadcast(blown), passing.import_path > blown["first"]).agg(F.min("import_path").alias("next_page"))
+    next_row = passing.filter(F.col("import_path") > blown.scalar()).agg(F.min("import_path").alias("next_page"))
     next_page = next_hit.union(next_row).agg(F.min("next_page").alias("next_page"))
     return found.join(F.broadcast(taken), "source", "left_semi").select("target", "source").withColumn("next_page", next_page.scalar())
 

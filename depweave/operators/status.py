@@ -48,7 +48,7 @@ def history(observations: DataFrame, keep: int = HISTORY) -> DataFrame:
     """(repository, tag, when, digest, changed_at, n): superseded digests with their last check time, newest ``keep`` (n = 1 is newest)."""
     changes = checked(observations).filter(F.col("needs_update") & F.col("prev_digest").isNotNull())
     newest = Window.partitionBy(*KEY).orderBy(F.desc("ts"), F.desc("seq"))
-    rows = changes.select(*KEY, F.col("prev_check").alias("when"), F.col("prev_digest").alias("digest"), F.col("ts").alias("changed_at"), F.row_number().over(newest).alias("n"))
+    rows = changes.select(*KEY, F.col("prev_check").alias("when"), F.col("prev_digest").alias("digest"), F.col("ts").alias("changed_at"), F.row_number().over(newest).cast("long").alias("n"))
     return rows.filter(F.col("n") <= keep)
 
 
