@@ -21,21 +21,39 @@ def checked(observations: DataFrame) -> DataFrame:
 
     Order is (ts, seq) within (repository, tag).  A changed explicit ref, counted over all checks, clears
     the digest: what follows is compared with nothing, and no history entry comes from it.
+
+    A repository may hold a large part of all rows, so windows run within its days only; what a day
+    begins with comes from one summary row per day before it.
     """
-    order = Window.partitionBy(*KEY).orderBy("ts", "seq")
-    last_ref = F.last(_short(F.col("ref")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    moved = F.coalesce((_short(F.col("ref")) != last_ref).cast("int"), F.lit(0))
-    out = observations.withColumn("_moved", moved).withColumn("era", F.sum("_moved").over(order)).drop("_moved")
+    part = [*KEY, "_day"]
+    order = Window.partitionBy(*part).orderBy("ts", "seq")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    ok = ~F.col("failed")
-    good = F.struct("digest", "ts", "era")
-    out = out.withColumn("_last", F.last(F.when(ok, good), ignorenulls=True).over(before))
+    earlier_days = Window.partitionBy(*KEY).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    ok, point = ~F.col("failed"), F.struct("ts", "seq")
+
+    rows = observations.withColumn("_day", F.date_trunc("day", "ts")).withColumn("_ref", _short(F.col("ref")))
+    refs = rows.groupBy(*part).agg(F.max_by("_ref", F.when(F.col("_ref").isNotNull(), point)).alias("_end"))
+    refs = refs.select(*part, F.last("_end", ignorenulls=True).over(earlier_days).alias("_begin"))
+    rows = rows.join(refs, part)
+    last_ref = F.coalesce(F.last("_ref", ignorenulls=True).over(before), F.col("_begin"))
+    rows = rows.withColumn("_moved", F.coalesce((F.col("_ref") != last_ref).cast("int"), F.lit(0)))
+    rows = rows.withColumn("_era", F.sum("_moved").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_begin", "_ref")
+
+    success = F.when(ok, F.struct("ts", "seq", "digest", "_era"))
+    days = rows.groupBy(*part).agg(F.sum("_moved").alias("_moves"), F.max(success).alias("_good"))
+    days = days.withColumn("_eras", F.coalesce(F.sum("_moves").over(earlier_days), F.lit(0)))
+    good = F.when(F.col("_good").isNotNull(), F.struct("_good.digest", "_good.ts", (F.col("_good._era") + F.col("_eras")).alias("era")))
+    days = days.withColumn("_good", good)
+    days = days.select(*part, "_eras", F.last("_good", ignorenulls=True).over(earlier_days).alias("_first"))
+    rows = rows.join(days, part).withColumn("era", F.col("_era") + F.col("_eras"))
+    own = F.last(F.when(ok, F.struct("digest", "ts", "era")), ignorenulls=True).over(before)
+    rows = rows.withColumn("_last", F.coalesce(own, F.col("_first")))
     same_era = F.col("_last.era") == F.col("era")
     return (
-        out.withColumn("prev_digest", F.when(same_era, F.col("_last.digest")))
+        rows.withColumn("prev_digest", F.when(same_era, F.col("_last.digest")))
         .withColumn("prev_check", F.col("_last.ts"))
         .withColumn("needs_update", F.when(ok, ~F.col("digest").eqNullSafe(F.col("prev_digest"))))
-        .drop("_last")
+        .drop("_last", "_first", "_moved", "_era", "_eras")
     )
 
 
@@ -44,12 +62,20 @@ def needs_update(observations: DataFrame) -> DataFrame:
     return checked(observations).filter(~F.col("failed")).select(*KEY, "ts", "seq", "needs_update")
 
 
+def _newest_changes(seen: DataFrame, keep: int) -> DataFrame:
+    """Superseded digests, the newest ``keep`` of each key: first within each day, then over days."""
+    changes = seen.filter(F.col("needs_update") & F.col("prev_digest").isNotNull())
+    latest = (F.desc("ts"), F.desc("seq"))
+    per_day = F.row_number().over(Window.partitionBy(*KEY, "_day").orderBy(*latest))
+    overall = F.row_number().over(Window.partitionBy(*KEY).orderBy(*latest))
+    few = changes.withColumn("n", per_day).filter(F.col("n") <= keep)
+    return few.withColumn("n", overall.cast("long")).filter(F.col("n") <= keep)
+
+
 def history(observations: DataFrame, keep: int = HISTORY) -> DataFrame:
     """(repository, tag, when, digest, changed_at, n): superseded digests with their last check time, newest ``keep`` (n = 1 is newest)."""
-    changes = checked(observations).filter(F.col("needs_update") & F.col("prev_digest").isNotNull())
-    newest = Window.partitionBy(*KEY).orderBy(F.desc("ts"), F.desc("seq"))
-    rows = changes.select(*KEY, F.col("prev_check").alias("when"), F.col("prev_digest").alias("digest"), F.col("ts").alias("changed_at"), F.row_number().over(newest).cast("long").alias("n"))
-    return rows.filter(F.col("n") <= keep)
+    rows = _newest_changes(checked(observations), keep)
+    return rows.select(*KEY, F.col("prev_check").alias("when"), F.col("prev_digest").alias("digest"), F.col("ts").alias("changed_at"), "n")
 
 
 def consecutive_errors(observations: DataFrame) -> DataFrame:
@@ -78,17 +104,14 @@ def fold(observations: DataFrame, state: DataFrame | None = None) -> DataFrame:
         rows = rows.unionByName(seeds)
     seen = checked(rows)
     point, ok = F.struct("ts", "seq"), ~F.col("failed")
-    last_ok = F.max(F.when(ok, F.struct("ts", "seq", "digest", "ref", "era", "seed"))).over(Window.partitionBy(*KEY))
-    seen = seen.withColumn("_ok", last_ok).withColumn("_era", F.max("era").over(Window.partitionBy(*KEY)))
-    change = F.col("needs_update") & F.col("prev_digest").isNotNull() & ~F.col("seed")
-    entry = F.when(change, F.struct("ts", "seq", F.struct(F.col("prev_check").alias("when"), F.col("prev_digest").alias("digest")).alias("entry")))
-    late = F.col("failed") & (F.col("_ok").isNull() | (point > F.struct("_ok.ts", "_ok.seq")))
-    out = seen.groupBy(*KEY).agg(
-        F.max("_ok").alias("ok"), F.max("_era").alias("era"), F.count_if(late).cast("int").alias("errors"),
-        F.max_by("prefix", F.when(F.col("prefix") != "", point)).alias("prefix"),
-        # a repository's changes: bounded by how often it was checked
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["entry"]).alias("fresh"),
+    ends = seen.groupBy(*KEY).agg(
+        F.max(F.when(ok, F.struct("ts", "seq", "digest", "ref", "era", "seed"))).alias("ok"), F.max("era").alias("era"), F.max_by("prefix", F.when(F.col("prefix") != "", point)).alias("prefix")
     )
+    fails = seen.filter("failed").select(*KEY, "ts", "seq").join(ends.select(*KEY, F.struct("ok.ts", "ok.seq").alias("_ok"), F.col("ok").isNull().alias("_never")), list(KEY))
+    fails = fails.filter(F.col("_never") | (point > F.col("_ok"))).groupBy(*KEY).agg(F.count("*").cast("int").alias("errors"))
+    entry = F.struct("ts", "seq", F.struct(F.col("prev_check").alias("when"), F.col("prev_digest").alias("digest")).alias("entry"))
+    fresh = _newest_changes(seen.filter("not seed"), HISTORY).groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["entry"]).alias("fresh"))
+    out = ends.join(fails, list(KEY), "left").join(fresh, list(KEY), "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
     if state is not None:
         out = out.join(old, list(KEY), "full")
         stored, carried = F.coalesce("updates", F.array().cast("array<struct<when: timestamp, digest: string>>")), F.coalesce("error_count", F.lit(0))

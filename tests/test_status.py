@@ -1,6 +1,7 @@
 """The status fold on the hand-worked feed, and as a stream."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,46 @@ def test_prune_and_sample(spark):
         S.sample(many, "repository", 2)
     with pytest.raises(ValueError):
         S.repository_status(s, "")
+
+
+def sequential(rows):
+    """The fold by hand, one observation after the other."""
+    ref_seen = digest = last = None
+    errors, updates, needs = 0, [], []
+    for ref, d, ts in rows:
+        short = ref.rpartition("/")[2] if ref else None
+        if short and ref_seen and short != ref_seen:
+            digest = None
+        ref_seen = short or ref_seen
+        if d is None:
+            errors += 1
+            continue
+        needs.append(d != digest)
+        if digest is not None and d != digest:
+            updates.append((last, digest))
+        digest, last, errors = d, ts, 0
+    return digest, errors, last, updates[-20:], needs
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fold_over_days_equals_the_sequential_rule(spark, seed):
+    rnd = random.Random(seed)
+    feeds = {}
+    for k in range(12):
+        t, rows = 0, []
+        for _ in range(rnd.randint(1, 60)):
+            t += rnd.choice([1, 30, 700, 3000])
+            rows.append((rnd.choice([None, "refs/heads/master", "master"] * 8 + ["refs/heads/dev"]), rnd.choice([None, "a", "b", "c"]), minute(t)))
+        feeds[f"https://r{k}"] = rows
+    data = [(repo, "", ref, d, d is None, ts, n) for repo, rows in feeds.items() for n, (ref, d, ts) in enumerate(rows)]
+    df = spark.createDataFrame(data, OBS).repartition(3)
+    folded = {r["repository"]: r for r in S.fold(df).collect()}
+    checks = {}
+    for r in S.needs_update(df).orderBy("repository", "ts", "seq").collect():
+        checks.setdefault(r["repository"], []).append(r["needs_update"])
+    for repo, rows in feeds.items():
+        digest, errors, last, updates, needs = sequential(rows)
+        got = folded[repo]
+        assert (got["digest"], got["error_count"], got["last_check"]) == (digest, errors, last)
+        assert [(u["when"], u["digest"]) for u in got["updates"]] == updates
+        assert checks.get(repo, []) == needs
