@@ -155,7 +155,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default_allow: bool = True)
     keys = rows.select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("c")).select("c.key")
     universe = scratch.write(keys.distinct(), "universe")
     size = universe.count()
-    listed = {allow: spark.createDataFrame([(k,) for k, v in verdict_of.items() if v == allow], "key string") for allow in (True, False)}
+    keys_of = {v: F.lit([k for k, allow in verdict_of.items() if allow == v]).cast("array<string>") for v in (True, False)}
+    listed = {v: spark.range(1).select(F.explode(keys_of[v]).alias("key")) for v in (True, False)}
     allow, block = (build_cascade(listed[v], universe, scratch, size) for v in (True, False))
 
     judged = F.transform(
