@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 import zipfile
@@ -35,10 +37,73 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+#: Bytes of one Arrow batch; a task holds a few of them, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: idle Python workers stay for later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+#: What a worker remembers between tasks, by operator: how to forget it.
+_MEMOS: dict = {}
+
+
+def remember(owner: str, forget) -> None:
+    """Register a worker's memo; a task of another operator forgets it before it begins."""
+    _MEMOS[owner] = forget
+
+
+def _trimmed(batches):
+    """The batches; after every few MB of them, freed memory goes back at once."""
+    done = 0
+    for batch in batches:
+        yield batch
+        done += batch.nbytes
+        if done >= BATCH_BYTES:
+            done = 0
+            release_memory()
+
+
+def forget_others(owner: str) -> None:
+    for k in [k for k in _MEMOS if k != owner]:
+        _MEMOS.pop(k)()
+
+
+def map_arrow(df: DataFrame, fn, schema, memo: str = "") -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors and batches of at most BATCH_BYTES.
+
+    Workers live on between stages: ``memo`` names the memo that this operator's tasks go on with.
+
+    The session's larger batch size is lowered, since batches are what a task's memory is made of.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)i?b?", spark.conf.get(_BATCH_SETTING).lower()).groups()
+    size = int(number) << 10 * " kmgtp".index(unit or " ")
+    if size > BATCH_BYTES or size <= 0:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+    def run(batches):
+        forget_others(memo)
+        gc.disable()  # batches make no reference cycles, and the collector would walk the word memos again and again
+        try:
+            yield from fn(_trimmed(batches))
+        finally:
+            gc.enable()
+            release_memory()
+
+    return df.mapInArrow(run, schema)
 
 
 class Scratch:

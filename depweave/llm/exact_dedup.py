@@ -40,7 +40,7 @@ def update_state(digests_dir: str, schema: str, scratch: Scratch, state_dir: str
     settings = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
         # a store is closed once its task has committed: an executor's disk holds the open ones only
         "spark.sql.streaming.stateStore.unloadOnCommit": "true",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, remember
 
 DICTIONARY_BYTES = 250_000  # raw content per language
 SAMPLE_TEXTS = 300  # texts per language that dictionaries are cut from, at most 2 * this on average
@@ -79,6 +79,7 @@ def _compressors(dictionaries: dict[str, bytes]) -> list:
                 row.append(z.ZstdCompressor(level=level, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False))
             made.append(row)
         _COMPRESSORS[key] = made
+        remember("langid", _COMPRESSORS.clear)
     return _COMPRESSORS[key]
 
 
@@ -133,7 +134,7 @@ def keep_identified(docs: DataFrame, held_out: Column, min_margin: float = MIN_M
                     keep.append(lang != UNDETERMINED and margin >= min_margin)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(docs, run, docs.schema, memo="langid")
 
 
 def identify_languages(docs: DataFrame, held_out: Column, min_margin: float = MIN_MARGIN) -> DataFrame:
@@ -164,5 +165,5 @@ def identify_languages(docs: DataFrame, held_out: Column, min_margin: float = MI
                     names=["doc_id", "held_out", "lang_pred", "score", "margin"],
                 )
 
-    out = map_arrow(rows.select("doc_id", "held_out", "text"), run, "doc_id long, held_out boolean, lang_pred string, score double, margin double")
+    out = map_arrow(rows.select("doc_id", "held_out", "text"), run, "doc_id long, held_out boolean, lang_pred string, score double, margin double", memo="langid")
     return out.withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("margin") < min_margin))

@@ -38,7 +38,8 @@ BITS = 1024  # bits of the odd sketch
 #: A pair at the threshold differs in 64 +- 7 of 256 samples and XORs to 113 +- 11 bits; five deviations above.
 MAX_XOR = 176
 BLOCK = 1024  # nodes of a bucket compared in one block
-FAMILY_BLOCK = 256  # texts of a family compared in one block
+FAMILY_BLOCK = 256  # texts of a family compared in one block, fewer where they are long:
+FAMILY_SHINGLES = 200_000  # shingles of one block on average
 BROADCAST_ROWS = 100_000  # join keys (24 bytes each) are broadcast up to this many, shuffled beyond
 
 _RNG = np.random.default_rng(7)
@@ -375,13 +376,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     scratch.drop(buckets, texts, hub_pairs)
     if not edges.isEmpty():
         family = scratch.write(connected_components(scratch, edges).withColumnRenamed("component", "family"), "families")
-        members = family.groupBy("family").agg(F.count("*").alias("members"))
+        size = F.greatest(F.count("*") / FAMILY_BLOCK, F.sum("n") / FAMILY_SHINGLES)
+        members = family.join(slim.select("node", "n"), "node").groupBy("family").agg(size.alias("members"))
         texts = texts_of(family.select("node"))
         family = (
             family.join(members, "family").join(component, "node", "left").join(texts, "node")
             .select("family", "members", "node", F.coalesce("component", "node").alias("component"), "text")
         )
-        more = scratch.write(_family_links(_in_blocks(family, "family", "members", FAMILY_BLOCK), width, percent), "family-links")
+        more = scratch.write(_family_links(_in_blocks(family, "family", "members", 1), width, percent), "family-links")
         component = scratch.write(connected_components(scratch, links.union(more)), "components")
         scratch.drop(texts)
 

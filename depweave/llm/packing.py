@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow
+from .common import Scratch, map_arrow, remember
 from .word_memo import WordMemo, ascii_words
 
 CAPACITY = 4096
@@ -72,6 +72,7 @@ def _encoder(path: str) -> WordMemo:
             return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
         _MEMO[path] = WordMemo(encode, _UNIT.findall)
+        remember("packing", _MEMO.clear)
     return _MEMO[path]
 
 
@@ -103,7 +104,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: in
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, run, schema)
+    return map_arrow(rows, run, schema, memo="packing")
 
 
 # ---------------------------------------------------------------------------------------------------

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, remember
 
 SPACE = "▁"
 MEMO_CHUNKS = 500_000  # the memo starts anew beyond this many chunks; about 270 bytes each
@@ -205,6 +205,7 @@ class PieceTable:
 def _model(path: str) -> PieceTable:
     if path not in _MODELS:
         _MODELS[path] = PieceTable(path)
+        remember("sentencepiece", _MODELS.clear)
     return _MODELS[path]
 
 
@@ -240,4 +241,4 @@ def encode_decode(docs: DataFrame, model_path: str, with_ids: bool = False) -> D
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, run, schema)
+    return map_arrow(rows, run, schema, memo="sentencepiece")

@@ -6,10 +6,10 @@ import numpy as np
 
 from .common import byte_groups
 
-MEMO_WORDS = 1_200_000  # the memo starts anew beyond this many words; about 180 bytes each
+MEMO_WORDS = 700_000  # the memo starts anew beyond this many words; about 180 bytes each
 
 
-def ascii_words(column, limit: int = 1 << 20):
+def ascii_words(column, limit: int = 1 << 18):
     """Yield (first row, words of the rows as bytes, words per row) over an Arrow string column.
 
     A-Z is lower-cased, but for rows that hold a combining mark (U+0300 to U+036F): lower case may compose with one
