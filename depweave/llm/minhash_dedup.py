@@ -217,8 +217,9 @@ def _candidate_edges(blocks: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect what sketches and sizes allow to be similar across components.
 
     ``blocks`` has (key, bi, bj, side, node, component, n, sketch), grouped by (key, bi, bj), about two
-    blocks of nodes at most in a group.  A group gives no more than a few edges per node: a spanning
-    forest of its candidate graph, and one partner for every node that has any.
+    blocks of nodes at most in a group.  A group gives fewer edges than nodes: a spanning forest of its
+    candidate graph.  Components only filter the pairs: the forest begins at single nodes, so that the two
+    ends of every candidate are connected by edges alone.
     """
     import pyarrow as pa
 
@@ -230,7 +231,7 @@ def _candidate_edges(blocks: DataFrame, percent: int) -> DataFrame:
             node, n = rows.column("node").to_numpy(), rows.column("n").to_numpy()
             _, comp = np.unique(rows.column("component").to_numpy(), return_inverse=True)
             sketch = rows.column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
-            labels, seen, found = comp.copy(), np.zeros(len(rows), bool), []
+            labels, found = np.arange(len(rows)), []
             for lo in range(0, len(left), 32):
                 i = left[lo : lo + 32]
                 x = np.bitwise_count(sketch[i][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
@@ -241,10 +242,6 @@ def _candidate_edges(blocks: DataFrame, percent: int) -> DataFrame:
                 u, v = np.nonzero(ok)
                 u, v = i[u], right[v]
                 keep = _union(labels, u, v)
-                for side in (u, v):  # a first partner for every node
-                    first, at = np.unique(side, return_index=True)
-                    keep[at[~seen[first]]] = True
-                    seen[first] = True
                 found.append((node[u[keep]], node[v[keep]]))
             if found:
                 a, b = (np.concatenate(c) for c in zip(*found, strict=True))

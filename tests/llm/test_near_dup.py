@@ -77,6 +77,16 @@ def test_a_large_group_of_near_copies_and_a_shared_passage(spark):
         M.BLOCK, M.FAMILY_BLOCK = old
 
 
+def test_candidates_of_components_that_are_joined_already_stay_in_one_family(spark):
+    bits = lambda n: [int(x) for x in np.packbits(np.arange(M.BITS) < n, bitorder="little").view(np.int64)]
+    # y0, x0, u and v of the components Y, X, X and Y; candidates are (y0, u), (u, v) and (v, x0)
+    rows = [(1, 0, 0, 0, node, comp, 100, bits(n)) for node, comp, n in ((10, 10, 0), (11, 11, 450), (12, 11, 150), (13, 10, 300))]
+    schema = "key long, bi int, bj int, side int, node long, component long, n long, sketch array<long>"
+    edges = M._candidate_edges(spark.createDataFrame(rows, schema).coalesce(1), 75)
+    family = {r["node"]: r["component"] for r in components.connected_components(Scratch(spark, "t"), edges).collect()}
+    assert family == {10: 10, 11: 10, 12: 10, 13: 10}
+
+
 def test_chain_of_links(spark):
     words = [f"c{i}" for i in range(400)]
     rows = [(k, " ".join(words[8 * k : 8 * k + 100])) for k in range(30)]  # neighbours overlap, ends do not
