@@ -6,8 +6,9 @@ vocabulary is the most frequent words of the whole corpus, counted by Spark over
 buckets for the rest, so that every word has a token and the distribution over tokens sums to one.
 
 The network is trained in NumPy on all partitions at once: in each round every task starts from the same
-weights, runs stochastic gradient descent over windows from each of its documents, and Spark adds the
-weights up, weighted by windows, to the next round's start.  The driver holds one set of weights.
+weights, runs stochastic gradient descent over its share of the windows of each of its documents, and
+Spark adds the weights up, weighted by windows, to the next round's start.  The rounds' shares are
+disjoint and together hold every window of every document.  The driver holds one set of weights.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ CLASSES, MEMBERS = 32, 32  # a token is a class and a member of it
 WORDS = 768  # tokens of their own; the other CLASSES * MEMBERS - WORDS tokens are hash buckets
 SIDE = 3  # words of context on each side
 HIDDEN = 24
-TRAIN_EVERY = 16  # one in so many windows of every document, chosen by a hash of the text up to it, is trained on
-ROUNDS = 2
+ROUNDS = 2  # each window is trained on in one of the rounds, chosen by a hash of the text up to it
 RATE, BATCH = 0.02, 512
 
 TOKENS = CLASSES * MEMBERS
@@ -161,9 +161,8 @@ class Network:
             x /= n
         dg = b @ w["to_member"].T
         dz = (dg * w["gate"][cls] + a @ w["to_class"].T) * (1 - h * h)
-        d_gate, d_member = np.zeros_like(w["gate"]), np.zeros_like(w["member_bias"])
-        np.add.at(d_gate, cls, dg * h)
-        np.add.at(d_member, cls, b)
+        chosen = (np.arange(CLASSES)[:, None] == cls).astype(np.float32)  # sums by class as products
+        d_gate, d_member = chosen @ (dg * h), chosen @ b
         grads = {
             "bias": dz.sum(axis=0), "to_class": h.T @ a, "class_bias": a.sum(axis=0), "gate": d_gate,
             "to_member": g.T @ b, "member_bias": d_member,
@@ -171,13 +170,15 @@ class Network:
         for name, d in grads.items():
             seen[name] = seen.get(name, 1e-6) + d * d
             w[name] -= RATE * d / np.sqrt(seen[name])
-        rows = seen.setdefault("rows", np.full((2 * SIDE, TOKENS + 1), 1e-6, np.float32))
-        for k in range(2 * SIDE):
-            words, back = np.unique(context[k], return_inverse=True)
-            d = np.zeros((len(words), HIDDEN), np.float32)
-            np.add.at(d, back, dz)
-            rows[k, words] += (d * d).mean(axis=1)
-            w["embed"][k][words] -= RATE * d / np.sqrt(rows[k, words])[:, None]
+        rows = seen.setdefault("rows", np.full(2 * SIDE * (TOKENS + 1), 1e-6, np.float32))
+        embed = w["embed"].reshape(-1, HIDDEN)
+        place = (context + np.arange(2 * SIDE)[:, None] * (TOKENS + 1)).astype(np.int16).ravel()  # sorted by radix
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        d, words = np.add.reduceat(dz[order % n], first, axis=0), place[first]
+        rows[words] += (d * d).mean(axis=1)
+        embed[words] -= RATE * d / np.sqrt(rows[words])[:, None]
 
 
 def _windows(data: np.ndarray, off: np.ndarray, vocabulary: Vocabulary):
@@ -199,7 +200,12 @@ def _prefix_hash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return run[1:] - np.repeat(run[first[:-1]], np.diff(first))
 
 
-def _train_round(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray) -> np.ndarray:
+def _share(h: np.ndarray, first: np.ndarray, turn: int) -> np.ndarray:
+    """Places of the windows that round ``turn`` trains on."""
+    return np.flatnonzero(mix64(_prefix_hash(h, first)) % np.uint64(ROUNDS) == turn)
+
+
+def _train_round(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray, turn: int) -> np.ndarray:
     import pyarrow as pa
 
     size = len(start)
@@ -223,7 +229,7 @@ def _train_round(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray) ->
             for _, data, off in byte_groups(batch.column("text")):
                 token, place, padded, h, first = _windows(data, off, vocabulary)
                 if len(h):
-                    pick = np.flatnonzero(mix64(_prefix_hash(h, first)) % np.uint64(TRAIN_EVERY) == 0)
+                    pick = _share(h, first, turn)
                     held.append((np.stack([padded[place[pick] + k] for k in _SHIFTS]), token[pick]))
                     step(False)
         step(True)
@@ -243,13 +249,13 @@ def _train_round(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray) ->
 
 
 def fit(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """Count the corpus, then train for ROUNDS rounds of averaged local descent."""
+    """Count the corpus, then train on all its windows in ROUNDS rounds of averaged local descent."""
     scratch = Scratch(docs.sparkSession, "lm")
     counts = scratch.write(count_words(docs), "word-counts")
     vocabulary = build_vocabulary(counts)
     weights = Network.start(vocabulary.counts).flat
-    for _ in range(ROUNDS):
-        weights = _train_round(docs, vocabulary, weights)
+    for turn in range(ROUNDS):
+        weights = _train_round(docs, vocabulary, weights, turn)
     scratch.drop(counts)
     return vocabulary, weights
 

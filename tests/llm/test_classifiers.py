@@ -118,3 +118,15 @@ def test_lm_score_is_the_sum_over_masked_positions(documents):
         total += net.log_prob([np.array([c]) for c in around], np.array([t]))[0]
     got = lm_score.score(documents.filter(F.col("doc_id") == row["doc_id"]), vocabulary, weights).first()
     assert got["log_likelihood"] == pytest.approx(total, rel=1e-4)
+
+
+def test_lm_trains_on_every_window_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm_score.Network, "train", lambda self, context, token, state: seen.extend(token.tolist()))
+    monkeypatch.setattr(lm_score, "map_arrow", lambda df, run, schema: df.sparkSession.createDataFrame(
+        [tuple(r.values()) for b in run(df.toArrow().to_batches()) for r in b.to_pylist()], schema))  # in this process
+    texts = [f"w{k} a b c d e f g h i{k}" for k in range(20)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    vocabulary, weights = lm_score.fit(docs)
+    assert np.isfinite(weights).all()
+    assert (np.bincount(seen, minlength=lm_score.TOKENS) == vocabulary.counts).all()
