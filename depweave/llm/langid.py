@@ -19,7 +19,7 @@ from .common import map_arrow, remember
 
 DICTIONARY_BYTES = 250_000  # raw content per language
 SAMPLE_TEXTS = 300  # texts per language that dictionaries are cut from, at most 2 * this on average
-SAMPLE_CHARS = (200, 6000)  # a sampled text's length; one that does not fit whole is left out
+SAMPLE_CHARS = (200, 6000)  # length of the texts that are sampled first
 MIN_MARGIN = 0.0005  # (second - best) / best below which a document is rejected
 UNDETERMINED = "und"
 
@@ -35,32 +35,53 @@ def plain_bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass").translate(None, _NOISE)
 
 
+def _drawn(rows: DataFrame, want: dict[str, int], n: dict[str, int], text: Column) -> list:
+    """Distinct (lang, text, draw) of about ``want`` of each language's ``n`` distinct texts, all if there are few."""
+    draw = F.pmod(F.xxhash64(F.lit(17), F.col("text")), F.lit(1 << 40))
+    wanted = F.lit(False)
+    for lang, k in want.items():
+        share = 1.0 if n[lang] <= 2 * k else k / n[lang]
+        wanted = wanted | ((F.col("lang") == lang) & (draw < int(share * (1 << 40))))
+    rows = rows.filter(wanted).select("lang", text.alias("text"), draw.alias("draw")).distinct()
+    return sorted(rows.limit(3 * sum(want.values())).collect(), key=lambda r: (r["draw"], r["text"]))
+
+
 def sample_dictionaries(training: DataFrame, size: int = DICTIONARY_BYTES, texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
     """{language: raw content} from rows (text, lang), a hash-chosen sample bounded by ``texts`` and ``size``.
 
-    Languages are counted first; each then keeps the share of its rows that gives about ``texts`` of
-    them, by a hash of the text, so the sample is the same however the rows are partitioned.
+    Each language's distinct texts are counted first; it then keeps the share of them that gives about
+    ``texts``, by a hash of the text, so the sample is the same however the rows are partitioned and
+    however often a text occurs.  Texts outside SAMPLE_CHARS serve where the others fill less than half
+    of a dictionary: short ones whole, of long ones a piece.
     """
-    fit = training.filter(F.col("lang").isNotNull() & F.length("text").between(*SAMPLE_CHARS))
-    counts = {r["lang"]: r["n"] for r in fit.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
-    if not counts:
-        return {}
-    draw = F.pmod(F.xxhash64(F.lit(17), F.col("text")), F.lit(1 << 40))
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        wanted = wanted | ((F.col("lang") == lang) & (draw < int(min(1.0, texts / n) * (1 << 40))))
-    rows = fit.filter(wanted).select("lang", "text", draw.alias("draw")).distinct().limit(2 * texts * len(counts)).collect()
-    out = {}
-    for lang in sorted(counts):
-        parts, left = [], size
-        for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["draw"], r["text"])):
+    low, high = SAMPLE_CHARS
+    rows = training.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+    usual = F.length("text").between(low, high)
+    distinct = lambda kind: F.approx_count_distinct(F.when(kind, F.xxhash64("text")), 0.02)
+    counts = {r["lang"]: r for r in rows.groupBy("lang").agg(
+        distinct(usual).alias("usual"), distinct(~usual).alias("other"), F.avg(F.when(~usual, F.least(F.length("text"), F.lit(high)))).alias("chars")
+    ).collect()}  # one row per language
+    parts, left = {lang: [] for lang in counts}, dict.fromkeys(counts, size)
+
+    def take(found) -> None:
+        for r in found:
             raw = plain_bytes(r["text"]) + b"\n"
-            if len(raw) <= left:
-                parts.append(raw)
-                left -= len(raw)
-        if parts:
-            out[lang] = b"".join(reversed(parts))
-    return out
+            if 1 < len(raw) <= left[r["lang"]]:
+                parts[r["lang"]].append(raw)
+                left[r["lang"]] -= len(raw)
+
+    n = {lang: r["usual"] for lang, r in counts.items() if r["usual"]}
+    if n:
+        take(_drawn(rows.filter(usual), dict.fromkeys(n, texts), n, F.col("text")))
+    n = {lang: r["other"] for lang, r in counts.items() if r["other"] and 2 * left[lang] > size}
+    if n:
+        piece = F.lit(high)
+        for lang, k in n.items():  # longer pieces where there are few texts; a quarter leaves room for four bytes a character
+            piece = F.when(F.col("lang") == lang, max(high, size // (4 * k))).otherwise(piece)
+        start = F.pmod(F.xxhash64(F.lit(23), F.col("text")), F.greatest(F.length("text") - piece + 1, F.lit(1))) + 1
+        want = {lang: int(2 * size / counts[lang]["chars"]) + 1 for lang in n}
+        take(_drawn(rows.filter(~usual), want, n, F.substr("text", start.cast("int"), piece)))
+    return {lang: b"".join(reversed(parts[lang])) for lang in sorted(parts) if parts[lang]}
 
 
 def _compressors(dictionaries: dict[str, bytes]) -> list:

@@ -87,6 +87,15 @@ def test_language_odd_rows(spark, messy, nothing, documents):
     assert kept.columns == mixed.columns and kept.filter("text is null").count() == 0
 
 
+def test_every_language_has_a_dictionary(spark):
+    text = lambda w, n, k: " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + (i * 7 + k) % 26)}" for i in range(n))
+    rows = [("copies", text("ko", 100, k % 10)) for k in range(10_000)]  # 10 distinct texts
+    rows += [("short", text("sa", 8, k)) for k in range(26)] + [("long", text("lu", 5000, k)) for k in range(3)] + [("usual", text("ub", 100, k)) for k in range(26)]
+    found = langid.sample_dictionaries(spark.createDataFrame(rows, "lang string, text string"))
+    assert sorted(found) == ["copies", "long", "short", "usual"]
+    assert found["copies"].count(b"\n") == 10 and found["short"].count(b"\n") == 26 and len(found["long"]) > 20_000
+
+
 def test_lm_scores(documents, texts, messy, nothing):
     vocabulary, weights = lm_score.fit(documents)
     rows = {r["doc_id"]: r for r in lm_score.score(documents, vocabulary, weights).collect()}
