@@ -208,9 +208,18 @@ over_packages(
 )
 
 
-def with_files(spark, d) -> DataFrame:
-    """Packages of the documents, with their files."""
-    files = D.source_files(spark, d).groupBy("import_path", "repository").agg(F.array_sort(F.collect_list(F.struct("repo_path", F.unhex("digest").alias("digest")))).alias("source_files"))
+#: Rows that are gathered into one written object, about, at most.
+PART_ROWS = 10_000
+
+
+def salt(rows: DataFrame, key: str):
+    """A number by the key's hash, of so many that no group has more than about PART_ROWS rows of one number."""
+    return F.pmod(F.xxhash64(key), F.lit(-(-rows.count() // PART_ROWS) or 1))
+
+
+def with_files(files: DataFrame) -> DataFrame:
+    """Packages of the files; a package of many files is several rows, each with a part of them."""
+    files = files.groupBy("import_path", "repository", salt(files, "repo_path").alias("part")).agg(F.array_sort(F.collect_list(F.struct("repo_path", F.unhex("digest").alias("digest")))).alias("source_files"))
     return files.select("import_path", F.lit("").alias("name"), "repository", F.array(F.regexp_extract("import_path", r"\A(.*)/", 1)).alias("directs"), "source_files", F.lit(2).alias("type"), F.lit(0.0).alias("ranking"))
 
 
@@ -218,24 +227,28 @@ def with_files(spark, d) -> DataFrame:
   SELECT digest, unnest(['<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>', '<dep:digest>', '<dep:repo-path>']) AS p, unnest(['<dep:File>', '"' || digest || '"', '"' || repo_path || '"']) AS o FROM s)
   UNION ALL SELECT '_:p' || md5(import_path), '<dep:has-file>', '_:f' || digest FROM s""")
 def rdf_files(spark, d):
-    return X.rdf_quads(with_files(spark, d)).filter(F.col("subject").startswith("_:f") | (F.col("predicate") == X.HAS_FILE))
+    files = D.source_files(spark, d)  # each file as a row of its package; nothing is gathered
+    rows = files.select("import_path", "repository", F.array().cast("array<string>").alias("directs"), F.lit(0.0).alias("ranking"), F.array(F.struct("repo_path", F.unhex("digest").alias("digest"))).alias("source_files"))
+    return X.rdf_quads(rows).filter(F.col("subject").startswith("_:f") | (F.col("predicate") == X.HAS_FILE))
 
 
 @query(with_(FILES) + "SELECT import_path, repository, regexp_extract(import_path, '^(.*)/', 1) AS directs, count(*)::INT AS files, 2 AS type FROM files GROUP BY import_path, repository")
 def rows_json(spark, d):
-    """Rows as JSON lines, written, read back and parsed."""
+    """Rows as JSON lines, several for a package of many files, written, read back and parsed; files are counted per package."""
     path = _folder(spark, "rows-json")
-    X.rows_json(with_files(spark, d)).write.text(path)
+    X.rows_json(with_files(D.source_files(spark, d))).write.text(path)
     back = X.parse_rows_json(spark.read.text(path))
-    return back.select("import_path", "repository", F.array_join("directs", " ").alias("directs"), F.size("source_files").alias("files"), "type")
+    back = back.groupBy("import_path", "repository", F.array_join("directs", " ").alias("directs"), "type").agg(F.sum(F.size("source_files")).cast("int").alias("files"))
+    return back.select("import_path", "repository", "directs", "files", "type")
 
 
 @query(with_(PACKAGES) + f"SELECT {FLAT} FROM packages")
 def ingest_manifest(spark, d):
-    """Manifests of every repository, written as JSON and ingested."""
+    """Manifests of every repository, several for one of many packages, written as JSON and ingested."""
     path = _folder(spark, "manifests")
     package = F.struct(F.col("import_path").alias("importPath"), "type", F.col("directs").alias("imports"))
-    repos = D.packages(spark, d).groupBy("repository").agg(F.collect_list(package).alias("packages"))
+    p = D.packages(spark, d)
+    repos = p.groupBy("repository", salt(p, "import_path").alias("part")).agg(F.collect_list(package).alias("packages"))
     remotes = F.when(F.col("repository") != "", F.array(F.struct(F.lit("origin").alias("name"), F.col("repository").alias("url")))).otherwise(F.array())
     repos.select(remotes.alias("remotes"), "packages").write.json(path)
     return flat(IN.read_manifests(spark, path))
@@ -331,7 +344,7 @@ def best_head(spark, d):
 
 @query(with_(OBSERVATIONS) + STATUS_SQL)
 def status_stream(spark, d):
-    """The fold over five deliveries of the observations, as a stream."""
+    """The fold over five deliveries of the observations, each written by many tasks and streamed when it is there."""
     root = _folder(spark, "status")
     rows = D.observations(spark, d).select("repository", "tag", "ref", "digest", "failed", "ts", "seq")
     cuts = rows.select(F.percentile_approx(F.unix_micros("ts"), [0.2, 0.4, 0.6, 0.8]).alias("q")).first()["q"]
@@ -342,8 +355,9 @@ def status_stream(spark, d):
             part = part.filter(F.unix_micros("ts") > bounds[k])
         if bounds[k + 1] is not None:
             part = part.filter(F.unix_micros("ts") <= bounds[k + 1])
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    return plain_times(status_columns(SS.run_status_stream(spark, f"{root}/in", Snapshots(spark, f"{root}/table"), f"{root}/checkpoint")))
+        part.write.mode("append").parquet(f"{root}/in")
+        status = SS.run_status_stream(spark, f"{root}/in", Snapshots(spark, f"{root}/table"), f"{root}/checkpoint", 1_000_000)
+    return plain_times(status_columns(status))
 
 
 @query()
