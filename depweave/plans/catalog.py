@@ -258,12 +258,23 @@ def ingest_manifest(spark, d):
   CASE WHEN length(import_path) % 5 = 0 THEN 3 ELSE 2 END AS type FROM packages WHERE starts_with(import_path, 'parts.')""")
 def ingest_sources(spark, d):
     """Source files written for every part, with imports of what it depends on, and ingested."""
-    p = D.packages(spark, d).filter(F.col("import_path").startswith("parts."))
+    return _ingested(D.packages(spark, d).filter(F.col("import_path").startswith("parts.")))
+
+
+def _ingested(p: DataFrame) -> DataFrame:
+    """Packages written as a source file each, and ingested."""
     text = F.concat(F.lit("package "), F.when(F.length("import_path") % 5 == 0, "main").otherwise("lib"), F.lit('\n\nimport (\n\t"'), F.array_join("directs", '"\n\t"'), F.lit('"\n)\n'))
     files = p.select(F.col("repository"), F.col("repository").alias("remote"), F.concat(P.base_name(F.col("import_path")), F.lit("/a.go")).alias("repo_path"), text.alias("content"))
     return IN.ingest_sources(files).select("import_path", "name", "repository", F.array_join("directs", " ").alias("directs"), "type")
 
 
+@query(with_(PACKAGES) + """SELECT import_path, CASE WHEN length(import_path) % 5 = 0 THEN 'main' ELSE 'lib' END AS name, repository, array_to_string(directs, ' ') AS directs,
+  CASE WHEN length(import_path) % 5 = 0 THEN 3 ELSE 2 END AS type FROM packages WHERE repository <> ''""")
+def ingest_sources_all(spark, d):
+    """Source files written for every package with a repository, and ingested."""
+    return _ingested(D.packages(spark, d).filter("repository <> ''"))
+
+
 @query("SELECT c_name AS name FROM customer UNION ALL SELECT 'geo/nation1'")
 def input_list(spark, d):
     path = _folder(spark, "lines")
