@@ -87,8 +87,9 @@ _WINDOW = np.hanning(FRAME)
 
 
 def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel frames (frames, MELS) as float32 and each frame's log energy, of 8-bit samples."""
+    """Log-mel frames (frames, MELS) as float32 and each frame's log energy, of 8-bit samples; silence fills the last frame."""
     x = resample((samples.astype(np.float64) - 128) / 128)
+    x = np.concatenate((x, np.zeros(-(len(x) - FRAME) % HOP)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     mel, energy = np.empty((len(frames), MELS), np.float32), np.empty(len(frames))
     for lo in range(0, len(frames), 2048):  # a long text's spectra are never all in memory

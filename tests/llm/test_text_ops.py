@@ -226,3 +226,11 @@ def test_hysteresis_holds_between_thresholds():
 
 def test_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_the_end_of_a_text_lies_in_a_frame():
+    for k in (1, 2, 5):
+        quiet = np.full(k * media.UNIT, 128, np.uint8)
+        loud = quiet.copy()
+        loud[-40:-8] += np.tile(np.array([90, 0], np.uint8), 16)
+        assert not np.array_equal(media.log_mel(quiet)[0], media.log_mel(loud)[0])
