@@ -23,6 +23,7 @@ SAMPLE_CHARS = (200, 6000)  # length of the texts that are sampled first
 MIN_MARGIN = 0.0005  # (second - best) / best below which a document is rejected
 UNDETERMINED = "und"
 
+BLOCK = 100_000  # bytes of a long text that are compressed at a time, each block from the fresh dictionary
 SHORT, MEDIUM = 1000, 3000  # bytes up to which texts are compressed in three orders, or at the higher level
 
 _NOISE = bytes([*range(0, 10), *range(11, 32), *range(33, 65), *range(91, 97), *range(123, 128)])
@@ -107,7 +108,7 @@ def _compressors(dictionaries: dict[str, bytes]) -> list:
 def compressed_sizes(text: str, levels: list) -> list[int]:
     """Bytes that the text takes with each language's dictionary, summed over the orders tried."""
     raw = plain_bytes(text)
-    tries = [raw]
+    tries = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)] or [raw]
     if len(raw) <= SHORT:
         words = raw.split()
         tries += [b" ".join(words[::-1]), b" ".join(sorted(words))]

@@ -139,3 +139,12 @@ def test_lm_trains_on_every_window_once(spark, monkeypatch):
     vocabulary, weights = lm_score.fit(docs)
     assert np.isfinite(weights).all()
     assert (np.bincount(seen, minlength=lm_score.TOKENS) == vocabulary.counts).all()
+
+
+def test_language_margin_does_not_shrink_with_length():
+    rng = np.random.default_rng(3)
+    words = {k: ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)] for k in ("xx", "yy")}
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    levels = langid._compressors({k: text(k, 30_000).encode() for k in words})
+    (one, _, short), (many, _, long) = (langid.predict(text("xx", n), ["xx", "yy"], levels) for n in (14_000, 280_000))
+    assert one == many == "xx" and long > 0.7 * short
