@@ -11,14 +11,14 @@ part_target AS (
   SELECT a.k, b.path FROM part_node a JOIN part_node b ON b.k = a.k - a.k % 4 + (a.k % 4 + 1) % 4
   UNION SELECT a.k, b.path FROM part_node a JOIN part_node b ON b.k = a.k // 10
   UNION SELECT k, 'type/' || lower(p_type) FROM part_node),
-packages AS (
+packages AS MATERIALIZED (
   SELECT 'orders.example.com/c' || o_custkey || '/o' || o_orderkey AS import_path, 'https://orders.example.com/c' || o_custkey AS repository,
          list(path ORDER BY path) AS directs, 3 AS type, 0.0::DOUBLE AS ranking
   FROM orders JOIN order_target ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey
   UNION ALL SELECT n.path, 'https://parts.example.org/' || brand, list(t.path ORDER BY t.path), 2, 0.0 FROM part_node n JOIN part_target t USING (k) GROUP BY n.path, brand
   UNION ALL SELECT path, 'https://suppliers.example.net/n' || s_nationkey, ['geo/nation' || s_nationkey], 2, 0.0 FROM supplier_node
   UNION ALL SELECT 'geo/nation' || n_nationkey, '', ['geo.example.com/region' || n_regionkey], 1, 0.0 FROM nation),
-edges AS (SELECT import_path AS source, repository, unnest(directs) AS target, generate_subscripts(directs, 1) - 1 AS pos FROM packages)"""
+edges AS MATERIALIZED (SELECT import_path AS source, repository, unnest(directs) AS target, generate_subscripts(directs, 1) - 1 AS pos FROM packages)"""
 
 FILES = r"""
 files AS (SELECT 'docs.example.io/' || source || '/' || lang AS import_path, 'https://docs.example.io/' || source AS repository,
