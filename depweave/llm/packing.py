@@ -7,41 +7,56 @@ prices finds the next pattern worth adding (Gilmore and Gomory 1961).  The solut
 few pieces left are packed greedily, and pattern slots are dealt to pieces by their rank within a length.
 
 Only the histogram (at most capacity / grid counts) is on the driver.  Ranks come from salted windows:
-rows of one length are spread over salts whose counts give each salt its first rank.
+rows of one length are spread over as many salts as its own count asks for, and the salts' counts, a table
+of bounded size, give each salt its first rank.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, remember
-from .word_memo import WordMemo, ascii_words
+from .common import Scratch, byte_groups, map_arrow, remember
+from .unit_memo import UnitMemo
 
 CAPACITY = 4096
 GRID = 8
 GAP = 5e-4  # column generation stops at this relative distance from the lower bound
-SALT_ROWS = 200_000  # pieces per salt on average
+SALT_ROWS, SALTS = 128, 8192  # a salt of a size has about 1 in SALTS of all pieces, SALT_ROWS at least
 
-_MEMO: dict[str, WordMemo] = {}
-
-
-_LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"  # a-z and the Latin-1 letters
-_MARK = rb"[!-&(-/:-@\[-`{-~]"  # ASCII punctuation but the apostrophe, which may start a contraction
-_UNIT = re.compile(_LETTER + rb"+(?=" + _MARK + rb"|[0-9]|\Z)|" + _MARK + rb"+(?=" + _LETTER + rb"|\Z)|.+", re.S)
+_MEMO: dict[str, UnitMemo | WholeTexts] = {}
 _LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
-
-
-def _encoder(path: str) -> WordMemo:
-    """Word ids by the tokenizers library, one unit of a word at a time.
-
-    The vocabulary's normalizer and pre-tokenizer never look across ASCII white space, and drop it, so a
-    text's ids are its words' ids in a row.  They also keep letters and punctuation apart; words are cut
-    there where that is plain to see, and each unit is encoded once per worker and remembered.
+#: One of each kind for the probes: every letter and mark that units are cut at, digits, and others.
+_PROBE_LETTERS = [*map(chr, [*range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])]
+_PROBE_MARKS = [c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'"]
+
+
+def _cuts(tokenizer) -> tuple[bool, bool]:
+    """Whether words, and units within words, are encoded apart: all small cases are tried on the tokenizer itself."""
+    ids = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    some = ["a", "th", "\xe9", "1", ".", "'s", "'", "\u6f22", "#$"]
+    alone = dict(zip(some, ids(some), strict=True))
+    pairs = [(x, w, y) for x in some for y in some for w in (" ", "\t", "\n", "\x0b", "\x0c", "\r", " \n ")]
+    words = all(got == alone[x] + alone[y] for (x, _, y), got in zip(pairs, ids([x + w + y for x, w, y in pairs]), strict=True))
+    parts = [(x, m) for x in _PROBE_LETTERS for m in [*_PROBE_MARKS, *"0123456789"]] + [(m, x) for m in _PROBE_MARKS for x in _PROBE_LETTERS]
+    parts += [("letters", "!!"), ("!?", "letters"), ("letters", "12")]
+    every = dict.fromkeys(c for p in parts for c in p)
+    alone = dict(zip(every, ids(list(every)), strict=True))
+    units = all(got == alone[x] + alone[y] for (x, y), got in zip(parts, ids([x + y for x, y in parts]), strict=True))
+    return words, words and units
+
+
+def _encoder(path: str) -> UnitMemo | WholeTexts:
+    """Ids by the tokenizers library: units of words through a memo, or a function of whole texts.
+
+    Where the vocabulary's normalizer and pre-tokenizer never look across ASCII white space, and drop it, a
+    text's ids are its words' ids in a row; where they keep letters and punctuation apart too, a word's ids are
+    its units' ids.  Both are tried on the tokenizer when it is loaded; another one gets whole words or texts.
     """
     if path not in _MEMO:
         import os
@@ -52,13 +67,15 @@ def _encoder(path: str) -> WordMemo:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         vocabulary = tokenizer.get_vocab()
+        words, cut = _cuts(tokenizer)
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        ended = cut and all(ends[x.ids].tolist() == [False] * (len(x.ids) - 1) + [True] for x in tokenizer.encode_batch_fast(_PROBE_LETTERS, add_special_tokens=False))
 
         def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             texts = [u.decode() for u in units]
             out: list = [None] * len(units)
-            plain = [i for i, x in enumerate(texts) if _LETTERS.fullmatch(x)]
+            plain = [i for i, x in enumerate(texts) if _LETTERS.fullmatch(x)] if ended else []
             for lo in range(0, len(plain), 2000):  # many units of letters in one call: the last token of each is a word end
                 some = plain[lo : lo + 2000]
                 ids = np.asarray(tokenizer.encode_batch_fast([" ".join([texts[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)
@@ -69,13 +86,30 @@ def _encoder(path: str) -> WordMemo:
             rest = [i for i, x in enumerate(out) if x is None]
             for i, x in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
                 out[i] = np.asarray(x.ids, np.uint32)
-            return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+            return np.concatenate([np.zeros(0, np.uint32), *out]), np.array([len(x) for x in out], np.int64)
 
-        _MEMO[path] = WordMemo(encode, _UNIT.findall)
+        if words:
+            _MEMO[path] = UnitMemo(encode, np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32, cut)
+        else:
+            _MEMO[path] = WholeTexts(encode)
         remember("packing", _MEMO.clear)
     return _MEMO[path]
 
 
+class WholeTexts:
+    """Ids of whole texts, for tokenizers that look across white space."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def ids(self, data: np.ndarray, off: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        flat, n = self.encode([data[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+        bounds = np.concatenate(([0], np.cumsum(n)))
+        if end_id is not None:
+            flat, bounds = np.insert(flat, bounds[1:], end_id), bounds + np.arange(len(bounds))
+        return flat.astype("<u4", copy=False), bounds
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens (and ids, little-endian uint32).
 
@@ -87,10 +121,10 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: in
         memo = _encoder(tokenizer_path)
         for batch in batches:
             ids_of = batch.column("doc_id")
-            for at, words, counts in ascii_words(batch.column("text")):
-                flat, bounds = memo.ids(words, counts, end_id)
+            for at, data, off in byte_groups(batch.column("text"), 1 << 19):
+                flat, bounds = memo.ids(data, off, end_id)
                 rows = {k: [] for k in ("doc", "start", "length", "crc", "total", "ids")}
-                for i in range(len(counts)):
+                for i in range(len(off) - 1):
                     one = flat[bounds[i] : bounds[i + 1]]
                     for start in range(0, len(one), capacity):
                         raw = one[start : start + capacity].tobytes()
@@ -169,6 +203,8 @@ def solve_patterns(demand: dict[int, int], slots: int, gap: float = GAP) -> list
         inverse -= np.outer(step, row)
         inverse[out] = row
         columns[out], cost[out] = column, c
+    else:
+        warnings.warn("column generation was ended before it came within its gap; all pieces are packed, with more padding", stacklevel=2)
     found: dict[tuple, int] = {}
     left = need.astype(int)
     for times, column, c in zip(np.floor(x + 1e-7).astype(int), columns, cost, strict=True):
@@ -212,42 +248,44 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grid: int = GRID) -> DataF
 
     Pieces of one sequence lie one after the other from offset 0, the longest first, so all padding is at
     its end.  Every piece is placed exactly once, equal rows too; sequence ids are 0..n-1 unless the
-    covering solution leaves a spare pattern empty.  An empty table gives an empty table.
+    covering solution leaves a spare pattern empty.  Other columns are carried through, whatever their names;
+    columns named sequence_id or offset are replaced.  An empty table gives an empty table.
     """
     import pyarrow as pa
 
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
-    carried = [c for c in pieces.columns if c not in ("size", "salt")]
-    sized = scratch.write(pieces.select(*carried, F.ceil(F.col("length") / grid).cast("int").alias("size")), "pieces")
+    carried = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    sized = scratch.write(pieces.select(*carried, F.ceil(F.col("length") / grid).cast("int").alias("_pk_size")), "pieces")
     slots = capacity // grid
-    total = sized.count()
-    salts = max(1, total // SALT_ROWS)
-    order = [c for c in ("doc_id", "start", "ids_crc32", "doc_tokens") if c in carried]
-    salted = sized.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    counts = salted.groupBy("size", "salt").count()
-    before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("size", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"), "count")
-    first = scratch.write(first, "first-ranks")
-    demand = {r["size"]: r["n"] for r in first.groupBy("size").agg(F.sum("count").alias("n")).collect()}  # <= slots rows
+    demand = {r["_pk_size"]: r["n"] for r in sized.groupBy("_pk_size").agg(F.count("*").alias("n")).collect()}  # <= slots rows
     table = _slot_table(solve_patterns(demand, slots), slots)
     key = (table["size"] << 44) + table["low"]
 
-    within = Window.partitionBy("size", "salt").orderBy(*order)
-    ranked = salted.withColumn("rank", F.row_number().over(within) - 1)
-    ranked = ranked.join(first.select("size", "salt", "first"), ["size", "salt"]).withColumn("rank", F.col("rank") + F.col("first"))
+    per_salt = max(SALT_ROWS, -(-sum(demand.values()) // SALTS))
+    salts = spark.createDataFrame([(s, -(-n // per_salt)) for s, n in demand.items()], "_pk_size int, _pk_salts long")
+    order = [c for c in ("doc_id", "start", "ids_crc32", "doc_tokens") if c in carried]
+    salted = sized.join(F.broadcast(salts), "_pk_size").withColumn("_pk_salt", F.pmod(F.xxhash64(*order), F.col("_pk_salts")))
+    counts = salted.groupBy("_pk_size", "_pk_salt").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("_pk_size").orderBy("_pk_salt").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("_pk_size", "_pk_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_pk_first"))
+    first = scratch.write(first, "first-ranks")  # at most SALTS + slots rows
+
+    within = Window.partitionBy("_pk_size", "_pk_salt").orderBy(*order)
+    ranked = salted.withColumn("_pk_rank", F.row_number().over(within) - 1).join(F.broadcast(first), ["_pk_size", "_pk_salt"])
+    ranked = ranked.select(*carried, "_pk_size", (F.col("_pk_rank") + F.col("_pk_first")).alias("_pk_rank"))
 
     def deal(batches):
         for batch in batches:
-            size, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("size", "rank"))
+            size, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("_pk_size", "_pk_rank"))
             i = np.searchsorted(key, (size << 44) + rank, "right") - 1
             nth = rank - table["low"][i]
             seq, slot = table["seq"][i] + nth // table["per"][i], table["slot"][i] + nth % table["per"][i]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(seq), pa.array(slot)], names=[*carried, "sequence_id", "slot"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(seq), pa.array(slot)], names=[*carried, "sequence_id", "_pk_slot"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema if f.name in carried)
-    dealt = map_arrow(ranked, deal, f"{fields}, sequence_id long, slot long")
-    along = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = map_arrow(ranked, deal, f"{fields}, sequence_id long, _pk_slot long")
+    along = Window.partitionBy("sequence_id").orderBy("_pk_slot").rowsBetween(Window.unboundedPreceding, -1)
     return dealt.withColumn("offset", F.coalesce(F.sum("length").over(along), F.lit(0)).cast("long")).select(*carried, "sequence_id", "offset")
 
 

@@ -77,16 +77,63 @@ def test_small_programs():
     assert sum(t for t, _ in P.solve_patterns({1: 17}, 8)) == 3
 
 
-def test_words_are_cut_where_the_tokenizer_cuts():
+PARTS = ["a", "The", "É", "é", "ß", "x", "'s", "'", "’", "don't", ",", "!!", "#$", "—", "12", "²", "×", "÷", "J̌", "́", "漢字", "😀", "\x01", "\x1c", "\xa0", " ", "\n", "\x0b", "<|endoftext|>", "İ", "Σ", "_", "@x", "z" * 70, "7" * 65]
+
+
+def columns(texts):
     import pyarrow as pa
 
-    from depweave.llm.word_memo import ascii_words
+    from depweave.llm.common import byte_groups
+
+    return byte_groups(pa.array(texts), 1 << 12)
 
+
+def test_units_are_cut_where_the_tokenizer_cuts():
     rng = np.random.default_rng(1)
-    parts = ["a", "The", "É", "é", "ß", "x", "'s", "'", "’", "don't", ",", "!!", "#$", "—", "12", "²", "×", "J̌", "́", "漢字", "😀", "\x01", "\x1c", "\xa0", " ", "\n", "\x0b", "<|endoftext|>", "İ", "Σ", "_", "@x"]
-    texts = ["".join(rng.choice(parts, rng.integers(0, 10))) for _ in range(3000)]
+    texts = ["".join(rng.choice(PARTS, rng.integers(0, 10))) for _ in range(6000)]
     memo = P._encoder(PATH)
-    for at, words, counts in ascii_words(pa.array(texts)):
-        flat, bounds = memo.ids(words, counts, 2)
-        for i, want in enumerate(reference_ids(texts[at : at + len(counts)])):
+    assert memo.cut
+    for at, data, off in columns(texts):
+        flat, bounds = memo.ids(data, off, 2)
+        for i, want in enumerate(reference_ids(texts[at : at + len(off) - 1])):
             assert flat[bounds[i] : bounds[i + 1]].tolist() == want.tolist(), texts[at + i]
+
+
+def test_memo_starts_anew_and_slots_collide(monkeypatch):
+    from depweave.llm import unit_memo
+
+    monkeypatch.setattr(unit_memo, "SLOT_BITS", 8)
+    monkeypatch.setattr(unit_memo, "MAX_UNITS", 200)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{rng.integers(0, 400)}" for _ in range(60)) for _ in range(300)]
+    memo = unit_memo.UnitMemo(P._encoder(PATH).encode)
+    for at, data, off in columns(texts):
+        flat, bounds = memo.ids(data, off, 2)
+        for i, want in enumerate(reference_ids(texts[at : at + len(off) - 1])):
+            assert flat[bounds[i] : bounds[i + 1]].tolist() == want.tolist()
+        assert memo.count <= 200
+
+
+def test_a_tokenizer_that_looks_across_words_gets_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(PATH).read())
+    spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    (tmp_path / "whole.json").write_text(json.dumps(spec))
+    other = P._encoder(str(tmp_path / "whole.json"))
+    assert isinstance(other, P.WholeTexts)
+    texts = ["one two, three", "", "é è"]
+    (_, data, off), = columns(texts)
+    flat, bounds = other.ids(data, off, 2)
+    t = Tokenizer.from_file(str(tmp_path / "whole.json"))
+    for i, x in enumerate(texts):
+        assert flat[bounds[i] : bounds[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids + [2]
+
+
+def test_clashing_columns_are_carried(spark):
+    rows = [(k, 0, 100 + k, 7, 100 + k, "a", "b", 3, 4) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, size string, salt string, rank int, slot int")
+    out = P.pack(df)
+    assert out.columns == [*df.columns, "sequence_id", "offset"] and out.select(*df.columns).exceptAll(df).count() == 0 and out.count() == 50
