@@ -1,18 +1,22 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network predicts every word of a document from the words on both sides of it, the word itself
-masked; a document's score is the sum of these conditional log-probabilities (Salazar et al. 2020).  Its
-vocabulary is the most frequent words of the whole corpus, counted by Spark over all documents, and hash
-buckets for the rest, so that every word has a token and the distribution over tokens sums to one.
-
-The network is trained in NumPy on all partitions at once: in each round every task starts from the same
-weights, runs stochastic gradient descent over its share of the windows of each of its documents, and
-Spark adds the weights up, weighted by windows, to the next round's start.  The rounds' shares are
-disjoint and together hold every window of every document.  The driver holds one set of weights.
+masked; a document's score is the sum of these conditional log-probabilities (Salazar et al. 2020).
+
+The distribution is over words.  The network's tokens are the most frequent words of the whole corpus and,
+for all others, classes of words with the same two last bytes, which tell much about a word's language and
+part of speech.  Within a class a word has the share of its own corpus count: exactly for the LISTED most
+frequent words, and for the rest of a class the mean of its counts.  Spark counts every word of every document.
+
+Texts are turned into tokens once, as a table.  The network is trained in NumPy on all partitions at once: in
+each round every task starts from the same weights, runs stochastic gradient descent over its documents of
+that round, and Spark adds the weights up, weighted by windows, to the next round's start.  The rounds'
+shares are disjoint and together hold every window of every document.  The driver holds one set of weights.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,79 +24,133 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, byte_groups, lower_bytes, map_arrow, mix64, span_hashes, word_spans
+from .unit_memo import Slots
 
 CLASSES, MEMBERS = 32, 32  # a token is a class and a member of it
-WORDS = 768  # tokens of their own; the other CLASSES * MEMBERS - WORDS tokens are hash buckets
+WORDS = 768  # tokens of their own; the other CLASSES * MEMBERS - WORDS tokens are endings
+LISTED = 1 << 18  # words whose own counts go to the tasks: 12 bytes each and a table of 8 MB
 SIDE = 3  # words of context on each side
-HIDDEN = 24
-ROUNDS = 2  # each window is trained on in one of the rounds, chosen by a hash of the text up to it
-RATE, BATCH = 0.02, 512
+HIDDEN = 20
+ROUNDS = 2  # each document is trained on in one of the rounds, chosen by a checksum of its tokens
+RATE, BATCH = 0.1, 2048
 
 TOKENS = CLASSES * MEMBERS
 PAD = TOKENS
 _SHIFTS = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
+def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and ending class (0 to TOKENS - WORDS - 1) of every word of a group of rows, and each row's first word."""
+    data = lower_bytes(data)
+    s, e, first = word_spans(data, off)
+    last = data[e - 1].astype(np.uint64)
+    last |= np.where(e - s > 1, data[np.maximum(e - 2, 0)], 0).astype(np.uint64) << np.uint64(8)
+    return span_hashes(data, s, e), (mix64(last, 3) % np.uint64(TOKENS - WORDS)).astype(np.int64), first
+
+
 def count_words(docs: DataFrame) -> DataFrame:
-    """(h, n): hash and count of every word of all documents, combined within tasks before the shuffle."""
+    """(h, ending, n): hash, ending class and count of every word of all documents, combined within tasks before the shuffle."""
     import pyarrow as pa
 
-    def merge(h, n):
-        names, at = np.unique(h, return_inverse=True)
-        return names, np.bincount(at, weights=n, minlength=len(names)).astype(np.int64)
+    def merge(h, b, n):
+        names, first, at = np.unique(h, return_index=True, return_inverse=True)
+        return names, b[first], np.bincount(at, weights=n, minlength=len(names)).astype(np.int64)
+
+    def told(held):
+        h, b, n = held
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(b.astype(np.int32)), pa.array(n)], names=["h", "ending", "n"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for _, data, off in byte_groups(batch.column("text")):
-                data = lower_bytes(data)
-                s, e, _ = word_spans(data, off)
-                held.append(np.unique(span_hashes(data, s, e), return_counts=True))
+                h, b, _ = _words(data, off)
+                held.append(merge(h, b, np.ones(len(h))))
                 size += len(held[-1][0])
                 if size > 1_000_000:
                     held = [merge(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                     size = len(held[0][0])
                     if size > 500_000:  # bounded memory: pass the counts on and begin anew
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["h", "n"])
+                        yield told(held[0])
                         held, size = [], 0
         if held:
-            h, n = merge(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+            yield told(merge(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
-    parts = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "h long, n long")
-    return parts.groupBy("h").agg(F.sum("n").alias("n"))
+    parts = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "h long, ending int, n long")
+    return parts.groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Sorted hashes of the frequent words, their tokens, and the corpus count of every token."""
+    """Listed words with their tokens and log shares, the log share of each ending's other words, and token counts."""
 
     hashes: np.ndarray
     tokens: np.ndarray
+    shares: np.ndarray
+    rest: np.ndarray
     counts: np.ndarray
 
-    def encode(self, h: np.ndarray) -> np.ndarray:
-        out = (WORDS + (h >> np.uint64(20)) % np.uint64(TOKENS - WORDS)).astype(np.int64)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[at] == h
-            out[hit] = self.tokens[at[hit]]
-        return out
+    def table(self) -> Slots:
+        found = Slots(1 + max(10, int(4 * len(self.hashes) - 1).bit_length() - 1))
+        found.add(self.hashes, np.arange(len(self.hashes), dtype=np.int32))
+        return found
+
+    def encode(self, table: Slots, h: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token of every word, and the word's log share of its token."""
+        at = table.find(np.maximum(h, np.uint64(1)))
+        known = at >= 0
+        token, share = WORDS + ending, self.rest[ending]
+        token[known], share[known] = self.tokens[at[known]], self.shares[at[known]]
+        return token, share
 
 
 def build_vocabulary(counts: DataFrame) -> Vocabulary:
-    """The WORDS most frequent words by (count, hash), and counts of the buckets that the others fall in."""
-    top = counts.orderBy(F.desc("n"), "h").limit(WORDS).collect()  # WORDS rows
-    h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
-    total = np.zeros(TOKENS, np.int64)
-    total[: len(top)] = [r["n"] for r in top]
-    place = F.lit(WORDS) + F.pmod(F.shiftrightunsigned("h", 20), F.lit(TOKENS - WORDS))
-    for r in counts.groupBy(place.cast("int").alias("token")).agg(F.sum("n").alias("n")).collect():  # a row per bucket
-        total[r["token"]] = r["n"]
-    for x, r in zip(h, top, strict=True):  # the frequent words are not in their buckets
-        total[WORDS + int(x >> np.uint64(20)) % (TOKENS - WORDS)] -= r["n"]
-    order = np.argsort(h)
-    return Vocabulary(h[order], order.astype(np.int64), total)
+    """The WORDS most frequent words by (count, hash) as tokens, the most frequent ones up to LISTED with their counts.
+
+    Which counts are listed is read from a histogram of counts (at most 16 * 64 rows), so that no more than
+    LISTED rows reach the driver, and words of like counts are all listed or all not.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    lowest, held = 1 << 30, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
+        if held + r["words"] > LISTED:
+            break
+        lowest, held = r["step"], held + r["words"]
+    listed = counts.filter(step >= lowest).toArrow()  # at most LISTED rows
+    h, ending, n = (listed.column(c).to_numpy().astype(np.int64) for c in ("h", "ending", "n"))
+    h, ending, n = (x[np.lexsort((h, -n))] for x in (h, ending, n))
+    frequent = np.arange(len(h)) < WORDS
+    token = np.where(frequent, np.arange(len(h)), WORDS + ending)
+    total = np.bincount(token, weights=n, minlength=TOKENS).astype(float)
+    other, words = np.zeros(TOKENS - WORDS), np.zeros(TOKENS - WORDS)
+    for r in counts.filter(step < lowest).groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():  # a row per ending
+        other[r["ending"]], words[r["ending"]] = r["n"], r["words"]
+    total[WORDS:] += other
+    rest = np.log(np.maximum(other, 0.5) / np.maximum(words, 1) / np.maximum(total[WORDS:], 1))
+    share = np.where(frequent, 0.0, np.log(n / np.maximum(total[token], 1)))
+    h = np.maximum(h.view(np.uint64), np.uint64(1))
+    return Vocabulary(h, token.astype(np.int64), share, rest, total.astype(np.int64))
+
+
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, tokens, shares): every row's tokens as little-endian 16-bit numbers, and the sum of its words' log shares."""
+    import pyarrow as pa
+
+    def run(batches):
+        table = vocabulary.table()
+        for batch in batches:
+            for at, data, off in byte_groups(batch.column("text")):
+                h, ending, first = _words(data, off)
+                token, share = vocabulary.encode(table, h, ending)
+                raw, run_sum = token.astype("<u2"), np.concatenate(([0.0], np.cumsum(share)))
+                packed = pa.array([raw[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.large_binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, len(off) - 1), packed.cast(pa.binary()), pa.array(run_sum[first[1:]] - run_sum[first[:-1]])],
+                    names=["doc_id", "tokens", "shares"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(rows, run, "doc_id long, tokens binary, shares double")
 
 
 class Network:
@@ -129,14 +187,14 @@ class Network:
 
     def forward(self, context: np.ndarray, cls: np.ndarray):
         w = self.w
-        z = w["embed"][0][context[0]]
+        z = w["embed"][0].take(context[0], axis=0)
         for k in range(1, 2 * SIDE):
-            z += w["embed"][k][context[k]]
+            z += w["embed"][k].take(context[k], axis=0)
         z += w["bias"]
         h = np.tanh(z)
         a = h @ w["to_class"] + w["class_bias"]
-        g = h * w["gate"][cls]
-        b = g @ w["to_member"] + w["member_bias"][cls]
+        g = h * w["gate"].take(cls, axis=0)
+        b = g @ w["to_member"] + w["member_bias"].take(cls, axis=0)
         for x in (a, b):
             x -= x.max(axis=1, keepdims=True)
         return h, g, a, b
@@ -160,7 +218,7 @@ class Network:
             x[at, y] -= 1
             x /= n
         dg = b @ w["to_member"].T
-        dz = (dg * w["gate"][cls] + a @ w["to_class"].T) * (1 - h * h)
+        dz = (dg * w["gate"].take(cls, axis=0) + a @ w["to_class"].T) * (1 - h * h)
         chosen = (np.arange(CLASSES)[:, None] == cls).astype(np.float32)  # sums by class as products
         d_gate, d_member = chosen @ (dg * h), chosen @ b
         grads = {
@@ -176,36 +234,35 @@ class Network:
         order = np.argsort(place, kind="stable")
         place = place[order]
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        d, words = np.add.reduceat(dz[order % n], first, axis=0), place[first]
+        d, words = np.add.reduceat(dz.take(order % n, axis=0), first, axis=0), place[first]
         rows[words] += (d * d).mean(axis=1)
         embed[words] -= RATE * d / np.sqrt(rows[words])[:, None]
 
 
-def _windows(data: np.ndarray, off: np.ndarray, vocabulary: Vocabulary):
-    """Token of every word of a group of rows, its context, word hashes, and each row's first word."""
-    data = lower_bytes(data)
-    s, e, first = word_spans(data, off)
-    h = span_hashes(data, s, e)
-    token = vocabulary.encode(h)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    place = np.arange(len(token)) + SIDE * (row + 1)
-    padded = np.full(len(token) + SIDE * len(off), PAD, np.int64)
-    padded[place] = token
-    return token, place, padded, h, first
-
+def _padded(column):
+    """Yield (first row, tokens, their places among padded tokens, padded tokens, row bounds) over a column of packed tokens."""
+    at, size = 0, len(column)
+    raw = column.to_pylist()
+    while at < size:
+        end, held = at, 0
+        while end < size and (end == at or held + len(raw[end]) <= 1 << 18):
+            held += len(raw[end])
+            end += 1
+        first = np.concatenate(([0], np.cumsum([len(x) // 2 for x in raw[at:end]])))
+        token = np.frombuffer(b"".join(raw[at:end]), "<u2").astype(np.int16)
+        place = np.arange(len(token)) + SIDE * (np.repeat(np.arange(end - at), np.diff(first)) + 1)
+        padded = np.full(len(token) + SIDE * (end - at + 1), PAD, np.int16)
+        padded[place] = token
+        yield at, token, place, padded, first
+        at = end
 
-def _prefix_hash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each word a hash of its row up to it, so that a choice by it depends on no word pair alone."""
-    run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)))
-    return run[1:] - np.repeat(run[first[:-1]], np.diff(first))
 
+def round_of(tokens: bytes) -> int:
+    """The round that trains on a document."""
+    return zlib.crc32(tokens) % ROUNDS
 
-def _share(h: np.ndarray, first: np.ndarray, turn: int) -> np.ndarray:
-    """Places of the windows that round ``turn`` trains on."""
-    return np.flatnonzero(mix64(_prefix_hash(h, first)) % np.uint64(ROUNDS) == turn)
 
-
-def _train_round(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray, turn: int) -> np.ndarray:
+def _train_round(encoded: DataFrame, start: np.ndarray, turn: int) -> np.ndarray:
     import pyarrow as pa
 
     size = len(start)
@@ -226,11 +283,11 @@ def _train_round(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray, tur
             held = [(context[:, stop:], token[stop:])]
 
         for batch in batches:
-            for _, data, off in byte_groups(batch.column("text")):
-                token, place, padded, h, first = _windows(data, off, vocabulary)
-                if len(h):
-                    pick = _share(h, first, turn)
-                    held.append((np.stack([padded[place[pick] + k] for k in _SHIFTS]), token[pick]))
+            mine = [round_of(x) == turn for x in batch.column("tokens").to_pylist()]
+            for _, token, place, padded, _ in _padded(batch.column("tokens").filter(pa.array(mine, pa.bool_()))):
+                for lo in range(0, len(token), 1 << 18):  # a long document's contexts are never all in memory
+                    some = place[lo : lo + (1 << 18)]
+                    held.append((np.stack([padded[some + k] for k in _SHIFTS]), token[lo : lo + (1 << 18)]))
                     step(False)
         step(True)
         if trained:
@@ -239,7 +296,7 @@ def _train_round(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray, tur
             for lo in range(0, size + 1, 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(cell[lo : lo + 20_000]), pa.array(value[lo : lo + 20_000])], names=["cell", "value"])
 
-    parts = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "cell long, value double")
+    parts = map_arrow(encoded.select("tokens"), run, "cell long, value double")
     total = parts.groupBy("cell").agg(F.sum("value").alias("value")).toPandas()  # one row per weight
     if not len(total):
         return start
@@ -248,50 +305,67 @@ def _train_round(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray, tur
     return (out[:size] / out[size]).astype(np.float32)
 
 
+def train(encoded: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """Weights after ROUNDS rounds of averaged local descent over all windows of a table of tokens."""
+    weights = Network.start(counts).flat
+    for turn in range(ROUNDS):
+        weights = _train_round(encoded, weights, turn)
+    return weights
+
+
 def fit(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """Count the corpus, then train on all its windows in ROUNDS rounds of averaged local descent."""
+    """Count the corpus, then train on all its windows."""
     scratch = Scratch(docs.sparkSession, "lm")
     counts = scratch.write(count_words(docs), "word-counts")
     vocabulary = build_vocabulary(counts)
-    weights = Network.start(vocabulary.counts).flat
-    for turn in range(ROUNDS):
-        weights = _train_round(docs, vocabulary, weights, turn)
-    scratch.drop(counts)
+    encoded = scratch.write(encode_documents(docs, vocabulary), "tokens")
+    weights = train(encoded, vocabulary.counts)
+    scratch.drop(counts, encoded)
     return vocabulary, weights
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (sum over all words), mean_log_likelihood (null without words)."""
+def score_encoded(encoded: DataFrame, weights: np.ndarray) -> DataFrame:
+    """doc_id, log_likelihood (sum over all words), mean_log_likelihood (null without words), n_tokens."""
     import pyarrow as pa
 
     def run(batches):
         net = Network(weights)
         for batch in batches:
-            for at, data, off in byte_groups(batch.column("text"), 1 << 19):
-                token, place, padded, _, first = _windows(data, off, vocabulary)
+            shares = batch.column("shares").to_numpy()
+            for at, token, place, padded, first in _padded(batch.column("tokens")):
                 logs = np.empty(len(token))
-                for lo in range(0, len(token), 4096):
-                    some = place[lo : lo + 4096]
-                    logs[lo : lo + 4096] = net.log_prob([padded[some + k] for k in _SHIFTS], token[lo : lo + 4096])
+                for lo in range(0, len(token), 8192):
+                    some = place[lo : lo + 8192]
+                    logs[lo : lo + 8192] = net.log_prob([padded[some + k] for k in _SHIFTS], token[lo : lo + 8192])
                 run_sum = np.concatenate(([0.0], np.cumsum(logs)))
                 n = np.diff(first)
-                total = run_sum[first[1:]] - run_sum[first[:-1]]
+                total = run_sum[first[1:]] - run_sum[first[:-1]] + shares[at : at + len(n)]
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(n)), pa.array(n), pa.array(total), mean],
-                    names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"],
+                    [batch.column("doc_id").slice(at, len(n)), pa.array(total), mean, pa.array(n)],
+                    names=["doc_id", "log_likelihood", "mean_log_likelihood", "n_tokens"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    return map_arrow(encoded, run, "doc_id long, log_likelihood double, mean_log_likelihood double, n_tokens long")
+
+
+def score(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) -> DataFrame:
+    """The scores of documents under a fitted model, as ``score_encoded`` gives them."""
+    return score_encoded(encode_documents(docs, vocabulary), weights)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """Fit on the corpus and score each of its documents by masked pseudo-likelihood.
+    """Fit on the corpus and score each of its documents by masked pseudo-likelihood: doc_id, score,
+    log_likelihood, mean_log_likelihood, n_tokens; ``score`` is the mean, 0 where there are no words.
 
     docs: doc_id, text and any other columns (ignored).  Words are runs without ASCII white space, A-Z
     lower-cased.  Null, empty and blank texts have no words: log_likelihood 0, mean null.  Null ids and
     repeated rows are scored like any other; an empty table gives an empty table.
     """
-    vocabulary, weights = fit(docs)
-    return score(docs, vocabulary, weights)
+    scratch = Scratch(docs.sparkSession, "lm")
+    counts = scratch.write(count_words(docs), "word-counts")
+    vocabulary = build_vocabulary(counts)
+    encoded = scratch.write(encode_documents(docs, vocabulary), "tokens")
+    scratch.drop(counts)
+    out = score_encoded(encoded, train(encoded, vocabulary.counts))
+    return out.select("doc_id", F.coalesce("mean_log_likelihood", F.lit(0.0)).alias("score"), "log_likelihood", "mean_log_likelihood", "n_tokens")

@@ -27,6 +27,29 @@ def test_quality_held_out(spark, sf_dir):
     assert np.mean([r["predicted"] == r["quality"] for r in held]) >= 0.95
 
 
+def test_quality_against_direct_densities(spark, sf_dir, documents):
+    """Scores from scratch: class moments of the labelled rows, shrunk covariances, Gaussian log-densities."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = {r["doc_id"]: r["score"] for r in quality.classify_quality(documents, labels, Q()).collect()}
+    stats = {r["doc_id"]: np.array(r["stats"]) for r in quality.statistics_table(documents).collect()}
+    held = {r["doc_id"] for r in documents.select("doc_id", Q().alias("h")).filter("h").collect()}
+    known = [(r["doc_id"], r["quality"]) for r in labels.collect() if r["quality"] in (0, 1) and r["doc_id"] not in held and r["doc_id"] in stats]
+    x, y = np.array([stats[i] for i, _ in known]), np.array([q for _, q in known])
+    centre, scale = x.mean(axis=0), np.sqrt(np.maximum(x.var(axis=0), 1e-8))
+    z = (x - centre) / scale
+    own = [np.cov(z[y == c], rowvar=False, bias=True) for c in (0, 1)]
+    pooled = sum(s * (y == c).sum() for c, s in enumerate(own)) / len(y)
+    k, logs = x.shape[1], []
+    every = (np.array([stats[i] for i in got]) - centre) / scale
+    for c, s in enumerate(own):
+        s = (1 - quality.SHRINK_POOLED) * s + quality.SHRINK_POOLED * pooled
+        s = (1 - quality.SHRINK_IDENTITY) * s + quality.SHRINK_IDENTITY * np.trace(s) / k * np.eye(k) + 1e-6 * np.eye(k)
+        d = every - z[y == c].mean(axis=0)
+        logs.append(np.log((y == c).sum()) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * (d * np.linalg.solve(s, d.T).T).sum(axis=1))
+    want = 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / quality.TEMPERATURE, -500, 500)))
+    assert np.allclose(list(got.values()), want, atol=1e-6)
+
+
 def test_quality_ignores_labels_lang_source_and_id(spark, sf_dir, documents):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     score = lambda d: {r["doc_id"]: round(r["score"], 9) for r in quality.classify_quality(d, labels, Q()).collect()}
@@ -96,14 +119,50 @@ def test_every_language_has_a_dictionary(spark):
     assert found["copies"].count(b"\n") == 10 and found["short"].count(b"\n") == 26 and len(found["long"]) > 20_000
 
 
+def test_language_against_plain_zstandard(spark, documents):
+    """Every prediction from scratch: each language's dictionary, both word orders, the fewest bytes."""
+    import re
+
+    import zstandard
+
+    known = langid.sample_dictionaries(documents.filter(~L()).select("text", "lang"))
+    assert all(0 < len(x) <= langid.DICTIONARY_BYTES for x in known.values())
+    kinds = sorted(known)
+    for r in langid.identify_languages(documents, L()).join(documents.select("doc_id", "text"), "doc_id").collect():
+        plain = re.sub(rb"[\x00-\x09\x0b-\x1f\x21-\x40\x5b-\x60\x7b-\x7f]", b"", (r["text"] or "").lower().encode())
+        sizes = []
+        for k in kinds:
+            content = zstandard.ZstdCompressionDict(known[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            content.precompute_compress(level=langid.LEVEL)
+            c = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=content, write_content_size=False, write_dict_id=False)
+            orders = plain, b" ".join(reversed(plain.split()))
+            sizes.append(sum(len(c.compress(x[i : i + langid.BLOCK])) for x in orders for i in range(0, len(x), langid.BLOCK)))
+        if re.search(r"[^\W\d_]", r["text"] or ""):
+            assert r["lang_pred"] == kinds[sizes.index(min(sizes))]
+            low, second = sorted(sizes)[:2]
+            assert r["margin"] == pytest.approx((second - low) / low) and r["rejected"] == (r["margin"] < langid.MIN_MARGIN)
+        else:
+            assert r["lang_pred"] == "und"
+
+
+def test_dictionaries_do_not_depend_on_partitions_or_copies(documents):
+    rows = documents.select("text", "lang")
+    assert langid.sample_dictionaries(rows.repartition(7)) == langid.sample_dictionaries(rows.union(rows).repartition(3))
+
+
+def words_of(texts):
+    """Distinct words of texts: hashes and endings."""
+    raw = " ".join(texts).encode()
+    h, ending, _ = lm_score._words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    h, first = np.unique(h, return_index=True)
+    return h, ending[first]
+
+
 def test_lm_scores(documents, texts, messy, nothing):
     vocabulary, weights = lm_score.fit(documents)
     rows = {r["doc_id"]: r for r in lm_score.score(documents, vocabulary, weights).collect()}
     n = {i: len(t.split()) for i, t in texts.items()}
     assert vocabulary.counts.sum() == sum(n.values()) == sum(r["n_tokens"] for r in rows.values())
-    share = vocabulary.counts / vocabulary.counts.sum()
-    unigram = (share[share > 0] * np.log(share[share > 0])).sum()
-    assert sum(r["log_likelihood"] for r in rows.values()) / sum(n.values()) > unigram + 0.02
     net = lm_score.Network(weights)
     tokens = np.arange(lm_score.TOKENS)
     context = [np.full(lm_score.TOKENS, 3 + k) for k in range(2 * lm_score.SIDE)]
@@ -111,6 +170,28 @@ def test_lm_scores(documents, texts, messy, nothing):
     odd = {r["doc_id"]: r for r in lm_score.score(messy, vocabulary, weights).collect()}
     assert [(odd[i]["n_tokens"], odd[i]["log_likelihood"], odd[i]["mean_log_likelihood"]) for i in (1, 2, 3)] == [(0, 0.0, None)] * 3
     assert lm_score.score_documents(nothing).count() == 0
+    whole = lm_score.score_documents(messy).collect()
+    assert len(whole) == messy.count() and all((r["score"] == r["mean_log_likelihood"]) if r["n_tokens"] else r["score"] == 0 for r in whole)
+
+
+@pytest.mark.parametrize("listed", [1 << 18, 900, 100])
+def test_lm_words_share_their_token(documents, texts, monkeypatch, listed):
+    monkeypatch.setattr(lm_score, "LISTED", listed)
+    vocabulary = lm_score.build_vocabulary(lm_score.count_words(documents))
+    assert len(vocabulary.hashes) <= listed
+    h, ending = words_of(list(texts.values()))
+    token, share = vocabulary.encode(vocabulary.table(), h, ending)
+    total = np.bincount(token, weights=np.exp(share), minlength=lm_score.TOKENS)
+    assert np.allclose(total[vocabulary.counts > 0], 1)  # over all words of the corpus
+    import collections
+
+    count = collections.Counter(w for t in texts.values() for w in t.translate({i: i + 32 for i in range(65, 91)}).split())
+    top = count.most_common(50)
+    for word, k in top:
+        x, b = words_of([word])
+        t, sh = vocabulary.encode(vocabulary.table(), x, b)
+        if vocabulary.table().find(x)[0] >= 0:
+            assert np.exp(sh[0]) * vocabulary.counts[t[0]] == pytest.approx(k)
 
 
 def test_lm_score_is_the_sum_over_masked_positions(documents):
@@ -118,10 +199,11 @@ def test_lm_score_is_the_sum_over_masked_positions(documents):
 
     vocabulary, weights = lm_score.fit(documents)
     net, row = lm_score.Network(weights), documents.orderBy("doc_id").first()
-    data = lower_bytes(np.frombuffer(row["text"].encode(), np.uint8))
+    data = np.frombuffer(row["text"].encode(), np.uint8)
     s, e, _ = word_spans(data, np.array([0, len(data)]))
-    token = vocabulary.encode(span_hashes(data, s, e)).tolist()
-    total = 0.0
+    _, ending, _ = lm_score._words(data, np.array([0, len(data)]))
+    tokens, shares = vocabulary.encode(vocabulary.table(), span_hashes(lower_bytes(data), s, e), ending)
+    token, total = tokens.tolist(), float(shares.sum())
     for i, t in enumerate(token):
         around = [token[i + k] if 0 <= i + k < len(token) else lm_score.PAD for k in lm_score._SHIFTS]
         total += net.log_prob([np.array([c]) for c in around], np.array([t]))[0]
@@ -141,10 +223,31 @@ def test_lm_trains_on_every_window_once(spark, monkeypatch):
     assert (np.bincount(seen, minlength=lm_score.TOKENS) == vocabulary.counts).all()
 
 
+def test_lm_learns_the_order_of_words(spark):
+    """Held-out text of a word chain scores clearly above word frequencies and above its own words shuffled."""
+    rng = np.random.default_rng(0)
+    follows = rng.integers(0, 60, (60, 3))
+
+    def chain(n):
+        out = [int(rng.integers(60))]
+        while len(out) < n:
+            out.append(int(follows[out[-1]][rng.integers(3)]) if rng.random() < 0.85 else int(rng.integers(60)))
+        return [f"v{x}" for x in out]
+
+    known, fresh = [chain(100) for _ in range(2500)], [chain(100) for _ in range(200)]
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(known)], "doc_id long, text string").repartition(2)
+    vocabulary, weights = lm_score.fit(docs)
+    mean = lambda rows: lm_score.score(spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], "doc_id long, text string"), vocabulary, weights).agg(F.avg("mean_log_likelihood")).first()[0]
+    share = vocabulary.counts[vocabulary.counts > 0] / vocabulary.counts.sum()
+    unigram = (share * np.log(share)).sum()
+    model, shuffled = mean(fresh), mean([rng.permutation(x).tolist() for x in fresh])
+    assert model > unigram + 1 and model > shuffled + 1
+
+
 def test_language_margin_does_not_shrink_with_length():
     rng = np.random.default_rng(3)
     words = {k: ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)] for k in ("xx", "yy")}
     text = lambda k, n: " ".join(rng.choice(words[k], n))
-    levels = langid._compressors({k: text(k, 30_000).encode() for k in words})
-    (one, _, short), (many, _, long) = (langid.predict(text("xx", n), ["xx", "yy"], levels) for n in (14_000, 280_000))
+    compressors = langid._compressors({k: text(k, 30_000).encode() for k in words})
+    (one, _, short), (many, _, long) = (langid.predict(text("xx", n), ["xx", "yy"], compressors) for n in (14_000, 280_000))
     assert one == many == "xx" and long > 0.7 * short
