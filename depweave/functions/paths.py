@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,6 +77,23 @@ def package_type(name: Column, stdlib: bool = False) -> Column:
     return F.when(name == "main", PROGRAM).otherwise(LIBRARY)
 
 
+def type_name(kind: Column) -> Column:
+    """The name of a package type's number; null for unknown, which messages leave out."""
+    out = F.when(kind == STDLIB, TYPE_NAMES[STDLIB])
+    for number in (LIBRARY, PROGRAM):
+        out = out.when(kind == number, TYPE_NAMES[number])
+    return out
+
+
+def type_number(text: Column) -> Column:
+    """The number of a package type given by name or as a number; absent: unknown. Any other name is an error."""
+    out = F.when(text.isNull(), 0)
+    for number, name in TYPE_NAMES.items():
+        out = out.when(text == name, number)
+    number = text.try_cast("int")
+    return out.when(number.isNotNull(), number).otherwise(F.raise_error(F.concat(F.lit("no such package type: "), text)).cast("int"))
+
+
 def ancestors(path: Column) -> Column:
     """The path and every path above it, longest last."""
     parts = F.split(path, "/")
@@ -95,9 +114,15 @@ def matches(path: Column, pattern: str) -> Column:
 
 
 def source_filter(path: Column, expression: str) -> Column:
-    """Unanchored regular expression; a leading ``(?!)`` negates the rest. A final ``$`` means the end of the text."""
+    """Unanchored regular expression; a leading ``(?!)`` negates the rest. A final ``$`` means the end of the text.
+
+    Look-around and back-references are refused: filters are to run in time linear in the text.
+    """
     negate = expression.startswith("(?!)")
     exp = expression[4:] if negate else expression
+    plain = re.sub(r"\\\\", "", exp)
+    if re.search(r"(?<!\\)\(\?(?:[=!>]|<[=!])", plain) or re.search(r"\\(?:[1-9]|k<)", plain):
+        raise ValueError(f"look-around and back-references are not supported: {expression!r}")
     if exp.endswith("$") and not exp.endswith(r"\$"):
         exp = exp[:-1] + r"\z"
     hit = path.rlike(exp)

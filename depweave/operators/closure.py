@@ -9,25 +9,36 @@ from ..functions.paths import STDLIB, matches
 from ..sources.scratch import Rounds
 
 
+BROADCAST_ROWS = 100_000  # paths of a frontier are broadcast up to this many, joined by a shuffle beyond
+
+
 def closure(packages: DataFrame, roots: list[str], skip_stdlib: bool = False) -> DataFrame:
     """(import_path) of the rows that the roots (patterns allowed) lead to, the roots included.
 
     A frontier is joined with the edges and freed from what was visited, round by round; cycles end
     there. Targets without a row are not part of the result. ``skip_stdlib`` leaves standard-library rows
     out of the result, though paths through them count.
+
+    Keys, types and edges are written once, without the other columns, so that a round reads a slim table
+    however the packages came about.  A frontier of few rows is broadcast: then a round shuffles the targets
+    it reached and nothing else.
     """
     rounds = Rounds(packages.sparkSession, "closure")
     start = F.lit(False)
     for r in roots:
         start = start | matches(F.col("import_path"), r)
-    frontier = rounds.write(packages.filter(start).select("import_path"), keep=True)
+    rows = rounds.write(packages.select("import_path", "type", "directs"), keep=True)
+    nodes = rows.select("import_path")
+    frontier = rounds.write(rows.filter(start).select("import_path"), keep=True)
     visited = frontier
-    links = packages.select("import_path", F.explode("directs").alias("target"))
-    while not frontier.isEmpty():
-        reached = links.join(frontier, "import_path", "left_semi").select(F.col("target").alias("import_path")).distinct()
-        reached = reached.join(packages.select("import_path"), "import_path", "left_semi").join(visited, "import_path", "left_anti")
-        frontier = rounds.write(reached, keep=True)
+    while count := frontier.count():
+        step = F.broadcast(frontier) if count <= BROADCAST_ROWS else frontier
+        reached = rows.join(step, "import_path", "left_semi").select(F.explode("directs").alias("import_path")).distinct()
+        reached = rounds.write(reached, keep=True)
+        some = F.broadcast(reached) if reached.count() <= BROADCAST_ROWS else reached
+        fresh = nodes.join(some, "import_path", "left_semi").join(visited, "import_path", "left_anti")
+        frontier = rounds.write(fresh, keep=True)
         visited = visited.union(frontier)
     if skip_stdlib:
-        visited = packages.filter(F.col("type") != STDLIB).select("import_path").join(visited, "import_path", "left_semi")
+        visited = rows.filter(F.col("type") != STDLIB).select("import_path").join(visited, "import_path", "left_semi")
     return visited

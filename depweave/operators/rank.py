@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Rounds
-from .stats import all_nodes
 
 ITERATIONS, DAMPING, SCALE = 10, 0.85, 4
 KEEP_EVERY = 5  # rounds between tables that cut the lineage
@@ -17,23 +17,34 @@ def pagerank(packages: DataFrame, iterations: int = ITERATIONS, damping: float =
 
     All start at 1/n; a round gives ``1 - damping + damping * sum(weight(source) / links(source))`` over the
     edges, repeated ones too. The first term is not divided by n, and nodes without links push nothing.
-    Each round is one join on the source and one sum by target, combined before its shuffle, so a target
-    of very many edges costs each task one row.
+    A round joins each node's weight with its row of targets, one row per source, and sums by target, combined
+    before the shuffle, so a target of very many edges costs each task one row.  Rows and weights are
+    partitioned alike by the node, and the rows are kept so on the executors for the time of the iteration (a
+    lost part is read again from its table): a round moves the contributions and nothing else.
     """
     if not 0 <= damping <= 1:
         raise ValueError(f"damping {damping} is not within 0..1")
     iterations = iterations or ITERATIONS
-    rounds = Rounds(packages.sparkSession, "pagerank")
-    links = rounds.write(packages.select(F.col("import_path").alias("source"), F.size("directs").alias("links"), F.explode("directs").alias("target")), keep=True)
-    nodes = rounds.write(all_nodes(packages), keep=True)
-    state = nodes.withColumn("weight", 1 / nodes.agg(F.count("*")).scalar())
-    for k in range(1, iterations + 1):
-        push = links.join(state.withColumnRenamed("import_path", "source"), "source").groupBy("target").agg(F.sum(F.col("weight") / F.col("links")).alias("got"))
-        state = nodes.join(push, F.col("import_path") == F.col("target"), "left").select(
-            "import_path", (F.lit(1 - damping) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("weight")
-        )
-        if k % KEEP_EVERY == 0 or k == iterations:  # the result is a table too: it is read for its maximum and its rows
-            state = rounds.write(state)
+    spark = packages.sparkSession
+    rounds = Rounds(spark, "pagerank")
+    rows = rounds.write(packages.select("import_path", "directs"), keep=True)
+    # rows and link-only nodes alike
+    ends = rows.select(F.explode("directs").alias("import_path")).distinct().join(rows.select("import_path"), "import_path", "left_anti")
+    every = rows.unionByName(ends.withColumn("directs", F.array().cast("array<string>")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = every.repartition(parts, "import_path").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        state = base.select("import_path").withColumn("weight", 1 / base.agg(F.count("*")).scalar())
+        for k in range(1, iterations + 1):
+            share = base.join(state, "import_path").filter(F.size("directs") > 0).select(F.explode("directs").alias("target"), (F.col("weight") / F.size("directs")).alias("share"))
+            push = share.groupBy("target").agg(F.sum("share").alias("got"))
+            state = base.select("import_path").join(push, F.col("import_path") == F.col("target"), "left").select(
+                "import_path", (F.lit(1 - damping) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("weight")
+            )
+            if k % KEEP_EVERY == 0 or k == iterations:  # the result is a table too: it is read for its maximum and its rows
+                state = rounds.write(state)
+    finally:
+        base.unpersist()
     return state
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, source_filter
 from ..sources.derived import edges
+from ..sources.scratch import Rounds
 
-INLINE_PATTERNS = 100  # longer lists become a join
+INLINE_PATTERNS = 100  # longer lists are looked up in a set, along the path
+SET_PATTERNS = 1000  # longer ones become a join
 PAGE_SIZE = 100
 
 
@@ -21,6 +23,8 @@ def _split(patterns: list[str]) -> tuple[list[str], list[str]]:
 def _hit(target, patterns: list[str]):
     exact, roots = _split(patterns)
     out = target.isin(exact)
+    if len(patterns) > INLINE_PATTERNS:
+        return out | F.exists(ancestors(target), lambda a: a.isin(roots) & (a != target) & (F.length(target) > F.length(a) + 1))
     for r in roots:
         out = out | (target.startswith(r + "/") & (F.length(target) > len(r) + 1))
     return out
@@ -31,20 +35,22 @@ def reverse(packages: DataFrame, patterns: list[str], other_repository: bool = F
 
     ``other_repository`` drops edges within one repository (a missing target's is unknown: kept).
     ``matching`` filters sources by regular expression.  ``complete`` adds the importing row's columns.
-    A short list is a predicate; a long one an equi-join of targets with paths and of their ancestors with
-    subtree roots, instead of a nested loop.  An empty list gives no rows.
+    A short list is a predicate, one of up to SET_PATTERNS a lookup of the target and its ancestors in sets; a longer
+    one is an equi-join of the distinct targets, written once, with paths and of their ancestors with subtree
+    roots, instead of a nested loop.  An empty list gives no rows.
     """
     carried = [c for c in packages.columns if c not in ("import_path", "source_files")] if complete else (["repository"] if other_repository else [])
     rows = packages
     if matching:
         rows = rows.filter(source_filter(F.col("import_path"), matching))
     found = rows.select(F.explode("directs").alias("target"), F.col("import_path").alias("source"), *carried)
-    if len(patterns) <= INLINE_PATTERNS:
+    if len(patterns) <= SET_PATTERNS:
         found = found.filter(_hit(F.col("target"), patterns))
     else:
         spark = packages.sparkSession
         exact, roots = _split(patterns)
         wanted = spark.createDataFrame([(p, False) for p in set(exact)] + [(r, True) for r in set(roots)], "key string, subtree boolean")
+        found = Rounds(spark, "reverse").write(found, keep=True)  # read for its targets and for its edges
         targets = found.select("target").distinct()
         keys = targets.withColumn("key", F.explode(ancestors(F.col("target"))))
         whole = F.col("key") == F.col("target")
@@ -72,28 +78,42 @@ def reverse_page(packages: DataFrame, patterns: list[str], limit: int = PAGE_SIZ
     passes ``matching``, with edges or not.
     """
     rows = packages.filter(F.col("import_path") >= page_key)
-    found = reverse(rows, patterns, matching=matching, **args)
+    passing = rows.filter(source_filter(F.col("import_path"), matching)) if matching else rows
+    if len(patterns) <= SET_PATTERNS and not args.get("other_repository"):  # a row's hits lie in the row
+        per_row = passing.select(F.col("import_path").alias("source"), F.filter("directs", lambda t: _hit(t, patterns)).alias("targets")).filter(F.size("targets") > 0)
+    else:
+        found = reverse(rows, patterns, matching=matching, **args)
+        per_row = found.groupBy("source").agg(F.collect_list("target").alias("targets"))  # part of the row's own array
     # every row with hits adds at least one, so limit + 1 rows decide the page
-    hits = found.groupBy("source").agg(F.count("*").alias("hits")).orderBy("source").limit(limit + 1)
+    top = Rounds(packages.sparkSession, "reverse-page").write(per_row.orderBy("source").limit(limit + 1), keep=True)
     order = Window.orderBy("source")
-    hits = hits.withColumn("run", F.sum("hits").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(order))
-    taken = hits.filter((F.col("run") <= limit) | (F.col("n") == 1)).select("source")
-    all_ = Window.partitionBy(F.lit(0))
-    first = hits.withColumn("first_run", F.min("run").over(all_)).withColumn("first", F.min("source").over(all_))
-    next_hit = first.filter((F.col("run") > limit) & (F.col("n") > 1) & (F.col("first_run") <= limit)).agg(F.min("source").alias("next_page"))
-    passing = rows.filter(source_filter(F.col("import_path"), matching)) if matching else rows
-    blown = first.filter((F.col("n") == 1) & (F.col("first_run") > limit)).select("first")
-    next_row = passing.filter(F.col("import_path") > blown.scalar()).agg(F.min("import_path").alias("next_page"))
-    next_page = next_hit.union(next_row).agg(F.min("next_page").alias("next_page"))
-    return found.join(F.broadcast(taken), "source", "left_semi").select("target", "source").withColumn("next_page", next_page.scalar())
+    hits = top.withColumn("run", F.sum(F.size("targets")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(order))
+    first = hits.orderBy("n").first()
+    if first is None:
+        return top.select(F.lit("").alias("target"), "source", F.lit("").alias("next_page")).filter("false")
+    if first["run"] > limit:
+        next_page = passing.filter(F.col("import_path") > first["source"]).agg(F.min("import_path"))
+    else:
+        next_page = hits.filter(F.col("run") > limit).agg(F.min("source"))
+    taken = hits.filter((F.col("run") <= limit) | (F.col("n") == 1))
+    return taken.select(F.explode("targets").alias("target"), "source").withColumn("next_page", next_page.scalar())
 
 
 def affected(packages: DataFrame, patterns: list[str], other_repository: bool = True) -> DataFrame:
-    """(repository, packages): per importing repository, the distinct packages that import a target, sorted."""
+    """(repository, packages): per importing repository, the distinct packages that import a target, sorted.
+
+    A repository is one row; ``affected_edges`` gathers nothing.
+    """
     found = reverse(packages, patterns, other_repository=other_repository, complete=True)
     return found.groupBy("repository").agg(F.array_sort(F.collect_set("source")).alias("packages"))
 
 
+def affected_edges(packages: DataFrame, patterns: list[str], other_repository: bool = True) -> DataFrame:
+    """(repository, package), distinct: the flat form of ``affected``, for repositories of any size; sort it where it is written."""
+    found = reverse(packages, patterns, other_repository=other_repository, complete=True)
+    return found.select("repository", F.col("source").alias("package")).distinct()
+
+
 def affected_targets(packages: DataFrame, patterns: list[str], other_repository: bool = True) -> DataFrame:
     return reverse(packages, patterns, other_repository=other_repository).select("target").distinct()
 
@@ -106,4 +126,4 @@ def affected_by_repository(packages: DataFrame, repository: str) -> DataFrame:
     return found.groupBy("repository").agg(F.array_sort(F.collect_set("source")).alias("packages"))
 
 
-__all__ = ["affected", "affected_by_repository", "affected_targets", "edges", "reverse", "reverse_count", "reverse_page"]
+__all__ = ["affected", "affected_by_repository", "affected_edges", "affected_targets", "edges", "reverse", "reverse_count", "reverse_page"]

@@ -90,17 +90,19 @@ def consecutive_errors(observations: DataFrame) -> DataFrame:
 def fold(observations: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """The status table after all observations, beginning from ``state`` where there is one.
 
-    Observations not newer than a repository's stored last_check are dropped.  ``observations`` may have a
-    column prefix; the last non-empty one is recorded.
+    Observations not after a repository's stored (last_check, last_seq) are dropped, so that a feed with tied
+    times may be split anywhere.  ``observations`` may have a column prefix; the last non-empty one is recorded.
+    The plan has several joins and windows over both tables: persist a state before it is folded on.
     """
     prefix = F.col("prefix") if "prefix" in observations.columns else F.lit("")
     rows = observations.select(*KEY, "ref", "digest", "failed", "ts", "seq", prefix.alias("prefix"), F.lit(False).alias("seed"))
     if state is not None:
-        old = state.select(*KEY, "last_check", "error_count", "updates", F.col("ref_name").alias("_ref"), F.col("digest").alias("_digest"), F.col("prefix").alias("_prefix"))
-        rows = rows.join(old.select(*KEY, F.col("last_check").alias("_seen")), list(KEY), "left")
-        rows = rows.filter(F.col("_seen").isNull() | (F.col("ts") > F.col("_seen"))).drop("_seen")
+        stored_seq = F.coalesce("last_seq", F.lit(-1)) if "last_seq" in state.columns else F.lit(-1)
+        old = state.select(*KEY, "last_check", stored_seq.cast("long").alias("last_seq"), "error_count", "updates", F.col("ref_name").alias("_ref"), F.col("digest").alias("_digest"), F.col("prefix").alias("_prefix"))
+        rows = rows.join(old.select(*KEY, F.col("last_check").alias("_seen"), F.col("last_seq").alias("_seen_seq")), list(KEY), "left")
+        rows = rows.filter(F.col("_seen").isNull() | (F.struct("ts", "seq") > F.struct("_seen", "_seen_seq"))).drop("_seen", "_seen_seq")
         known = old.filter(F.col("last_check").isNotNull())
-        seeds = known.select(*KEY, F.col("_ref").alias("ref"), F.col("_digest").alias("digest"), F.lit(False).alias("failed"), F.col("last_check").alias("ts"), F.lit(-1).cast("long").alias("seq"), F.col("_prefix").alias("prefix"), F.lit(True).alias("seed"))
+        seeds = known.select(*KEY, F.col("_ref").alias("ref"), F.col("_digest").alias("digest"), F.lit(False).alias("failed"), F.col("last_check").alias("ts"), F.col("last_seq").alias("seq"), F.col("_prefix").alias("prefix"), F.lit(True).alias("seed"))
         rows = rows.unionByName(seeds)
     seen = checked(rows)
     point, ok = F.struct("ts", "seq"), ~F.col("failed")
@@ -117,13 +119,13 @@ def fold(observations: DataFrame, state: DataFrame | None = None) -> DataFrame:
         stored, carried = F.coalesce("updates", F.array().cast("array<struct<when: timestamp, digest: string>>")), F.coalesce("error_count", F.lit(0))
         errors = F.coalesce("errors", F.lit(0)) + F.when(F.col("ok").isNull() | F.col("ok.seed"), carried).otherwise(0)
     else:
-        out = out.withColumns({"_ref": F.lit(None).cast("string"), "_digest": F.lit(None).cast("string"), "last_check": F.lit(None).cast("timestamp"), "_prefix": F.lit("")})
+        out = out.withColumns({"_ref": F.lit(None).cast("string"), "_digest": F.lit(None).cast("string"), "last_check": F.lit(None).cast("timestamp"), "last_seq": F.lit(None).cast("long"), "_prefix": F.lit("")})
         stored, errors = F.array().cast("array<struct<when: timestamp, digest: string>>"), F.col("errors")
     updates = F.concat(stored, F.coalesce("fresh", F.array().cast("array<struct<when: timestamp, digest: string>>")))
     digest = F.when(F.col("ok.era") == F.col("era"), F.col("ok.digest")).otherwise(F.when(F.col("era").isNull(), F.col("_digest")))
     return out.select(
         *KEY, F.coalesce("ok.ref", "_ref").alias("ref_name"), digest.alias("digest"), errors.cast("int").alias("error_count"), F.coalesce("prefix", "_prefix", F.lit("")).alias("prefix"),
-        F.coalesce("ok.ts", "last_check").alias("last_check"), F.slice(updates, F.greatest(F.size(updates) - (HISTORY - 1), F.lit(1)), HISTORY).alias("updates"),
+        F.coalesce("ok.ts", "last_check").alias("last_check"), F.coalesce("ok.seq", "last_seq").alias("last_seq"), F.slice(updates, F.greatest(F.size(updates) - (HISTORY - 1), F.lit(1)), HISTORY).alias("updates"),
     )
 
 
@@ -146,12 +148,17 @@ def due(status: DataFrame, now: Column, minimum_seconds: int) -> DataFrame:
     return status.select(*KEY, out.alias("due"))
 
 
+def _share(key: str, seed: int) -> Column:
+    """A number from 0 to below 1 by a digest of the key, the same in every run and engine."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def sample(rows: DataFrame, key: str, rate: float, seed: int = 0) -> DataFrame:
-    """Rows kept with probability ``rate`` by a hash of the key, the same whenever it is run; 0 stands for 1."""
+    """Rows kept with probability ``rate`` by a digest of the key, the same whenever it is run; 0 stands for 1."""
     if not 0 <= rate <= 1:
         raise ValueError(f"rate {rate} is not within 0..1")
-    share = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 53)) / float(1 << 53)
-    return rows.filter(share < (rate or 1.0))
+    return rows.filter(_share(key, seed) < (rate or 1.0))
 
 
 def scan_plan(status: DataFrame, now: Column, minimum_seconds: int, rate: float, seed: int = 0) -> DataFrame:
@@ -160,13 +167,31 @@ def scan_plan(status: DataFrame, now: Column, minimum_seconds: int, rate: float,
     return sample(status.select(*KEY, "ref_name").join(keys, list(KEY), "left_semi").dropDuplicates(list(KEY)), "repository", rate, seed)
 
 
-def scan_summary(status: DataFrame, now: Column, minimum_seconds: int, rate: float, seed: int = 0) -> DataFrame:
-    """One row: status rows, rows beyond the first of a repository, due ones and sampled ones."""
+def scan_summary(
+    status: DataFrame, now: Column, minimum_seconds: int, rate: float, seed: int = 0, checks: DataFrame | None = None, packages: DataFrame | None = None
+) -> DataFrame:
+    """One row: status rows, rows beyond the first of a repository, due ones, sampled ones, and what the scan changed.
+
+    ``checks`` (repository, needs_update) are the sampled repositories' new checks; those that ask for an update count
+    as updates, and their rows in ``packages`` (repository) as packages. Without them both are 0.
+    """
     flags = status.select("repository", "tag").join(due(status, now, minimum_seconds), list(KEY))
-    share = F.pmod(F.xxhash64(F.lit(seed), F.col("repository")), F.lit(1 << 53)) / float(1 << 53)
-    per_repo = flags.groupBy("repository").agg(F.count("*").alias("n"), F.count_if("due").alias("d"), F.max((share < (rate or 1.0)).cast("int")).alias("s"))
+    chosen = (_share("repository", seed) < (rate or 1.0)).cast("int")
+    per_repo = flags.groupBy("repository").agg(F.count("*").alias("n"), F.count_if("due").alias("d"), F.max(chosen).alias("s"))
+    if checks is None:
+        per_repo = per_repo.withColumns({"u": F.lit(0), "p": F.lit(0).cast("long")})
+    else:
+        changed = checks.groupBy("repository").agg(F.max(F.col("needs_update").cast("int")).alias("u"))
+        per_repo = per_repo.join(changed, "repository", "left").withColumn("u", F.when((F.col("d") > 0) & (F.col("s") > 0), F.coalesce("u", F.lit(0))).otherwise(0))
+        owned = F.lit(0).cast("long")
+        if packages is not None:
+            per_repo = per_repo.join(packages.groupBy("repository").agg(F.count("*").alias("own")), "repository", "left")
+            owned = F.col("u") * F.coalesce("own", F.lit(0))
+        per_repo = per_repo.withColumn("p", owned)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return per_repo.agg(
-        F.sum("n").alias("scanned"), F.sum(F.col("n") - 1).alias("duplicates"), F.sum("d").alias("due"), F.sum(F.col("d") * F.col("s")).alias("samples")
+        total(F.col("n")).alias("scanned"), total(F.col("n") - 1).alias("duplicates"), total(F.col("d")).alias("due"),
+        total(F.col("d") * F.col("s")).alias("samples"), total(F.col("u")).alias("updates"), total(F.col("p")).alias("packages"),
     )
 
 

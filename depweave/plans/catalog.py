@@ -118,6 +118,22 @@ over_packages(
     WHERE repository <> 'https://parts.example.org/brand13' AND target IN (SELECT import_path FROM packages WHERE repository = 'https://parts.example.org/brand13') GROUP BY repository""",
 )
 
+# the same on paths that have importers in the smallest tables too
+over_packages("reverse_region", lambda p: RV.reverse(p, ["geo.example.com/region1"]), "SELECT target, source FROM edges WHERE target = 'geo.example.com/region1'")
+over_packages("reverse_subtree", lambda p: RV.reverse(p, ["parts.example.org/brand13/..."]), "SELECT target, source FROM edges WHERE starts_with(target, 'parts.example.org/brand13/')")
+BRAND13 = "FROM edges WHERE starts_with(target, 'parts.example.org/brand13/') AND repository <> 'https://parts.example.org/brand13'"
+over_packages(
+    "affected_parts", lambda p: RV.affected(p, ["parts.example.org/brand13/..."]).withColumn("packages", F.array_join("packages", " ")),
+    f"SELECT repository, string_agg(DISTINCT source, ' ' ORDER BY source) AS packages {BRAND13} GROUP BY repository",
+)
+over_packages("affected_edges", lambda p: RV.affected_edges(p, ["parts.example.org/brand13/..."]), f"SELECT DISTINCT repository, source AS package {BRAND13}")
+over_packages("affected_part_targets", lambda p: RV.affected_targets(p, ["parts.example.org/brand13/..."]), f"SELECT DISTINCT target {BRAND13}")
+over_packages(
+    "reverse_rows_json", lambda p: X.edges_json(RV.reverse(p, ["geo/..."], complete=True), rows=True),
+    """SELECT '{"target":"' || target || '","row":{"importPath":"' || import_path || '","repository":"' || p.repository || '","directs":["' || array_to_string(directs, '","') || '"],"type":"LIBRARY"}}' AS value
+    FROM edges JOIN packages p ON import_path = source WHERE starts_with(target, 'geo/')""",
+)
+
 # --- sets and statistics -------------------------------------------------------------------------
 NOT_THERE = "target NOT IN (SELECT import_path FROM packages)"
 over_packages("missing", S.missing, f"SELECT DISTINCT target AS import_path FROM edges WHERE {NOT_THERE}")
@@ -244,13 +260,14 @@ def rows_json(spark, d):
 
 @query(with_(PACKAGES) + f"SELECT {FLAT} FROM packages")
 def ingest_manifest(spark, d):
-    """Manifests of every repository, several for one of many packages, written as JSON and ingested."""
+    """Manifests of every repository, several for one of many packages, written as JSON arrays over many lines with types by name, and ingested."""
     path = _folder(spark, "manifests")
-    package = F.struct(F.col("import_path").alias("importPath"), "type", F.col("directs").alias("imports"))
+    package = F.struct(F.col("import_path").alias("importPath"), P.type_name(F.col("type")).alias("type"), F.col("directs").alias("imports"))
     p = D.packages(spark, d)
     repos = p.groupBy("repository", salt(p, "import_path").alias("part")).agg(F.collect_list(package).alias("packages"))
     remotes = F.when(F.col("repository") != "", F.array(F.struct(F.lit("origin").alias("name"), F.col("repository").alias("url")))).otherwise(F.array())
-    repos.select(remotes.alias("remotes"), "packages").write.json(path)
+    text = F.to_json(F.array(F.struct(remotes.alias("remotes"), "packages")), {"pretty": "true"})
+    repos.select(text.alias("value")).write.text(path)
     return flat(IN.read_manifests(spark, path))
 
 
@@ -337,9 +354,27 @@ over_observations("prune_errors", lambda o: ST.prune(ST.fold(o), 2)[0].select("r
 DUE = f"""SELECT repository, tag, CASE WHEN last_check IS NULL THEN true WHEN last_check + INTERVAL {MINIMUM} SECOND > TIMESTAMP '{NOW}' THEN false WHEN n_updates IS NULL THEN true
   ELSE epoch_us(last_check) + (epoch_us(last_update) - epoch_us(first_update)) // n_updates < epoch_us(TIMESTAMP '{NOW}') END AS due FROM status LEFT JOIN spans USING (repository, tag)"""
 over_observations("due", lambda o: ST.due(ST.fold(o), now(), MINIMUM), DUE)
-over_observations("scan_plan", lambda o: ST.scan_plan(ST.fold(o), now(), MINIMUM, 0.5, 3))
-over_observations("sample_due", lambda o: ST.sample(ST.due(ST.fold(o), now(), MINIMUM), "repository", 0.3, 1))
-over_observations("scan_summary", lambda o: ST.scan_summary(ST.fold(o), now(), MINIMUM, 0.5, 3))
+SHARE = "('0x' || substr(md5('{seed}:' || repository), 1, 13))::BIGINT / 4503599627370496.0"
+PLAN = f", d AS ({DUE}), p AS (SELECT s.repository, s.tag, s.ref_name, due, {SHARE.format(seed=3)} < 0.5 AS chosen FROM status s JOIN d USING (repository, tag))"
+over_observations("scan_plan", lambda o: ST.scan_plan(ST.fold(o), now(), MINIMUM, 0.5, 3), PLAN + " SELECT repository, tag, ref_name FROM p WHERE due AND chosen")
+over_observations("sample_due", lambda o: ST.sample(ST.due(ST.fold(o), now(), MINIMUM), "repository", 0.3, 1), f", d AS ({DUE}) SELECT * FROM d WHERE {SHARE.format(seed=1)} < 0.3")
+
+
+@query(
+    with_(PACKAGES, OBSERVATIONS)
+    + PLAN
+    + """, fresh AS (SELECT repository, max(ts) AS at FROM good WHERE digest IS DISTINCT FROM prev_digest GROUP BY repository),
+    u AS (SELECT repository FROM p JOIN fresh USING (repository) JOIN last_ok USING (repository, tag) WHERE due AND chosen AND at = last_check)
+    SELECT (SELECT count(*) FROM p) AS scanned, (SELECT count(*) - count(DISTINCT repository) FROM p) AS duplicates, (SELECT count(*) FROM p WHERE due) AS due,
+    (SELECT count(*) FROM p WHERE due AND chosen) AS samples, (SELECT count(*) FROM u) AS updates,
+    (SELECT count(*) FROM packages WHERE replace(repository, 'orders.example.com/c', 'repos.example.com/u') IN (SELECT repository FROM u)) AS packages"""
+)
+def scan_summary(spark, d):
+    """A scan's report: its checks are the last ones observed, its packages the customers' orders."""
+    o = D.observations(spark, d)
+    last = ST.needs_update(o).groupBy("repository").agg(F.max_by("needs_update", F.struct("ts", "seq")).alias("needs_update"))
+    owned = D.packages(spark, d).select(F.replace("repository", F.lit("orders.example.com/c"), F.lit("repos.example.com/u")).alias("repository"))
+    return ST.scan_summary(ST.fold(o), now(), MINIMUM, 0.5, 3, last, owned)
 
 
 @query(
@@ -380,6 +415,38 @@ def crawl_batch(spark, d):
     return SS.crawl_batch(p, checks, fresh, 3).select("import_path", "repository", F.size("directs").alias("links"), "ranking")
 
 
+def _customer_checks(spark, d) -> DataFrame:
+    """Observations of the customers' repositories."""
+    o = D.observations(spark, d).select("repository", "tag", "ref", "digest", "failed", "ts", "seq")
+    return o.withColumn("repository", F.replace("repository", F.lit("https://repos.example.com/u"), F.lit("https://orders.example.com/c")))
+
+
+@query(
+    with_(PACKAGES, OBSERVATIONS)
+    + """SELECT import_path, repository, len(CASE WHEN replace(repository, 'orders.example.com/c', 'repos.example.com/u') IN (SELECT repository FROM good)
+    THEN list_filter(directs, lambda t: NOT starts_with(t, 'suppliers.')) ELSE directs END)::INT AS links, true AS ranked FROM packages"""
+)
+def crawl_stream(spark, d):
+    """A crawl as a stream over two deliveries of checks: customers with a successful check are reloaded without their suppliers."""
+    root, p = _folder(spark, "crawl"), D.packages(spark, d)
+    checks, fresh = _customer_checks(spark, d), p.withColumn("directs", F.filter("directs", lambda t: ~t.startswith("suppliers.")))
+    packages, status = Snapshots(spark, f"{root}/packages"), Snapshots(spark, f"{root}/status")
+    packages.publish(p, "import_path")
+    middle = checks.select(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0] or 0
+    for part in (F.unix_micros("ts") <= middle, F.unix_micros("ts") > middle):
+        checks.filter(part).write.mode("append").parquet(f"{root}/in")
+        out = SS.run_crawl_stream(spark, f"{root}/in", status, packages, fresh, f"{root}/checkpoint", files_per_batch=1_000_000)
+    return out.select("import_path", "repository", F.size("directs").alias("links"), (F.col("ranking") > 0).alias("ranked"))
+
+
+@query(with_(PACKAGES) + f"SELECT {FLAT} FROM packages WHERE starts_with(import_path, 'orders.example.com/c1/') OR import_path = 'orders.example.com/c1'")
+def match_snapshot(spark, d):
+    """The prefix match on a published table that is sorted by key: the pattern reaches the files."""
+    store = Snapshots(spark, _folder(spark, "snapshot"))
+    store.publish(D.packages(spark, d), "import_path")
+    return flat(MA.match(store.current(), "orders.example.com/c1/..."))
+
+
 # --- scalar functions and resolution -------------------------------------------------------------
 URLS = """urls AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'git@' || host || ':' || path || '.git' WHEN 2 THEN 'ssh://git@' || host || '/' || path ELSE host || '/' || path || '.git.git' END AS raw
   FROM (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*/([^?#]*)', 1) AS path FROM pages)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import has_domain
+from ..functions.paths import has_domain, type_name, type_number
 from ..operators.stats import missing
 from .scratch import Rounds
 from .schema import FILE
@@ -18,20 +18,27 @@ RANKING, REPO_PATH, IMPORT_PATH, MISSING = "<dep:ranking>", "<dep:repo-path>", "
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
 
-def rows_json(packages: DataFrame) -> DataFrame:
-    """(value): a JSON object per row, zero values left out, bytes in base64."""
-    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+def row_struct(packages: DataFrame, path: str = "import_path") -> Column:
+    """A row as it is written in JSON: zero values left out, bytes in base64, the type by name.  Absent columns are left out."""
+    have = set(packages.columns)
     text = lambda c: F.nullif(F.col(c), F.lit(""))
-    files = F.transform("source_files", lambda f: F.struct(F.nullif(f["repo_path"], F.lit("")).alias("repoPath"), F.base64(f["digest"]).alias("digest")))
-    return packages.select(
-        F.to_json(F.struct(
-            text("name").alias("name"), text("import_path").alias("importPath"), text("repository").alias("repository"), some("directs").alias("directs"),
-            F.when(F.size("source_files") > 0, files).alias("sourceFiles"), F.nullif(F.col("type"), F.lit(0)).alias("type"), F.nullif(F.col("ranking"), F.lit(0.0)).alias("ranking"),
-        )).alias("value")
-    )
+    out = [text("name").alias("name")] if "name" in have else []
+    out += [text(path).alias("importPath"), text("repository").alias("repository"), F.when(F.size("directs") > 0, F.col("directs")).alias("directs")]
+    if "source_files" in have:
+        files = F.transform("source_files", lambda f: F.struct(F.nullif(f["repo_path"], F.lit("")).alias("repoPath"), F.base64(f["digest"]).alias("digest")))
+        out.append(F.when(F.size("source_files") > 0, files).alias("sourceFiles"))
+    return F.struct(*out, type_name(F.col("type")).alias("type"), F.nullif(F.col("ranking"), F.lit(0.0)).alias("ranking"))
+
+
+def rows_json(packages: DataFrame) -> DataFrame:
+    """(value): a JSON object per row."""
+    return packages.select(F.to_json(row_struct(packages)).alias("value"))
 
 
-JSON_ROW = "name string, importPath string, repository string, directs array<string>, sourceFiles array<struct<repoPath: string, digest: string>>, type int, ranking double"
+JSON_ROW = (
+    "name string, importPath string, repository string, directs array<string>, "
+    "sourceFiles array<struct<repoPath: string, digest: string>>, type string, ranking double"
+)
 
 
 def parse_rows_json(lines: DataFrame) -> DataFrame:
@@ -40,7 +47,7 @@ def parse_rows_json(lines: DataFrame) -> DataFrame:
     files = F.transform(F.coalesce(F.col("r.sourceFiles"), F.array()), lambda f: F.struct(F.coalesce(f["repoPath"], F.lit("")).alias("repo_path"), F.unbase64(f["digest"]).alias("digest")))
     return lines.select(r.alias("r")).select(
         F.coalesce("r.importPath", F.lit("")).alias("import_path"), F.coalesce("r.name", F.lit("")).alias("name"), F.coalesce("r.repository", F.lit("")).alias("repository"),
-        F.coalesce("r.directs", F.array().cast("array<string>")).alias("directs"), files.cast(f"array<{FILE}>").alias("source_files"), F.coalesce("r.type", F.lit(0)).alias("type"), F.coalesce("r.ranking", F.lit(0.0)).alias("ranking"),
+        F.coalesce("r.directs", F.array().cast("array<string>")).alias("directs"), files.cast(f"array<{FILE}>").alias("source_files"), type_number(F.col("r.type")).alias("type"), F.coalesce("r.ranking", F.lit(0.0)).alias("ranking"),
     )
 
 
@@ -133,6 +140,8 @@ def nquads(quads: DataFrame) -> DataFrame:
     return quads.select(F.concat_ws(" ", "subject", "predicate", "object", F.lit(".")).alias("value"))
 
 
-def edges_json(edges: DataFrame) -> DataFrame:
-    """(value): an edge per line."""
+def edges_json(edges: DataFrame, rows: bool = False) -> DataFrame:
+    """(value): an edge per line, with the importing row in place of its path if ``rows`` (edges of ``reverse(complete=True)``)."""
+    if rows:
+        return edges.select(F.to_json(F.struct("target", row_struct(edges, "source").alias("row"))).alias("value"))
     return edges.select(F.to_json(F.struct("target", "source")).alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import clean_repo_url, content_digest, has_domain, host_path, package_type, trim_prefix
+from ..functions.paths import clean_repo_url, content_digest, has_domain, host_path, package_type, trim_prefix, type_number
 from ..operators.resolve import nearest_label
 from .schema import MANIFEST
 
@@ -14,15 +14,27 @@ IGNORED_DIRECTORY = r"(^|/)(testdata|vendor|\.[^/]*|_[^/]*)(/|$)"
 IGNORED_FILE = r"(^|/)([._][^/]*|[^/]*_test\.go)$"
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Package rows of manifest files, each a JSON array of repositories (or one per line)."""
-    repos = spark.read.schema(MANIFEST).json(path)
+#: Where one JSON value ends and the next begins: never inside a value, since elements are parted by commas.
+BETWEEN_VALUES = r"(?<=[\]}])\s*\n(?=\s*[\[{])"
+
+
+def read_manifests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Package rows of manifest files: JSON arrays of repositories, or single ones, one after the other, on any number of lines.
+
+    Types are given by name or number.  Corrupt values and unknown type names are errors.  A file is one row until
+    it is cut into its values; ``lines`` promises one value per line, so that large files can be split.
+    """
+    text = spark.read.text(path, wholetext=not lines)
+    values = text if lines else text.select(F.explode(F.split("value", BETWEEN_VALUES)).alias("value"))
+    parsed = values.filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").select(F.explode(F.from_json("value", f"array<struct<{MANIFEST}>>", {"mode": "FAILFAST"})).alias("r"))
+    repos = parsed.select("r.*")
     remote = F.coalesce(F.get("remotes", F.lit(0))["url"], F.lit(""))
     rows = repos.select(remote.alias("repository"), F.explode("packages").alias("p"))
     files = F.array_sort(F.transform(F.coalesce("p.sources", F.array()), lambda s: F.struct(s["repoPath"].alias("repo_path"), F.unbase64(s["digest"]).alias("digest"))))
     return rows.select(
         F.col("p.importPath").alias("import_path"), F.coalesce("p.name", F.lit("")).alias("name"), "repository",
-        F.coalesce("p.imports", F.array().cast("array<string>")).alias("directs"), files.alias("source_files"), F.coalesce("p.type", F.lit(0)).alias("type"), F.lit(0.0).alias("ranking"),
+        F.coalesce("p.imports", F.array().cast("array<string>")).alias("directs"), files.alias("source_files"),
+        type_number(F.col("p.type")).alias("type"), F.lit(0.0).alias("ranking"),
     )
 
 

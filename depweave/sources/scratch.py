@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 
@@ -9,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), a new local one."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset in a local session (tests), a new local one.
+
+    On a cluster the setting is required: executors do not see each other's local folders.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -40,25 +48,45 @@ class Rounds:
 
 
 class Snapshots:
-    """Versions of a table under one folder; a small pointer file names the current one.
+    """Versions of a table under one folder; a small pointer file names the current one and carries a note.
 
-    A version is written in full before the pointer changes, so readers see whole tables only.
+    A version is written in full before the pointer changes, so readers see whole tables only.  The version before
+    the current one stays for readers that began with it; older ones are removed.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def publish(self, df: DataFrame, sort_by: str | None = None) -> str:
+    def _pointer(self) -> dict | None:
+        fs, pointer = _filesystem(self.spark, f"{self.root}/CURRENT")
+        if not fs.exists(pointer):
+            return None
+        return json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0])
+
+    def exists(self) -> bool:
+        return self._pointer() is not None
+
+    def note(self) -> dict:
+        """What was noted with the current version."""
+        return (self._pointer() or {}).get("note", {})
+
+    def publish(self, df: DataFrame, sort_by: str | None = None, note: dict | None = None) -> str:
+        before = self._pointer() or {}
         name = f"v-{uuid.uuid4().hex[:12]}"
         if sort_by:  # range-sorted files make key ranges and prefixes prunable
             df = df.repartitionByRange(sort_by).sortWithinPartitions(sort_by)
         df.write.parquet(f"{self.root}/{name}")
         fs, pointer = _filesystem(self.spark, f"{self.root}/CURRENT")
         out = fs.create(pointer, True)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(json.dumps({"name": name, "before": before.get("name"), "note": note or {}}).encode()))
         out.close()
+        if before.get("before"):
+            _, old = _filesystem(self.spark, f"{self.root}/{before['before']}")
+            fs.delete(old, True)
         return name
 
     def current(self) -> DataFrame:
-        name = self.spark.read.text(f"{self.root}/CURRENT").first()[0]
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        found = self._pointer()
+        if found is None:
+            raise FileNotFoundError(f"no table has been published in {self.root}")
+        return self.spark.read.parquet(f"{self.root}/{found['name']}")

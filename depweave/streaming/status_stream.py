@@ -14,26 +14,44 @@ from ..sources.scratch import Snapshots
 OBSERVATION = "repository string, tag string, ref string, digest string, failed boolean, ts timestamp, seq long"
 
 
-def fold_batch(store: Snapshots, batch: DataFrame) -> None:
-    """Fold a micro-batch into the stored status table and publish the new version."""
-    spark = batch.sparkSession
-    try:
-        state = store.current()
-    except Exception as error:  # noqa: BLE001 - the first batch finds no pointer file
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        state = spark.createDataFrame([], STATUS)
-    if "digest" in state.columns:
-        touched = fold(batch, state.join(batch.select(*KEY).distinct(), list(KEY), "left_semi"))
-        store.publish(state.join(touched.select(*KEY), list(KEY), "left_anti").unionByName(touched), "repository")
+def _state(store: Snapshots) -> DataFrame:
+    return store.current() if store.exists() else store.spark.createDataFrame([], STATUS)
+
+
+def fold_batch(store: Snapshots, batch: DataFrame, number: int | None = None, stream: str = "") -> None:
+    """Fold a micro-batch into the stored status table and publish the new version.
+
+    A stream may deliver a batch again: the number of the last one is noted with the table, for each stream, and
+    a batch that is in the table already changes nothing.  The published version is the whole table anew.
+    """
+    note = store.note()
+    if number is not None and note.get(stream, -1) >= number:
+        return
+    batch = batch.select(*[f.split()[0] for f in OBSERVATION.split(", ")])
+    state = _state(store)
+    touched = fold(batch, state.join(batch.select(*KEY).distinct(), list(KEY), "left_semi"))
+    rest = state.join(batch.select(*KEY).distinct(), list(KEY), "left_anti")
+    store.publish(rest.unionByName(touched), "repository", note | ({} if number is None else {stream: number}))
+
+
+def _run(rows: DataFrame, each, checkpoint: str) -> None:
+    query = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def run_status_stream(spark: SparkSession, source: str, store: Snapshots, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
     """Fold all observation files of a folder, in order of arrival, and return the status table."""
     rows = spark.readStream.schema(OBSERVATION).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    query = rows.writeStream.foreachBatch(lambda batch, _: fold_batch(store, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return store.current()
+    _run(rows, lambda batch, number: fold_batch(store, batch, number, checkpoint), checkpoint)
+    return _state(store)
+
+
+def changed_repositories(status: DataFrame, observations: DataFrame) -> DataFrame:
+    """(repository): those whose last successful check among the observations asks for an update, given the status before them."""
+    seen = fold(observations, status)
+    before = status.select(*KEY, F.col("digest").alias("_before"), F.col("last_check").alias("_when"))
+    now = seen.join(before, list(KEY), "left").filter(F.col("last_check").isNotNull() & ~F.col("digest").eqNullSafe(F.col("_before")))
+    return now.select("repository").distinct()
 
 
 def crawl_batch(packages: DataFrame, observations: DataFrame, manifests: DataFrame, iterations: int = 0) -> DataFrame:
@@ -44,6 +62,31 @@ def crawl_batch(packages: DataFrame, observations: DataFrame, manifests: DataFra
     checks = needs_update(observations)
     last = checks.groupBy(*KEY).agg(F.max_by("needs_update", F.struct("ts", "seq")).alias("changed"))
     changed = last.filter("changed").select("repository").distinct()
+    return apply_ranks(*_reloaded(packages, changed, manifests, iterations))
+
+
+def _reloaded(packages: DataFrame, changed: DataFrame, manifests: DataFrame, iterations: int) -> tuple[DataFrame, DataFrame]:
     loaded = manifests.join(changed, "repository", "left_semi").select(*packages.columns)
     updated = upsert_reset(packages, loaded)
-    return apply_ranks(updated, scaled(pagerank(updated, iterations)))
+    return updated, scaled(pagerank(updated, iterations))
+
+
+def run_crawl_stream(
+    spark: SparkSession, source: str, status: Snapshots, packages: Snapshots, manifests: DataFrame, checkpoint: str, iterations: int = 0, files_per_batch: int = 1
+) -> DataFrame:
+    """Crawl as a stream of check results: each batch reloads the repositories that changed, ranks all packages and folds the status.
+
+    The package table is published before the status table, each with the batch's number: a batch that is delivered again
+    repeats only what had not been published, and reloading a repository twice gives the same rows.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        if packages.note().get(checkpoint, -1) < number:
+            changed = changed_repositories(_state(status), batch)
+            updated = apply_ranks(*_reloaded(packages.current(), changed, manifests, iterations))
+            packages.publish(updated, "import_path", packages.note() | {checkpoint: number})
+        fold_batch(status, batch, number, checkpoint)
+
+    rows = spark.readStream.schema(OBSERVATION).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    _run(rows, each, checkpoint)
+    return packages.current()

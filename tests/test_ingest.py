@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from depweave.functions.paths import content_digest
@@ -43,3 +44,60 @@ def test_manifests(spark, tmp_path):
 def test_lines(spark, tmp_path):
     (tmp_path / "l.txt").write_text("a\n\n b \n")
     assert sorted(r["name"] for r in ingest.read_lines(spark, str(tmp_path), ["c"]).collect()) == ["a", "b", "c"]
+
+
+ARRAY = """[{
+  "from": "git",
+  "remotes": [
+    {
+      "name": "origin",
+      "url": "https://h/r"
+    }
+  ],
+  "packages": [
+    {
+      "name": "p",
+      "importPath": "h/r/p",
+      "type": "LIBRARY",
+      "imports": [
+        "fmt"
+      ]
+    },
+    {
+      "name": "main",
+      "importPath": "h/r/cmd",
+      "type": "PROGRAM"
+    }
+  ]
+},{
+  "packages": [
+    {
+      "importPath": "fmt",
+      "type": "STDLIB"
+    }
+  ]
+}]
+"""
+
+
+def test_manifests_over_many_lines_with_types_by_name(spark, tmp_path):
+    (tmp_path / "a.json").write_text(ARRAY + ARRAY.replace("h/r", "h/s"))  # one array after the other, as a loader writes them
+    (tmp_path / "empty.json").write_text("[]\n")
+    got = sorted((r["import_path"], r["type"], r["repository"], r["directs"]) for r in ingest.read_manifests(spark, str(tmp_path)).collect())
+    assert got == [
+        ("fmt", 1, "", []), ("fmt", 1, "", []), ("h/r/cmd", 3, "https://h/r", []), ("h/r/p", 2, "https://h/r", ["fmt"]),
+        ("h/s/cmd", 3, "https://h/s", []), ("h/s/p", 2, "https://h/s", ["fmt"]),
+    ]
+
+
+@pytest.mark.parametrize("text", [ARRAY[:200], "{not json}", ARRAY.replace("LIBRARY", "NO_SUCH_TYPE")])
+def test_corrupt_manifests_are_errors(spark, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed|no such package type"):
+        ingest.read_manifests(spark, str(tmp_path)).collect()
+
+
+def test_trimmed_repository_prefix(spark):
+    files = [("r", "https://h.io/u/r", "sub/a.go", "package a\n"), ("q", "https://h.io/q", "go.mod", "module m.io/q\n"), ("q", "https://h.io/q", "b/b.go", "package b\n"), ("r", "https://h.io/u/r", "top.go", "package r\n")]
+    df = spark.createDataFrame(files, "repository string, remote string, repo_path string, content string")
+    assert sorted(r["import_path"] for r in ingest.ingest_sources(df, trim_repository_prefix=True).collect()) == ["h.io/u/r", "m.io/q/b", "sub"]

@@ -211,3 +211,39 @@ def test_empty_graph(spark, graph):
     assert rank.pagerank(none).count() == 0
     assert export.csv_vocabulary(none).count() == 0
     assert reverse.reverse_page(none, ["a/..."], 3).count() == 0
+
+
+@pytest.mark.parametrize("inline, in_set", [(0, 1000), (0, 0)])
+def test_reverse_by_sets_and_by_joins(graph, monkeypatch, inline, in_set):
+    patterns = ["a.io/x/...", "fmt"]
+    want = sorted(map(tuple, reverse.reverse(graph, patterns).collect()))
+    page = sorted(map(tuple, reverse.reverse_page(graph, patterns, 2).collect()))
+    monkeypatch.setattr(reverse, "INLINE_PATTERNS", inline)
+    monkeypatch.setattr(reverse, "SET_PATTERNS", in_set)
+    assert sorted(map(tuple, reverse.reverse(graph, patterns).collect())) == want
+    assert sorted(map(tuple, reverse.reverse_page(graph, patterns, 2).collect())) == page
+
+
+@pytest.mark.parametrize("bad", ["a(?=b)", "(?<!x)y", r"(a)\1", "(?!)(?!b)", "(?>a)"])
+def test_look_around_and_back_references_are_refused(graph, bad):
+    with pytest.raises(ValueError):
+        reverse.reverse(graph, ["fmt"], matching=bad)
+    reverse.reverse(graph, ["fmt"], matching=r"(?!)a\(\?=b|\\d|(?:x)").count()
+
+
+def test_the_prefix_reaches_the_files(spark, graph):
+    from depweave.sources.scratch import Snapshots, shared_dir
+
+    store = Snapshots(spark, f"{shared_dir(spark)}/prefix")
+    store.publish(graph, "import_path")
+    plan = match.match(store.current(), "a.io/x/...", include_directs=False)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(import_path,a.io/x/)" in text and "directs" not in text.split("ReadSchema")[1]
+    assert sorted(r["import_path"] for r in plan.collect()) == ["a.io/x", "a.io/x/sub"]
+
+
+def test_row_json_writes_types_by_name(spark, graph):
+    lines = [r["value"] for r in export.rows_json(graph.withColumn("name", F.lit(""))).collect()]
+    assert any('"type":"LIBRARY"' in x for x in lines) and not any('"type":2' in x for x in lines)
+    back = export.parse_rows_json(spark.createDataFrame([('{"importPath":"a","type":2}',), ('{"importPath":"b","type":"PROGRAM"}',), ('{"importPath":"c"}',)], "value string"))
+    assert [r["type"] for r in back.orderBy("import_path").collect()] == [2, 3, 0]

@@ -137,3 +137,74 @@ def test_fold_over_days_equals_the_sequential_rule(spark, seed):
         assert (got["digest"], got["error_count"], got["last_check"]) == (digest, errors, last)
         assert [(u["when"], u["digest"]) for u in got["updates"]] == updates
         assert checks.get(repo, []) == needs
+
+
+def messy_feed(spark, seed):
+    """Tied times, failures and changed refs of several repositories."""
+    rnd, data = random.Random(seed), []
+    for k in range(6):
+        t = 0
+        for n in range(rnd.randint(3, 30)):
+            t += rnd.choice([0, 0, 1, 900])
+            data.append((f"https://r{k}", "", rnd.choice(["refs/heads/master"] * 9 + ["refs/heads/dev"]), d := rnd.choice([None, "a", "b"]), d is None, minute(t), n))
+    return spark.createDataFrame(sorted(data, key=lambda r: (r[5], r[6])), OBS), sorted(data, key=lambda r: (r[5], r[6]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_any_split_with_tied_times_equals_the_batch(spark, seed):
+    rows, data = messy_feed(spark, seed)
+    cut = random.Random(seed).randint(1, len(data) - 1)
+    store = Snapshots(spark, f"{shared_dir(spark)}/split-{seed}")
+    for number, part in enumerate((data[:cut], data[cut:])):
+        batch = spark.createDataFrame(part, OBS)
+        status_stream.fold_batch(store, batch, number, "feed")
+        once = sorted(map(str, store.current().collect()))
+        status_stream.fold_batch(store, batch, number, "feed")  # delivered again
+        assert sorted(map(str, store.current().collect())) == once
+    columns = ["repository", "tag", "digest", "error_count", "last_check", "last_seq", "updates"]
+    want, got = S.fold(rows).select(*columns), store.current().select(*columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_repeated_check_needs_no_update(spark):
+    first = S.fold(feed(spark, FEED[:1]))
+    again = feed(spark, [(5, "d1")]).withColumn("seq", F.lit(7).cast("long"))
+    assert status_stream.changed_repositories(first, again).count() == 0
+    assert status_stream.changed_repositories(first, again.withColumn("digest", F.lit("d9"))).count() == 1
+
+
+def test_snapshots_keep_two_versions(spark):
+    store = Snapshots(spark, f"{shared_dir(spark)}/versions")
+    assert not store.exists()
+    with pytest.raises(FileNotFoundError):
+        store.current()
+    for k in range(4):
+        store.publish(spark.range(k + 1), note={"k": k})
+    assert store.current().count() == 4 and store.note() == {"k": 3}
+    import os
+
+    assert sum(name.startswith("v-") for name in os.listdir(store.root.removeprefix("file:").replace("//", "/"))) == 2
+
+
+def test_summary_counts_what_changed(spark):
+    status = S.fold(feed(spark).unionByName(feed(spark, repo="https://s")))
+    checks = spark.createDataFrame([("https://r", True), ("https://s", False)], "repository string, needs_update boolean")
+    packages = spark.createDataFrame([("https://r",), ("https://r",), ("https://s",)], "repository string")
+    row = S.scan_summary(status, F.lit(minute(500)), 60, 1, 0, checks, packages).first().asDict()
+    assert row == {"scanned": 2, "duplicates": 0, "due": 2, "samples": 2, "updates": 1, "packages": 2}
+    plain = S.scan_summary(status, F.lit(minute(500)), 60, 0).first()
+    assert (plain["updates"], plain["packages"]) == (0, 0)
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from depweave.sources import scratch
+
+    class Conf:
+        def get(self, key, default=None):
+            return "spark://host:7077" if key == "spark.master" else default
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Session())
