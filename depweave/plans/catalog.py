@@ -363,8 +363,8 @@ over_observations("sample_due", lambda o: ST.sample(ST.due(ST.fold(o), now(), MI
 @query(
     with_(PACKAGES, OBSERVATIONS)
     + PLAN
-    + """, fresh AS (SELECT repository, max(ts) AS at FROM good WHERE digest IS DISTINCT FROM prev_digest GROUP BY repository),
-    u AS (SELECT repository FROM p JOIN fresh USING (repository) JOIN last_ok USING (repository, tag) WHERE due AND chosen AND at = last_check)
+    + """, fresh AS (SELECT repository, max(ts) AS changed_ts FROM good WHERE digest IS DISTINCT FROM prev_digest GROUP BY repository),
+    u AS (SELECT repository FROM p JOIN fresh USING (repository) JOIN last_ok USING (repository, tag) WHERE due AND chosen AND changed_ts = last_check)
     SELECT (SELECT count(*) FROM p) AS scanned, (SELECT count(*) - count(DISTINCT repository) FROM p) AS duplicates, (SELECT count(*) FROM p WHERE due) AS due,
     (SELECT count(*) FROM p WHERE due AND chosen) AS samples, (SELECT count(*) FROM u) AS updates,
     (SELECT count(*) FROM packages WHERE replace(repository, 'orders.example.com/c', 'repos.example.com/u') IN (SELECT repository FROM u)) AS packages"""
