@@ -1,10 +1,10 @@
 """Language identification by compression.
 
 For each language a zstandard raw-content dictionary is taken from training texts.  A text, lower-cased
-and without ASCII digits and punctuation, is compressed with each dictionary; the language whose
-dictionary leaves the fewest bytes wins.  Short texts are compressed harder and in several word orders,
-since a size in whole bytes says little there.  Where the best and the second-best size are too close, the
-document is marked as rejected.
+and without ASCII digits and punctuation, is compressed with each dictionary, forwards and with its words
+in reverse order, in blocks that each begin from the fresh dictionary; the language whose dictionary leaves
+the fewest bytes wins.  Where the best and the second-best size are too close, the document is marked as
+rejected.  All texts are treated alike, whatever their length.
 """
 
 from __future__ import annotations
@@ -18,17 +18,17 @@ from pyspark.sql import functions as F
 from .common import map_arrow, remember
 
 DICTIONARY_BYTES = 250_000  # raw content per language
-SAMPLE_TEXTS = 300  # texts per language that dictionaries are cut from, at most 2 * this on average
-SAMPLE_CHARS = (200, 6000)  # length of the texts that are sampled first
+PIECE = 1000  # characters of a text that are drawn for a dictionary at a time
 MIN_MARGIN = 0.0005  # (second - best) / best below which a document is rejected
 UNDETERMINED = "und"
 
-BLOCK = 100_000  # bytes of a long text that are compressed at a time, each block from the fresh dictionary
-SHORT, MEDIUM = 1000, 3000  # bytes up to which texts are compressed in three orders, or at the higher level
+LEVEL = 6
+BLOCK = 2000  # bytes compressed at a time
 
 _NOISE = bytes([*range(0, 10), *range(11, 32), *range(33, 65), *range(91, 97), *range(123, 128)])
 _LETTER = re.compile(r"[^\W\d_]")
 _COMPRESSORS: dict[bytes, list] = {}
+_SPACE = 1 << 40  # draws are hashes below this
 
 
 def plain_bytes(text: str) -> bytes:
@@ -36,97 +36,71 @@ def plain_bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass").translate(None, _NOISE)
 
 
-def _drawn(rows: DataFrame, want: dict[str, int], n: dict[str, int], text: Column) -> list:
-    """Distinct (lang, text, draw) of about ``want`` of each language's ``n`` distinct texts, all if there are few."""
-    draw = F.pmod(F.xxhash64(F.lit(17), F.col("text")), F.lit(1 << 40))
-    wanted = F.lit(False)
-    for lang, k in want.items():
-        share = 1.0 if n[lang] <= 2 * k else k / n[lang]
-        wanted = wanted | ((F.col("lang") == lang) & (draw < int(share * (1 << 40))))
-    rows = rows.filter(wanted).select("lang", text.alias("text"), draw.alias("draw")).distinct()
-    return sorted(rows.limit(3 * sum(want.values())).collect(), key=lambda r: (r["draw"], r["text"]))
+def sample_dictionaries(training: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+    """{language: raw content} from rows (text, lang): pieces of all its texts, drawn by hash, up to ``size`` bytes.
 
-
-def sample_dictionaries(training: DataFrame, size: int = DICTIONARY_BYTES, texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
-    """{language: raw content} from rows (text, lang), a hash-chosen sample bounded by ``texts`` and ``size``.
-
-    Each language's distinct texts are counted first; it then keeps the share of them that gives about
-    ``texts``, by a hash of the text, so the sample is the same however the rows are partitioned and
-    however often a text occurs.  Texts outside SAMPLE_CHARS serve where the others fill less than half
-    of a dictionary: short ones whole, of long ones a piece.
+    A language's share of pieces is what gives twice ``size`` of its distinct characters (estimated from distinct
+    texts by powers of two of their length), all of them where there are fewer.  Draws hash the text and the
+    piece's place, so the sample is the same however the rows are partitioned, however long the texts are and
+    however often one occurs; about 2 * ``size`` characters per language reach the driver.
     """
-    low, high = SAMPLE_CHARS
-    rows = training.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    usual = F.length("text").between(low, high)
-    distinct = lambda kind: F.approx_count_distinct(F.when(kind, F.xxhash64("text")), 0.02)
-    counts = {r["lang"]: r for r in rows.groupBy("lang").agg(
-        distinct(usual).alias("usual"), distinct(~usual).alias("other"), F.avg(F.when(~usual, F.least(F.length("text"), F.lit(high)))).alias("chars")
-    ).collect()}  # one row per language
-    parts, left = {lang: [] for lang in counts}, dict.fromkeys(counts, size)
-
-    def take(found) -> None:
-        for r in found:
-            raw = plain_bytes(r["text"]) + b"\n"
-            if 1 < len(raw) <= left[r["lang"]]:
-                parts[r["lang"]].append(raw)
-                left[r["lang"]] -= len(raw)
-
-    n = {lang: r["usual"] for lang, r in counts.items() if r["usual"]}
-    if n:
-        take(_drawn(rows.filter(usual), dict.fromkeys(n, texts), n, F.col("text")))
-    n = {lang: r["other"] for lang, r in counts.items() if r["other"] and 2 * left[lang] > size}
-    if n:
-        piece = F.lit(high)
-        for lang, k in n.items():  # longer pieces where there are few texts; a quarter leaves room for four bytes a character
-            piece = F.when(F.col("lang") == lang, max(high, size // (4 * k))).otherwise(piece)
-        start = F.pmod(F.xxhash64(F.lit(23), F.col("text")), F.greatest(F.length("text") - piece + 1, F.lit(1))) + 1
-        want = {lang: int(2 * size / counts[lang]["chars"]) + 1 for lang in n}
-        take(_drawn(rows.filter(~usual), want, n, F.substr("text", start.cast("int"), piece)))
-    return {lang: b"".join(reversed(parts[lang])) for lang in sorted(parts) if parts[lang]}
+    rows = training.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
+    length = F.length("text")
+    known = rows.groupBy("lang", F.floor(F.log2(length)).alias("power")).agg(
+        F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts"), F.avg(length).alias("chars")
+    )
+    total: dict[str, float] = {}
+    for r in known.collect():  # at most 31 rows per language
+        total[r["lang"]] = total.get(r["lang"], 0) + r["texts"] * r["chars"]
+    if not total:
+        return {}
+    limit = F.lit(0)
+    for lang, chars in total.items():
+        limit = F.when(F.col("lang") == lang, int(_SPACE * min(1.0, 2 * size / chars))).otherwise(limit)
+    draw = lambda k: F.pmod(F.xxhash64(F.lit(17), F.col("h"), k), F.lit(_SPACE))
+    places = F.sequence(F.lit(0), F.floor((length - 1) / PIECE).cast("int"))
+    drawn = rows.withColumns({"h": F.xxhash64("text"), "limit": limit})
+    drawn = drawn.withColumn("k", F.explode(F.filter(places, lambda k: draw(k) < F.col("limit"))))
+    pieces = drawn.select("lang", F.substr("text", F.col("k") * PIECE + 1, F.lit(PIECE)).alias("piece"), draw(F.col("k")).alias("draw")).distinct()
+    parts: dict[str, list[bytes]] = {}
+    left = dict.fromkeys(total, size)
+    for r in sorted(pieces.collect(), key=lambda r: (r["draw"], r["piece"])):
+        raw = plain_bytes(r["piece"]) + b"\n"
+        if 1 < len(raw) <= left[r["lang"]]:
+            parts.setdefault(r["lang"], []).append(raw)
+            left[r["lang"]] -= len(raw)
+    return {lang: b"".join(reversed(parts[lang])) for lang in sorted(parts)}
 
 
 def _compressors(dictionaries: dict[str, bytes]) -> list:
-    """Per level, each language's compressor; built once per worker."""
+    """Each language's compressor, by name; built once per worker."""
     import zstandard as z
 
     key = b"\0".join(dictionaries[k] for k in sorted(dictionaries))
     if key not in _COMPRESSORS:
         _COMPRESSORS.clear()
         made = []
-        for level in (9, 3):
-            row = []
-            for lang in sorted(dictionaries):
-                content = z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
-                content.precompute_compress(level=level)
-                row.append(z.ZstdCompressor(level=level, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False))
-            made.append(row)
+        for lang in sorted(dictionaries):
+            content = z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
+            content.precompute_compress(level=LEVEL)
+            made.append(z.ZstdCompressor(level=LEVEL, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False))
         _COMPRESSORS[key] = made
         remember("langid", _COMPRESSORS.clear)
     return _COMPRESSORS[key]
 
 
-def compressed_sizes(text: str, levels: list) -> list[int]:
-    """Bytes that the text takes with each language's dictionary, summed over the orders tried."""
+def compressed_sizes(text: str, compressors: list) -> list[int]:
+    """Bytes that the text takes with each language's dictionary, over both word orders."""
     raw = plain_bytes(text)
-    tries = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)] or [raw]
-    if len(raw) <= SHORT:
-        words = raw.split()
-        tries += [b" ".join(words[::-1]), b" ".join(sorted(words))]
-    row = levels[0 if len(raw) <= MEDIUM else 1]
-    sizes = [sum(len(c.compress(x)) for x in tries) for c in row]
-    low = sorted(sizes)[:2]
-    if len(raw) <= SHORT and len(low) == 2 and low[1] - low[0] <= 0.01 * low[0]:  # close: every rotation, at most 16
-        step = max(1, len(words) // 16)
-        tries = [b" ".join(words[i:] + words[:i]) for i in range(0, len(words), step)]
-        sizes = [n + sum(len(c.compress(x)) for x in tries) for n, c in zip(sizes, row, strict=True)]
-    return sizes
-
-
-def predict(text: str | None, names: list[str], levels: list) -> tuple[str, float, float]:
+    blocks = [x[i : i + BLOCK] for x in (raw, b" ".join(raw.split()[::-1])) for i in range(0, len(x), BLOCK)]
+    return [sum([len(c.compress(x)) for x in blocks]) for c in compressors]
+
+
+def predict(text: str | None, names: list[str], compressors: list) -> tuple[str, float, float]:
     """(language, score, margin) of one text."""
     if not names or text is None or not _LETTER.search(text):
         return UNDETERMINED, 0.0, 0.0
-    sizes = np.array(compressed_sizes(text, levels), float)
+    sizes = np.array(compressed_sizes(text, compressors), float)
     order = np.argsort(sizes, kind="stable")
     best = sizes[order[0]]
     margin = (sizes[order[1]] - best) / best if len(sizes) > 1 else 1.0
@@ -140,19 +114,23 @@ def _learn(docs: DataFrame, held_out: Column) -> dict[str, bytes]:
 
 
 def keep_identified(docs: DataFrame, held_out: Column, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """The rows of docs, with all their columns, that ``identify_languages`` would not reject."""
+    """The rows of docs, with all their columns, that ``identify_languages`` would not reject.
+
+    Null, empty and letterless texts go, as do all rows where no language could be learnt; repeated rows and
+    rows with a null doc_id are judged by their text like any other; an empty table stays empty.
+    """
     import pyarrow as pa
 
     dictionaries = _learn(docs, held_out)
     names = sorted(dictionaries)
 
     def run(batches):
-        levels = _compressors(dictionaries) if names else []
+        compressors = _compressors(dictionaries) if names else []
         for batch in batches:
             keep = []
             for lo in range(0, len(batch), 256):
                 for text in batch.column("text").slice(lo, 256).to_pylist():
-                    lang, _, margin = predict(text, names, levels)
+                    lang, _, margin = predict(text, names, compressors)
                     keep.append(lang != UNDETERMINED and margin >= min_margin)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
@@ -176,11 +154,11 @@ def identify_languages(docs: DataFrame, held_out: Column, min_margin: float = MI
     names = sorted(dictionaries)
 
     def run(batches):
-        levels = _compressors(dictionaries) if names else []
+        compressors = _compressors(dictionaries) if names else []
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                found = [predict(text, names, levels) for text in part.column("text").to_pylist()]
+                found = [predict(text, names, compressors) for text in part.column("text").to_pylist()]
                 pred, score, margin = ([f[k] for f in found] for k in range(3))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())],
