@@ -26,6 +26,7 @@ UNIT = 576  # the payload is a positive multiple of so many bytes
 RATE = 8000
 UP, DOWN, TAPS = 3, 4, 12  # resampling ratio and taps per phase
 FRAME, HOP, MELS = 256, 128, 16
+BLOCK = 1536  # frames computed at a time; times HOP, a multiple of UP
 TENSOR_FRAMES = 32  # shape of a tensor: frames by mel bands
 HIGH, LOW = 0.5, -0.25  # a segment begins above mean + HIGH and ends below mean + LOW standard deviations
 
@@ -59,13 +60,19 @@ def _phases() -> np.ndarray:
     return h.reshape(TAPS, UP).T[:, ::-1].copy()
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """UP / DOWN times the samples; each output phase is one strided product with its own taps."""
-    n = len(x) // DOWN
+def resample(x: np.ndarray, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """UP / DOWN times the samples; each output phase is one strided product with its own taps.
+
+    ``begin`` and ``end`` bound what is computed, in steps of DOWN input samples; the rest of ``x`` is only
+    looked at for the filter's reach, and silence lies beyond its ends.
+    """
+    end = len(x) // DOWN if end is None else min(end, len(x) // DOWN)
+    n, low = max(end - begin, 0), begin * DOWN - TAPS
+    high = low + n * DOWN + 2 * TAPS
+    local = np.concatenate((np.zeros(max(-low, 0)), x[max(low, 0) : max(high, 0)], np.zeros(max(high - max(len(x), low), 0))))
     out = np.empty((n, UP))
-    padded = np.concatenate((np.zeros(TAPS), x, np.zeros(TAPS)))
-    windows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
-    for p, taps in enumerate(_phases()):
+    windows = np.lib.stride_tricks.sliding_window_view(local, TAPS)
+    for p in range(UP):
         shift, phase = divmod(p * DOWN, UP)
         out[:, p] = windows[1 + shift : 1 + shift + n * DOWN : DOWN] @ _phases()[phase]
     return out.ravel()
@@ -87,15 +94,25 @@ _WINDOW = np.hanning(FRAME)
 
 
 def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel frames (frames, MELS) as float32 and each frame's log energy, of 8-bit samples; silence fills the last frame."""
-    x = resample((samples.astype(np.float64) - 128) / 128)
-    x = np.concatenate((x, np.zeros(-(len(x) - FRAME) % HOP)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    mel, energy = np.empty((len(frames), MELS), np.float32), np.empty(len(frames))
-    for lo in range(0, len(frames), 2048):  # a long text's spectra are never all in memory
-        power = np.abs(np.fft.rfft(frames[lo : lo + 2048] * _WINDOW, axis=1)) ** 2
-        energy[lo : lo + 2048] = np.log(power.sum(axis=1) + 1e-6)
-        mel[lo : lo + 2048] = np.log(power @ _filters() + 1e-6)
+    """Log-mel frames (frames, MELS) as float32 and each frame's log energy, of 8-bit samples; silence fills the last frame.
+
+    Frames are made in blocks from the samples of their block, so that a long text's samples and spectra are never all
+    in memory as floating numbers.
+    """
+    total = len(samples) // DOWN * UP
+    count = max(0, -(-(total - FRAME) // HOP)) + 1
+    mel, energy = np.empty((count, MELS), np.float32), np.empty(count)
+    for lo in range(0, count, BLOCK):
+        hi = min(lo + BLOCK, count)
+        begin, end = lo * HOP // UP, -(-((hi - 1) * HOP + FRAME) // UP)  # BLOCK * HOP is a multiple of UP
+        at = max(0, begin * DOWN - TAPS)
+        part = (samples[at : end * DOWN + TAPS].astype(np.float64) - 128) / 128
+        x = resample(part, begin - at // DOWN, min(end, total // UP) - at // DOWN)  # TAPS is a multiple of DOWN, and so is ``at``
+        x = np.concatenate((x, np.zeros(max(0, (hi - 1 - lo) * HOP + FRAME - len(x)))))
+        frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][: hi - lo]
+        power = np.abs(np.fft.rfft(frames * _WINDOW, axis=1)) ** 2
+        energy[lo:hi] = np.log(power.sum(axis=1) + 1e-6)
+        mel[lo:hi] = np.log(power @ _filters() + 1e-6)
     return mel, energy
 
 
@@ -142,8 +159,9 @@ def audio_features(docs: DataFrame, with_media: bool = False) -> DataFrame:
     n_bytes (of the text), payload_bytes, payload_sha256 and tail_crc32 (of the last 32 bytes) of the
     samples read back, media_bytes and media_sha256 of the WAVE file, feature (frames, tensors, loud
     segments with their total time, mean log-mel bands, and a checksum of the tensors' values rounded to
-    a tenth) and, on demand, media, tensors (an Arrow IPC stream) and spans (start and end of the loud
-    segments in seconds).  Null ids and repeated rows are carried through; an empty table stays empty.
+    a tenth), tensors (an Arrow IPC stream of fixed-shape tensors, each with its start and end in seconds),
+    spans (start and end of the loud segments in seconds) and, on demand, media (the WAVE file).  Null ids and
+    repeated rows are carried through; an empty table stays empty.
     """
     import pyarrow as pa
 
@@ -153,16 +171,15 @@ def audio_features(docs: DataFrame, with_media: bool = False) -> DataFrame:
                 part = batch.slice(lo, 64)
                 rows = [_describe(t, with_media) for t in part.column("text").to_pylist()]
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))]
+                names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensors", "spans"]
                 if with_media:
-                    kinds += [pa.binary(), pa.binary(), pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))]
-                    names += ["media", "tensors", "spans"]
+                    kinds, names = [*kinds, pa.binary()], [*names, "media"]
                 arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", *names])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    schema += ", media binary, tensors binary, spans array<struct<start: double, end: double>>" * with_media
+    schema += ", tensors binary, spans array<struct<start: double, end: double>>" + ", media binary" * with_media
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_arrow(rows, run, schema)
 
@@ -179,8 +196,6 @@ def _describe(text: str | None, with_media: bool) -> tuple:
     feature = f"frames={len(mel)} tensors={table.num_rows} segments={len(loud)} loud={seconds((loud[:, 1] - loud[:, 0]).sum()):.3f}s mel={bands} crc={rounded:08x}"
     out = (
         len((text or "").encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]),
-        len(media), hashlib.sha256(media).hexdigest(), feature,
+        len(media), hashlib.sha256(media).hexdigest(), feature, tensor_bytes(table), [{"start": float(a), "end": float(b)} for a, b in seconds(loud)],
     )
-    if with_media:
-        out += (media, tensor_bytes(table), [{"start": float(a), "end": float(b)} for a, b in seconds(loud)])
-    return out
+    return (*out, media) if with_media else out

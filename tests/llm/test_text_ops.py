@@ -234,3 +234,28 @@ def test_the_end_of_a_text_lies_in_a_frame():
         loud = quiet.copy()
         loud[-40:-8] += np.tile(np.array([90, 0], np.uint8), 16)
         assert not np.array_equal(media.log_mel(quiet)[0], media.log_mel(loud)[0])
+
+
+def test_features_in_blocks_equal_features_of_the_whole(monkeypatch):
+    samples = np.random.default_rng(8).integers(0, 256, 40 * media.UNIT, dtype=np.uint8)
+    whole = media.log_mel(samples)
+    monkeypatch.setattr(media, "BLOCK", 12)
+    for a, b in zip(whole, media.log_mel(samples), strict=True):
+        assert np.allclose(a, b)
+    x = media.resample((samples.astype(float) - 128) / 128)
+    frames = [np.pad(x[k : k + media.FRAME], (0, max(0, media.FRAME - len(x[k:])))) for k in range(0, len(x) - media.FRAME + media.HOP, media.HOP)]
+    power = np.abs(np.fft.rfft(np.array(frames) * np.hanning(media.FRAME), axis=1)) ** 2
+    assert np.allclose(whole[1], np.log(power.sum(axis=1) + 1e-6)) and len(whole[0]) == len(frames)
+
+
+def test_the_query_returns_tensors_and_spans(spark, sf_dir):
+    import pyarrow as pa
+
+    from depweave.llm.queries import op10_media
+
+    row = op10_media(spark, sf_dir).filter("n_bytes > 3000").first()
+    with pa.ipc.open_stream(io.BytesIO(bytes(row["tensors"]))) as stream:
+        table = stream.read_all()
+    assert table.schema.field("tensor").type.shape == [media.TENSOR_FRAMES, media.MELS]
+    assert f"tensors={table.num_rows} segments={len(row['spans'])} " in row["feature"]
+    assert all(s["start"] < s["end"] for s in row["spans"])
