@@ -138,10 +138,15 @@ def fit(labelled: DataFrame) -> Discriminant | None:
     """Fit on rows (label 0 or 1, stats); None where no row is labelled.
 
     A class with no rows takes the pooled moments with half a row's weight, so that scores stay finite.
+    Sums are taken about the statistics' means, so that they stay exact over very many rows.
     """
     import pyarrow as pa
 
     k = len(FEATURES)
+    means = labelled.agg(*[F.avg(F.get("stats", F.lit(i))) for i in range(k)]).first()
+    if means[0] is None:
+        return None
+    origin = np.array(means)
 
     def reduce(batches):
         sums = {}
@@ -149,7 +154,7 @@ def fit(labelled: DataFrame) -> Discriminant | None:
             y = batch.column("label").to_numpy()
             x = batch.column("stats").flatten().to_numpy().reshape(len(y), k)
             for c in np.unique(y).tolist():
-                z = np.column_stack((np.ones((y == c).sum()), x[y == c]))
+                z = np.column_stack((np.ones((y == c).sum()), x[y == c] - origin))
                 sums[c] = sums.get(c, 0) + z.T @ z
         for c, total in sums.items():
             cell = np.arange(total.size)
@@ -185,7 +190,7 @@ def fit(labelled: DataFrame) -> Discriminant | None:
         white.append(w)
         at.append(w @ mean)
         const.append(float(np.log(n) - np.log(np.diag(factor)).sum()))
-    return Discriminant(centre, scale, tuple(white), tuple(at), tuple(const))
+    return Discriminant(origin + centre, scale, tuple(white), tuple(at), tuple(const))
 
 
 def score_statistics(stats: DataFrame, model: Discriminant | None) -> DataFrame:
@@ -206,13 +211,18 @@ def score_statistics(stats: DataFrame, model: Discriminant | None) -> DataFrame:
 def _train(docs: DataFrame, labels: DataFrame, held_out: Column, scratch: Scratch) -> tuple[DataFrame, Discriminant | None]:
     stats = scratch.write(statistics_table(docs).withColumn("held_out", F.coalesce(held_out, F.lit(True))), "statistics")
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
-    return stats, fit(stats.filter(~F.col("held_out")).join(known, "doc_id"))
+    labelled = scratch.write(stats.filter(~F.col("held_out")).join(known, "doc_id").select("label", "stats"), "labelled")
+    model = fit(labelled)
+    scratch.drop(labelled)
+    return stats, model
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that ``classify_quality`` would predict 1 for.
 
-    Each row is judged where it is read; nothing but the statistics is written or moved.
+    Each row is judged where it is read; nothing but the statistics is written or moved.  Null and empty texts
+    are judged by the statistics of an empty text, repeated rows each, rows with a null doc_id like any other;
+    without any label all rows stay; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     stats, model = _train(docs, labels, held_out, scratch)
