@@ -3,15 +3,17 @@
 A Structured Streaming query reads the digests of normalised texts and keeps, per digest and without
 expiry, the smallest identifier, where its content lies and how many rows had it.  The state is on disk
 (RocksDB) and goes on from one run to the next, so that later deliveries are deduplicated against all
-earlier ones.  A digest seen more than once is a *hit*: the full bytes of its rows are then compared, by
-grouping on digest and text (combined before the shuffle, so that a text with very many copies moves once
-per task).  Rows whose bytes differ under one digest are separated again.
+earlier ones.  A digest seen more than once is a *hit*: its rows are fetched by their locators (file and
+identifier) and their full bytes compared, by grouping on digest and text (combined before the shuffle, so that
+a text with very many copies moves once per task).  Rows whose bytes differ under one digest are separated again.
 
 All of it is DataFrame operations; no Python runs on the executors.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +32,19 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def update_state(digests_dir: str, schema: str, scratch: Scratch, state_dir: str) -> DataFrame:
+DIGESTS = "doc_id long, locator string, digest binary, text_sha256 string"
+CONTENTS = "doc_id long, text string, digest binary, text_sha256 string, delivery string"
+
+
+def update_state(digests_dir: str, schema: str, scratch: Scratch, state_dir: str, out: str | None = None) -> DataFrame:
     """Run the keyed state over all files of ``digests_dir`` that it has not seen: (digest, keep_id, locator, group_size).
 
-    ``state_dir`` holds the stream's checkpoint; with the same one, a later call takes up the state.
+    ``state_dir`` holds the stream's checkpoint; with the same one, a later call takes up the state.  The rows are those
+    of the digests that this call touched, or, where ``out`` names a folder that calls share, of all digests.
+    Without a column locator, a row's content lies in the file of ``digests_dir`` that holds it.
     """
     spark = scratch.spark
-    out = scratch.path("state")
+    out = out or scratch.path("state")
     settings = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -50,6 +58,8 @@ def update_state(digests_dir: str, schema: str, scratch: Scratch, state_dir: str
         spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(schema).parquet(digests_dir)
+        if "locator" not in rows.columns:
+            rows = rows.select("doc_id", "digest", F.input_file_name().alias("locator"))
         first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "locator"))
         state = rows.groupBy("digest").agg(first.alias("first"), F.count("*").alias("group_size"))
 
@@ -76,7 +86,11 @@ def update_state(digests_dir: str, schema: str, scratch: Scratch, state_dir: str
     return last.select("digest", "s.keep_id", "s.locator", "s.group_size")
 
 
-def deduplicate(docs: DataFrame, state_dir: str | None = None, digest=sha256_digest) -> DataFrame:
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def deduplicate(docs: DataFrame, state_dir: str | None = None, digest=sha256_digest, every_delivery: bool = False) -> DataFrame:
     """Which row of equal texts stays: doc_id, keep_id, group_size, kept, text_sha256, one row per input row.
 
     docs: doc_id, text and any other columns (ignored).  Texts are equal when identical after each run of
@@ -84,30 +98,49 @@ def deduplicate(docs: DataFrame, state_dir: str | None = None, digest=sha256_dig
     null doc_id stays only where its whole group has none, and keep_id is then null.  Rows that repeat the
     smallest doc_id with the same text are one document and are all marked kept.  An empty table gives an
     empty table.  ``digest`` may be replaced by a weaker function; the result does not change.
+
+    With ``state_dir`` the state goes on from call to call: docs are a delivery, compared with all earlier ones.
+    Their normalised texts are kept below it, so that a locator, the file of a text, stays valid and full bytes
+    can be compared over deliveries.  ``every_delivery`` asks for the rows of all of them.  Calling again with
+    the same documents delivers them again.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
-    text = normalised(F.col("text"))
-    key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.input_file_name().alias("locator"))
-    hashed = key.select("doc_id", "locator", digest(F.col("text")).alias("digest"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    folder = scratch.path("digests")
-    hashed.write.parquet(folder)
-    seen = spark.read.schema(hashed.schema).parquet(folder)
-    state = scratch.write(update_state(folder, "doc_id long, locator string, digest binary, text_sha256 string", scratch, state_dir or scratch.path("checkpoint")), "groups")
-
-    hits = state.filter("group_size > 1").select("digest")
-    if hits.count() <= BROADCAST_ROWS:
-        hits = F.broadcast(hits)
-    same = key.select("doc_id", "text", digest(F.col("text")).alias("digest")).join(hits, "digest", "left_semi")
+    own_id, text = F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text")
+    sha = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    if state_dir is None:
+        key = docs.select(own_id, text, F.input_file_name().alias("locator"))
+        folder = scratch.path("digests")
+        key.select("doc_id", "locator", digest(F.col("text")).alias("digest"), sha).write.parquet(folder)
+        store = ours = spark.read.schema(DIGESTS).parquet(folder)
+        state = scratch.write(update_state(folder, DIGESTS, scratch, scratch.path("checkpoint")), "groups")
+    else:
+        folder, delivery = f"{state_dir}/documents", uuid.uuid4().hex
+        key = docs.select(own_id, text).select("doc_id", "text", digest(F.col("text")).alias("digest"), sha, F.lit(delivery).alias("delivery"))
+        key.write.mode("append").parquet(folder)
+        store = spark.read.schema(CONTENTS).parquet(folder).withColumn("locator", F.input_file_name())
+        ours = store if every_delivery else store.filter(F.col("delivery") == delivery)
+        state = scratch.write(update_state(folder, CONTENTS, scratch, f"{state_dir}/checkpoint", f"{state_dir}/groups"), "groups")
+
+    hits = _few(state.filter("group_size > 1").select("digest"))
+    # where the hits' contents are: their rows' files and identifiers
+    found = store.select("digest", "doc_id", "locator").join(hits, "digest", "left_semi").select(F.col("locator").alias("at"), F.col("doc_id").alias("id"))
+    found = _few(scratch.write(found.distinct(), "hits"))
+    if state_dir is None:
+        source = docs.select(own_id, "text", F.input_file_name().alias("locator"))
+    else:
+        source = store.select("doc_id", "text", "locator")
+    there = (F.col("locator") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    same = source.join(found, there, "left_semi").select("doc_id", text).withColumn("digest", digest(F.col("text"))).join(hits, "digest", "left_semi")
     same = same.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    same = same.select("digest", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
+    same = same.select("digest", sha, "keep_id", "group_size")
     checked = scratch.write(same, "checked")
     # under a digest whose rows are all equal, the state already has the answer
     torn = checked.groupBy("digest").count().filter("count > 1").select("digest")
     apart = checked.join(torn, "digest", "left_semi").select(
         "digest", "text_sha256", F.col("keep_id").alias("own_id"), F.col("group_size").alias("own_size"), F.lit(True).alias("own")
     )
-    out = seen.select("doc_id", "digest", "text_sha256").join(state.select("digest", "keep_id", "group_size"), "digest", "left")
+    out = ours.select("doc_id", "digest", "text_sha256").join(state.select("digest", "keep_id", "group_size"), "digest", "left")
     if not apart.isEmpty():
         out = out.join(apart, ["digest", "text_sha256"], "left").withColumns(
             {"keep_id": F.when(F.col("own"), F.col("own_id")).otherwise(F.col("keep_id")), "group_size": F.coalesce("own_size", "group_size")}

@@ -64,6 +64,18 @@ def test_state_goes_on(spark):
     assert out == {b"a": (3, "g", 2), b"c": (9, "g", 1)}  # what the second run touched, on top of the first's state
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_two_deliveries_give_the_result_of_one(spark, messy, weak):
+    digest = (lambda c: F.unhex(F.substring(F.sha2(c.cast("binary"), 256), 1, 2).cast("string"))) if weak else exact_dedup.sha256_digest
+    state = Scratch(spark, "deliveries").root
+    first, second = messy.filter("coalesce(doc_id, 0) % 2 = 0"), messy.filter("coalesce(doc_id, 0) % 2 = 1")
+    assert exact_rows(exact_dedup.deduplicate(first, state, digest)) == brute_exact([(r["doc_id"], r["text"]) for r in first.collect()])
+    whole = brute_exact([(r["doc_id"], r["text"]) for r in messy.collect()])
+    later = exact_rows(exact_dedup.deduplicate(second, state, digest))
+    assert len(later) == second.count() and set(later) <= set(whole)
+    assert exact_rows(exact_dedup.deduplicate(messy.filter("false"), state, digest, every_delivery=True)) == whole
+
+
 # --- line dedup
 def brute_lines(rows):
     docs = collections.defaultdict(set)
@@ -131,6 +143,16 @@ def test_encode_random_texts():
         assert table.encode(x) == ids and table.ids_and_text(x) == (",".join(map(str, ids)), sp.decode(ids)) and table.decode(ids) == sp.decode(ids)
 
 
+def test_memo_starts_anew_between_texts(monkeypatch):
+    monkeypatch.setattr(SP, "MEMO_CHUNKS", 3)
+    sp, table, rnd = sentencepiece.SentencePieceProcessor(model_file=MODEL), SP.PieceTable(MODEL), random.Random(5)
+    parts = ["\x00", "▁▁", "<unk>", "é", "word", " ", "\n", "x" * 40, "漢"]  # some chunks do not come back as they were
+    for _ in range(400):
+        x = " ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        ids = sp.encode(x)
+        assert table.ids_and_text(x) == (",".join(map(str, ids)), sp.decode(ids))
+
+
 def test_pairs_are_compatible_exactly_when_merging_keeps_them_apart():
     table, rnd = SP.PieceTable(MODEL), random.Random(3)
     pieces = [p for p in table.id if p in table.made or len(p) == 1]
@@ -167,6 +189,26 @@ def test_urls(spark):
         U.judge_urls(df, [U.Rule("a", "/", True), U.Rule("a", "/", False)])
 
 
+def test_urls_by_a_table_of_rules_and_beyond_the_cascades(spark, monkeypatch):
+    rnd = random.Random(1)
+    hosts = [f"{a}.{b}" for a in ("www", "x", "news") for b in ("com", "org", "example.org")]
+    urls = [f"https://{rnd.choice(hosts)}/{rnd.choice(['fr', 'de', 'es', 'en'])}/{rnd.randint(0, 20)}" for _ in range(300)] + [None]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    table = spark.createDataFrame(RULES + RULES[:2], "host string, path string, allow boolean")
+    rows = lambda rules: [tuple(r)[1:] for r in U.judge_urls(df, rules).orderBy("page_id").collect()]
+    want = [judge(u) for u in urls]
+    assert rows(table) == want
+    monkeypatch.setattr(U, "MAX_WORDS", 0)
+    assert rows(table) == rows([U.Rule(*r) for r in RULES]) == want
+
+
+def test_a_long_list(spark):
+    rules = [U.Rule(f"host{k}.example.com", "/", k % 2 == 0) for k in range(20_000)]
+    df = spark.range(0, 40_000, 7).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.host"), "id", F.lit(".example.com/x")).alias("url"))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judge_urls(df, rules).collect()}
+    assert all(v == ((f"host{k}.example.com/", "allow" if k % 2 == 0 else "block") if k < 20_000 else (None, "allow")) for k, v in got.items())
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20000).select(F.concat(F.lit("key"), "id").alias("key"))
     listed = universe.filter("crc32(key) % 9 = 0")
