@@ -42,13 +42,16 @@ def remove_repositories(status: DataFrame, packages: DataFrame, urls: DataFrame,
     return left, packages if keep_packages else packages.join(gone, "repository", "left_anti").select(*packages.columns)
 
 
-def update_where(packages: DataFrame, values: DataFrame, changed: Column, column: str) -> DataFrame:
-    """Set ``column`` from ``values`` (import_path, new) in the rows for which ``changed`` holds."""
+def update_where(packages: DataFrame, values: DataFrame, changed: Column, column: str, new: str = "new") -> DataFrame:
+    """Set ``column`` from ``values`` (import_path and the column that ``new`` names) in the rows for which ``changed`` holds."""
+    if new in packages.columns:
+        raise ValueError(f"packages have a column {new!r}; give the new values another name")
     joined = packages.join(values, "import_path", "left")
-    return joined.withColumn(column, F.when(F.coalesce(changed, F.lit(False)), F.col("new")).otherwise(F.col(column))).select(*packages.columns)
+    return joined.withColumn(column, F.when(F.coalesce(changed, F.lit(False)), F.col(new)).otherwise(F.col(column))).select(*packages.columns)
 
 
 def apply_ranks(packages: DataFrame, ranks: DataFrame) -> DataFrame:
     """Write new rankings back where they differ from the stored ones."""
-    new = ranks.select("import_path", F.col("ranking").alias("new"))
-    return update_where(packages, new, F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("ranking")), "ranking")
+    new = ranks.select("import_path", F.col("ranking").alias("_new_ranking"))
+    changed = F.col("_new_ranking").isNotNull() & ~F.col("_new_ranking").eqNullSafe(F.col("ranking"))
+    return update_where(packages, new, changed, "ranking", "_new_ranking")
