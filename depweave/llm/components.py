@@ -8,19 +8,25 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
+BROADCAST_ROWS = 100_000  # minima (16 bytes each) are broadcast up to this many, joined by a shuffle beyond
+
+
+def _star(scratch: Scratch, edges: DataFrame, larger: bool) -> DataFrame:
     """One star step over edges (u, v) in both directions or from larger to smaller.
 
-    The minimum of a neighbourhood is an aggregate (combined before the shuffle), joined back to its
-    edges, so a node with very many neighbours is never gathered into one row or task.
+    The minimum of a neighbourhood is an aggregate (combined before the shuffle), written and joined back to its
+    edges: broadcast where there are few, else by a shuffle whose large partitions Spark may split.  So a node
+    with very many neighbours is never gathered into one row or task.
     """
-    low = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = edges.join(low, "u")
+    low = scratch.write(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+    joined = edges.join(F.broadcast(low) if low.count() <= BROADCAST_ROWS else low, "u")
     if larger:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+    out = scratch.write(out.filter("u <> v").distinct(), "large-star" if larger else "small-star")
+    scratch.drop(low)
+    return out
 
 
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -35,8 +41,8 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     )
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        big = scratch.write(_star(both, True), "large-star")
-        new = scratch.write(_star(big, False), "small-star")
+        big = _star(scratch, both, True)
+        new = _star(scratch, big, False)
         scratch.drop(now, big)
         now = new
         forks = now.groupBy("u").count().filter("count > 1").select("u")

@@ -340,7 +340,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
         "node", F.xxhash64("band", "key").alias("key")
     )
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    buckets = scratch.write(keyed.join(hubs, "key"), "buckets")  # only those of two nodes or more
+    hubs = scratch.write(hubs, "hubs")  # a table of its own, so that the join below may split a large bucket
+    few = F.broadcast(hubs) if hubs.count() <= BROADCAST_ROWS else hubs
+    buckets = scratch.write(keyed.join(few, "key"), "buckets")  # only those of two nodes or more
     slim = nodes.select("node", "n", "sketch")
 
     def screened(pairs: DataFrame) -> DataFrame:
@@ -392,10 +394,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
         .withColumn("component", F.coalesce("component", "node"))
     )
     placed = scratch.write(placed.select("doc_id", "th", "n_shingles", "component"), "placed")
-    names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(names, "component").select(
-        "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "th"
-    )
+    scratch.drop(rows, nodes, hubs, links)
+    # components of several rows; written, so that the join may split a large one
+    names = placed.groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1").select("component", "least", F.lit(True).alias("several"))
+    names = scratch.write(names, "names")
+    named = placed.join(F.broadcast(names) if names.count() <= BROADCAST_ROWS else names, "component", "left")
+    named = named.withColumn("component_id", F.when(F.col("several"), F.col("least")).otherwise(F.col("doc_id")))
+    return named.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "th")
 
 
 def keep_representatives(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
@@ -410,5 +415,5 @@ def keep_representatives(docs: DataFrame, percent: int = 75, width: int = WIDTH)
     gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("th").alias("__gone_th")).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    rows = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
-    return rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__th") == F.col("__gone_th")), "left_anti").drop("__th")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__gone_th"))
+    return docs.join(gone, same, "left_anti")
