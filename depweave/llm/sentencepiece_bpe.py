@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, remember
 
 SPACE = "▁"
-MEMO_CHUNKS = 500_000  # the memo starts anew beyond this many chunks; about 270 bytes each
+MEMO_CHUNKS, MEMO_CHARS = 500_000, 30_000_000  # the memo starts anew, between texts, beyond these; about 200 bytes a chunk besides
 
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 _UNIT = re.compile(rf"{SPACE}*\w+|{SPACE}*[^\w{SPACE}]+|{SPACE}+")
@@ -58,8 +58,7 @@ class PieceTable:
         self.automaton.make_automaton()
         self.ordered = all(len(x) == 1 or x in self.made and self.made[x][0] < r for r, *parts in self.made.values() for x in parts)
         self.apart: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, str] = {}  # ids of a chunk as text
-        self.odd: dict[str, str] = {}  # decoded texts of chunks that do not come back as they were
+        self._forget()
 
     def _merged(self, text: str) -> list[str]:
         """Plain merging of adjacent symbols, best score first and then leftmost; for short texts."""
@@ -183,17 +182,22 @@ class PieceTable:
                 ids += more
         else:
             ids = self.encode_chunk(chunk)
-        if len(self.memo) >= MEMO_CHUNKS:
-            self.memo.clear()
-            self.odd.clear()
         back = self.decode([self.id.get(SPACE, 0), *ids])
         if back != chunk.replace(SPACE, " "):
             self.odd[chunk] = back
         out = self.memo[chunk] = ",".join(map(str, ids))
+        self.held += len(chunk) + len(out)
         return out
 
+    def _forget(self) -> None:
+        self.memo: dict[str, str] = {}  # ids of a chunk as text
+        self.odd: dict[str, str] = {}  # decoded texts of chunks that do not come back as they were
+        self.held = 0  # characters in the memo
+
     def ids_and_text(self, text: str) -> tuple[str, str]:
         """The text's ids, joined by commas, and what they decode to."""
+        if len(self.memo) >= MEMO_CHUNKS or self.held >= MEMO_CHARS:
+            self._forget()
         chunks = self.chunks(text)
         memo, learn = self.memo.get, self.learn
         ids = ",".join([memo(c) or learn(c) for c in chunks])
