@@ -110,13 +110,25 @@ class Scratch:
     """Named intermediate tables of one operator call, written as Parquet in the shared folder.
 
     Writing a table cuts the lineage and survives the loss of any executor.  ``drop`` removes a table
-    that nothing reads any more.
+    that nothing reads any more; results of operators read the others, which ``discard`` removes.
     """
 
+    made: list[str] = []  # folders of this process, in order
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.made.append(self.root)
+
+    @classmethod
+    def discard(cls, spark: SparkSession, since: int = 0) -> None:
+        """Remove the folders made after the first ``since``: for callers that have written or dropped what was made of them."""
+        conf = spark._jsc.hadoopConfiguration()
+        for root in cls.made[since:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(conf).delete(path, True)
+        del cls.made[since:]
 
     def path(self, name: str) -> str:
         self.count += 1
