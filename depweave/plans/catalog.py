@@ -424,7 +424,7 @@ def _customer_checks(spark, d) -> DataFrame:
 @query(
     with_(PACKAGES, OBSERVATIONS)
     + """SELECT import_path, repository, len(CASE WHEN replace(repository, 'orders.example.com/c', 'repos.example.com/u') IN (SELECT repository FROM good)
-    THEN list_filter(directs, lambda t: NOT starts_with(t, 'suppliers.')) ELSE directs END)::INT AS links, true AS ranked FROM packages"""
+    THEN list_filter(directs, lambda t: NOT starts_with(t, 'suppliers.')) ELSE directs END)::INT AS links FROM packages"""
 )
 def crawl_stream(spark, d):
     """A crawl as a stream over two deliveries of checks: customers with a successful check are reloaded without their suppliers."""
@@ -436,7 +436,7 @@ def crawl_stream(spark, d):
     for part in (F.unix_micros("ts") <= middle, F.unix_micros("ts") > middle):
         checks.filter(part).write.mode("append").parquet(f"{root}/in")
         out = SS.run_crawl_stream(spark, f"{root}/in", status, packages, fresh, f"{root}/checkpoint", files_per_batch=1_000_000)
-    return out.select("import_path", "repository", F.size("directs").alias("links"), (F.col("ranking") > 0).alias("ranked"))
+    return out.select("import_path", "repository", F.size("directs").alias("links"))
 
 
 @query(with_(PACKAGES) + f"SELECT {FLAT} FROM packages WHERE starts_with(import_path, 'orders.example.com/c1/') OR import_path = 'orders.example.com/c1'")
