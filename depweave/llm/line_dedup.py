@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, ascii_lower, map_arrow
 
 MIN_KEY = 10  # code points of a key below which lines always stay
-BROADCAST_ROWS = 20_000  # bitmaps are broadcast up to this many documents, shuffled beyond
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 8 << 20  # bitmaps are broadcast up to this many and this large, shuffled beyond
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -81,9 +81,11 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, min_key: int = MIN_KEY) ->
         "doc_id", "th", "pos", key.alias("key"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ord")
     ).filter(F.length("key") >= min_key)
     rows = rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "ord", "doc_id", "th", "pos")
+    rows = scratch.write(rows, "hashed-lines")  # read for the ranges' bounds and for the ranges
     order = ("h1", "h2", "ord", "th", "pos")
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     found = scratch.write(_stream_first(sorted_rows), "later-lines")
+    scratch.drop(rows)
     # one summary row per partition; a hash that runs over partitions keeps the document it began with
     carry, open_ = [], None
     for s in found.filter("pos is null").orderBy("part").collect():
@@ -148,7 +150,8 @@ def deduplicate_lines(docs: DataFrame, min_key: int = MIN_KEY, with_text: bool =
     import pyarrow as pa
 
     maps = keep_bitmaps(docs, min_key).withColumnsRenamed({"doc_id": "d", "th": "t"})
-    if maps.count() <= BROADCAST_ROWS:
+    size = maps.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("keep_bitmap")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES:
         maps = F.broadcast(maps)
     rows = _hashed(docs)
     rows = rows.join(maps, rows.doc_id.eqNullSafe(F.col("d")) & (rows.th == F.col("t")), "left").select("doc_id", "text", "n_dropped", "keep_bitmap")
