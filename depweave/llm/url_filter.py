@@ -9,7 +9,7 @@ listed when the first level it fails has an odd number.  Looking a key up needs
 join; every expression is a built-in function.
 
 The filters grow with the list, and by log2(universe / list) bits per listed key, not with the corpus.
-Their size is checked before they go into the plan.
+Their size is checked before they go into the plan; a list beyond it is looked up by joins on its keys.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ascii_lower
 
-MAX_WORDS = 4_000_000  # 64-bit words of all levels together: 32 MB; a longer list has to be split by host
+MAX_WORDS = 500_000  # 64-bit words of all levels of a cascade together: 4 MB; joins serve a longer list
+BROADCAST_ROWS = 10_000  # listed keys are broadcast up to this many while a cascade is built
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,7 @@ class Level:
     hashes: int
 
     def passes(self, key: Column, number: int) -> Column:
-        table = F.lit(list(self.words)).cast("array<bigint>")
+        table = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to one literal
         out = F.lit(True)
         for spot in _spots(key, number, self.bits, self.hashes):
             word = F.get(table, F.shiftright(spot, 6).cast("int"))
@@ -82,18 +83,21 @@ def _spots(key: Column, number: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(a + F.lit(k) * b, size) for k in range(hashes)]
 
 
-def _build(keys: DataFrame, count: int, rate: float, number: int) -> Level:
-    """A filter over ``keys`` (column key) with about that false-positive rate; words are OR-ed in the cluster."""
+def _size(count: int, rate: float) -> tuple[int, int]:
+    """Bits and hash functions of a filter for so many keys with about that false-positive rate."""
     hashes = max(1, round(-math.log2(rate)))
-    bits = max(64, 64 * math.ceil(count * hashes / math.log(2) / 64))
-    if bits // 64 > MAX_WORDS:
-        raise ValueError(f"{count} keys need {bits // 64} words, more than MAX_WORDS; split the list by host")
+    return max(64, 64 * math.ceil(count * hashes / math.log(2) / 64)), hashes
+
+
+def _build(keys: DataFrame, bits: int, hashes: int, number: int) -> Level:
+    """A filter over ``keys`` (column key); words are OR-ed in the cluster."""
     spots = keys.select(F.explode(F.array(*_spots(F.col("key"), number, bits, hashes))).alias("spot"))
     one = F.expr("shiftleft(1L, cast(spot & 63 as int))")
     words = spots.select(F.shiftright("spot", 6).cast("int").alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = words.toArrow()  # at most MAX_WORDS rows of 12 bytes
     table = [0] * (bits // 64)
-    for r in words.collect():  # at most MAX_WORDS rows
-        table[r["word"]] = r["bits"]
+    for word, value in zip(found.column("word").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        table[word] = value
     return Level(tuple(table), bits, hashes)
 
 
@@ -114,58 +118,90 @@ class Cascade:
         return sum(len(level.words) for level in self.levels)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, scratch: Scratch, universe_size: int) -> Cascade:
-    """A cascade that tells ``listed`` from the rest of ``universe`` exactly (both: distinct column key)."""
+def build_cascade(listed: DataFrame, universe: DataFrame, scratch: Scratch, universe_size: int) -> Cascade | None:
+    """A cascade that tells ``listed`` from the rest of ``universe`` exactly (both: distinct column key).
+
+    None where its levels would have more than MAX_WORDS words.
+    """
     inside = scratch.write(listed.select("key").distinct(), "listed")
     n = inside.count()
     if not n:
         return Cascade(())
-    rest = universe.join(inside if n > 10_000 else F.broadcast(inside), "key", "left_anti")
+    rest = universe.join(F.broadcast(inside) if n <= BROADCAST_ROWS else inside, "key", "left_anti")
     levels: list[Level] = []
-    members, others, count = inside, rest, n
+    members, others, count, words = inside, rest, n, 0
     rate = min(0.5, n * math.sqrt(0.5) / max(1, universe_size - n))
     while count:
-        level = _build(members, count, max(rate, 2**-40), len(levels))
+        bits, hashes = _size(count, max(rate, 2**-40))
+        words += bits // 64
+        if words > MAX_WORDS:
+            return None
+        level = _build(members, bits, hashes, len(levels))
         passed = scratch.write(others.filter(level.passes(F.col("key"), len(levels))), f"level-{len(levels)}")
         levels.append(level)
         members, others, count, rate = passed, members, passed.count(), 0.5
-        if sum(len(x.words) for x in levels) > MAX_WORDS:
-            raise ValueError("the cascade outgrew MAX_WORDS; split the list by host")
     return Cascade(tuple(levels))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], default_allow: bool = True) -> DataFrame:
+def _listed(spark, rules: list[Rule] | DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, length, allow): distinct keys of the rules; two rules of one key that disagree are an error."""
+    if isinstance(rules, DataFrame):
+        keys = rules.select(F.concat("host", "path").alias("key"), F.length("path").alias("length"), F.col("allow").cast("boolean").alias("allow"))
+    else:
+        # literals, since rows made in Python would need Python on the executors
+        text = lambda values: F.split(F.lit("\0".join(values)), "\0")
+        columns = text([r.key for r in rules]), text([str(len(r.path)) for r in rules]), text([str(r.allow) for r in rules])
+        zipped = F.arrays_zip(*(c.alias(n) for c, n in zip(columns, ("key", "length", "allow"), strict=True)))
+        keys = spark.range(1 if rules else 0).select(F.explode(zipped).alias("r"))
+        keys = keys.select("r.key", F.col("r.length").cast("int").alias("length"), F.col("r.allow").cast("boolean").alias("allow"))
+    keys = scratch.write(keys.groupBy("key", "length").agg(F.min("allow").alias("allow"), F.max("allow").alias("_most")), "rules")
+    torn = keys.groupBy("key").agg(F.min("allow").alias("a"), F.max("_most").alias("b")).filter("a <> b").select("key").head(1)
+    if torn:
+        raise ValueError(f"two rules of {torn[0]['key']!r} disagree")
+    return keys.select("key", "length", "allow")
+
+
+def _judged_by_join(rows: DataFrame, listed: DataFrame, lengths: list[int], scratch: Scratch) -> DataFrame:
+    """(page_id, host, path, best) by joining the candidate keys with the list; for lists beyond a cascade's bound."""
+    rows = scratch.write(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    keys = rows.select("rid", F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("c"))
+    verdict = F.when(F.col("allow"), F.lit("allow")).otherwise(F.lit("block"))
+    hits = keys.select("rid", "c.size", "c.host_size", "c.key").join(listed.groupBy("key").agg(F.first("allow").alias("allow")), "key")
+    best = hits.groupBy("rid").agg(F.max(F.struct("size", "host_size", "key", verdict.alias("verdict"))).alias("best"))
+    return rows.join(best, "rid", "left").drop("rid")
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, default_allow: bool = True) -> DataFrame:
     """Judge every URL: page_id, host, path, rule, verdict ('allow' or 'block').
 
-    pages: page_id, url and any other columns (ignored).  Of the rules whose host is the URL's or one
-    above it, and whose path its path starts with, the longest decides (of equal length the one with the
-    longer host); ``rule`` is its host and path.  A URL that neither cascade holds has no rule: null, and
-    the verdict is ``default_allow``'s.  A null url, or one without ``://``, has an empty host and path.
-    Two rules of one key must agree.  Repeated rows are judged each; an empty table gives an empty table.
+    pages: page_id, url and any other columns (ignored); rules: a list, or a table of host, path and allow.  Of the
+    rules whose host is the URL's or one above it, and whose path its path starts with, the longest decides (of
+    equal length the one with the longer host); ``rule`` is its host and path.  A URL that neither cascade holds
+    has no rule: null, and the verdict is ``default_allow``'s.  A null url, or one without ``://``, has an empty
+    host and path.  Two rules of one key must agree.  Repeated rows are judged each; an empty table gives an
+    empty table.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "url-filter")
-    verdict_of: dict[str, bool] = {}
-    for rule in rules:
-        if verdict_of.setdefault(rule.key, rule.allow) != rule.allow:
-            raise ValueError(f"two rules of {rule.key!r} disagree")
-    lengths = sorted({len(r.path) for r in rules}) or [0]
+    listed = _listed(spark, rules, scratch)
+    lengths = sorted(r["length"] for r in listed.select("length").distinct().collect()) or [0]  # at most a path's length
     url = F.col("url").cast("string")
     rows = pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"))
     keys = rows.select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("c")).select("c.key")
     universe = scratch.write(keys.distinct(), "universe")
     size = universe.count()
-    keys_of = {v: F.lit([k for k, allow in verdict_of.items() if allow == v]).cast("array<string>") for v in (True, False)}
-    listed = {v: spark.range(1).select(F.explode(keys_of[v]).alias("key")) for v in (True, False)}
-    allow, block = (build_cascade(listed[v], universe, scratch, size) for v in (True, False))
-
-    judged = F.transform(
-        candidate_keys(F.col("host"), F.col("path"), lengths),
-        lambda c: F.struct(c["size"].alias("size"), c["host_size"].alias("host_size"), c["key"].alias("key"),
-                           F.when(allow.holds(c["key"]), F.lit("allow")).when(block.holds(c["key"]), F.lit("block")).alias("verdict")),
-    )
-    best = F.array_max(F.filter(judged, lambda c: c["verdict"].isNotNull()))
-    return rows.withColumn("best", best).select(
+    cascades = [build_cascade(listed.filter(F.col("allow") == v), universe, scratch, size) for v in (True, False)]
+    if None in cascades:
+        found = _judged_by_join(rows, listed, lengths, scratch)
+    else:
+        allow, block = cascades
+        judged = F.transform(
+            candidate_keys(F.col("host"), F.col("path"), lengths),
+            lambda c: F.struct(c["size"].alias("size"), c["host_size"].alias("host_size"), c["key"].alias("key"),
+                               F.when(allow.holds(c["key"]), F.lit("allow")).when(block.holds(c["key"]), F.lit("block")).alias("verdict")),
+        )
+        found = rows.withColumn("best", F.array_max(F.filter(judged, lambda c: c["verdict"].isNotNull())))
+    return found.select(
         "page_id", "host", "path", F.col("best.key").alias("rule"),
         F.coalesce(F.col("best.verdict"), F.lit("allow" if default_allow else "block")).alias("verdict"),
     )
