@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import WS_CLASS, Scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-BROADCAST_ROWS = 100_000  # digests of hits (32 bytes each) are broadcast up to this many, shuffled beyond
+BROADCAST_ROWS = 100_000  # digests (32 bytes each) and places (16 bytes) of hits are broadcast up to this many, shuffled beyond
 
 
 def normalised(text: Column) -> Column:
@@ -123,14 +123,14 @@ def deduplicate(docs: DataFrame, state_dir: str | None = None, digest=sha256_dig
         state = scratch.write(update_state(folder, CONTENTS, scratch, f"{state_dir}/checkpoint", f"{state_dir}/groups"), "groups")
 
     hits = _few(state.filter("group_size > 1").select("digest"))
-    # where the hits' contents are: their rows' files and identifiers
-    found = store.select("digest", "doc_id", "locator").join(hits, "digest", "left_semi").select(F.col("locator").alias("at"), F.col("doc_id").alias("id"))
+    # where the hits' contents are: their rows' files (hashed) and identifiers; digests are compared once more below
+    found = store.select("digest", "doc_id", "locator").join(hits, "digest", "left_semi").select(F.xxhash64("locator").alias("at"), F.col("doc_id").alias("id"))
     found = _few(scratch.write(found.distinct(), "hits"))
     if state_dir is None:
         source = docs.select(own_id, "text", F.input_file_name().alias("locator"))
     else:
         source = store.select("doc_id", "text", "locator")
-    there = (F.col("locator") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    there = (F.xxhash64("locator") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))
     same = source.join(found, there, "left_semi").select("doc_id", text).withColumn("digest", digest(F.col("text"))).join(hits, "digest", "left_semi")
     same = same.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     same = same.select("digest", sha, "keep_id", "group_size")
