@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from depweave.llm import exact_dedup, langid, minhash_dedup, packing, quality
 from depweave.llm.common import Scratch, crc32_mod
+from depweave.sources.scratch import owned_folders
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,9 +71,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        made = len(Scratch.made)
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
-        Scratch.discard(spark, made)  # what the stage's operators wrote for themselves
+        with owned_folders(spark):  # what the stage's operators write for themselves
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
         if before is not None:
             scratch.drop(before)
         before = docs

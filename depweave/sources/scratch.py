@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import json
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,19 +33,55 @@ def _filesystem(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, target = _filesystem(spark, path)
+    fs.delete(target, True)
+
+
+#: Folders that the current caller will remove; each thread has its own.
+_OWNED: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owned_folders", default=None)
+
+
+@contextlib.contextmanager
+def owned_folders(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes, at its end, the intermediate tables of the operators called within, and no one else's.
+
+    For callers that have written what was made of them by then.  Operators called from other threads, or outside,
+    keep theirs; contexts may be nested, the innermost one owns.
+    """
+    folders: list[str] = []
+    token = _OWNED.set(folders)
+    try:
+        yield folders
+    finally:
+        _OWNED.reset(token)
+        for path in folders:
+            remove_folder(spark, path)
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A name for a folder of intermediate tables, noted for whoever owns what is being made."""
+    path, owner = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}", _OWNED.get()
+    if owner is not None:
+        owner.append(path)
+    return path
+
+
 class Rounds:
-    """Writes the state of each round of an iteration, which cuts its lineage, and drops the one before last."""
+    """Writes the state of each round of an iteration, which cuts its lineage, and drops the one before last.
+
+    What remains is read by the result; ``owned_folders`` removes it.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}", []
+        self.spark, self.root, self.paths = spark, new_folder(spark, label), []
 
     def write(self, df: DataFrame, keep: bool = False) -> DataFrame:
         path = f"{self.root}/{len(self.paths):03d}"
         df.write.parquet(path)
         for old in self.paths[-2:-1]:
             if old:
-                fs, target = _filesystem(self.spark, old)
-                fs.delete(target, True)
+                remove_folder(self.spark, old)
         self.paths.append(None if keep else path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -81,8 +120,7 @@ class Snapshots:
         out.write(bytearray(json.dumps({"name": name, "before": before.get("name"), "note": note or {}}).encode()))
         out.close()
         if before.get("before"):
-            _, old = _filesystem(self.spark, f"{self.root}/{before['before']}")
-            fs.delete(old, True)
+            remove_folder(self.spark, f"{self.root}/{before['before']}")
         return name
 
     def current(self) -> DataFrame:
