@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -13,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import shared_dir
+from ..sources.scratch import new_folder, remove_folder, shared_dir  # noqa: F401
 
 #: ASCII white space of every contract: space and \t \n \v \f \r.
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -110,25 +109,14 @@ class Scratch:
     """Named intermediate tables of one operator call, written as Parquet in the shared folder.
 
     Writing a table cuts the lineage and survives the loss of any executor.  ``drop`` removes a table
-    that nothing reads any more; results of operators read the others, which ``discard`` removes.
+    that nothing reads any more; results of operators read the others, which ``owned_folders`` removes
+    for the caller that made them.
     """
 
-    made: list[str] = []  # folders of this process, in order
-
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.root = new_folder(spark, label)
         self.count = 0
-        self.made.append(self.root)
-
-    @classmethod
-    def discard(cls, spark: SparkSession, since: int = 0) -> None:
-        """Remove the folders made after the first ``since``: for callers that have written or dropped what was made of them."""
-        conf = spark._jsc.hadoopConfiguration()
-        for root in cls.made[since:]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(conf).delete(path, True)
-        del cls.made[since:]
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -141,11 +129,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def remove(self, path: str) -> None:
+        remove_folder(self.spark, path)
+
     def drop(self, *frames: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            self.remove(df._scratch_path)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -189,20 +178,33 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MUL = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {"pow": np.ones(1, np.uint64), "inv": np.ones(1, np.uint64)}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the odd multiplier and of its inverse, modulo 2**64."""
-    if len(_POWERS["pow"]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for name, m in (("pow", _MUL), ("inv", pow(_MUL, -1, 1 << 64))):
-            a = np.full(size, m, np.uint64)
-            a[0] = 1
-            _POWERS[name] = np.multiply.accumulate(a)
-    return _POWERS["pow"], _POWERS["inv"]
+#: Polynomials modulo this prime, in lanes with a random base and random byte values each; a family has two lanes.
+PRIME, FAMILIES = (1 << 31) - 1, 2
+_RANDOM = np.random.default_rng(20240229)
+_BYTE = _RANDOM.integers(1, PRIME, (2 * FAMILIES, 256), dtype=np.uint64)
+_BASE = [int(x) for x in _RANDOM.integers(1 << 20, PRIME - 1, 2 * FAMILIES)]
+_STEP = 1 << 15
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number of the same remainder modulo PRIME."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
+def _powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n-1 of the lane's base and of its inverse, modulo PRIME."""
+    if lane not in _POWERS or len(_POWERS[lane][0]) < n:
+        size, tables = 1 << int(n - 1).bit_length(), []
+        for base in (_BASE[lane], pow(_BASE[lane], -1, PRIME)):
+            table = np.ones(size, np.uint32)
+            k = 1
+            while k < size:
+                table[k : 2 * k] = table[:k].astype(np.uint64) * np.uint64(pow(base, k, PRIME)) % np.uint64(PRIME)
+                k *= 2
+            tables.append(table)
+        _POWERS[lane] = tuple(tables)
+    return _POWERS[lane]
 
 
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -228,12 +230,29 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s, e, np.searchsorted(s, off)
 
 
-def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: differences of one running polynomial, shifted back to the origin."""
-    power, inverse = _powers(len(data) + 1)
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=run[1:])
-    return mix64((run[e] - run[s]) * inverse[s])
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, family: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans: two polynomials modulo a prime, from differences of running sums.
+
+    Two different spans of at most n bytes meet with probability (n / 2**31)**2 at most over the random bases, whatever
+    their bytes.  Families are independent of each other.
+    """
+    prime, bits, n = np.uint64(PRIME), np.uint64(31), len(data)
+    run, lanes = np.zeros(n + 1, np.uint64), []
+    term, high = np.empty(_STEP, np.uint64), np.empty(_STEP, np.uint64)
+    for lane in (2 * family, 2 * family + 1):
+        power, inverse = _powers(n + 1, lane)
+        for a in range(0, n, _STEP):  # small blocks stay in the processor's cache
+            b = min(a + _STEP, n)
+            t, h = term[: b - a], high[: b - a]
+            np.take(_BYTE[lane], data[a:b], out=t)
+            np.multiply(t, power[a:b], out=t)
+            np.right_shift(t, bits, out=h)
+            np.bitwise_and(t, prime, out=t)
+            t += h
+            t[0] += run[a]
+            np.cumsum(t, out=run[a + 1 : b + 1])
+        lanes.append(_fold(_fold(run[e] - run[s])) * inverse[s] % prime)
+    return mix64(lanes[0] << np.uint64(32) | lanes[1], family)
 
 
 def lower_bytes(data: np.ndarray) -> np.ndarray:

@@ -62,4 +62,40 @@ SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM p LEFT JOIN hits ON hits.page_id = p.page_id AND n = 1
 """
 
-ORACLES = {"op4_url_filter": OP4, "op8_line_dedup": OP8, "op1_minhash_dedup": OP1, "op5_exact_dedup": OP5}
+
+
+def _op11() -> str:
+    """Four rounds of assignment and update, then the codes, one table expression each."""
+    nearest = """nearest{k} AS MATERIALIZED (
+  SELECT rid, pos, part, struct_extract(best, 'e') AS entry, struct_extract(best, 'd') AS d FROM (
+    SELECT p.rid, p.pos, any_value(p.part) AS part, min({{'d': list_sum(list_transform(list_zip(p.part, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': c.entry}}) AS best
+    FROM parts p JOIN book{k} c ON c.pos = p.pos GROUP BY p.rid, p.pos))"""
+    update = """book{n} AS MATERIALIZED (
+  SELECT c.pos, c.entry, coalesce(m.v, c.v) AS v FROM book{k} c LEFT JOIN (
+    SELECT pos, entry, list(mean ORDER BY i) AS v FROM (
+      SELECT pos, entry, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS mean
+      FROM (SELECT pos, entry, unnest(part) AS x, generate_subscripts(part, 1) AS i FROM nearest{k}) GROUP BY pos, entry, i)
+    GROUP BY pos, entry) m ON m.pos = c.pos AND m.entry = c.entry)"""
+    steps = ",\n".join(s for k in range(4) for s in (nearest.format(k=k), update.format(k=k, n=k + 1)))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT rid, vec_id, label, pos, v[pos * len(v) // 4 + 1 : (pos + 1) * len(v) // 4] AS part FROM kept, (SELECT unnest([0, 1, 2, 3]) AS pos)),
+book0 AS MATERIALIZED (SELECT pos, rid - 1 AS entry, part AS v FROM parts WHERE rid <= 256),
+{steps},
+{nearest.format(k=4)},
+digest AS (
+  SELECT sha256(string_agg(x, ',' ORDER BY pos, entry, i)) AS codebooks_sha256
+  FROM (SELECT pos, entry, unnest(v)::VARCHAR AS x, generate_subscripts(v, 1) AS i FROM book4)),
+codes AS (SELECT rid, string_agg(lpad(format('{{:x}}', entry), 2, '0'), '' ORDER BY pos) AS code, sum(d)::BIGINT AS error FROM nearest4 GROUP BY rid)
+SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, g.codebooks_sha256
+FROM kept k JOIN codes c ON c.rid = k.rid CROSS JOIN digest g
+"""
+
+
+OP11 = _op11()
+
+ORACLES = {"op11_vector_codes": OP11, "op4_url_filter": OP4, "op8_line_dedup": OP8, "op1_minhash_dedup": OP1, "op5_exact_dedup": OP5}

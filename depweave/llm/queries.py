@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, line_dedup, lm_score, media, minhash_dedup, packing, quality, sentencepiece_bpe, url_filter
+from . import exact_dedup, langid, line_dedup, lm_score, media, minhash_dedup, packing, quality, sentencepiece_bpe, url_filter, vector_codes
 from .common import crc32_mod
 from .oracles import ORACLES  # noqa: F401
 
@@ -69,4 +69,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_features(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_quality, op4_url_filter, op5_exact_dedup, op6_language, op7_sentencepiece, op8_line_dedup, op9_lm_score, op10_media)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_quality, op4_url_filter, op5_exact_dedup, op6_language, op7_sentencepiece, op8_line_dedup, op9_lm_score, op10_media, op11_vector_codes)}

@@ -1,11 +1,13 @@
 """The pipeline stage by stage against what each stage's operator says of its own input."""
 
 import collections
+import os
 
 import corpus_pipeline
 from compare import plain
 from depweave.llm import exact_dedup, langid, minhash_dedup, quality
 from depweave.llm.common import Scratch, crc32_mod
+from depweave.sources.scratch import owned_folders, shared_dir
 from pyspark.sql import functions as F
 from test_near_dup import brute
 from test_packing import check
@@ -64,7 +66,20 @@ def test_stages_on_odd_rows(spark, sf_dir, messy, nothing):
                 check([(r["doc_id"], r["text"]) for r in before.collect()], docs.collect())
 
 
+def folders(spark):
+    return set(os.listdir(shared_dir(spark).removeprefix("file://")))
+
+
 def test_run_leaves_only_its_result(spark, sf_dir):
-    first = len(Scratch.made)
-    assert corpus_pipeline.run(spark, sf_dir).count() > 0
-    assert len(Scratch.made) == first + 1
+    """Its own result stays, and so does what another caller in the process has made meanwhile."""
+    before = folders(spark)
+    other = Scratch(spark, "other-caller")
+    table = other.write(spark.range(3), "kept")
+    with owned_folders(spark) as mine:
+        inner = Scratch(spark, "inner-caller")
+        inner.write(spark.range(2), "gone")
+        with owned_folders(spark):
+            assert corpus_pipeline.run(spark, sf_dir).count() > 0
+        assert mine == [inner.root]
+    assert table.count() == 3
+    assert {x.rsplit("-", 1)[0] for x in folders(spark) - before} == {"other-caller"}
