@@ -218,9 +218,9 @@ def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of white-space separated words, and each row's first word (with the total last)."""
-    solid = ~_SPACE[data]
+def word_spans(data: np.ndarray, off: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words, runs without ``blank`` bytes, and each row's first word (with the total last)."""
+    solid = ~blank[data]
     first = np.zeros(len(data) + 1, bool)
     first[off] = True
     starts = solid & np.concatenate(([True], ~solid[:-1])) if len(data) else solid

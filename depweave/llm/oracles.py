@@ -98,4 +98,33 @@ FROM kept k JOIN codes c ON c.rid = k.rid CROSS JOIN digest g
 
 OP11 = _op11()
 
-ORACLES = {"op11_vector_codes": OP11, "op4_url_filter": OP4, "op8_line_dedup": OP8, "op1_minhash_dedup": OP1, "op5_exact_dedup": OP5}
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS MATERIALIZED (
+  SELECT lang, k, gram, count(*) AS f FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS gram
+    FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+  GROUP BY lang, k, gram HAVING count(*) >= 30 OR k = 1),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, k, gram, f AS a, string_split(gram, ' ') AS p FROM grams WHERE k > 1 AND f >= 30),
+cuts AS (SELECT c.*, j, array_to_string(p[: j], ' ') AS head, array_to_string(p[j + 1 :], ' ') AS tail FROM candidates c, (SELECT unnest([1, 2, 3]) AS j) WHERE j < k),
+scored AS (
+  SELECT c.lang, c.gram, c.k, c.a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.gram = c.head AND x.k = j JOIN grams y ON y.lang = c.lang AND y.gram = c.tail AND y.k = c.k - j),
+worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, gram ORDER BY score, j) AS nth FROM scored) WHERE nth = 1),
+inside AS (
+  SELECT lang, sub, max(a) AS around FROM (
+    SELECT c.lang, c.a, array_to_string(p[i : i + m - 1], ' ') AS sub
+    FROM candidates c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < c.k AND i + m - 1 <= c.k)
+  GROUP BY lang, sub),
+ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, w.a DESC, encode(w.gram)) AS rank
+  FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.sub = w.gram WHERE i.around IS NULL OR 100 * i.around < 80 * w.a)
+SELECT r.lang, rank, gram AS phrase, a, l, r.r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
+ORACLES = {"op13_phrases": OP13, "op11_vector_codes": OP11, "op4_url_filter": OP4, "op8_line_dedup": OP8, "op1_minhash_dedup": OP1, "op5_exact_dedup": OP5}
