@@ -118,8 +118,8 @@ def _member(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
-def _count(docs: DataFrame, size: int, known: np.ndarray | None) -> DataFrame:
-    """(lang, gram, n) over all texts, those of at least LEAST occurrences.
+def _count(docs: DataFrame, size: int, known: np.ndarray | None, least: int) -> DataFrame:
+    """(lang, gram, n) over all texts, those of at least ``least`` occurrences.
 
     For words, a row with a null gram has the language's number of words.  For pairs, ``known`` is the bitmap of
     frequent words; for longer phrases, the sorted hashes of phrases one word shorter of which a phrase has one at its
@@ -165,7 +165,7 @@ def _count(docs: DataFrame, size: int, known: np.ndarray | None) -> DataFrame:
                     yield g.counts(*_phrases(g, place, size))
 
     found = map_arrow(docs, run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return found.filter(F.col("gram").isNull() | (F.col("n") >= LEAST))
+    return found.filter(F.col("gram").isNull() | (F.col("n") >= least))
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
@@ -245,13 +245,13 @@ def _top(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
 class Miner:
     """The tables of a search: pairs, triples and quadruples counted so far, and each language's frontier."""
 
-    def __init__(self, docs: DataFrame, top: int, frontier: int):
-        self.spark, self.top, self.frontier = docs.sparkSession, top, frontier
+    def __init__(self, docs: DataFrame, top: int, frontier: int, least: int):
+        self.spark, self.top, self.frontier, self.least = docs.sparkSession, top, frontier, least
         self.scratch = Scratch(self.spark, "collocations")
         self.docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-        counted = self.scratch.write(_count(self.docs, 1, None), "words")
+        counted = self.scratch.write(_count(self.docs, 1, None, least), "words")
         self.words, self.totals = counted.filter("gram is not null"), counted.filter("gram is null").select("lang", "n")
-        pairs = self.scratch.write(_count(self.docs, 2, _bitmap(self.words)), "pairs")
+        pairs = self.scratch.write(_count(self.docs, 2, _bitmap(self.words), least), "pairs")
         pairs = pairs.select("lang", "gram", F.col("n").alias("a"), F.element_at(F.split("gram", " "), 1).alias("w1"), F.element_at(F.split("gram", " "), 2).alias("w2"))
         words = _few(self.words)
         for k in ("1", "2"):
@@ -283,7 +283,7 @@ class Miner:
         parts, found = -(-wanted.count() // self.frontier) or 1, None
         for k in range(parts):
             some = wanted if parts == 1 else wanted.filter(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k)
-            counts = _count(docs, size, _known(some))
+            counts = _count(docs, size, _known(some), self.least)
             if parts > 1:
                 counts = self.scratch.write(counts, "pass")
             found = counts if found is None else found.unionByName(counts)
@@ -344,15 +344,15 @@ class Miner:
             frontier, langs = left.filter(behind).drop("kb", "ka", "kg"), open_
 
 
-def mine_phrases(docs: DataFrame, top: int = TOP, frontier: int = FRONTIER) -> DataFrame:
+def mine_phrases(docs: DataFrame, top: int = TOP, frontier: int = FRONTIER, least: int = LEAST) -> DataFrame:
     """Each language's best phrases: lang, rank (from 1), phrase, a, l, r, n, score.
 
     docs: text, lang and any other columns (ignored).  A-Z is lower-cased; pieces end at ``[.,;:!?\\x0A-\\x0D]``, words
     at spaces and tabs.  Null text counts as empty, a null language as ``und``; every row counts, repeated ones too.
-    Candidates occur LEAST times; those inside a longer candidate of SHARE % of their count are dropped.  Ties in
+    Candidates occur ``least`` times; those inside a longer candidate of SHARE % of their count are dropped.  Ties in
     score and count go by the phrase's bytes.  A language without candidates has no rows; an empty table gives an
     empty table.  ``frontier`` bounds what one pass looks for, and changes nothing else.
     """
-    miner = Miner(docs, top, frontier)
+    miner = Miner(docs, top, frontier, least)
     found = miner.run().join(_few(miner.totals), "lang")
     return found.select("lang", F.col("rank").cast("long").alias("rank"), F.col("gram").alias("phrase"), "a", "cut.l", "cut.r", "n", "cut.score")

@@ -230,29 +230,39 @@ def word_spans(data: np.ndarray, off: np.ndarray, blank: np.ndarray = _SPACE) ->
     return s, e, np.searchsorted(s, off)
 
 
-def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, family: int = 0) -> np.ndarray:
+class SpanHasher:
     """64-bit hashes of byte spans: two polynomials modulo a prime, from differences of running sums.
 
     Two different spans of at most n bytes meet with probability (n / 2**31)**2 at most over the random bases, whatever
     their bytes.  Families are independent of each other.
     """
-    prime, bits, n = np.uint64(PRIME), np.uint64(31), len(data)
-    run, lanes = np.zeros(n + 1, np.uint64), []
-    term, high = np.empty(_STEP, np.uint64), np.empty(_STEP, np.uint64)
-    for lane in (2 * family, 2 * family + 1):
-        power, inverse = _powers(n + 1, lane)
-        for a in range(0, n, _STEP):  # small blocks stay in the processor's cache
-            b = min(a + _STEP, n)
-            t, h = term[: b - a], high[: b - a]
-            np.take(_BYTE[lane], data[a:b], out=t)
-            np.multiply(t, power[a:b], out=t)
-            np.right_shift(t, bits, out=h)
-            np.bitwise_and(t, prime, out=t)
-            t += h
-            t[0] += run[a]
-            np.cumsum(t, out=run[a + 1 : b + 1])
-        lanes.append(_fold(_fold(run[e] - run[s])) * inverse[s] % prime)
-    return mix64(lanes[0] << np.uint64(32) | lanes[1], family)
+
+    def __init__(self, data: np.ndarray, family: int = 0):
+        prime, bits, n = np.uint64(PRIME), np.uint64(31), len(data)
+        self.family, self.lanes = family, []
+        term, high = np.empty(_STEP, np.uint64), np.empty(_STEP, np.uint64)
+        for lane in (2 * family, 2 * family + 1):
+            power, inverse = _powers(n + 1, lane)
+            run = np.zeros(n + 1, np.uint64)
+            for a in range(0, n, _STEP):  # small blocks stay in the processor's cache
+                b = min(a + _STEP, n)
+                t, h = term[: b - a], high[: b - a]
+                np.take(_BYTE[lane], data[a:b], out=t)
+                np.multiply(t, power[a:b], out=t)
+                np.right_shift(t, bits, out=h)
+                np.bitwise_and(t, prime, out=t)
+                t += h
+                t[0] += run[a]
+                np.cumsum(t, out=run[a + 1 : b + 1])
+            self.lanes.append((run, inverse))
+
+    def __call__(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        high, low = (_fold(_fold(run[e] - run[s])) * inverse[s] % np.uint64(PRIME) for run, inverse in self.lanes)
+        return mix64(high << np.uint64(32) | low, self.family)
+
+
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, family: int = 0) -> np.ndarray:
+    return SpanHasher(data, family)(s, e)
 
 
 def lower_bytes(data: np.ndarray) -> np.ndarray:

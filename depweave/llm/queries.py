@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, exact_dedup, langid, line_dedup, lm_score, media, minhash_dedup, packing, quality, sentencepiece_bpe, url_filter, vector_codes
+from . import collocations, exact_dedup, langid, line_dedup, lm_score, media, minhash_dedup, packing, quality, sentencepiece_bpe, toxicity, url_filter, vector_codes
 from .common import crc32_mod
 from .oracles import ORACLES  # noqa: F401
 
@@ -73,8 +73,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc32_mod(F.col("doc_id"), 4) == 2
+    return toxicity.classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_phrases(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_quality, op4_url_filter, op5_exact_dedup, op6_language, op7_sentencepiece, op8_line_dedup, op9_lm_score, op10_media, op11_vector_codes, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op3_quality, op4_url_filter, op5_exact_dedup, op6_language, op7_sentencepiece, op8_line_dedup, op9_lm_score, op10_media, op11_vector_codes, op12_toxicity, op13_phrases)}
