@@ -136,7 +136,7 @@ def _terms(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     new = np.ones(len(r), bool)
                     new[1:] = (r[1:] != r[:-1]) | (x[1:] != x[:-1])
                     names, ids = np.unique(x[new], return_inverse=True)
-                    n = [np.bincount(ids, weights=np.where(mine == c, w, 0)[r[new]], minlength=len(names)) for c in (1, 0)]
+                    n = [np.bincount(ids, weights=np.where(mine == c, w, 0)[r[new]], minlength=len(names)).astype(float) for c in (1, 0)]
                     yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n[0]), pa.array(n[1])], names=["h", "n1", "n0"])
 
     totals = {r["label"]: r["w"] for r in examples.groupBy("label").agg(F.sum("weight").alias("w")).collect()}

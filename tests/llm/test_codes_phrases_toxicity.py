@@ -5,12 +5,12 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import crc_mod
 from depweave.llm import collocations, toxicity, vector_codes
 from depweave.llm.common import crc32_mod
 
@@ -200,7 +200,7 @@ def frames(spark, rows, labels):
 def test_toxicity_held_out(spark):
     rows, labels, truth = corpus()
     got = {r["doc_id"]: r for r in toxicity.classify_toxicity(*frames(spark, rows, labels), T()).collect()}
-    assert all(0 <= r["score"] <= 1 and r["held_out"] == (crc_mod(i, 4) == 2) and r["predicted"] == (r["score"] >= 0.3) for i, r in got.items())
+    assert all(0 <= r["score"] <= 1 and r["held_out"] == ((zlib.crc32(str(i).encode()) % 4) == 2) and r["predicted"] == (r["score"] >= 0.3) for i, r in got.items())
     held = [i for i, r in got.items() if r["held_out"]]
     hit = [got[i]["predicted"] for i in held if truth[i]]
     false = [got[i]["predicted"] for i in held if not truth[i]]
@@ -212,7 +212,7 @@ def test_toxicity_held_out(spark):
 def test_toxicity_never_reads_held_out_labels(spark):
     rows, labels, _ = corpus(300)
     score = lambda x: {r["doc_id"]: round(r["score"], 9) for r in toxicity.classify_toxicity(*frames(spark, rows, x), T()).collect()}
-    assert score(labels) == score([(i, 1 - x if crc_mod(i, 4) == 2 else x) for i, x in labels])
+    assert score(labels) == score([(i, 1 - x if (zlib.crc32(str(i).encode()) % 4) == 2 else x) for i, x in labels])
 
 
 def test_label_model_recovers_accuracies_and_correlations(spark):
