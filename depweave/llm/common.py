@@ -137,6 +137,17 @@ class Scratch:
             self.remove(df._scratch_path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, lengthened where ``df`` has a column of that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, nothing else."""
     return F.translate(c, UPPER, LOWER)

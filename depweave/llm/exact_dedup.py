@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, Scratch
+from .common import WS_CLASS, Scratch, free_names
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BROADCAST_ROWS = 100_000  # digests (32 bytes each) and places (16 bytes) of hits are broadcast up to this many, shuffled beyond
@@ -99,6 +99,8 @@ def deduplicate(docs: DataFrame, state_dir: str | None = None, digest=sha256_dig
     smallest doc_id with the same text are one document and are all marked kept.  An empty table gives an
     empty table.  ``digest`` may be replaced by a weaker function; the result does not change.
 
+    Locators of rows that do not come from files are empty: their content is then found by doc_id alone.
+
     With ``state_dir`` the state goes on from call to call: docs are a delivery, compared with all earlier ones.
     Their normalised texts are kept below it, so that a locator, the file of a text, stays valid and full bytes
     can be compared over deliveries.  ``every_delivery`` asks for the rows of all of them.  Calling again with
@@ -158,10 +160,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "keep-first")
     verdict = scratch.write(deduplicate(docs).select("doc_id", "kept", "text_sha256"), "verdicts")
     digest = F.sha2(normalised(F.col("text")).cast("binary"), 256)
-    named = [F.col("doc_id").isNull().alias("__unnamed"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id")]
-    rows = docs.select("*", *named, digest.alias("__sha"))
-    keys = ["__unnamed", "__id", "__sha"]
-    verdict = verdict.select(*named, F.col("text_sha256").alias("__sha"), "kept")
+    keys = free_names(docs, "unnamed", "own_id", "own_sha")
+    named = [F.col("doc_id").isNull().alias(keys[0]), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(keys[1])]
+    rows = docs.select("*", *named, digest.alias(keys[2]))
+    verdict = verdict.select(*named, F.col("text_sha256").alias(keys[2]), "kept")
     gone = verdict.filter(~F.col("kept")).select(*keys).distinct()
     again = verdict.filter("kept").groupBy(*keys).count().filter("count > 1").select(*keys)
     if gone.count() <= BROADCAST_ROWS:

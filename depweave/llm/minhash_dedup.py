@@ -13,11 +13,16 @@ Steps, each a Spark job over tables in the shared folder:
    confirmed links are contracted to components;
 4. *rest round*: buckets that still hold more than one component are compared by sketch, in blocks of
    bounded size, across components only.  A block gives a spanning forest of its candidates, whose
-   connected components are *families*: every link still unknown lies within one.  The texts of a family
-   are then compared on full sets, again in blocks and across components only.
+   connected components are *families*: every link still unknown lies within one.  The shingles that a family's
+   members share are numbered, and each member becomes a bitmap of these numbers (or a list of them, if shorter):
+   a shingle that one member alone holds is in no intersection.  Members are compared on these full sets, again
+   in blocks and across components only; no text is moved more than once.
 
 Nothing is dropped: a bucket or family of any size is covered, the large ones in many tasks, and no step
 emits more than a few rows per document and block, however many pairs are similar.
+
+Sets are made of 64-bit hashes.  What is proposed by one family of hash functions is confirmed by another, and
+the digest that makes rows one node has a half of each, so that no collision goes through both.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_groups, lower_bytes, map_arrow, mix64, span_hashes, word_spans
+from .common import Scratch, byte_groups, free_names, lower_bytes, map_arrow, mix64, span_hashes, word_spans
 from .components import connected_components
 
 WIDTH = 5  # words in a shingle
@@ -38,8 +43,8 @@ BITS = 1024  # bits of the odd sketch
 #: A pair at the threshold differs in 64 +- 7 of 256 samples and XORs to 113 +- 11 bits; five deviations above.
 MAX_XOR = 176
 BLOCK = 1024  # nodes of a bucket compared in one block
-FAMILY_BLOCK = 256  # texts of a family compared in one block, fewer where they are long:
-FAMILY_SHINGLES = 200_000  # shingles of one block on average
+FAMILY_BLOCK = 1024  # members of a family compared in one block, fewer where they are long:
+FAMILY_SHINGLES = 400_000  # shingles of one block on average
 BROADCAST_ROWS = 100_000  # join keys (24 bytes each) are broadcast up to this many, shuffled beyond
 
 _RNG = np.random.default_rng(7)
@@ -48,11 +53,11 @@ _B = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 _W = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each row and the rows' offsets into them."""
+def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = WIDTH, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each row and the rows' offsets into them; hash families are independent."""
     data = lower_bytes(data)
     s, e, first = word_spans(data, off)
-    h = span_hashes(data, s, e)
+    h = span_hashes(data, s, e, family)
     n = np.diff(first)
     whole = np.zeros(max(len(h) - width + 1, 0), np.uint64)
     for k in range(width):
@@ -82,8 +87,9 @@ def _sketches(data: np.ndarray, off: np.ndarray, width: int):
     bits = np.zeros((len(n), BITS // 64), np.uint64)
     if len(full):
         starts = at[full]
-        for k in range(2):
-            digest[full, k] = np.add.reduceat(mix64(flat, 11 + k), starts)
+        digest[full, 0] = np.add.reduceat(mix64(flat, 11), starts)
+        other, there = shingle_sets(data, off, width, 1)
+        digest[full, 1] = np.add.reduceat(mix64(other, 12), there[full])
         x = (flat >> np.uint64(32)).astype(np.uint32)
         low = np.empty((len(full), SAMPLES), np.uint32)
         y = np.empty_like(x)
@@ -155,7 +161,7 @@ def _confirm(pairs: DataFrame, width: int, percent: int) -> DataFrame:
                 order = np.arange(2 * len(some)).reshape(2, -1).T.ravel()  # a0 b0 a1 b1 ...
                 sets = []
                 for _, data, off in byte_groups(sides.take(pa.array(order))):
-                    flat, at = shingle_sets(data, off, width)
+                    flat, at = shingle_sets(data, off, width, 1)
                     sets += [flat[at[i] : at[i + 1]] for i in range(len(off) - 1)]
                 for x, y in zip(sets[::2], sets[1::2], strict=True):
                     same = len(np.intersect1d(x, y, assume_unique=True))
@@ -250,10 +256,82 @@ def _candidate_edges(blocks: DataFrame, percent: int) -> DataFrame:
     return map_arrow(blocks, run, "a long, b long").distinct()
 
 
-def _family_links(blocks: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that connect components within blocks of one family's texts.
+def _member_shingles(family: DataFrame, width: int) -> DataFrame:
+    """(family, node, h) for each distinct shingle of each text of (family, node, text)."""
+    import pyarrow as pa
 
-    ``blocks`` has (family, bi, bj, side, node, component, text).  Every pair across components is decided
+    def run(batches):
+        for batch in batches:
+            for lo, data, off in byte_groups(batch.column("text")):
+                flat, at = shingle_sets(data, off, width, 1)
+                rows = batch.slice(lo, len(at) - 1).select(["family", "node"]).take(pa.array(np.repeat(np.arange(len(at) - 1), np.diff(at))))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(flat.view(np.int64))], names=["family", "node", "h"])
+
+    return map_arrow(family.select("family", "node", "text"), run, "family long, node long, h long")
+
+
+def _numbered(shared: DataFrame, scratch: Scratch) -> DataFrame:
+    """(family, h, id): numbers without gaps from 0 in each family, by range partitions and one count per partition."""
+    placed = shared.repartitionByRange("family", "h").sortWithinPartitions("family", "h").withColumn("m", F.monotonically_increasing_id())
+    placed = scratch.write(placed, "shared").withColumns({"part": F.shiftright("m", 33), "at": F.col("m").bitwiseAND((1 << 33) - 1)})
+    before, starts = 0, []
+    for r in placed.groupBy("part").count().orderBy("part").collect():  # a row for each partition
+        starts.append((r["part"], before))
+        before += r["count"]
+    starts = F.broadcast(scratch.spark.createDataFrame(starts, "part long, before long"))
+    dense = scratch.write(placed.join(starts, "part").select("family", "h", (F.col("before") + F.col("at")).alias("place")), "places")
+    first = scratch.write(dense.groupBy("family").agg(F.min("place").alias("first")), "first-places")
+    first = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
+    return dense.join(first, "family").select("family", "h", (F.col("place") - F.col("first")).cast("int").alias("id"))
+
+
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Distinct numbers as a bitmap from the smallest on, or as plain numbers where that is shorter."""
+    if not len(ids):
+        return b""
+    ids = np.sort(ids)
+    base = ids[0] // 8 * 8
+    bits = np.zeros(int(ids[-1] - base) // 8 + 1, np.uint8)
+    if len(bits) > 4 * len(ids):
+        return b"\x00" + ids.astype("<u4").tobytes()
+    np.bitwise_or.at(bits, (ids - base) // 8, (1 << (ids - base) % 8).astype(np.uint8))
+    return b"\x01" + int(base).to_bytes(4, "little") + bits.tobytes()
+
+
+def unpack_ids(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, np.int64)
+    if packed[0] == 0:
+        return np.frombuffer(packed, "<u4", offset=1).astype(np.int64)
+    base = int.from_bytes(packed[1:5], "little")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=5), bitorder="little")) + base
+
+
+def _packed_members(family: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(node, ids): the numbers of those of a member's shingles that another member of its family has too."""
+    import pyarrow as pa
+
+    rows = scratch.write(_member_shingles(family, width), "member-shingles")
+    shared = rows.groupBy("family", "h").count().filter("count > 1").select("family", "h")
+    held = rows.join(scratch.write(_numbered(shared, scratch), "numbered"), ["family", "h"]).groupBy("node").agg(F.collect_list("id").alias("ids"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("ids")
+            at, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy().astype(np.int64)
+            at = at - at[0]
+            packed = [pack_ids(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "ids"])
+
+    out = scratch.write(map_arrow(held, run, "node long, ids binary"), "members")
+    scratch.drop(rows)
+    return out
+
+
+def _family_links(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect components within blocks of one family's members.
+
+    ``blocks`` has (family, bi, bj, side, node, component, n, ids).  Every pair across components is decided
     on full shingle sets unless the two are connected by then; a group gives a forest of links.
     """
     import pyarrow as pa
@@ -263,22 +341,16 @@ def _family_links(blocks: DataFrame, width: int, percent: int) -> DataFrame:
             left, right, within = _sides(rows)
             if not len(left) or not len(right):
                 continue
-            node = rows.column("node").to_numpy()
+            node, n = rows.column("node").to_numpy(), rows.column("n").to_numpy()
             _, labels = np.unique(rows.column("component").to_numpy(), return_inverse=True)
-            flat, sizes = [], []
-            for _, data, off in byte_groups(rows.column("text")):
-                x, at = shingle_sets(data, off, width)
-                flat.append(x)
-                sizes.append(np.diff(at))
-            n = np.concatenate(sizes)
-            at = np.concatenate(([0], np.cumsum(n)))
-            names, ids = np.unique(np.concatenate(flat), return_inverse=True)
+            sets = [unpack_ids(x) for x in rows.column("ids").to_pylist()]
+            at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+            names, ids = np.unique(np.concatenate(sets), return_inverse=True)
             mark = np.zeros(len(names), np.int64)
             found = []
             for i in left.tolist():
-                if not n[i]:
-                    continue
-                others = right[(labels[right] != labels[i]) & (n[right] > 0)]
+                mine = (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i])) & (labels[right] != labels[i])
+                others = right[mine]
                 if within:
                     others = others[others > i]
                 if not len(others):
@@ -331,7 +403,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
     rows = scratch.write(sketch_rows(docs, width), "sketches")
-    node_of = rows.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("node"))
+    # a table of its own, so that joins may split the rows of a large group of copies
+    node_of = scratch.write(rows.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("node")), "digests")
     nodes = scratch.write(
         rows.join(node_of.select(F.col("node").alias("rid")), "rid", "left_semi")
         .select(F.col("rid").alias("node"), "doc_id", "th", "n", "keys", "sketch"), "nodes"
@@ -378,13 +451,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
         size = F.greatest(F.count("*") / FAMILY_BLOCK, F.sum("n") / FAMILY_SHINGLES)
         members = family.join(slim.select("node", "n"), "node").groupBy("family").agg(size.alias("members"))
         texts = texts_of(family.select("node"))
+        packed = _packed_members(family.join(texts, "node").select("family", "node", "text"), width, scratch)
+        scratch.drop(texts)
         family = (
-            family.join(members, "family").join(component, "node", "left").join(texts, "node")
-            .select("family", "members", "node", F.coalesce("component", "node").alias("component"), "text")
+            family.join(members, "family").join(component, "node", "left").join(slim.select("node", "n"), "node").join(packed, "node")
+            .select("family", "members", "node", F.coalesce("component", "node").alias("component"), "n", "ids")
         )
-        more = scratch.write(_family_links(_in_blocks(family, "family", "members", 1), width, percent), "family-links")
+        more = scratch.write(_family_links(_in_blocks(family, "family", "members", 1), percent), "family-links")
         component = scratch.write(connected_components(scratch, links.union(more)), "components")
-        scratch.drop(texts)
 
     placed = (
         rows.select("doc_id", "th", "rid", "n", "digest")
@@ -412,8 +486,9 @@ def keep_representatives(docs: DataFrame, percent: int = 75, width: int = WIDTH)
     scratch = Scratch(docs.sparkSession, "representatives")
     found = scratch.write(near_duplicates(docs, percent, width).select("doc_id", "th", "component_id", "kept"), "verdicts")
     gone = found.filter(F.col("component_id").isNotNull() & ~F.coalesce("kept", F.lit(False)))
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("th").alias("__gone_th")).distinct()
+    own_id, own_th = free_names(docs, "gone_id", "gone_th")
+    gone = gone.select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th)).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__gone_th"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own_th))
     return docs.join(gone, same, "left_anti")

@@ -8,7 +8,8 @@ import re
 import numpy as np
 import pytest
 
-from depweave.llm import components, minhash_dedup as M
+from depweave.llm import components, exact_dedup
+from depweave.llm import minhash_dedup as M
 from depweave.llm.common import Scratch
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -124,3 +125,61 @@ def test_components(spark, edges):
                 up[a] = up[b] = min(up[a], up[b])
     got = {r["node"]: r["component"] for r in components.connected_components(Scratch(spark, "t"), df.filter("a is not null")).collect()}
     assert got == up
+
+
+def opposite(n):
+    """Two different words of 2**n letters on which every polynomial modulo a power of two agrees."""
+    x = "a"
+    for _ in range(n):
+        x += x.translate({97: 98, 98: 97})
+    return x, x.translate({97: 98, 98: 97})
+
+
+def test_words_that_polynomials_confuse(spark):
+    rows = []
+    for k, n in enumerate((10, 11, 13)):
+        x, y = opposite(n)
+        rows += [(10 * k + 1, x), (10 * k + 2, y), (10 * k + 3, " ".join([x, "b", "c", "d", "e", "f"])), (10 * k + 4, " ".join([y, "b", "c", "d", "e", "g"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(M.near_duplicates(docs)) == brute(rows)
+    assert M.near_duplicates(docs).select("component_id").distinct().count() == len(rows)
+
+
+def test_packed_ids():
+    rnd = np.random.default_rng(1)
+    for ids in ([], [0], [7], [2**31], [5, 1, 2**31 - 1], rnd.permutation(5000)[:900], rnd.permutation(10**6)[:50] + 12345):
+        packed = M.pack_ids(np.array(ids, np.int64))
+        assert M.unpack_ids(packed).tolist() == sorted(int(i) for i in ids)
+        assert len(packed) <= 5 + 4 * len(ids)
+
+
+def test_a_family_moves_no_texts(spark, monkeypatch):
+    """Members of a large family that the hub round leaves apart are compared as bitmaps, far shorter than their texts."""
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for k in range(120):  # each differs from the base and from most others too much, and has one neighbour
+        w = [x if rnd.random() > 0.06 else f"e{rnd.randrange(10**6)}" for x in base]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, "tail", str(k)]))]
+    seen, links = [], M._family_links
+
+    def watched(blocks, percent):
+        seen.append(blocks.agg({"ids": "count"}).first()[0])
+        seen.append(sum(len(r["ids"]) for r in blocks.select("node", "ids").dropDuplicates(["node"]).collect()))
+        return links(blocks, percent)
+
+    monkeypatch.setattr(M, "_family_links", watched)
+    monkeypatch.setattr(M, "FAMILY_BLOCK", 50)
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert found(got) == brute(rows)
+    assert seen and seen[0] > 0 and seen[1] < 0.2 * sum(len(t) for _, t in rows)
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["unnamed", "own_id", "own_sha", "gone_id", "gone_th", "GONE_ID", "th", "node", "kept", "digest", "component", "__id", "__sha", "__gone_id"]
+    rows = [(1, "one two three", *names), (2, "one two three", *names), (3, "other words", *names), (None, "other words", *names)]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n if n != 'GONE_ID' else 'gone_id_'}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    for keep in (exact_dedup.keep_first, M.keep_representatives):
+        left = keep(docs)
+        assert left.columns == docs.columns and sorted(r[0] for r in left.collect()) == [1, 3]
