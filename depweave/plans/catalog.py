@@ -292,6 +292,31 @@ def ingest_sources_all(spark, d):
     return _ingested(D.packages(spark, d).filter("repository <> ''"))
 
 
+LEXED = """SELECT CASE WHEN length(import_path) % 7 = 0 THEN 'labels.example.io/' || replace(import_path, '/', '-') WHEN starts_with(import_path, 'suppliers.') THEN 'alias.example.io/' || regexp_extract(import_path, '[^/]*$') ELSE import_path END AS import_path,
+  CASE WHEN length(import_path) % 5 = 0 THEN 'main' ELSE 'lib' END AS name, repository, array_to_string(list_sort(list_distinct(list_append(directs, 'C'))), ' ') AS directs, CASE WHEN length(import_path) % 5 = 0 THEN 3 ELSE 2 END AS type
+  FROM packages WHERE repository <> ''"""
+
+
+@query(with_(PACKAGES) + LEXED)
+def ingest_lexed(spark, d):
+    """Two source files written for every package, with comments, strings, labels and declarations that look like imports, and ingested; suppliers have a prefix of their own."""
+    p = D.packages(spark, d).filter("repository <> ''")
+    name = F.when(F.length("import_path") % 5 == 0, "main").otherwise("lib")
+    label = F.when(F.length("import_path") % 7 == 0, F.concat(F.lit(' // import "labels.example.io/'), F.replace("import_path", F.lit("/"), F.lit("-")), F.lit('"'))).otherwise(F.lit(" // a plain remark"))
+    first = F.concat(
+        F.lit('// Package notes: import "dead/line"\n/* import "dead/block"\n func */\npackage '), name, label,
+        F.lit('\n\nimport "C"; import (\n\t// "old/name" (gone)\n\tx "'), F.array_join(F.slice("directs", 1, 2), '" /* ) */\n\t. "'), F.lit('"\n)\n\nvar s = `\nimport "in/string"\n`\n'),
+    )
+    second = F.concat(
+        F.lit("package "), name, F.lit(";import (_`"), F.array_join("directs", "`;`"), F.lit('`)\nfunc f() string { return "import (\\"in/quotes\\")" }\nimport "after/all"\n'),
+    )
+    base = P.base_name(F.col("import_path"))
+    files = p.select("repository", F.col("repository").alias("remote"), F.explode(F.array(F.struct(F.lit("/a.go").alias("file"), first.alias("content")), F.struct(F.lit("/b.go").alias("file"), second.alias("content")))).alias("f"), base.alias("dir"))
+    files = files.select("repository", "remote", F.concat("dir", "f.file").alias("repo_path"), "f.content")
+    prefixes = p.filter(F.col("import_path").startswith("suppliers.")).select("repository", F.lit("alias.example.io").alias("prefix")).distinct()
+    return IN.ingest_sources(files, prefixes=prefixes).select("import_path", "name", "repository", F.array_join("directs", " ").alias("directs"), "type")
+
+
 @query("SELECT c_name AS name FROM customer UNION ALL SELECT 'geo/nation1'")
 def input_list(spark, d):
     path = _folder(spark, "lines")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import clean_repo_url, content_digest, has_domain, host_path, package_type, trim_prefix, type_number
@@ -44,40 +44,87 @@ def read_lines(spark: SparkSession, path: str, extra: list[str] | None = None) -
     return lines.union(spark.createDataFrame([(x,) for x in extra], "name string")) if extra else lines
 
 
-def ingest_sources(files: DataFrame, stdlib: bool = False, trim_repository_prefix: bool = False) -> DataFrame:
+#: What a source file is cut into, comments and strings first, so that nothing is looked for inside them.  No alternative
+#: repeats a group, so the matcher's depth does not grow with the file.
+TOKEN = r'''//[^\n]*|/\*(?s:.*?)\*/|`[^`]*`|"[^"\n]*"|[\p{L}_][\p{L}\p{Nd}_]*|\n|[^\s]'''
+DECLARATIONS = ("const", "func", "type", "var")
+
+
+def _header(content: Column) -> Column:
+    """Tokens of a file before its first declaration: comments, the package clause, imports and line ends."""
+    tokens = F.regexp_extract_all(content, F.lit(TOKEN), F.lit(0))
+    ends = F.array_min(F.filter(F.array(*[F.array_position(tokens, F.lit(d)) for d in DECLARATIONS]), lambda p: p > 0))
+    return F.slice(tokens, 1, F.coalesce(ends - 1, F.size(tokens)).cast("int"))
+
+
+def parse_sources(files: DataFrame, content: str = "content") -> DataFrame:
+    """Adds name, comment (the import comment's path) and imports (distinct, in order) of each source file; name is null without a package clause.
+
+    The package clause comes first, imports follow before any declaration, so every string among the header's tokens is
+    an import path; comments and whatever strings hold are tokens of their own.  An import comment stands behind the
+    package clause on its line.
+    """
+    is_comment = lambda t: t.startswith("//") | t.startswith("/*")
+    out = files.withColumn("_tokens", _header(F.col(content)))
+    plain = F.filter("_tokens", lambda t: ~is_comment(t) & (t != "\n"))
+    named = (F.get(plain, F.lit(0)) == "package") & F.get(plain, F.lit(1)).rlike(r"^[\p{L}_][\p{L}\p{Nd}_]*$")
+    beside = F.get("_tokens", (F.array_position("_tokens", F.lit("package")) + 1).cast("int"))
+    label = F.nullif(F.regexp_extract(beside, r'^(?://|/\*)[\t ]*import[\t ]+["`]([^"`\s]+)["`]', 1), F.lit(""))
+    strings = F.filter(plain, lambda t: t.startswith('"') | t.startswith("`"))
+    imports = F.array_distinct(F.transform(strings, lambda t: F.substring(t, F.lit(2), F.length(t) - 2)))
+    return out.withColumns({"name": F.when(named, F.get(plain, F.lit(1))), "comment": F.when(named, label), "imports": imports}).drop("_tokens")
+
+
+def read_source_tree(spark: SparkSession, root: str, remotes: DataFrame) -> DataFrame:
+    """(repository, remote, repo_path, content) of the source and module files in a tree that holds a folder for each repository.
+
+    ``remotes`` has (repository, remote), the folders' names and their first remotes; folders without one are left out, as
+    are files of other kinds.  Files are read as whole rows.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.go,go.mod}").load(root)
+    inside = F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path"))
+    rows = files.select(F.regexp_extract(inside, "^([^/]+)/", 1).alias("repository"), F.regexp_extract(inside, "^[^/]+/(.*)$", 1).alias("repo_path"), F.decode("content", "UTF-8").alias("content"))
+    return rows.join(remotes.select("repository", "remote"), "repository").select("repository", "remote", "repo_path", "content")
+
+
+def ingest_sources(
+    files: DataFrame, stdlib: bool = False, trim_repository_prefix: bool = False, prefixes: DataFrame | None = None, import_comments: bool = True
+) -> DataFrame:
     """Package rows from a table of files (repository, remote, repo_path, content).
 
-    A directory with an importable source file is a package: its name, distinct imports, type and file
-    digests.  An import comment with a domain, or a module file's path, labels its directory; below a label,
-    paths are the label plus the rest of the way.  Else the path is the cleaned remote plus the directory.
+    A directory with importable source files of one package is a package: its name, distinct imports, type and file
+    digests; one with files of several packages is none, nor is anything of a repository without a remote.  The path is
+    the repository's prefix plus the directory: the one that ``prefixes`` (repository, prefix) gives, as the status
+    table records it, else the cleaned remote.  With ``import_comments``, an import comment with a domain, or a module
+    file's path, labels its directory; below a label, paths are the label plus the rest of the way.
     """
-    own = files.filter(~F.col("repo_path").rlike(IGNORED_DIRECTORY)).withColumn("dir", F.regexp_replace(F.col("repo_path"), r"/?[^/]*$", ""))
+    own = files.filter(F.coalesce("remote", F.lit("")) != "")
+    own = own.filter(~F.col("repo_path").rlike(IGNORED_DIRECTORY)).withColumn("dir", F.regexp_replace(F.col("repo_path"), r"/?[^/]*$", ""))
     go = own.filter(F.col("repo_path").endswith(".go") & ~F.col("repo_path").rlike(IGNORED_FILE))
-    block = F.regexp_extract_all("content", F.lit(r'(?s)\bimport\s*\((.*?)\)'), F.lit(1))
-    single = F.regexp_extract_all("content", F.lit(r'(?m)^\s*import\s+(?:[\w.]+\s+)?"([^"]+)"'), F.lit(1))
-    blocked = F.flatten(F.transform(block, lambda b: F.regexp_extract_all(b, F.lit(r'"([^"]+)"'), F.lit(1))))
-    go = go.select(
-        "repository", "remote", "dir", "repo_path", F.regexp_extract("content", r"(?m)^\s*package\s+(\w+)", 1).alias("name"),
-        F.nullif(F.regexp_extract("content", r'(?m)^\s*package\s+\w+\s*//\s*import\s+"([^"]+)"', 1), F.lit("")).alias("comment"),
-        F.array_distinct(F.concat(single, blocked)).alias("imports"), content_digest(F.col("content")).alias("digest"),
-    ).filter("name <> ''")
+    go = parse_sources(go).filter("name is not null").select("repository", "remote", "dir", "repo_path", "name", "comment", "imports", content_digest(F.col("content")).alias("digest"))
     rows = go.groupBy("repository", "remote", "dir").agg(
-        F.min("name").alias("name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("imports")))).alias("directs"), F.max("comment").alias("comment"),
-        F.array_sort(F.collect_list(F.struct("repo_path", "digest"))).alias("source_files"),
-    )
-    module = own.filter(F.col("repo_path").rlike(r"(^|/)go\.mod$")).select("repository", "dir", F.regexp_extract("content", r"(?m)^\s*module\s+(\S+)", 1).alias("label"))
-    comments = rows.filter(F.col("comment").isNotNull()).select("repository", "dir", F.col("comment").alias("label"))
-    at = lambda r, d: F.concat(r, F.lit("|"), F.when(d == "", F.lit("")).otherwise(F.concat(F.lit("/"), d)))
-    labels = module.union(comments).filter(has_domain(F.col("label"))).withColumn("path", F.regexp_replace(at(F.col("repository"), F.col("dir")), r"\|", "%7C"))
-    labels = labels.groupBy("path").agg(F.max("label").alias("label"))
-    rows = rows.withColumn("path", F.regexp_replace(at(F.col("repository"), F.col("dir")), r"\|", "%7C"))
-    rows = rows.join(nearest_label(rows, labels), "path", "left")
-    rest = F.substring(F.col("path"), F.length("anchor") + 2, F.length("path"))
-    labelled = host_path(F.col("label"), rest)
-    plain = host_path(clean_repo_url(F.col("remote")), F.col("dir"))
-    path = F.when(F.col("label").isNotNull(), labelled).otherwise(plain)
-    if trim_repository_prefix:
-        path = trim_prefix(path, clean_repo_url(F.col("remote")))
+        F.min("name").alias("name"), F.max("name").alias("_other"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("imports")))).alias("directs"),
+        F.max("comment").alias("comment"), F.array_sort(F.collect_list(F.struct("repo_path", "digest"))).alias("source_files"),
+    )
+    rows = rows.filter(F.col("name") == F.col("_other")).drop("_other")
+    prefix = clean_repo_url(F.col("remote"))
+    if prefixes is not None:
+        rows = rows.join(prefixes.select("repository", F.nullif("prefix", F.lit("")).alias("_prefix")), "repository", "left")
+        prefix = F.coalesce(F.col("_prefix"), prefix)
+    plain = host_path(prefix, F.col("dir"))
+    if import_comments:
+        module = own.filter(F.col("repo_path").rlike(r"(^|/)go\.mod$")).select("repository", "dir", F.regexp_extract("content", r"(?m)^\s*module\s+(\S+)", 1).alias("label"))
+        comments = rows.filter(F.col("comment").isNotNull()).select("repository", "dir", F.col("comment").alias("label"))
+        at = lambda r, d: F.concat(r, F.lit("|"), F.when(d == "", F.lit("")).otherwise(F.concat(F.lit("/"), d)))
+        labels = module.union(comments).filter(has_domain(F.col("label"))).withColumn("path", F.regexp_replace(at(F.col("repository"), F.col("dir")), r"\|", "%7C"))
+        labels = labels.groupBy("path").agg(F.max("label").alias("label"))
+        rows = rows.withColumn("path", F.regexp_replace(at(F.col("repository"), F.col("dir")), r"\|", "%7C"))
+        rows = rows.join(nearest_label(rows, labels), "path", "left")
+        rest = F.substring(F.col("path"), F.length("anchor") + 2, F.length("path"))
+        plain = F.when(F.col("label").isNotNull(), host_path(F.col("label"), rest)).otherwise(plain)
+    path = trim_prefix(plain, prefix) if trim_repository_prefix else plain
     return rows.select(
         path.alias("import_path"), "name", F.col("remote").alias("repository"), "directs", "source_files", package_type(F.col("name"), stdlib).alias("type"), F.lit(0.0).alias("ranking")
     )

@@ -101,3 +101,63 @@ def test_trimmed_repository_prefix(spark):
     files = [("r", "https://h.io/u/r", "sub/a.go", "package a\n"), ("q", "https://h.io/q", "go.mod", "module m.io/q\n"), ("q", "https://h.io/q", "b/b.go", "package b\n"), ("r", "https://h.io/u/r", "top.go", "package r\n")]
     df = spark.createDataFrame(files, "repository string, remote string, repo_path string, content string")
     assert sorted(r["import_path"] for r in ingest.ingest_sources(df, trim_repository_prefix=True).collect()) == ["h.io/u/r", "m.io/q/b", "sub"]
+
+
+TRICKY = """/* import "dead/block" */
+// import "dead/line"
+package d // import "l.io/d"
+import (
+	"fmt" // "old/pkg"
+	x "real/x" // see (docs)
+	. "after/paren"
+	_ `raw/path`
+)
+import "one"; import two "two/b"
+var s = `
+import "in/string"
+`
+import "late"
+"""
+
+
+def test_imports_are_lexed(spark):
+    cases = {
+        TRICKY: ("d", "l.io/d", ["fmt", "real/x", "after/paren", "raw/path", "one", "two/b"]),
+        'package a; import "x";func f() {}': ("a", None, ["x"]),
+        'package a /* import "l.io/a" */\nimport ( /* "no" */ "x"\n/* "multi\nline" ) */ y "z" )': ("a", "l.io/a", ["x", "z"]),
+        'package a\n// import "not/a/label"\nimport "x"': ("a", None, ["x"]),
+        'import "x"\npackage a': (None, None, ["x"]),
+        "// package no": (None, None, []),
+        "": (None, None, []),
+        'package été\nimport ü "x"\nconst c = "//"': ("été", None, ["x"]),
+        "/*" + "*" * 20000 + "*/package a\n" + "// remark\n" * 20000 + 'import "x"\nvar v = "' + "\\x00" * 50000 + '"': ("a", None, ["x"]),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "content string")
+    got = {r["content"]: (r["name"], r["comment"], r["imports"]) for r in ingest.parse_sources(df).collect()}
+    assert got == cases
+    none = ingest.parse_sources(spark.createDataFrame([(None,)], "content string")).first()
+    assert none["name"] is None and none["imports"] is None
+
+
+def test_prefixes_remotes_and_mixed_packages(spark):
+    files = [
+        ("r", "https://h.io/r", "p/a.go", "package p\n"), ("r", "https://h.io/r", "mixed/a.go", "package a"), ("r", "https://h.io/r", "mixed/b.go", "package b"),
+        ("none", None, "p/a.go", "package p"), ("empty", "", "p/a.go", "package p"), ("own", "https://h.io/own", "a.go", 'package o // import "l.io/o"'), ("own", "https://h.io/own", "q/a.go", "package q"),
+    ]
+    df = spark.createDataFrame(files, "repository string, remote string, repo_path string, content string")
+    prefixes = spark.createDataFrame([("own", "mine.io/x"), ("r", "")], "repository string, prefix string")
+    paths = lambda **a: sorted(r["import_path"] for r in ingest.ingest_sources(df, **a).collect())
+    assert paths() == ["h.io/r/p", "l.io/o", "l.io/o/q"]
+    assert paths(import_comments=False) == ["h.io/own", "h.io/own/q", "h.io/r/p"]
+    assert paths(prefixes=prefixes, import_comments=False) == ["h.io/r/p", "mine.io/x", "mine.io/x/q"]
+    assert paths(prefixes=prefixes, import_comments=False, trim_repository_prefix=True) == ["mine.io/x", "p", "q"]
+
+
+def test_a_tree_of_repositories(spark, tmp_path):
+    for name, text in {"one/a.go": "package one\nimport \"x\"\n", "one/sub dir/b.go": "package b", "one/readme.txt": "package no", "two/go.mod": "module m.io/two", "two/c.go": "package c", "three/d.go": "package d", "loose.go": "package l"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    remotes = spark.createDataFrame([("one", "git@h.io:u/one.git"), ("two", "https://h.io/two"), ("other", "https://h.io/o")], "repository string, remote string")
+    files = ingest.read_source_tree(spark, str(tmp_path), remotes)
+    assert sorted((r["repository"], r["repo_path"]) for r in files.collect()) == [("one", "a.go"), ("one", "sub dir/b.go"), ("two", "c.go"), ("two", "go.mod")]
+    assert sorted(r["import_path"] for r in ingest.ingest_sources(files).collect()) == ["h.io/u/one", "h.io/u/one/sub dir", "m.io/two"]
