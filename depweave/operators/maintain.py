@@ -14,15 +14,30 @@ def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, F.col(order)).alias("_v")).select(key, "_v.*")
 
 
-def upsert(current: DataFrame, new: DataFrame, key: str = "import_path") -> DataFrame:
-    """Replace by key; rows of the same repository that the batch does not name stay."""
+def _one_per_key(rows: DataFrame, key: str, order: str | None) -> DataFrame:
+    """The batch's rows, one of each key: the last by ``order``, or, without it, an error where a key is repeated."""
+    if order is not None:
+        return last_per_key(rows, key, order)
+    value = F.struct(*[c for c in rows.columns if c != key])
+    one = rows.groupBy(key).agg(F.first(value).alias("_v"), F.count("*").alias("_n"))
+    repeated = F.raise_error(F.concat(F.lit(f"{key} is repeated in a batch without an order: "), F.col(key).cast("string")))
+    return one.select(key, F.when(F.col("_n") == 1, F.col("_v")).otherwise(repeated).alias("_v")).select(key, "_v.*").select(*rows.columns)
+
+
+def upsert(current: DataFrame, new: DataFrame, key: str = "import_path", order: str | None = None) -> DataFrame:
+    """Replace by key; rows of the same repository that the batch does not name stay.
+
+    The last write wins: of a batch's rows of one key, the one with the largest ``order`` (a column of the batch, which
+    the result does not have) is stored.  Without an order no key may be repeated: computing the result fails then.
+    """
+    new = _one_per_key(new, key, order).select(*current.columns)
     return current.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def upsert_reset(current: DataFrame, new: DataFrame, repository: str = "repository") -> DataFrame:
+def upsert_reset(current: DataFrame, new: DataFrame, repository: str = "repository", order: str | None = None) -> DataFrame:
     """Remove every row of the batch's repositories first, then upsert."""
     kept = current.join(new.select(repository).distinct(), repository, "left_anti").select(*current.columns)
-    return upsert(kept, new)
+    return upsert(kept, new, order=order)
 
 
 def remove_packages(packages: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:

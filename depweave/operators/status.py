@@ -148,48 +148,65 @@ def due(status: DataFrame, now: Column, minimum_seconds: int) -> DataFrame:
     return status.select(*KEY, out.alias("due"))
 
 
-def _share(key: str, seed: int) -> Column:
+def _share(key: Column, seed: int) -> Column:
     """A number from 0 to below 1 by a digest of the key, the same in every run and engine."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def sample(rows: DataFrame, key: str, rate: float, seed: int = 0) -> DataFrame:
-    """Rows kept with probability ``rate`` by a digest of the key, the same whenever it is run; 0 stands for 1."""
+def _rate(rate: float) -> float:
+    """A sampling rate; 0 stands for 1."""
     if not 0 <= rate <= 1:
         raise ValueError(f"rate {rate} is not within 0..1")
-    return rows.filter(_share(key, seed) < (rate or 1.0))
+    return rate or 1.0
+
+
+def sample(rows: DataFrame, key: str | Column, rate: float, seed: int = 0) -> DataFrame:
+    """Rows kept with probability ``rate`` by a digest of the key, the same whenever it is run; 0 stands for 1."""
+    key = F.col(key) if isinstance(key, str) else key
+    return rows.filter(_share(key, seed) < _rate(rate))
+
+
+def status_key() -> Column:
+    """What a scan goes by: the repository, or repository@tag."""
+    return F.when(F.coalesce("tag", F.lit("")) == "", F.col("repository")).otherwise(F.concat("repository", F.lit("@"), "tag"))
 
 
 def scan_plan(status: DataFrame, now: Column, minimum_seconds: int, rate: float, seed: int = 0) -> DataFrame:
-    """The work list: due repositories, sampled, with their tag and ref."""
-    keys = due(status, now, minimum_seconds).filter("due").select(*KEY)
-    return sample(status.select(*KEY, "ref_name").join(keys, list(KEY), "left_semi").dropDuplicates(list(KEY)), "repository", rate, seed)
+    """The work list: due (repository, tag) pairs, each once, sampled, with their ref; every tag is a key of its own."""
+    once = status.dropDuplicates(list(KEY))
+    keys = due(once, now, minimum_seconds).filter("due").select(*KEY)
+    return sample(once.select(*KEY, "ref_name").join(keys, list(KEY), "left_semi"), status_key(), rate, seed)
 
 
 def scan_summary(
     status: DataFrame, now: Column, minimum_seconds: int, rate: float, seed: int = 0, checks: DataFrame | None = None, packages: DataFrame | None = None
 ) -> DataFrame:
-    """One row: status rows, rows beyond the first of a repository, due ones, sampled ones, and what the scan changed.
+    """One row: status rows, rows beyond the first of a (repository, tag), due ones, sampled ones, and what the scan changed.
 
-    ``checks`` (repository, needs_update) are the sampled repositories' new checks; those that ask for an update count
-    as updates, and their rows in ``packages`` (repository) as packages. Without them both are 0.
+    A repeated row is dropped before it is judged; due and sampled ones are those of ``scan_plan``.
+    ``checks`` (repository, needs_update, and tag where there are several) are the sampled ones' new checks; those that
+    ask for an update count as updates, and their repositories' rows in ``packages`` (repository) as packages, once for
+    each update. Without them both are 0.
     """
-    flags = status.select("repository", "tag").join(due(status, now, minimum_seconds), list(KEY))
-    chosen = (_share("repository", seed) < (rate or 1.0)).cast("int")
-    per_repo = flags.groupBy("repository").agg(F.count("*").alias("n"), F.count_if("due").alias("d"), F.max(chosen).alias("s"))
+    rate = _rate(rate)
+    sizes = status.groupBy(*KEY).agg(F.count("*").alias("n"))
+    judged = due(status.dropDuplicates(list(KEY)), now, minimum_seconds).join(sizes, list(KEY))
+    chosen = (_share(status_key(), seed) < rate).cast("int")
+    keys = judged.select(*KEY, "n", F.col("due").cast("int").alias("d"), chosen.alias("s"))
     if checks is None:
-        per_repo = per_repo.withColumns({"u": F.lit(0), "p": F.lit(0).cast("long")})
+        keys = keys.withColumns({"u": F.lit(0), "p": F.lit(0).cast("long")})
     else:
-        changed = checks.groupBy("repository").agg(F.max(F.col("needs_update").cast("int")).alias("u"))
-        per_repo = per_repo.join(changed, "repository", "left").withColumn("u", F.when((F.col("d") > 0) & (F.col("s") > 0), F.coalesce("u", F.lit(0))).otherwise(0))
+        tag = F.col("tag") if "tag" in checks.columns else F.lit("")
+        changed = checks.select("repository", tag.alias("tag"), "needs_update").groupBy(*KEY).agg(F.max(F.col("needs_update").cast("int")).alias("u"))
+        keys = keys.join(changed, list(KEY), "left").withColumn("u", F.col("d") * F.col("s") * F.coalesce("u", F.lit(0)))
         owned = F.lit(0).cast("long")
         if packages is not None:
-            per_repo = per_repo.join(packages.groupBy("repository").agg(F.count("*").alias("own")), "repository", "left")
+            keys = keys.join(packages.groupBy("repository").agg(F.count("*").alias("own")), "repository", "left")
             owned = F.col("u") * F.coalesce("own", F.lit(0))
-        per_repo = per_repo.withColumn("p", owned)
+        keys = keys.withColumn("p", owned)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return per_repo.agg(
+    return keys.agg(
         total(F.col("n")).alias("scanned"), total(F.col("n") - 1).alias("duplicates"), total(F.col("d")).alias("due"),
         total(F.col("d") * F.col("s")).alias("samples"), total(F.col("u")).alias("updates"), total(F.col("p")).alias("packages"),
     )

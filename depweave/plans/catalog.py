@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from ..sources import derived as D
 from ..sources import export as X
 from ..sources import ingest as IN
 from ..sources.scratch import Snapshots, shared_dir
+from ..streaming import keyed_status as KS
 from ..streaming import status_stream as SS
 from .oracle_base import FILES, MINIMUM, NOW, OBSERVATIONS, PACKAGES, with_
 
@@ -133,6 +135,21 @@ over_packages(
     """SELECT '{"target":"' || target || '","row":{"importPath":"' || import_path || '","repository":"' || p.repository || '","directs":["' || array_to_string(directs, '","') || '"],"type":"LIBRARY"}}' AS value
     FROM edges JOIN packages p ON import_path = source WHERE starts_with(target, 'geo/')""",
 )
+# the same operators under SQL that unnests in place, without joining edges back to whole rows
+UNNESTED = "SELECT import_path, repository, directs, type, ranking, unnest(directs) AS target FROM packages"
+over_packages("reverse_complete_rows", lambda p: flat(RV.reverse(p, ["geo/...", "geo.example.com/..."], complete=True).withColumnRenamed("source", "import_path")),
+              f"SELECT {FLAT} FROM ({UNNESTED}) WHERE starts_with(target, 'geo/') OR starts_with(target, 'geo.example.com/')")
+over_packages(
+    "reverse_across_repositories", lambda p: RV.reverse(p, ["parts.example.org/...", "suppliers.example.net/...", "geo.example.com/..."], other_repository=True),
+    f""", owner AS MATERIALIZED (SELECT import_path AS node, repository AS owner FROM packages)
+    SELECT target, import_path AS source FROM ({UNNESTED}) LEFT JOIN owner ON node = target
+    WHERE (starts_with(target, 'parts.example.org/') OR starts_with(target, 'suppliers.example.net/') OR starts_with(target, 'geo.example.com/')) AND coalesce(owner <> repository, true)""",
+)
+over_packages(
+    "reverse_rows_json_parts", lambda p: X.edges_json(RV.reverse(p, ["type/..."], complete=True), rows=True),
+    f"""SELECT '{{"target":"' || target || '","row":{{"importPath":"' || import_path || '","repository":"' || repository || '","directs":["' || array_to_string(directs, '","') || '"],"type":"LIBRARY"}}}}' AS value
+    FROM ({UNNESTED}) WHERE starts_with(target, 'type/')""",
+)
 
 # --- sets and statistics -------------------------------------------------------------------------
 NOT_THERE = "target NOT IN (SELECT import_path FROM packages)"
@@ -228,14 +245,15 @@ over_packages(
 PART_ROWS = 10_000
 
 
-def salt(rows: DataFrame, key: str):
-    """A number by the key's hash, of so many that no group has more than about PART_ROWS rows of one number."""
-    return F.pmod(F.xxhash64(key), F.lit(-(-rows.count() // PART_ROWS) or 1))
+def salted(rows: DataFrame, group: list[str], key: str) -> DataFrame:
+    """Adds part, a number by the key's hash: as many as the row's own group needs, so that no part has more than about PART_ROWS rows."""
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / PART_ROWS).alias("_parts"))
+    return rows.join(sizes, group).withColumn("part", F.pmod(F.xxhash64(key), F.col("_parts"))).drop("_parts")
 
 
 def with_files(files: DataFrame) -> DataFrame:
     """Packages of the files; a package of many files is several rows, each with a part of them."""
-    files = files.groupBy("import_path", "repository", salt(files, "repo_path").alias("part")).agg(F.array_sort(F.collect_list(F.struct("repo_path", F.unhex("digest").alias("digest")))).alias("source_files"))
+    files = salted(files, ["import_path", "repository"], "repo_path").groupBy("import_path", "repository", "part").agg(F.array_sort(F.collect_list(F.struct("repo_path", F.unhex("digest").alias("digest")))).alias("source_files"))
     return files.select("import_path", F.lit("").alias("name"), "repository", F.array(F.regexp_extract("import_path", r"\A(.*)/", 1)).alias("directs"), "source_files", F.lit(2).alias("type"), F.lit(0.0).alias("ranking"))
 
 
@@ -264,7 +282,7 @@ def ingest_manifest(spark, d):
     path = _folder(spark, "manifests")
     package = F.struct(F.col("import_path").alias("importPath"), P.type_name(F.col("type")).alias("type"), F.col("directs").alias("imports"))
     p = D.packages(spark, d)
-    repos = p.groupBy("repository", salt(p, "import_path").alias("part")).agg(F.collect_list(package).alias("packages"))
+    repos = salted(p, ["repository"], "import_path").groupBy("repository", "part").agg(F.collect_list(package).alias("packages"))
     remotes = F.when(F.col("repository") != "", F.array(F.struct(F.lit("origin").alias("name"), F.col("repository").alias("url")))).otherwise(F.array())
     text = F.to_json(F.array(F.struct(remotes.alias("remotes"), "packages")), {"pretty": "true"})
     repos.select(text.alias("value")).write.text(path)
@@ -431,6 +449,38 @@ def status_stream(spark, d):
     return plain_times(status_columns(status))
 
 
+def _deliveries(rows: DataFrame, parts: int) -> list[DataFrame]:
+    """The rows in so many parts of about the same size, in order of time."""
+    cuts = rows.select(F.percentile_approx(F.unix_micros("ts"), [k / parts for k in range(1, parts)]).alias("q")).first()["q"] or []
+    at, bounds = F.unix_micros("ts"), [None, *cuts, None]
+    both = lambda lo, hi: (F.lit(True) if lo is None else at > lo) & (F.lit(True) if hi is None else at <= hi)
+    return [rows.filter(both(lo, hi)) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+
+
+@query(with_(OBSERVATIONS) + STATUS_SQL)
+def status_keyed(spark, d):
+    """The fold as keyed streaming state over three deliveries; the table is read from the state."""
+    root = _folder(spark, "keyed")
+    rows = D.observations(spark, d).select("repository", "tag", "ref", "digest", "failed", "ts", "seq")
+    for part in _deliveries(rows, 3):
+        part.write.mode("append").parquet(f"{root}/in")
+        KS.run_keyed_status(spark, f"{root}/in", root, files_per_batch=1_000_000)
+    return plain_times(status_columns(KS.keyed_status(spark, root)))
+
+
+@query(with_(OBSERVATIONS) + PLAN + " SELECT repository, tag, ref_name FROM p WHERE due AND chosen")
+def due_stream(spark, d):
+    """The work list as timers emit it: two deliveries of the observations, then the clock moves to the time of the scan."""
+    root = _folder(spark, "timers")
+    rule = KS.ScanRule(MINIMUM, 0.5, 3)
+    for part in _deliveries(D.observations(spark, d).select("repository", "tag", "ref", "digest", "failed", "ts", "seq"), 2):
+        part.write.mode("append").parquet(f"{root}/in")
+        KS.run_keyed_status(spark, f"{root}/in", root, rule, files_per_batch=1_000_000)
+    KS.tick(spark, f"{root}/in", datetime.fromisoformat(NOW))
+    KS.run_keyed_status(spark, f"{root}/in", root, rule, files_per_batch=1_000_000)
+    return KS.due_changes(spark, root).filter(F.col("at") == now()).select("repository", "tag", "ref_name")
+
+
 @query()
 def crawl_batch(spark, d):
     """A crawl round: customers' repositories checked by the events, reloaded without their suppliers."""

@@ -247,3 +247,16 @@ def test_row_json_writes_types_by_name(spark, graph):
     assert any('"type":"LIBRARY"' in x for x in lines) and not any('"type":2' in x for x in lines)
     back = export.parse_rows_json(spark.createDataFrame([('{"importPath":"a","type":2}',), ('{"importPath":"b","type":"PROGRAM"}',), ('{"importPath":"c"}',)], "value string"))
     assert [r["type"] for r in back.orderBy("import_path").collect()] == [2, 3, 0]
+
+
+def test_the_last_write_of_a_batch_wins(spark, graph):
+    row = lambda path, repo, directs, n: (path, repo, directs, 2, 0.0, n)
+    batch = spark.createDataFrame([row("a.io/x", "r1", ["old"], 1), row("a.io/x", "r2", ["new"], 3), row("a.io/x", "r1", ["mid"], 2), row("z.io/z", "r2", [], 1)],
+                                  "import_path string, repository string, directs array<string>, type int, ranking double, n long")
+    plain = graph.select("import_path", "repository", "directs", "type", "ranking")
+    got = {r["import_path"]: (r["repository"], r["directs"]) for r in maintain.upsert(plain, batch, order="n").collect()}
+    assert got["a.io/x"] == ("r2", ["new"]) and got["z.io/z"] == ("r2", [])
+    assert maintain.upsert(plain, batch, order="n").columns == plain.columns
+    assert maintain.upsert_reset(plain, batch, order="n").filter("import_path = 'a.io/x'").count() == 1
+    with pytest.raises(Exception, match="is repeated in a batch"):
+        maintain.upsert(plain, batch.drop("n")).collect()

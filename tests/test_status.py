@@ -196,6 +196,28 @@ def test_summary_counts_what_changed(spark):
     assert (plain["updates"], plain["packages"]) == (0, 0)
 
 
+def test_summary_and_plan_go_by_repository_and_tag(spark):
+    """Two tags are two keys, each judged and sampled by itself; repeated rows are dropped before they are judged."""
+    tagged = feed(spark).withColumn("tag", F.lit("v1"))
+    status = S.fold(feed(spark).unionByName(tagged).unionByName(feed(spark, repo="https://s")))
+    late = F.lit(minute(500))
+    twice = status.unionByName(status.filter("repository = 'https://s'"))
+    checks = spark.createDataFrame([("https://r", "", True), ("https://r", "v1", True), ("https://s", "", False)], "repository string, tag string, needs_update boolean")
+    packages = spark.createDataFrame([("https://r",), ("https://s",)], "repository string")
+    row = S.scan_summary(twice, late, 60, 1, 0, checks, packages).first().asDict()
+    assert row == {"scanned": 4, "duplicates": 1, "due": 3, "samples": 3, "updates": 2, "packages": 2}
+    plan = sorted((r["repository"], r["tag"]) for r in S.scan_plan(twice, late, 60, 1).collect())
+    assert plan == [("https://r", ""), ("https://r", "v1"), ("https://s", "")]
+    for seed in range(5):  # the plan's rows are the summary's samples
+        chosen = S.scan_plan(twice, late, 60, 0.5, seed).collect()
+        assert S.scan_summary(twice, late, 60, 0.5, seed, checks).first()["samples"] == len(chosen)
+    apart = [len({r["tag"] for r in S.scan_plan(status, late, 60, 0.5, k).filter("repository = 'https://r'").collect()}) for k in range(12)]
+    assert 1 in apart
+    for wrong in (5.0, -0.1):
+        with pytest.raises(ValueError):
+            S.scan_summary(status, late, 60, wrong)
+
+
 def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
     from depweave.sources import scratch
 
