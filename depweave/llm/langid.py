@@ -9,8 +9,6 @@ rejected.  All texts are treated alike, whatever their length.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +24,6 @@ LEVEL = 6
 BLOCK = 2000  # bytes compressed at a time
 
 _NOISE = bytes([*range(0, 10), *range(11, 32), *range(33, 65), *range(91, 97), *range(123, 128)])
-_LETTER = re.compile(r"[^\W\d_]")
 _COMPRESSORS: dict[bytes, list] = {}
 _SPACE = 1 << 40  # draws are hashes below this
 
@@ -98,7 +95,7 @@ def compressed_sizes(text: str, compressors: list) -> list[int]:
 
 def predict(text: str | None, names: list[str], compressors: list) -> tuple[str, float, float]:
     """(language, score, margin) of one text."""
-    if not names or text is None or not _LETTER.search(text):
+    if not names or text is None or not any(map(str.isalpha, text)):  # letters of Unicode: not digits, fractions or numerals
         return UNDETERMINED, 0.0, 0.0
     sizes = np.array(compressed_sizes(text, compressors), float)
     order = np.argsort(sizes, kind="stable")

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import lower_bytes, span_hashes
+from .common import lower_bytes, mix64, span_hashes
 
-SLOT_BITS = 21  # slots of the table: 12 bytes each, and 6 for each unit
+SLOT_BITS = 21  # slots of the table: 12 bytes each, and 10 for each unit
 MAX_UNITS, MAX_IDS = 1_300_000, 12_000_000  # the memo starts anew beyond these
 MAX_UNIT_BYTES = 64  # longer units, and those beyond MAX_UNITS in one text, are encoded once per group of texts
 
@@ -115,6 +115,17 @@ class Slots:
             slot[todo] = (slot[todo] + 1) & self.mask
 
 
+def edge_checks(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A 32-bit check of each unit's length and its first and last eight bytes, independent of the hashes it is found by."""
+    padded = np.concatenate((low, np.zeros(8, np.uint8)))
+    out = (e - s).astype(np.uint64)
+    for at in (s, np.maximum(s, e - 8)):
+        eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[at]
+        eight = eight * (np.arange(8) < (e - at)[:, None])
+        out = mix64(out ^ np.ascontiguousarray(eight.astype(np.uint8)).view(np.uint64).ravel(), 21)
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
 class UnitMemo:
     """Ids of units; ``encode`` gives the ids of many units as one array, with their lengths."""
 
@@ -126,6 +137,7 @@ class UnitMemo:
         self.slots = Slots(SLOT_BITS)
         self.start = np.zeros(MAX_UNITS, np.int32)
         self.length = np.zeros(MAX_UNITS, np.int16)
+        self.check = np.zeros(MAX_UNITS, np.uint32)
         self.flat = np.zeros(1 << 16, self.id_type)
         self.count = self.used = 0
 
@@ -137,12 +149,13 @@ class UnitMemo:
         self.flat[self.used : self.used + len(ids)] = ids
         return self.used
 
-    def _add(self, h: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Distinct new hashes and their ids."""
+    def _add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Distinct new hashes, their units' checks and ids."""
         at = np.arange(self.count, self.count + len(h))
         self.slots.add(h, at.astype(np.int32))
         self.start[at] = self._hold(ids) + np.cumsum(lengths) - lengths
         self.length[at] = lengths
+        self.check[at] = check
         self.used += len(ids)
         self.count += len(h)
 
@@ -151,7 +164,7 @@ class UnitMemo:
         low = plain_bytes(data, off)
         s, e, first = unit_spans(low, off, self.cut)
         h = np.maximum(span_hashes(low, s, e), np.uint64(1))
-        short = e - s <= MAX_UNIT_BYTES
+        check, short = edge_checks(low, s, e), e - s <= MAX_UNIT_BYTES
         slot = self.slots.find(h)
         new = np.flatnonzero((slot < 0) & short)
         if len(new):
@@ -160,9 +173,9 @@ class UnitMemo:
                 self.clear()
                 new = np.flatnonzero(short)
                 pick = new[np.unique(h[new], return_index=True)[1]][:MAX_UNITS]
-            self._add(h[pick], *self.encode([low[a:b].tobytes() for a, b in zip(s[pick].tolist(), e[pick].tolist(), strict=True)]))
+            self._add(h[pick], check[pick], *self.encode([low[a:b].tobytes() for a, b in zip(s[pick].tolist(), e[pick].tolist(), strict=True)]))
             slot = self.slots.find(h)
-        slot[~short] = -1
+        slot[~short | (self.check[slot] != check)] = -1  # a unit under another one's hash is encoded like a long one
         start, n = self.start[slot].astype(np.int64), self.length[slot].astype(np.int64)
         large = np.flatnonzero(slot < 0)
         if len(large):  # encoded for this group alone: their ids lie behind those in use

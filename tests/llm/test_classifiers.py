@@ -251,3 +251,12 @@ def test_language_margin_does_not_shrink_with_length():
     compressors = langid._compressors({k: text(k, 30_000).encode() for k in words})
     (one, _, short), (many, _, long) = (langid.predict(text("xx", n), ["xx", "yy"], compressors) for n in (14_000, 280_000))
     assert one == many == "xx" and long > 0.7 * short
+
+
+def test_texts_without_letters_are_undetermined(spark, documents):
+    odd = ["²", "½ ①", "Ⅷ 12", "٣٤", "_ - 7", "漢", "é", "ʰ"]  # the last three are letters
+    rows = [(10**6 + k, t, "xx") for k, t in enumerate(odd)]
+    docs = documents.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify_languages(docs, L() | (F.col("doc_id") >= 10**6)).filter("doc_id >= 1000000").collect()}
+    assert [got[10**6 + k][0] == "und" for k in range(len(odd))] == [True] * 5 + [False] * 3
+    assert all(got[10**6 + k] == ("und", 0.0) for k in range(5))

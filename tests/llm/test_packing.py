@@ -137,3 +137,19 @@ def test_clashing_columns_are_carried(spark):
     df = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, size string, salt string, rank int, slot int")
     out = P.pack(df)
     assert out.columns == [*df.columns, "sequence_id", "offset"] and out.select(*df.columns).exceptAll(df).count() == 0 and out.count() == 50
+
+
+def test_units_under_one_hash_keep_their_ids(documents, texts, monkeypatch):
+    """Where the hash that units are found by fails, the check tells them apart."""
+    from depweave.llm import unit_memo
+
+    real = unit_memo.span_hashes
+    monkeypatch.setattr(unit_memo, "span_hashes", lambda data, s, e: real(data, s, e) % np.uint64(50) << np.uint64(58))
+    memo = unit_memo.UnitMemo(P._encoder(PATH).encode)
+    some = [t for t in texts.values() if t][:40]
+    for group in (some[:20], some[20:], some[:20]):
+        raw = [t.encode() for t in group]
+        data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+        flat, bounds = memo.ids(data, off, 2)
+        for k, want in enumerate(reference_ids(group)):
+            assert (flat[bounds[k] : bounds[k + 1]] == want).all()
