@@ -9,7 +9,8 @@ listed when the first level it fails has an odd number.  Looking a key up needs
 join; every expression is a built-in function.
 
 The filters grow with the list, and by log2(universe / list) bits per listed key, not with the corpus.
-Their size is checked before they go into the plan; a list beyond it is looked up by joins on its keys.
+What goes into a plan is of bounded size: keys are dealt into *shards* by their hash, each with cascades of its own
+that fit the bound, and the URLs are passed through one shard after the other, without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ascii_lower
 
-MAX_WORDS = 500_000  # 64-bit words of all levels of a cascade together: 4 MB; joins serve a longer list
+MAX_WORDS = 500_000  # 64-bit words of all levels of a shard's cascade together: 4 MB
+FEW = 64  # a cascade of so few keys is small in any case
 BROADCAST_ROWS = 10_000  # listed keys are broadcast up to this many while a cascade is built
 
 
@@ -121,7 +123,7 @@ class Cascade:
 def build_cascade(listed: DataFrame, universe: DataFrame, scratch: Scratch, universe_size: int) -> Cascade | None:
     """A cascade that tells ``listed`` from the rest of ``universe`` exactly (both: distinct column key).
 
-    None where its levels would have more than MAX_WORDS words.
+    None where it has more than FEW keys and its levels would have more than MAX_WORDS words: it needs more shards then.
     """
     inside = scratch.write(listed.select("key").distinct(), "listed")
     n = inside.count()
@@ -134,7 +136,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, scratch: Scratch, univ
     while count:
         bits, hashes = _size(count, max(rate, 2**-40))
         words += bits // 64
-        if words > MAX_WORDS:
+        if words > MAX_WORDS and n > FEW:
             return None
         level = _build(members, bits, hashes, len(levels))
         passed = scratch.write(others.filter(level.passes(F.col("key"), len(levels))), f"level-{len(levels)}")
@@ -161,14 +163,37 @@ def _listed(spark, rules: list[Rule] | DataFrame, scratch: Scratch) -> DataFrame
     return keys.select("key", "length", "allow")
 
 
-def _judged_by_join(rows: DataFrame, listed: DataFrame, lengths: list[int], scratch: Scratch) -> DataFrame:
-    """(page_id, host, path, best) by joining the candidate keys with the list; for lists beyond a cascade's bound."""
-    rows = scratch.write(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    keys = rows.select("rid", F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("c"))
-    verdict = F.when(F.col("allow"), F.lit("allow")).otherwise(F.lit("block"))
-    hits = keys.select("rid", "c.size", "c.host_size", "c.key").join(listed.groupBy("key").agg(F.first("allow").alias("allow")), "key")
-    best = hits.groupBy("rid").agg(F.max(F.struct("size", "host_size", "key", verdict.alias("verdict"))).alias("best"))
-    return rows.join(best, "rid", "left").drop("rid")
+def expected_words(count: int, universe_size: int) -> int:
+    """About how many words a cascade of so many keys will have: its first level, and the geometric rest."""
+    rate = min(0.5, count * math.sqrt(0.5) / max(1, universe_size - count))
+    passing = rate * max(0, universe_size - count)
+    return _size(count, max(rate, 2**-40))[0] // 64 + int(2 * (count + passing) / 64) + 1 if count else 0
+
+
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(shards)).cast("int")
+
+
+def _sharded_cascades(listed: DataFrame, keys: DataFrame, scratch: Scratch) -> list[list[Cascade]]:
+    """For each shard of the keys, the cascades of allowed and of blocked keys; as many shards as their bound asks for."""
+    universe = scratch.write(keys.distinct(), "universe")
+    size, counts = universe.count(), {r["allow"]: r["count"] for r in listed.groupBy("allow").count().collect()}
+    shards = max(1, *(-(-expected_words(n, size) // max(MAX_WORDS, 1)) if n > FEW else 1 for n in (counts.get(True, 0), counts.get(False, 0))))
+    while True:
+        if shards > 1:
+            path = scratch.path("sharded-universe")
+            universe.withColumn("shard", _shard(F.col("key"), shards)).write.partitionBy("shard").parquet(path)
+            dealt = scratch.spark.read.schema("key string, shard int").parquet(path)
+        out: list[list[Cascade]] = []
+        for k in range(shards):
+            mine = dealt.filter(F.col("shard") == k).select("key") if shards > 1 else universe
+            own = listed.filter(_shard(F.col("key"), shards) == k) if shards > 1 else listed
+            out.append([build_cascade(own.filter(F.col("allow") == v), mine, scratch, size // shards) for v in (True, False)])
+            if None in out[-1]:
+                break
+        else:
+            return out
+        shards *= 2  # an uneven shard went over the bound
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, default_allow: bool = True) -> DataFrame:
@@ -188,19 +213,25 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, default_allow: b
     url = F.col("url").cast("string")
     rows = pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"))
     keys = rows.select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("c")).select("c.key")
-    universe = scratch.write(keys.distinct(), "universe")
-    size = universe.count()
-    cascades = [build_cascade(listed.filter(F.col("allow") == v), universe, scratch, size) for v in (True, False)]
-    if None in cascades:
-        found = _judged_by_join(rows, listed, lengths, scratch)
-    else:
-        allow, block = cascades
+    cascades = _sharded_cascades(listed, keys, scratch)
+
+    def hits(k: int) -> Column:
+        """Of a URL's keys those that the shard's cascades hold; the largest is the longest."""
+        allow, block = cascades[k]
+        candidates = candidate_keys(F.col("host"), F.col("path"), lengths)
+        if len(cascades) > 1:
+            candidates = F.filter(candidates, lambda c: _shard(c["key"], len(cascades)) == k)
         judged = F.transform(
-            candidate_keys(F.col("host"), F.col("path"), lengths),
+            candidates,
             lambda c: F.struct(c["size"].alias("size"), c["host_size"].alias("host_size"), c["key"].alias("key"),
                                F.when(allow.holds(c["key"]), F.lit("allow")).when(block.holds(c["key"]), F.lit("block")).alias("verdict")),
         )
-        found = rows.withColumn("best", F.array_max(F.filter(judged, lambda c: c["verdict"].isNotNull())))
+        return F.filter(judged, lambda c: c["verdict"].isNotNull())
+
+    found = rows.withColumn("best", F.array_max(hits(0)))
+    for k in range(1, len(cascades)):  # each shard's literals are in a plan of their own
+        done = scratch.write(found, "judged")
+        found = done.withColumn("best", F.array_max(F.concat(F.when(F.col("best").isNull(), F.array()).otherwise(F.array("best")), hits(k))))
     return found.select(
         "page_id", "host", "path", F.col("best.key").alias("rule"),
         F.coalesce(F.col("best.verdict"), F.lit("allow" if default_allow else "block")).alias("verdict"),

@@ -209,6 +209,21 @@ def test_a_long_list(spark):
     assert all(v == ((f"host{k}.example.com/", "allow" if k % 2 == 0 else "block") if k < 20_000 else (None, "allow")) for k, v in got.items())
 
 
+def test_a_list_of_many_shards_keeps_its_cascades(spark, monkeypatch):
+    """Beyond the bound of one plan the keys are dealt into shards; verdicts are those of one cascade."""
+    rules = [U.Rule(f"h{k % 60}.example.com", f"/p{k // 60}", k % 3 == 0) for k in range(600)] + [U.Rule("com", "/", False)]
+    rows = [(k, f"http://{'www.' if k % 2 else ''}H{k % 70}.example.{'com' if k % 5 else 'net'}/p{k % 12}/x?q") for k in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    judged = lambda: sorted(map(str, U.judge_urls(df, rules).collect()))
+    want, made = judged(), []
+    build = U._sharded_cascades
+    monkeypatch.setattr(U, "MAX_WORDS", 12)
+    monkeypatch.setattr(U, "_sharded_cascades", lambda *a: made.append(build(*a)) or made[-1])
+    assert judged() == want
+    assert len(made[0]) >= 3 and all(c.words <= 12 or c.words <= 3 * U.FEW for pair in made[0] for c in pair)
+    assert U.expected_words(10**8, 10**10) / U.MAX_WORDS < 60  # a hundred million keys take so many passes
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20000).select(F.concat(F.lit("key"), "id").alias("key"))
     listed = universe.filter("crc32(key) % 9 = 0")
