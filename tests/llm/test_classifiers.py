@@ -1,5 +1,6 @@
 """Quality, language and language-model scores: held-out accuracy, brute force, odd rows."""
 
+import re
 from pathlib import Path
 
 import numpy as np
@@ -150,22 +151,14 @@ def test_dictionaries_do_not_depend_on_partitions_or_copies(documents):
     assert langid.sample_dictionaries(rows.repartition(7)) == langid.sample_dictionaries(rows.union(rows).repartition(3))
 
 
-def words_of(texts):
-    """Distinct words of texts: hashes and endings."""
-    raw = " ".join(texts).encode()
-    h, ending, _ = lm_score._words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-    h, first = np.unique(h, return_index=True)
-    return h, ending[first]
-
-
 def test_lm_scores(documents, texts, messy, nothing):
     vocabulary, weights = lm_score.fit(documents)
     rows = {r["doc_id"]: r for r in lm_score.score(documents, vocabulary, weights).collect()}
     n = {i: len(t.split()) for i, t in texts.items()}
     assert vocabulary.counts.sum() == sum(n.values()) == sum(r["n_tokens"] for r in rows.values())
     net = lm_score.Network(weights)
-    tokens = np.arange(lm_score.TOKENS)
-    context = [np.full(lm_score.TOKENS, 3 + k) for k in range(2 * lm_score.SIDE)]
+    tokens = np.arange(vocabulary.size)
+    context = [np.full(vocabulary.size, 3 + k) for k in range(2 * lm_score.SIDE)]
     assert np.exp(net.log_prob(context, tokens)).sum() == pytest.approx(1, abs=1e-4)
     odd = {r["doc_id"]: r for r in lm_score.score(messy, vocabulary, weights).collect()}
     assert [(odd[i]["n_tokens"], odd[i]["log_likelihood"], odd[i]["mean_log_likelihood"]) for i in (1, 2, 3)] == [(0, 0.0, None)] * 3
@@ -175,23 +168,39 @@ def test_lm_scores(documents, texts, messy, nothing):
 
 
 @pytest.mark.parametrize("listed", [1 << 18, 900, 100])
-def test_lm_words_share_their_token(documents, texts, monkeypatch, listed):
-    monkeypatch.setattr(lm_score, "LISTED", listed)
-    vocabulary = lm_score.build_vocabulary(lm_score.count_words(documents))
-    assert len(vocabulary.hashes) <= listed
-    h, ending = words_of(list(texts.values()))
-    token, share = vocabulary.encode(vocabulary.table(), h, ending)
-    total = np.bincount(token, weights=np.exp(share), minlength=lm_score.TOKENS)
-    assert np.allclose(total[vocabulary.counts > 0], 1)  # over all words of the corpus
+def test_lm_words_share_their_token(spark, documents, texts, monkeypatch, listed):
+    """Every word of the corpus has the share of its own count, listed or not; a token's words share it among them."""
     import collections
+    import math
 
-    count = collections.Counter(w for t in texts.values() for w in t.translate({i: i + 32 for i in range(65, 91)}).split())
-    top = count.most_common(50)
-    for word, k in top:
-        x, b = words_of([word])
-        t, sh = vocabulary.encode(vocabulary.table(), x, b)
-        if vocabulary.table().find(x)[0] >= 0:
-            assert np.exp(sh[0]) * vocabulary.counts[t[0]] == pytest.approx(k)
+    from depweave.llm.common import Scratch
+
+    monkeypatch.setattr(lm_score, "LISTED", listed)
+    scratch = Scratch(spark, "lm")
+    vocabulary = lm_score.build_vocabulary(scratch.write(lm_score.count_words(documents), "counts"))
+    assert len(vocabulary.hashes) <= listed and (vocabulary.rest is None) == (listed == 1 << 18)
+    count = collections.Counter(w for t in texts.values() for w in re.findall(r"[^\x20\x09-\x0D]+", t.translate({i: i + 32 for i in range(65, 91)})))
+    words = sorted(count)
+    encoded = lm_score.encode_documents(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), vocabulary, scratch)
+    rare = lm_score.rare_shares(encoded, vocabulary, scratch)
+    more = {r["rid"]: r["more"] for r in rare.collect()} if rare is not None else {}
+    total = np.zeros(vocabulary.size)
+    for r in encoded.collect():
+        token, share = int.from_bytes(r["tokens"], "little"), r["shares"] + more.get(r["rid"], 0)
+        total[token] += math.exp(share)
+        assert math.exp(share) * vocabulary.counts[token] == pytest.approx(count[words[r["doc_id"]]])
+    assert np.allclose(total[vocabulary.counts > 0], 1)
+    unseen = lm_score.encode_documents(spark.createDataFrame([(1, "neverseen")], "doc_id long, text string"), vocabulary, scratch)
+    assert lm_score.rare_shares(unseen, vocabulary, scratch).first()["more"] == pytest.approx(math.log(0.5))
+
+
+def test_lm_grows_with_the_corpus():
+    sizes = [lm_score.classes_for(n) for n in (0, 100, 10**4, 10**6, 10**7, 10**9)]
+    assert sizes == [8, 8, 16, 32, 64, 96]
+    assert [lm_score.rounds_for(n) for n in (0, 10**6, 10**8, 10**13)] == [2, 2, 4, 13]
+    for k in sizes:
+        net = lm_score.Network(np.zeros(lm_score.Network.size(k * k)))
+        assert net.classes == k and 2 * lm_score.SIDE * (net.tokens + 1) <= 1 << 16
 
 
 def test_lm_score_is_the_sum_over_masked_positions(documents):
@@ -202,10 +211,11 @@ def test_lm_score_is_the_sum_over_masked_positions(documents):
     data = np.frombuffer(row["text"].encode(), np.uint8)
     s, e, _ = word_spans(data, np.array([0, len(data)]))
     _, ending, _ = lm_score._words(data, np.array([0, len(data)]))
-    tokens, shares = vocabulary.encode(vocabulary.table(), span_hashes(lower_bytes(data), s, e), ending)
+    tokens, shares, known = vocabulary.encode(vocabulary.table(), span_hashes(lower_bytes(data), s, e), ending)
+    assert known.all()
     token, total = tokens.tolist(), float(shares.sum())
     for i, t in enumerate(token):
-        around = [token[i + k] if 0 <= i + k < len(token) else lm_score.PAD for k in lm_score._SHIFTS]
+        around = [token[i + k] if 0 <= i + k < len(token) else net.pad for k in lm_score._SHIFTS]
         total += net.log_prob([np.array([c]) for c in around], np.array([t]))[0]
     got = lm_score.score(documents.filter(F.col("doc_id") == row["doc_id"]), vocabulary, weights).first()
     assert got["log_likelihood"] == pytest.approx(total, rel=1e-4)
@@ -220,7 +230,7 @@ def test_lm_trains_on_every_window_once(spark, monkeypatch):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     vocabulary, weights = lm_score.fit(docs)
     assert np.isfinite(weights).all()
-    assert (np.bincount(seen, minlength=lm_score.TOKENS) == vocabulary.counts).all()
+    assert (np.bincount(seen, minlength=vocabulary.size) == vocabulary.counts).all()
 
 
 def test_lm_learns_the_order_of_words(spark):
