@@ -14,7 +14,7 @@ def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, F.col(order)).alias("_v")).select(key, "_v.*")
 
 
-def _one_per_key(rows: DataFrame, key: str, order: str | None) -> DataFrame:
+def one_per_key(rows: DataFrame, key: str, order: str | None) -> DataFrame:
     """The batch's rows, one of each key: the last by ``order``, or, without it, an error where a key is repeated."""
     if order is not None:
         return last_per_key(rows, key, order)
@@ -30,7 +30,7 @@ def upsert(current: DataFrame, new: DataFrame, key: str = "import_path", order:
     The last write wins: of a batch's rows of one key, the one with the largest ``order`` (a column of the batch, which
     the result does not have) is stored.  Without an order no key may be repeated: computing the result fails then.
     """
-    new = _one_per_key(new, key, order).select(*current.columns)
+    new = one_per_key(new, key, order).select(*current.columns)
     return current.join(new.select(key), key, "left_anti").unionByName(new)
 
 

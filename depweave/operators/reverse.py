@@ -20,13 +20,14 @@ def _split(patterns: list[str]) -> tuple[list[str], list[str]]:
     return [p for p in patterns if not (p.endswith("/...") and len(p) > 4)] + roots, roots
 
 
-def _hit(target, patterns: list[str]):
+def matches(target, patterns: list[str]):
+    """Whether a target matches any pattern, as a predicate that reaches files sorted by target."""
     exact, roots = _split(patterns)
     out = target.isin(exact)
     if len(patterns) > INLINE_PATTERNS:
         return out | F.exists(ancestors(target), lambda a: a.isin(roots) & (a != target) & (F.length(target) > F.length(a) + 1))
     for r in roots:
-        out = out | (target.startswith(r + "/") & (F.length(target) > len(r) + 1))
+        out = out | (target.startswith(r + "/") & (target != r + "/"))
     return out
 
 
@@ -45,7 +46,7 @@ def reverse(packages: DataFrame, patterns: list[str], other_repository: bool = F
         rows = rows.filter(source_filter(F.col("import_path"), matching))
     found = rows.select(F.explode("directs").alias("target"), F.col("import_path").alias("source"), *carried)
     if len(patterns) <= SET_PATTERNS:
-        found = found.filter(_hit(F.col("target"), patterns))
+        found = found.filter(matches(F.col("target"), patterns))
     else:
         spark = packages.sparkSession
         exact, roots = _split(patterns)
@@ -80,7 +81,7 @@ def reverse_page(packages: DataFrame, patterns: list[str], limit: int = PAGE_SIZ
     rows = packages.filter(F.col("import_path") >= page_key)
     passing = rows.filter(source_filter(F.col("import_path"), matching)) if matching else rows
     if len(patterns) <= SET_PATTERNS and not args.get("other_repository"):  # a row's hits lie in the row
-        per_row = passing.select(F.col("import_path").alias("source"), F.filter("directs", lambda t: _hit(t, patterns)).alias("targets")).filter(F.size("targets") > 0)
+        per_row = passing.select(F.col("import_path").alias("source"), F.filter("directs", lambda t: matches(t, patterns)).alias("targets")).filter(F.size("targets") > 0)
     else:
         found = reverse(rows, patterns, matching=matching, **args)
         per_row = found.groupBy("source").agg(F.collect_list("target").alias("targets"))  # part of the row's own array

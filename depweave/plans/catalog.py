@@ -16,8 +16,10 @@ from ..operators import match as MA
 from ..operators import rank as R
 from ..operators import resolve as RE
 from ..operators import reverse as RV
+from ..operators import reverse_index as RI
 from ..operators import stats as S
 from ..operators import status as ST
+from ..sources import buckets as B
 from ..sources import derived as D
 from ..sources import export as X
 from ..sources import ingest as IN
@@ -514,6 +516,37 @@ def crawl_stream(spark, d):
     return out.select("import_path", "repository", F.size("directs").alias("links"))
 
 
+def _keyed_crawl(spark, d) -> tuple[B.Buckets, RI.ReverseIndex]:
+    """The crawl as keyed state over two deliveries; its package table and index."""
+    root, p = _folder(spark, "keyed-crawl"), D.packages(spark, d)
+    fresh = p.withColumn("directs", F.filter("directs", lambda t: ~t.startswith("suppliers.")))
+    packages, index = B.Buckets(spark, f"{root}/packages", 16), RI.ReverseIndex(spark, f"{root}/index")
+    packages.create(p)
+    index.build(packages.read())
+    for part in _deliveries(_customer_checks(spark, d), 2):
+        part.write.mode("append").parquet(f"{root}/in")
+        KS.run_keyed_crawl(spark, f"{root}/in", root, packages, fresh, index, files_per_batch=1_000_000)
+    return packages, index
+
+
+RELOADED = """SELECT import_path, repository, CASE WHEN replace(repository, 'orders.example.com/c', 'repos.example.com/u') IN (SELECT repository FROM good)
+    THEN list_filter(directs, lambda t: NOT starts_with(t, 'suppliers.')) ELSE directs END AS directs FROM packages"""
+
+
+@query(with_(PACKAGES, OBSERVATIONS) + f"SELECT import_path, repository, array_to_string(directs, ' ') AS directs FROM ({RELOADED})")
+def crawl_keyed(spark, d):
+    """Keyed state, one fold for each batch, and a package table of which a batch rewrites the buckets it touches."""
+    packages, _ = _keyed_crawl(spark, d)
+    return packages.read().select("import_path", "repository", F.array_join("directs", " ").alias("directs"))
+
+
+@query(with_(PACKAGES, OBSERVATIONS) + f"SELECT target, source FROM (SELECT import_path AS source, unnest(directs) AS target FROM ({RELOADED})) WHERE starts_with(target, 'suppliers.example.net/') OR target = 'parts.example.org/brand1/p1' OR starts_with(target, 'parts.example.org/brand1/')")
+def reverse_indexed(spark, d):
+    """Reverse dependencies from the index that the crawl has kept up."""
+    _, index = _keyed_crawl(spark, d)
+    return index.reverse(["suppliers.example.net/...", "parts.example.org/brand1/..."])
+
+
 @query(with_(PACKAGES) + f"SELECT {FLAT} FROM packages WHERE starts_with(import_path, 'orders.example.com/c1/') OR import_path = 'orders.example.com/c1'")
 def match_snapshot(spark, d):
     """The prefix match on a published table that is sorted by key: the pattern reaches the files."""

@@ -6,7 +6,8 @@ repository is worth a check; when the stream's clock passes it, the repository i
 moves on, until a check resets it.  No scan over all rows takes place.
 
 The output is one table of changes: a row of kind ``status`` for every key that a batch touched, one of kind ``due`` for
-every key that came due.  The status table is read from the state itself.
+every key that came due.  The status table is read from the state itself.  ``run_keyed_crawl`` reloads the repositories
+whose checks asked for an update into a bucketed package table and keeps the index of reverse dependencies up with it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.reverse_index import ReverseIndex
 from ..operators.status import HISTORY, KEY
+from ..sources.buckets import Buckets
+from ..sources.scratch import new_folder, remove_folder
 from .status_stream import OBSERVATION
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -104,7 +108,7 @@ def _processor(rule: ScanRule | None, history: int, clock: str):
             if key[0] == clock:
                 return
             s, entries = self._load()
-            before, fresh, checked = s["digest"], False, s["last_check"]
+            fresh = changed = False
             for r in sorted(rows, key=lambda r: (r["at"], r["seq"])):
                 if s["seen"] is not None and (r["at"], r["seq"]) <= (s["seen"], s["seen_seq"]):
                     continue
@@ -121,14 +125,14 @@ def _processor(rule: ScanRule | None, history: int, clock: str):
                 if s["digest"] is not None and r["digest"] != s["digest"]:
                     entries = [*entries, (len(entries), s["last_check"], s["digest"])][-history:]
                     fresh = True
+                changed |= r["digest"] != s["digest"]
                 s |= {"digest": r["digest"], "last_check": r["at"], "last_seq": r["seq"], "error_count": 0}
                 s["ref_name"] = r["ref"] if r["ref"] is not None else s["ref_name"]
             s["updates"] = len(entries)
             if rule:
                 self._arm(s, max(self._due_at(s, entries), -(-s["seen"] // 1000)) - 1)
             self._store(s, entries if fresh else None)
-            moved = s["last_check"] != checked and s["digest"] != before
-            yield self._row("status", key, s, entries, moved, s["seen"])
+            yield self._row("status", key, s, entries, changed, s["seen"])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             now = timerValues.getCurrentWatermarkInMs() + late_ms
@@ -187,6 +191,31 @@ def run_keyed_status(spark: SparkSession, source: str, root: str, rule: ScanRule
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def run_keyed_crawl(
+    spark: SparkSession, source: str, root: str, packages: Buckets, manifests: DataFrame, index: ReverseIndex | None = None, rule: ScanRule | None = None, files_per_batch: int = 1
+) -> None:
+    """The crawl over a folder of check results: each batch folds them into the state once, and rewrites the buckets of changed repositories.
+
+    ``manifests`` holds package rows of any repositories; only those of changed ones are taken.  The index takes a
+    batch's difference before the package table changes, under the batch's number; a batch that is delivered again
+    repeats the rest.  Ranks are another matter: they change with every edge anywhere, so they belong in a table of
+    their own, made from ``packages.read()`` when they are wanted.
+    """
+
+    def each(changed: DataFrame, number: int) -> None:
+        repositories = changed.filter("kind = 'status' AND changed").select("repository").distinct()
+        loaded = manifests.join(repositories, "repository", "left_semi").select(*packages.read().columns)
+        folder = new_folder(spark, "loaded")
+        loaded.write.parquet(folder)
+        loaded = spark.read.schema(loaded.schema).parquet(folder)
+        if index is not None:
+            index.apply(number, packages.replaced(loaded), loaded)
+        packages.apply(loaded, reset=True)
+        remove_folder(spark, folder)
+
+    run_keyed_status(spark, source, root, rule, files_per_batch, each)
+
+
 def changes(spark: SparkSession, root: str) -> DataFrame:
     """All changes so far, with the number of their batch."""
     return spark.read.schema(f"{OUTPUT}, batch long").option("basePath", f"{root}/changes").parquet(f"{root}/changes")
