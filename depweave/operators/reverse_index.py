@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import Snapshots, remove_folder
+from ..sources.differences import Differences
 from .reverse import SET_PATTERNS, matches
 
-MAX_DELTAS = 20
 _EDGE = ("target", "source", "repository")
 
 
@@ -19,72 +18,33 @@ def signed_edges(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class ReverseIndex:
-    """(target, source, repository, n) range-sorted by target: a base, and the differences of the batches since.
+    """(target, source, repository, n) range-sorted by target, kept by differences.
 
-    A query filters all of them by target, which reaches the files' row groups, and adds up what is left.  A batch
-    writes its difference under its number and changes nothing where that number is there already, so it may be
-    delivered again.  Beyond MAX_DELTAS differences they are merged into a new base.
+    A query filters the base and all differences by target, which reaches the files' row groups, and adds up what is left.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.base = Snapshots(spark, f"{self.root}/base")
+    def __init__(self, spark: SparkSession, root: str, most: int | None = None):
+        self.table = Differences(spark, root, _EDGE, "target", most)
 
     def build(self, packages: DataFrame) -> None:
-        """Begin anew with the edges of a whole package table; differences are numbered from 0 again."""
-        remove_folder(self.spark, f"{self.root}/deltas")
-        self.base.publish(signed_edges(packages.limit(0), packages), "target", {"upto": -1})
-
-    def _deltas(self) -> list[int]:
-        """Numbers of complete differences that the base lacks."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/deltas")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        done = [p for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        upto = self.base.note().get("upto", -1)
-        return sorted(n for n in (int(p.getName()) for p in done) if n > upto)
+        """Begin anew with the edges of a whole package table."""
+        self.table.build(signed_edges(packages.limit(0), packages))
 
     def apply(self, number: int, old: DataFrame, new: DataFrame) -> None:
         """Note that batch ``number`` turns ``old`` rows into ``new`` ones; call it before the package table changes."""
-        if number in self._deltas() or number <= self.base.note().get("upto", -1):
-            return
-        rows = signed_edges(old, new).repartitionByRange("target").sortWithinPartitions("target")
-        rows.write.mode("overwrite").parquet(f"{self.root}/deltas/{number}")
-        if len(self._deltas()) > MAX_DELTAS:
-            self.compact()
-
-    def _merged(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*_EDGE).agg(F.sum("n").alias("n")).filter("n <> 0")
-
-    def _tables(self) -> list[DataFrame]:
-        base = self.base.current()
-        return [base, *(self.spark.read.schema(base.schema).parquet(f"{self.root}/deltas/{n}") for n in self._deltas())]
-
-    def compact(self) -> None:
-        numbers, tables = self._deltas(), self._tables()
-        if not numbers:
-            return
-        rows = tables[0]
-        for t in tables[1:]:
-            rows = rows.unionByName(t)
-        self.base.publish(self._merged(rows), "target", {"upto": numbers[-1]})
-        for n in numbers:
-            remove_folder(self.spark, f"{self.root}/deltas/{n}")
+        if not self.table.has(number):
+            self.table.add(number, signed_edges(old, new))
 
     def edges(self, patterns: list[str] | None = None) -> DataFrame:
         """(target, source, repository, n) of the edges whose target matches any pattern; all of them without patterns.
 
         At most SET_PATTERNS patterns: they are predicates on the sorted tables.
         """
-        if patterns is not None and len(patterns) > SET_PATTERNS:
+        if patterns is None:
+            return self.table.sums().filter("n <> 0")
+        if len(patterns) > SET_PATTERNS:
             raise ValueError(f"more than {SET_PATTERNS} patterns: use reverse()")
-        rows = None
-        for t in self._tables():
-            t = t if patterns is None else t.filter(matches(F.col("target"), patterns))
-            rows = t if rows is None else rows.unionByName(t)
-        return self._merged(rows)
+        return self.table.sums(lambda part: part.filter(matches(F.col("target"), patterns))).filter("n <> 0")
 
     def reverse(self, patterns: list[str]) -> DataFrame:
         """(target, source) as ``reverse`` gives them: an edge that a row lists twice appears twice."""

@@ -4,10 +4,11 @@ import os
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from depweave.operators import reverse_index
 from depweave.operators.maintain import upsert, upsert_reset
+from depweave.operators.rank import pagerank
+from depweave.operators.rank_updates import RankState
 from depweave.operators.reverse import reverse
 from depweave.sources.buckets import Buckets
 from depweave.sources.scratch import new_folder
@@ -60,10 +61,9 @@ def test_a_bucket_whose_rows_all_move_is_emptied(spark):
     assert table.apply(spark.createDataFrame([], SCHEMA)) == []
 
 
-def test_the_index_equals_a_rebuild(spark, monkeypatch):
-    monkeypatch.setattr(reverse_index, "MAX_DELTAS", 2)
+def test_the_index_equals_a_rebuild(spark):
     rnd, root = random.Random(8), new_folder(spark, "index")
-    table, index = Buckets(spark, f"{root}/t", 8), reverse_index.ReverseIndex(spark, f"{root}/i")
+    table, index = Buckets(spark, f"{root}/t", 8), reverse_index.ReverseIndex(spark, f"{root}/i", most=2)
     table.create(spark.createDataFrame(rows(rnd, 80), SCHEMA))
     index.build(table.read())
     patterns = ["h.io/a1/...", "h.io/b7", "h.io/c..."]
@@ -79,7 +79,7 @@ def test_the_index_equals_a_rebuild(spark, monkeypatch):
         for some in (patterns, ["h.io/a12"], ["none/..."]):
             assert plain(index.reverse(some)) == plain(reverse(now, some))
             assert index.count(some).first()[0] == reverse(now, some).count()
-    assert index.base.note()["upto"] >= 2 and len(index._deltas()) <= 2
+    assert index.table.upto >= 2 and len(index.table.numbers()) <= 2
 
 
 def test_a_prefix_reaches_the_index_files(spark):
@@ -92,4 +92,40 @@ def test_a_prefix_reaches_the_index_files(spark):
     assert plan.count("StringStartsWith(target,h.io/a1/)") >= 2  # the base's scan and the difference's
     with pytest.raises(ValueError):
         index.edges(["x"] * 2000)
-    assert index.base.current().select(F.col("target")).count() > 0
+
+
+def far(spark, got, want):
+    """The largest difference of two tables of weights over the same nodes."""
+    a, b = ({r["import_path"]: r["weight"] for r in t.collect()} for t in (got, want))
+    assert a.keys() == b.keys()
+    return max(abs(a[k] - b[k]) for k in a)
+
+
+def test_ranks_follow_changes(spark):
+    """After random updates the weights are those of a full run; nodes come and go, and a repeated delivery changes nothing."""
+    rnd, root = random.Random(4), new_folder(spark, "ranks")
+    table, state = Buckets(spark, f"{root}/t", 8), RankState(spark, f"{root}/r", rounds=4, most=2)
+    table.create(spark.createDataFrame(rows(rnd, 70), SCHEMA))
+    state.build(table.read())
+    assert far(spark, state.weights(), pagerank(table.read(), 4)) < 1e-9
+    for number in range(3):
+        batch = spark.createDataFrame([*rows(rnd, 4), (f"h.io/new{number}", "https://r1", [f"h.io/leaf{number}", f"h.io/leaf{number}", "h.io/a1"], 2, 0.0)], SCHEMA)
+        old = spark.createDataFrame(table.replaced(batch).collect(), SCHEMA)
+        table.apply(batch, reset=True)
+        state.update(number, old, batch, table.read())
+        state.update(number, old, batch, table.read())
+        assert far(spark, state.weights(), pagerank(table.read(), 4)) < 1e-9
+
+
+def test_a_small_change_moves_few_nodes(spark):
+    """In many separate chains, a change of one row reaches its own chain only."""
+    root = new_folder(spark, "ranks")
+    chain = [(f"c{k}/n{i}", f"r{k}", [f"c{k}/n{i + 1}"], 2, 0.0) for k in range(60) for i in range(5)]
+    packages = spark.createDataFrame(chain, SCHEMA)
+    state = RankState(spark, root, rounds=4)
+    state.build(packages)
+    old, new = packages.filter("import_path = 'c7/n1'"), spark.createDataFrame([("c7/n1", "r7", ["c7/n4"], 2, 0.0)], SCHEMA)
+    now = packages.filter("import_path <> 'c7/n1'").unionByName(new)
+    state.update(0, old, new, now)
+    assert max(state.moved) <= 6
+    assert far(spark, state.weights(), pagerank(now, 4)) < 1e-9
