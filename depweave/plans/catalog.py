@@ -13,7 +13,9 @@ from ..functions import paths as P
 from ..operators import closure as C
 from ..operators import maintain as M
 from ..operators import match as MA
+from ..operators import paging as PG
 from ..operators import rank as R
+from ..operators import rank_updates as RU
 from ..operators import resolve as RE
 from ..operators import reverse as RV
 from ..operators import reverse_index as RI
@@ -110,6 +112,16 @@ over_packages(
     SELECT target, source, (SELECT min(source) FROM r WHERE run > 40 AND n > 1) AS next_page FROM edges
     WHERE starts_with(target, 'suppliers.example.net/') AND source IN (SELECT source FROM r WHERE run <= 40 OR n = 1)""",
 )
+query(
+    with_(PACKAGES, recursive=True)
+    + """, h AS (SELECT source, count(*) AS c FROM edges WHERE starts_with(target, 'suppliers.example.net/') GROUP BY source),
+    r AS MATERIALIZED (SELECT source, c, sum(c) OVER (ORDER BY source)::BIGINT AS run, row_number() OVER (ORDER BY source) AS i FROM h),
+    starts(page, i) AS (SELECT 0::BIGINT, 1::BIGINT WHERE (SELECT count(*) FROM r) > 0
+      UNION ALL SELECT page + 1, n FROM (SELECT p.page, min(b.i) AS n FROM starts p JOIN r a ON a.i = p.i JOIN r b ON b.i > p.i AND b.run - a.run + a.c > 300 GROUP BY p.page)),
+    placed AS (SELECT r.source, max(s.page) AS page FROM r JOIN starts s ON s.i <= r.i GROUP BY r.source)
+    SELECT page, target, source FROM edges JOIN placed USING (source) WHERE starts_with(target, 'suppliers.example.net/')""",
+    "reverse_pages",
+)(lambda spark, d: PG.reverse_pages(D.packages(spark, d), ["suppliers.example.net/..."], 300))
 over_packages("reverse_json", lambda p: X.edges_json(RV.reverse(p, ["geo/..."])), """SELECT '{"target":"' || target || '","source":"' || source || '"}' AS value FROM edges WHERE starts_with(target, 'geo/')""")
 over_packages(
     "affected", lambda p: RV.affected(p, ["suppliers.example.net/n1/..."]).withColumn("packages", F.array_join("packages", " ")),
@@ -201,6 +213,18 @@ def _rank_sql(rounds: int) -> str:
 RANKED = with_(PACKAGES, _rank_sql(10))
 QUERIES["pagerank"] = lambda spark, d: R.pagerank(D.packages(spark, d)).select("import_path", F.round("weight", 6).alias("weight"))
 ORACLES["pagerank"] = RANKED + "SELECT node AS import_path, round(w, 6) AS weight FROM r10"
+@query(RANKED + "SELECT node AS import_path, round(w, 6) AS weight FROM r10")
+def pagerank_updated(spark, d):
+    """Ranks of a graph that lacks a repository and some links, brought up to the whole graph by the difference."""
+    p = D.packages(spark, d)
+    touched = F.col("repository").isin("https://suppliers.example.net/n1", "https://parts.example.org/brand13")
+    old = p.filter(touched & ~F.col("import_path").startswith("suppliers.")).withColumn("directs", F.slice("directs", 1, 1))
+    state = RU.RankState(spark, _folder(spark, "ranks"))
+    state.build(p.filter(~touched).unionByName(old))
+    state.update(0, old, p.filter(touched), p)
+    return state.weights().select("import_path", F.round("weight", 6).alias("weight"))
+
+
 over_packages("pagerank_scaled", lambda p: R.scaled(R.pagerank(p)).select("import_path", "ranking"))
 over_packages("rank_diff", lambda p: R.rank_diff(p, R.scaled(R.pagerank(p), 2)).agg(F.count("*").alias("updated"), F.count_if(F.col("old") != 0).alias("ranked_before")))
 ORACLES["rank_diff"] = RANKED + "SELECT count(*) FILTER (floor(100 * w / (1 + (SELECT max(w) FROM r10))) <> 0) AS updated, 0::BIGINT AS ranked_before FROM r10 JOIN packages ON import_path = node"
