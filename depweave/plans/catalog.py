@@ -235,6 +235,13 @@ CLOSURE = ", reach AS (SELECT import_path AS node FROM packages WHERE starts_wit
 ROOTS = ["orders.example.com/c1/..."]
 QUERIES["closure"] = lambda spark, d: C.closure(D.packages(spark, d), ROOTS)
 ORACLES["closure"] = with_(PACKAGES, recursive=True) + CLOSURE + "SELECT node AS import_path FROM reach"
+query(
+    with_(PACKAGES, recursive=True)
+    + """, reach(root, node) AS (SELECT repository, import_path FROM packages WHERE starts_with(repository, 'https://parts.') OR starts_with(repository, 'https://suppliers.')
+    UNION SELECT r.root, e.target FROM reach r JOIN edges e ON e.source = r.node)
+    SELECT root, node AS import_path FROM reach WHERE node IN (SELECT import_path FROM packages)""",
+    "closure_of_repositories",
+)(lambda spark, d: C.closures(p := D.packages(spark, d), p.filter("repository LIKE 'https://parts.%' OR repository LIKE 'https://suppliers.%'").select(F.col("repository").alias("root"), "import_path")))
 QUERIES["closure_no_stdlib"] = lambda spark, d: C.closure(D.packages(spark, d), ROOTS, skip_stdlib=True)
 ORACLES["closure_no_stdlib"] = with_(PACKAGES, recursive=True) + CLOSURE + "SELECT node AS import_path FROM reach JOIN packages ON import_path = node WHERE type <> 1"
 

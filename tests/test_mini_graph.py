@@ -260,3 +260,35 @@ def test_the_last_write_of_a_batch_wins(spark, graph):
     assert maintain.upsert_reset(plain, batch, order="n").filter("import_path = 'a.io/x'").count() == 1
     with pytest.raises(Exception, match="is repeated in a batch"):
         maintain.upsert(plain, batch.drop("n")).collect()
+
+
+def test_closures_of_many_root_sets_equal_single_ones(spark, monkeypatch):
+    """Also of more sets than one number holds, with cycles, empty sets and paths without a row; jobs do not grow with the sets."""
+    import random
+
+    from depweave.sources.scratch import Rounds
+
+    rnd = random.Random(2)
+    rows = [(f"n{k}", "r", [f"n{rnd.randrange(70)}" for _ in range(rnd.choice([0, 1, 1, 2]))], 1 if k % 9 == 0 else 2, 0.0) for k in range(60)]
+    packages = spark.createDataFrame(rows, "import_path string, repository string, directs array<string>, type int, ranking double")
+    sets = {f"set{k}": [f"n{rnd.randrange(65)}" for _ in range(rnd.randrange(1, 3))] for k in range(150)}
+    roots = spark.createDataFrame([(s, p) for s, ps in sets.items() for p in ps] + [("lost", None), ("lost", "nowhere")], "root string, import_path string")
+    links, there = {r[0]: r[2] for r in rows}, {r[0] for r in rows}
+
+    def reach(start):
+        seen, todo = set(), [p for p in start if p in there]
+        while todo:
+            p = todo.pop()
+            if p not in seen:
+                seen.add(p)
+                todo += [t for t in links[p] if t in there]
+        return seen
+
+    written, write = [], Rounds.write
+    monkeypatch.setattr(Rounds, "write", lambda self, *a, **k: written.append(1) or write(self, *a, **k))
+    got = sorted(map(tuple, closure.closures(packages, roots).collect()))
+    assert got == sorted((s, p) for s, ps in sets.items() for p in reach(ps))
+    many = len(written)
+    one = closure.closures(packages, roots.filter("root = 'set0'"), skip_stdlib=True)
+    assert {r["import_path"] for r in one.collect()} == {p for p in reach(sets["set0"]) if int(p[1:]) % 9}
+    assert many <= 70
