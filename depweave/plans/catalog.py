@@ -309,9 +309,8 @@ def rows_json(spark, d):
     return back.select("import_path", "repository", "directs", "files", "type")
 
 
-@query(with_(PACKAGES) + f"SELECT {FLAT} FROM packages")
-def ingest_manifest(spark, d):
-    """Manifests of every repository, several for one of many packages, written as JSON arrays over many lines with types by name, and ingested."""
+def _manifests(spark, d) -> str:
+    """A folder with manifests of every repository, several for one of many packages, as JSON arrays over many lines with types by name."""
     path = _folder(spark, "manifests")
     package = F.struct(F.col("import_path").alias("importPath"), P.type_name(F.col("type")).alias("type"), F.col("directs").alias("imports"))
     p = D.packages(spark, d)
@@ -319,7 +318,19 @@ def ingest_manifest(spark, d):
     remotes = F.when(F.col("repository") != "", F.array(F.struct(F.lit("origin").alias("name"), F.col("repository").alias("url")))).otherwise(F.array())
     text = F.to_json(F.array(F.struct(remotes.alias("remotes"), "packages")), {"pretty": "true"})
     repos.select(text.alias("value")).write.text(path)
-    return flat(IN.read_manifests(spark, path))
+    return path
+
+
+@query(with_(PACKAGES) + f"SELECT {FLAT} FROM packages")
+def ingest_manifest(spark, d):
+    """Manifests written and ingested, a file at a time."""
+    return flat(IN.read_manifests(spark, _manifests(spark, d)))
+
+
+@query(with_(PACKAGES) + f"SELECT {FLAT} FROM packages")
+def ingest_manifest_split(spark, d):
+    """Manifests written and ingested, each file cut into its values by many tasks."""
+    return flat(IN.read_manifests(spark, _manifests(spark, d), split=True))
 
 
 @query(with_(PACKAGES) + """SELECT import_path, CASE WHEN length(import_path) % 5 = 0 THEN 'main' ELSE 'lib' END AS name, repository, array_to_string(directs, ' ') AS directs,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import clean_repo_url, content_digest, has_domain, host_path, package_type, trim_prefix, type_number
 from ..operators.resolve import nearest_label
 from .schema import MANIFEST
+from .scratch import Rounds
 
 #: Directories that never hold packages, and files that are not part of one.
 IGNORED_DIRECTORY = r"(^|/)(testdata|vendor|\.[^/]*|_[^/]*)(/|$)"
@@ -18,16 +19,82 @@ IGNORED_FILE = r"(^|/)([._][^/]*|[^/]*_test\.go)$"
 BETWEEN_VALUES = r"(?<=[\]}])\s*\n(?=\s*[\[{])"
 
 
-def read_manifests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+#: Strings of JSON, and an escaped character; what may stand before a value of a file.
+_STRING, _ESCAPE, _BEFORE = r'"[^"]*"', r"\\.", r"^(?:[\s\[\]]*|\s*,\s*)$"
+
+
+def split_values(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): the objects of JSON files, elements of arrays or values one after the other, each as its text.
+
+    Files are read in pieces that end with a closing brace, by as many tasks as their size asks for.  Two prefix sums over
+    a file's pieces (within each block of the file, and over one row per block) tell whether a piece begins inside a
+    string, by the number of quotes before it, and how many braces are open there; where none is open after a piece, a
+    value ends.  A value's pieces are put together again: no task holds more than a block of a file, or one
+    value.  What stands between values must be white space, brackets or one comma, all brackets and quotes must be
+    closed at the end of a file; else reading is an error.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value",
+        F.col("_metadata.file_size").alias("size"),
+    )
+    bare = F.regexp_replace("value", _ESCAPE, "")
+    pieces = pieces.withColumns({"bare": bare, "quotes": F.length(bare) - F.length(F.replace(bare, F.lit('"')))})
+    # a table, since numbers of pieces must be the same in all that follows
+    pieces = Rounds(spark, "json-pieces").write(pieces, keep=True)
+
+    def before(rows: DataFrame, column: str) -> DataFrame:
+        """Adds before_<column>: the sum over the file's earlier pieces."""
+        blocks = rows.groupBy("file", "block").agg(F.sum(column).alias("_n"))
+        ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+        blocks = blocks.select("file", "block", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+        inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_own", F.coalesce(F.sum(column).over(inside), F.lit(0))).join(blocks, ["file", "block"])
+        return rows.withColumn(f"before_{column}", F.col("_own") + F.col("_start")).drop("_own", "_start")
+
+    pieces = before(pieces, "quotes")
+    opened = F.col("before_quotes") % 2 == 1
+    # within quotes: from the beginning where a string is open there, and to the end where one stays open
+    plain = F.regexp_replace(F.when(opened, F.concat(F.lit('"'), "bare")).otherwise(F.col("bare")), _STRING, "")
+    closed = (F.col("before_quotes") + F.col("quotes")) % 2 == 0
+    plain = F.when(closed, plain).otherwise(F.regexp_replace(plain, '"[^"]*$', ""))
+    count = lambda c: F.length("plain") - F.length(F.replace("plain", F.lit(c)))
+    # a file's last piece has no brace unless the bytes of all pieces and a brace for each are the whole file
+    braced = F.sum(F.octet_length("value")) + F.count("*")
+    size = pieces.groupBy("file").agg(F.max(F.struct("block", "at")).alias("last"), (braced > F.max("size")).alias("open_end"))
+    pieces = pieces.withColumns({"plain": plain, "closed": closed}).join(size, "file").withColumn("final", F.col("open_end") & (F.struct("block", "at") == F.col("last"))).drop("last", "open_end", "size")
+    shut = (F.col("closed") & ~F.col("final")).cast("int")  # the brace that ended the piece, unless it was in a string
+    pieces = before(pieces.withColumn("braces", count("{") - shut), "braces").withColumn("depth", F.col("before_braces") + F.col("braces"))
+    ended = (F.col("closed") & ~F.col("final") & (F.col("depth") == 0)).cast("int")
+    pieces = before(pieces.withColumn("ended", ended), "ended")
+    text = F.concat("value", F.when(F.col("final"), F.lit("")).otherwise(F.lit("}")))
+    brackets = F.when(F.col("before_braces") == 0, F.regexp_extract("plain", r"^[^{]*", 0)).otherwise(F.lit(""))
+    values = pieces.groupBy("file", F.col("before_ended").alias("number")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", text.alias("text")))), lambda x: x["text"]), "").alias("text"),
+        F.first(F.when(F.col("before_braces") == 0, brackets), ignorenulls=True).alias("lead"), F.max("ended").alias("whole"),
+    )
+    balance = values.groupBy("file").agg(F.sum(F.length("lead") - F.length(F.replace("lead", F.lit("["))) - F.length("lead") + F.length(F.replace("lead", F.lit("]")))).alias("open"))
+    values = values.join(balance, "file")
+    rest = F.regexp_extract("text", r"(?s)\{.*", 0)
+    wrong = ~F.coalesce("lead", F.lit("")).rlike(_BEFORE) | (F.col("open") != 0) | (F.col("whole") == 0) & (rest != "")
+    value = F.when(wrong, F.raise_error(F.concat(F.lit("malformed JSON in "), "file", F.lit(" near "), F.substring("text", 1, 60)))).otherwise(rest)
+    return values.select("file", value.alias("value")).filter("value <> ''")
+
+
+def read_manifests(spark: SparkSession, path: str, lines: bool = False, split: bool = False) -> DataFrame:
     """Package rows of manifest files: JSON arrays of repositories, or single ones, one after the other, on any number of lines.
 
     Types are given by name or number.  Corrupt values and unknown type names are errors.  A file is one row until
-    it is cut into its values; ``lines`` promises one value per line, so that large files can be split.
+    it is cut into its values; ``lines`` promises one value per line, so that large files can be split, and ``split``
+    cuts files of any form into their values by many tasks.
     """
-    text = spark.read.text(path, wholetext=not lines)
-    values = text if lines else text.select(F.explode(F.split("value", BETWEEN_VALUES)).alias("value"))
-    parsed = values.filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").select(F.explode(F.from_json("value", f"array<struct<{MANIFEST}>>", {"mode": "FAILFAST"})).alias("r"))
-    repos = parsed.select("r.*")
+    manifest = f"struct<{MANIFEST}>"
+    if split:
+        repos = split_values(spark, path).select(F.from_json("value", manifest, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    else:
+        text = spark.read.text(path, wholetext=not lines)
+        values = text if lines else text.select(F.explode(F.split("value", BETWEEN_VALUES)).alias("value"))
+        parsed = values.filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").select(F.explode(F.from_json("value", f"array<{manifest}>", {"mode": "FAILFAST"})).alias("r"))
+        repos = parsed.select("r.*")
     remote = F.coalesce(F.get("remotes", F.lit(0))["url"], F.lit(""))
     rows = repos.select(remote.alias("repository"), F.explode("packages").alias("p"))
     files = F.array_sort(F.transform(F.coalesce("p.sources", F.array()), lambda s: F.struct(s["repoPath"].alias("repo_path"), F.unbase64(s["digest"]).alias("digest"))))

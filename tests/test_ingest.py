@@ -161,3 +161,39 @@ def test_a_tree_of_repositories(spark, tmp_path):
     files = ingest.read_source_tree(spark, str(tmp_path), remotes)
     assert sorted((r["repository"], r["repo_path"]) for r in files.collect()) == [("one", "a.go"), ("one", "sub dir/b.go"), ("two", "c.go"), ("two", "go.mod")]
     assert sorted(r["import_path"] for r in ingest.ingest_sources(files).collect()) == ["h.io/u/one", "h.io/u/one/sub dir", "m.io/two"]
+
+
+def manifest(k):
+    odd = ['plain', 'br{ace', 'br}ace }', 'quo\\"te }{', 'back\\\\', 'a],[b', 'line'][k % 7]
+    files = [{"repoPath": f"{odd}{i}.go", "digest": "AP8="} for i in range(k % 4)]
+    return {"from": odd, "remotes": [{"name": "o", "url": f"https://h/{k}"}] if k % 5 else [], "packages": [{"importPath": f"h/{k}/{odd}", "name": odd, "type": k % 4, "imports": [odd, "x"], "sources": files}] * (k % 3)}
+
+
+@pytest.mark.parametrize("form", ["pretty", "one line", "values", "arrays"])
+def test_a_large_manifest_is_read_by_many_tasks(spark, tmp_path, form):
+    repos = [manifest(k) for k in range(300)]
+    text = {
+        "pretty": lambda: json.dumps(repos, indent=2), "one line": lambda: json.dumps(repos), "values": lambda: "\n".join(json.dumps(r, indent=1) for r in repos),
+        "arrays": lambda: "\n".join(json.dumps(repos[k : k + 70]) for k in range(0, 300, 70)) + "\n[]\n",
+    }[form]()
+    (tmp_path / "m.json").write_text(text)
+    (tmp_path / "other.json").write_text("[\n]")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        values = ingest.split_values(spark, str(tmp_path))
+        assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 5
+        assert sorted(r["value"].strip() and json.dumps(json.loads(r["value"])) for r in values.collect()) == sorted(json.dumps(r) for r in repos)
+        got = sorted(map(str, ingest.read_manifests(spark, str(tmp_path), split=True).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == sum(len(r["packages"]) for r in repos)
+    if form != "values":
+        assert got == sorted(map(str, ingest.read_manifests(spark, str(tmp_path)).collect()))
+
+
+@pytest.mark.parametrize("text", ['[{"packages": []}', '[{"packages": []},, {"packages": []}]', '[{"packages": [}]', 'x [{"packages": []}]', '[{"from": "a}]', '{"packages": []} y {"packages": []}', '[{"packages": []}]]'])
+def test_a_malformed_manifest_is_an_error(spark, tmp_path, text):
+    (tmp_path / "m.json").write_text(text)
+    with pytest.raises(Exception, match="malformed|MALFORMED|Malformed"):
+        ingest.read_manifests(spark, str(tmp_path), split=True).collect()
