@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, resolve_from_page, resolve_known_host
+from ..sources.scratch import Rounds
 from .stats import missing
 
 
@@ -47,3 +48,61 @@ def nearest_label(paths: DataFrame, labels: DataFrame) -> DataFrame:
     hit = above.join(labels.select(F.col("path").alias("anchor"), "label"), "anchor")
     best = hit.groupBy("path").agg(F.max_by(F.struct("label", "anchor"), F.length("anchor")).alias("b"))
     return paths.select("path").distinct().join(best, "path", "left").select("path", "b.label", "b.anchor")
+
+
+def _sweeper():
+    """The sweep is made here so that it travels with its code: executors need no copy of this package."""
+
+    def sweep(batches):
+        """One pass over rows sorted by path, '/' first: the deepest open label above each path; labels are rows with a label.
+
+        Labels that are not above a path are closed for good, since what they lead to has passed.  The first path of the
+        task comes out as a row of its own.
+        """
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, open_, began = TaskContext.get().partitionId(), [], False
+        schema = pa.schema([("path", pa.string()), ("label", pa.string()), ("anchor", pa.string()), ("part", pa.int32()), ("first", pa.bool_())])
+        for batch in batches:
+            rows = []
+            for path, label in zip(batch.column("path").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                if not began:
+                    rows.append((path, None, None, part, True))
+                    began = True
+                while open_ and path != open_[-1][0] and not path.startswith(open_[-1][0] + "/"):
+                    open_.pop()
+                if label is not None:
+                    open_.append((path, label))
+                else:
+                    anchor, above = open_[-1] if open_ else (None, None)
+                    rows.append((path, above, anchor, part, False))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return sweep
+
+
+def nearest_label_sorted(paths: DataFrame, labels: DataFrame) -> DataFrame:
+    """As ``nearest_label``, by one sort of paths and labels together instead of a row for each ancestor of each path.
+
+    Both are range-partitioned by path, each folder before what lies in it, and swept once with a stack of open labels.  A
+    path that no label of its own partition covers can only lie below one that is also above the partition's first
+    path: these few, at most one for each level of that path, are looked up for each partition and joined by its number.
+    Null labels label nothing; of several labels of one path the largest counts, as null paths get none.
+    """
+    marks = labels.filter("label is not null and path is not null").groupBy("path").agg(F.max("label").alias("label"))
+    rows = marks.unionByName(paths.select("path").filter("path is not null").distinct().withColumn("label", F.lit(None).cast("string")))
+    order = (F.translate("path", "/", "\1"), F.col("label").isNull())
+    keyed = rows.select("path", "label", order[0].alias("_key"), order[1].alias("_late")).repartitionByRange("_key", "_late").sortWithinPartitions("_key", "_late")
+    swept = keyed.select("path", "label").mapInArrow(_sweeper(), "path string, label string, anchor string, part int, first boolean")
+    swept = Rounds(paths.sparkSession, "labels").write(swept, keep=True)
+    above = swept.filter("first").select("part", F.explode(ancestors(F.col("path"))).alias("path")).join(marks, "path")
+    carried = above.groupBy("part").agg(F.array_sort(F.collect_list(F.struct(F.length("path").alias("n"), "path", "label"))).alias("open"))
+    found = swept.filter("not first").join(F.broadcast(carried), "part", "left")  # a row for each partition
+    below = F.filter("open", lambda x: (F.col("path") == x["path"]) | F.col("path").startswith(F.concat(x["path"], F.lit("/"))))
+    best = F.element_at(F.when(F.size(below) > 0, below), -1)
+    local = F.col("anchor").isNotNull()
+    out = found.select("path", F.when(local, F.col("label")).otherwise(best["label"]).alias("label"), F.when(local, F.col("anchor")).otherwise(best["path"]).alias("anchor"))
+    none = paths.select("path").filter("path is null").distinct().withColumns({"label": F.lit(None).cast("string"), "anchor": F.lit(None).cast("string")})
+    return out.unionByName(none)

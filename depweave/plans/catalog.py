@@ -687,6 +687,18 @@ def resolve_pages(spark, d):
     return RE.resolve_pages(D.fetched_pages(spark, d))
 
 
+LABELLED = [f"orders.example.com/c{i}" for i in range(1, 60, 2)] + ["parts.example.org", "parts.example.org/brand1", "geo"]
+
+
+@query(with_(PACKAGES) + f""", l AS (SELECT unnest({LABELLED!r}) AS anchor), p AS (SELECT DISTINCT import_path AS path FROM packages),
+    hits AS (SELECT path, arg_max(anchor, length(anchor)) AS anchor FROM p JOIN l ON path = anchor OR starts_with(path, anchor || '/') GROUP BY path)
+    SELECT path, 'label:' || anchor AS label, anchor FROM p LEFT JOIN hits USING (path)""")
+def nearest_label_sorted(spark, d):
+    """Labels on several levels, found by one sort of paths and labels."""
+    labels = spark.createDataFrame([(x, f"label:{x}") for x in LABELLED], "path string, label string")
+    return RE.nearest_label_sorted(D.packages(spark, d).select(F.col("import_path").alias("path")), labels)
+
+
 over_packages(
     "nearest_label",
     lambda p: RE.nearest_label(p.select(F.col("import_path").alias("path")), p.select(F.regexp_extract("import_path", r"\A(.*)/", 1).alias("path")).distinct().filter("path rlike '[02468]$'").withColumn("label", F.concat(F.lit("label:"), "path"))),

@@ -292,3 +292,26 @@ def test_closures_of_many_root_sets_equal_single_ones(spark, monkeypatch):
     one = closure.closures(packages, roots.filter("root = 'set0'"), skip_stdlib=True)
     assert {r["import_path"] for r in one.collect()} == {p for p in reach(sets["set0"]) if int(p[1:]) % 9}
     assert many <= 70
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_labels_by_one_sort(spark, parts):
+    """Equal to the join of ancestors, with labels on many levels and of whole partitions, names that sort around '/', and repeated rows."""
+    import random
+
+    rnd = random.Random(parts)
+    names = ["a", "a-b", "a.b", "ab", "b", "a b", "\u00e9", "~"]
+    path = lambda: "/".join(rnd.choice(names) for _ in range(rnd.randrange(1, 6)))
+    paths = spark.createDataFrame([(path(),) for _ in range(400)] + [(None,), ("a",), ("a",)], "path string")
+    marks = list({path() for _ in range(25)} | {"a", "b/a"})
+    labels = spark.createDataFrame([(p, f"l{k}") for k, p in enumerate(marks)], "path string, label string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(str, resolve.nearest_label_sorted(paths, labels).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted(map(str, resolve.nearest_label(paths, labels).collect()))
+    assert resolve.nearest_label_sorted(paths, labels.filter("false")).filter("label is not null").count() == 0
