@@ -119,12 +119,17 @@ def affected_targets(packages: DataFrame, patterns: list[str], other_repository:
     return reverse(packages, patterns, other_repository=other_repository).select("target").distinct()
 
 
-def affected_by_repository(packages: DataFrame, repository: str) -> DataFrame:
-    """Impact of a repository: importers of any of its packages elsewhere, by repository."""
+def affected_by_repository_edges(packages: DataFrame, repository: str) -> DataFrame:
+    """(repository, package), distinct: importers elsewhere of any of a repository's packages; nothing is gathered."""
     own = packages.filter(F.col("repository") == repository).select(F.col("import_path").alias("target"))
-    found = packages.filter(F.col("repository") != repository).select("repository", F.col("import_path").alias("source"), F.explode("directs").alias("target"))
-    found = found.join(own, "target", "left_semi")
-    return found.groupBy("repository").agg(F.array_sort(F.collect_set("source")).alias("packages"))
+    found = packages.filter(F.col("repository") != repository).select("repository", F.col("import_path").alias("package"), F.explode("directs").alias("target"))
+    return found.join(own, "target", "left_semi").select("repository", "package").distinct()
+
+
+def affected_by_repository(packages: DataFrame, repository: str) -> DataFrame:
+    """Impact of a repository: importers of any of its packages elsewhere, by repository, a row for each; the flat form gathers nothing."""
+    found = affected_by_repository_edges(packages, repository)
+    return found.groupBy("repository").agg(F.array_sort(F.collect_set("package")).alias("packages"))
 
 
-__all__ = ["affected", "affected_by_repository", "affected_edges", "affected_targets", "edges", "reverse", "reverse_count", "reverse_page"]
+__all__ = ["affected", "affected_by_repository", "affected_by_repository_edges", "affected_edges", "affected_targets", "edges", "matches", "reverse", "reverse_count", "reverse_page"]

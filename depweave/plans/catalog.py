@@ -133,6 +133,11 @@ over_packages(
     """SELECT repository, string_agg(DISTINCT source, ' ' ORDER BY source) AS packages FROM edges
     WHERE repository <> 'https://parts.example.org/brand13' AND target IN (SELECT import_path FROM packages WHERE repository = 'https://parts.example.org/brand13') GROUP BY repository""",
 )
+over_packages(
+    "affected_repo_edges", lambda p: RV.affected_by_repository_edges(p, "https://parts.example.org/brand13"),
+    """SELECT DISTINCT repository, source AS package FROM edges
+    WHERE repository <> 'https://parts.example.org/brand13' AND target IN (SELECT import_path FROM packages WHERE repository = 'https://parts.example.org/brand13')""",
+)
 
 # the same on paths that have importers in the smallest tables too
 over_packages("reverse_region", lambda p: RV.reverse(p, ["geo.example.com/region1"]), "SELECT target, source FROM edges WHERE target = 'geo.example.com/region1'")
@@ -226,6 +231,7 @@ def pagerank_updated(spark, d):
 
 
 over_packages("pagerank_scaled", lambda p: R.scaled(R.pagerank(p)).select("import_path", "ranking"))
+over_packages("rank_diff_rows", lambda p: R.rank_diff(p, R.scaled(R.pagerank(p))))  # at the default rounds and scale; a test holds it to within 1 of SQL
 over_packages("rank_diff", lambda p: R.rank_diff(p, R.scaled(R.pagerank(p), 2)).agg(F.count("*").alias("updated"), F.count_if(F.col("old") != 0).alias("ranked_before")))
 ORACLES["rank_diff"] = RANKED + "SELECT count(*) FILTER (floor(100 * w / (1 + (SELECT max(w) FROM r10))) <> 0) AS updated, 0::BIGINT AS ranked_before FROM r10 JOIN packages ON import_path = node"
 over_packages("rank_apply", lambda p: M.apply_ranks(p, R.scaled(R.pagerank(p, 2), 2)).agg(F.count("*").alias("packages"), F.count_if(F.col("ranking") > 0).alias("ranked")))

@@ -17,7 +17,7 @@ def test_query(name, spark, sf_dir, duck):
         assert got == oracle_rows(duck, ORACLES["crawl_stream"])[1]
         assert all(0 <= r["ranking"] < 10**4 and r["ranking"] == int(r["ranking"]) for r in rows) and len({r["ranking"] for r in rows}) > 3
     else:
-        assert name == "pagerank_scaled"  # held against SQL below
+        assert name in ("pagerank_scaled", "rank_diff_rows")  # held against SQL below
 
 
 def test_scaled_rank_is_within_one_of_sql(spark, sf_dir, duck):
@@ -27,3 +27,7 @@ def test_scaled_rank_is_within_one_of_sql(spark, sf_dir, duck):
     got = {r["import_path"]: r["ranking"] for r in QUERIES["pagerank_scaled"](spark, sf_dir).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) <= 1 for k in got)
+    stored = {r["import_path"] for r in duck.sql(RANKED + "SELECT import_path FROM packages").to_df().to_dict("records")}
+    rows = {r["import_path"]: (r["old"], r["new"]) for r in QUERIES["rank_diff_rows"](spark, sf_dir).collect()}
+    assert all(old == 0 and new != 0 and abs(new - want[k]) <= 1 for k, (old, new) in rows.items())
+    assert rows.keys() <= stored and all(k in rows for k in stored if want[k] >= 2)
