@@ -9,7 +9,10 @@ ids are then read backwards, from the last token to the first.
 When no piece has a space after a non-space, or a line end (checked when the model is loaded), merges
 never cross the start of a run of spaces or a line end; texts are cut there, and each distinct chunk is
 encoded once per worker.  Within a chunk, words and punctuation are encoded apart and joined where the
-tokens that meet are compatible.  Characters outside the vocabulary become byte pieces, or the unknown piece.
+tokens that meet are compatible.  Characters outside the vocabulary become byte pieces.
+
+A model is refused (ValueError) when it is loaded if it normalizes texts, drops or moves spaces, has no dummy
+prefix, lacks byte pieces, has unused pieces, or encodes a set of probes in another way than the table does.
 """
 
 from __future__ import annotations
@@ -30,6 +33,13 @@ _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 _UNIT = re.compile(rf"{SPACE}*\w+|{SPACE}*[^\w{SPACE}]+|{SPACE}+")
 _MODELS: dict[str, PieceTable] = {}
 
+#: Texts that a model must leave as they are, but for the space mark: outer and repeated spaces, controls, case, compatibility
+#: and combining characters, invisible ones, the space mark itself.
+PROBES = (
+    "a", " a", "a ", "  a  b  ", " ", "   ", "a\tb", "a\nb", "\r\n", "a\x0bb\x0c", "Ab", "ÀÉ", "e\u0301", "\ufb01", "\uff21", "½²", "a\u00a0b", "a\u3000b",
+    "a\u200bb", "\ufeffa", "\u2581a", "\ud7a3\u4e2d\U0001f600", "the quick, brown fox; jumps 12,345 times!", "aaaaaaaaaaaaaaaaa", "internationalisation",
+)
+
 
 class PieceTable:
     """The vocabulary as an automaton, with the pairs of tokens that never stay apart found by their merges."""
@@ -39,6 +49,9 @@ class PieceTable:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        changed = [t for t in PROBES if model.normalize(t) != SPACE + t.replace(" ", SPACE)]
+        if changed:
+            raise ValueError(f"the model at {path} normalizes texts or has no dummy prefix: {changed}")
         self.unknown = model.unk_id()
         self.piece = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         normal = [i for i in range(len(self.piece)) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
@@ -59,6 +72,13 @@ class PieceTable:
         self.ordered = all(len(x) == 1 or x in self.made and self.made[x][0] < r for r, *parts in self.made.values() for x in parts)
         self.apart: dict[tuple[int, int], bool] = {}
         self._forget()
+        if len(self.byte) < 256 or any(model.is_unused(i) for i in range(len(self.piece))):
+            raise ValueError(f"the model at {path} lacks byte pieces or has unused ones")
+        #: Symbols that a user defines are never split; they have no score.
+        symbols = [f"a{self.piece[i]}b" for i in normal if model.get_score(i) >= 0]
+        other = [t for t in (*PROBES, *symbols) if model.encode(t) != self.encode(t)]
+        if other:
+            raise ValueError(f"the model at {path} does not encode by merges of best score alone: {other[:5]}")
 
     def _merged(self, text: str) -> list[str]:
         """Plain merging of adjacent symbols, best score first and then leftmost; for short texts."""
@@ -136,7 +156,7 @@ class PieceTable:
             token = last[i]
             if token == -1:
                 raw = text[i - 1].encode("utf-8", "surrogatepass")
-                ids += [self.byte[b] for b in reversed(raw)] if self.byte else [self.unknown]
+                ids += [self.byte[b] for b in reversed(raw)]
                 i -= 1
             else:
                 ids.append(token)

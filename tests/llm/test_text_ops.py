@@ -143,6 +143,15 @@ def test_encode_random_texts():
         assert table.encode(x) == ids and table.ids_and_text(x) == (",".join(map(str, ids)), sp.decode(ids)) and table.decode(ids) == sp.decode(ids)
 
 
+#: Bytes that, put after a model, override one of its settings: white space, dummy prefix, the model's type.
+@pytest.mark.parametrize("setting", [b"\x1a\x02\x20\x01", b"\x1a\x02\x18\x00", b"\x12\x02\x18\x01"])
+def test_models_with_other_settings_are_refused(tmp_path, setting):
+    with open(MODEL, "rb") as f:
+        (tmp_path / "m.model").write_bytes(f.read() + setting)
+    with pytest.raises(ValueError):
+        SP.PieceTable(str(tmp_path / "m.model"))
+
+
 def test_memo_starts_anew_between_texts(monkeypatch):
     monkeypatch.setattr(SP, "MEMO_CHUNKS", 3)
     sp, table, rnd = sentencepiece.SentencePieceProcessor(model_file=MODEL), SP.PieceTable(MODEL), random.Random(5)
