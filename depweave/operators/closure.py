@@ -10,6 +10,7 @@ from ..sources.scratch import Rounds
 
 
 BROADCAST_ROWS = 100_000  # paths of a frontier are broadcast up to this many, joined by a shuffle beyond
+MERGE_ROUNDS = 8
 
 
 def closure(packages: DataFrame, roots: list[str], skip_stdlib: bool = False) -> DataFrame:
@@ -21,7 +22,8 @@ def closure(packages: DataFrame, roots: list[str], skip_stdlib: bool = False) ->
 
     Keys, types and edges are written once, without the other columns, so that a round reads a slim table
     however the packages came about.  A frontier of few rows is broadcast: then a round shuffles the targets
-    it reached and nothing else.
+    it reached and nothing else.  What was visited is written anew every MERGE_ROUNDS rounds, so that a round of a deep
+    graph reads few tables.
     """
     rounds = Rounds(packages.sparkSession, "closure")
     start = F.lit(False)
@@ -30,7 +32,7 @@ def closure(packages: DataFrame, roots: list[str], skip_stdlib: bool = False) ->
     rows = rounds.write(packages.select("import_path", "type", "directs"), keep=True)
     nodes = rows.select("import_path")
     frontier = rounds.write(rows.filter(start).select("import_path"), keep=True)
-    visited = frontier
+    visited, parts = frontier, 1
     while count := frontier.count():
         step = F.broadcast(frontier) if count <= BROADCAST_ROWS else frontier
         reached = rows.join(step, "import_path", "left_semi").select(F.explode("directs").alias("import_path")).distinct()
@@ -38,7 +40,9 @@ def closure(packages: DataFrame, roots: list[str], skip_stdlib: bool = False) ->
         some = F.broadcast(reached) if reached.count() <= BROADCAST_ROWS else reached
         fresh = nodes.join(some, "import_path", "left_semi").join(visited, "import_path", "left_anti")
         frontier = rounds.write(fresh, keep=True)
-        visited = visited.union(frontier)
+        visited, parts = visited.union(frontier), parts + 1
+        if parts == MERGE_ROUNDS:
+            visited, parts = rounds.write(visited, keep=True), 1
     if skip_stdlib:
         visited = rows.filter(F.col("type") != STDLIB).select("import_path").join(visited, "import_path", "left_semi")
     return visited

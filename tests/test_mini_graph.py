@@ -262,6 +262,14 @@ def test_the_last_write_of_a_batch_wins(spark, graph):
         maintain.upsert(plain, batch.drop("n")).collect()
 
 
+def test_closure_of_a_deep_graph(spark, monkeypatch):
+    monkeypatch.setattr(closure, "MERGE_ROUNDS", 3)
+    chain = [(f"n{k:02d}", "r", [f"n{k + 1:02d}", f"n{k // 2:02d}"], 2, 0.0) for k in range(14)]
+    packages = spark.createDataFrame(chain, "import_path string, repository string, directs array<string>, type int, ranking double")
+    assert paths(closure.closure(packages, ["n05"])) == [f"n{k:02d}" for k in range(14)]
+    assert paths(closure.closure(packages.filter("import_path <> 'n09'"), ["n06"])) == [f"n{k:02d}" for k in range(9)]
+
+
 def test_closures_of_many_root_sets_equal_single_ones(spark, monkeypatch):
     """Also of more sets than one number holds, with cycles, empty sets and paths without a row; jobs do not grow with the sets."""
     import random
