@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import clean_repo_url, content_digest, has_domain, host_path, package_type, trim_prefix, type_number
-from ..operators.resolve import nearest_label
+from ..functions.paths import ancestors, clean_repo_url, content_digest, has_domain, host_path, package_type, trim_prefix, type_number
 from .schema import MANIFEST
 from .scratch import Rounds
 
@@ -117,9 +116,8 @@ TOKEN = r'''//[^\n]*|/\*(?s:.*?)\*/|`[^`]*`|"[^"\n]*"|[\p{L}_][\p{L}\p{Nd}_]*|\n
 DECLARATIONS = ("const", "func", "type", "var")
 
 
-def _header(content: Column) -> Column:
+def _header(tokens: Column) -> Column:
     """Tokens of a file before its first declaration: comments, the package clause, imports and line ends."""
-    tokens = F.regexp_extract_all(content, F.lit(TOKEN), F.lit(0))
     ends = F.array_min(F.filter(F.array(*[F.array_position(tokens, F.lit(d)) for d in DECLARATIONS]), lambda p: p > 0))
     return F.slice(tokens, 1, F.coalesce(ends - 1, F.size(tokens)).cast("int"))
 
@@ -132,14 +130,21 @@ def parse_sources(files: DataFrame, content: str = "content") -> DataFrame:
     package clause on its line.
     """
     is_comment = lambda t: t.startswith("//") | t.startswith("/*")
-    out = files.withColumn("_tokens", _header(F.col(content)))
-    plain = F.filter("_tokens", lambda t: ~is_comment(t) & (t != "\n"))
-    named = (F.get(plain, F.lit(0)) == "package") & F.get(plain, F.lit(1)).rlike(r"^[\p{L}_][\p{L}\p{Nd}_]*$")
-    beside = F.get("_tokens", (F.array_position("_tokens", F.lit("package")) + 1).cast("int"))
-    label = F.nullif(F.regexp_extract(beside, r'^(?://|/\*)[\t ]*import[\t ]+["`]([^"`\s]+)["`]', 1), F.lit(""))
-    strings = F.filter(plain, lambda t: t.startswith('"') | t.startswith("`"))
-    imports = F.array_distinct(F.transform(strings, lambda t: F.substring(t, F.lit(2), F.length(t) - 2)))
-    return out.withColumns({"name": F.when(named, F.get(plain, F.lit(1))), "comment": F.when(named, label), "imports": imports}).drop("_tokens")
+
+    def parsed(x: Column) -> Column:
+        header, plain = x["header"], x["plain"]
+        named = (F.get(plain, F.lit(0)) == "package") & F.get(plain, F.lit(1)).rlike(r"^[\p{L}_][\p{L}\p{Nd}_]*$")
+        beside = F.get(header, (F.array_position(header, F.lit("package")) + 1).cast("int"))
+        label = F.nullif(F.regexp_extract(beside, r'^(?://|/\*)[\t ]*import[\t ]+["`]([^"`\s]+)["`]', 1), F.lit(""))
+        strings = F.filter(plain, lambda t: t.startswith('"') | t.startswith("`"))
+        imports = F.array_distinct(F.transform(strings, lambda t: F.substring(t, F.lit(2), F.length(t) - 2)))
+        return F.struct(F.when(named, F.get(plain, F.lit(1))).alias("name"), F.when(named, label).alias("comment"), imports.alias("imports"))
+
+    # variables of lambdas hold the tokens, and a generator stands before filters on what is made of them: a file is cut once
+    header = F.transform(F.array(F.regexp_extract_all(F.col(content), F.lit(TOKEN), F.lit(0))), _header)
+    rest = [c for c in files.columns if c not in ("name", "comment", "imports")]
+    both = F.transform(header, lambda h: F.struct(h.alias("header"), F.filter(h, lambda t: ~is_comment(t) & (t != "\n")).alias("plain")))
+    return files.select(*rest, F.inline(F.transform(both, parsed)))
 
 
 def read_source_tree(spark: SparkSession, root: str, remotes: DataFrame) -> DataFrame:
@@ -156,6 +161,42 @@ def read_source_tree(spark: SparkSession, root: str, remotes: DataFrame) -> Data
     return rows.join(remotes.select("repository", "remote"), "repository").select("repository", "remote", "repo_path", "content")
 
 
+#: Labels above other directories are broadcast up to this many, joined by a shuffle beyond.
+BROADCAST_ROWS = 100_000
+
+
+def _labelled(rows: DataFrame, modules: DataFrame) -> DataFrame:
+    """Adds label and anchor: the label of the closest labelled directory of the same repository, the row's own included.
+
+    Labels (those with a domain) are the rows' own comments and what ``modules`` (repository, dir, label) gives, the greatest of a directory.
+    A row that has its own looks no further. For the others, the distinct directories above them meet the labels first, so that
+    a root of very many directories is one row there; only labels with unlabelled rows below are joined with these.
+    """
+    rounds = Rounds(rows.sparkSession, "labels")
+    place = ["repository", "dir"]
+    modules = rounds.write(modules.filter(has_domain(F.col("label")) & F.col("repository").isNotNull()).groupBy(*place).agg(F.max("label").alias("_module")), keep=True)
+    comment = F.when(has_domain(F.col("comment")) & F.col("repository").isNotNull(), F.col("comment"))
+    if modules.isEmpty():
+        rows, label = rows.withColumn("_module", F.lit(None).cast("string")), comment
+    else:
+        rows, label = rows.join(modules, place, "left"), F.greatest(comment, F.col("_module"))
+    rows = rows.withColumn("_own", label).drop("_module")
+    labels = rows.filter("_own is not null").select(*place, F.col("_own").alias("label")).unionByName(modules.withColumnRenamed("_module", "label"))
+    labels = labels.groupBy(*place).agg(F.max("label").alias("label"))
+    up = F.when(F.col("dir") != "", F.concat(F.array(F.lit("")), F.slice(ancestors(F.col("dir")), 1, F.size(F.split("dir", "/")) - 1))).otherwise(F.array().cast("array<string>"))
+    bare = rows.filter("_own is null").select(*place, F.explode(up).alias("anchor")).distinct()
+    met = bare.select("repository", "anchor").distinct().join(labels.withColumnRenamed("dir", "anchor"), ["repository", "anchor"])
+    met = rounds.write(met, keep=True)
+    own = F.when(F.col("_own").isNotNull(), F.col("dir"))
+    count = met.count()
+    if not count:
+        return rows.withColumns({"label": F.col("_own"), "anchor": own}).drop("_own")
+    above = bare.join(F.broadcast(met) if count <= BROADCAST_ROWS else met, ["repository", "anchor"])
+    best = above.groupBy(*place).agg(F.max_by(F.struct("label", "anchor"), F.length("anchor")).alias("_best"))
+    rows = rows.join(best, place, "left")
+    return rows.withColumns({"label": F.coalesce("_own", "_best.label"), "anchor": F.coalesce(own, F.col("_best.anchor"))}).drop("_own", "_best")
+
+
 def ingest_sources(
     files: DataFrame, stdlib: bool = False, trim_repository_prefix: bool = False, prefixes: DataFrame | None = None, import_comments: bool = True
 ) -> DataFrame:
@@ -176,6 +217,8 @@ def ingest_sources(
         F.max("comment").alias("comment"), F.array_sort(F.collect_list(F.struct("repo_path", "digest"))).alias("source_files"),
     )
     rows = rows.filter(F.col("name") == F.col("_other")).drop("_other")
+    if import_comments:
+        rows = Rounds(files.sparkSession, "sources").write(rows, keep=True)  # read for its labels and for its rows
     prefix = clean_repo_url(F.col("remote"))
     if prefixes is not None:
         rows = rows.join(prefixes.select("repository", F.nullif("prefix", F.lit("")).alias("_prefix")), "repository", "left")
@@ -183,14 +226,9 @@ def ingest_sources(
     plain = host_path(prefix, F.col("dir"))
     if import_comments:
         module = own.filter(F.col("repo_path").rlike(r"(^|/)go\.mod$")).select("repository", "dir", F.regexp_extract("content", r"(?m)^\s*module\s+(\S+)", 1).alias("label"))
-        comments = rows.filter(F.col("comment").isNotNull()).select("repository", "dir", F.col("comment").alias("label"))
-        at = lambda r, d: F.concat(r, F.lit("|"), F.when(d == "", F.lit("")).otherwise(F.concat(F.lit("/"), d)))
-        labels = module.union(comments).filter(has_domain(F.col("label"))).withColumn("path", F.regexp_replace(at(F.col("repository"), F.col("dir")), r"\|", "%7C"))
-        labels = labels.groupBy("path").agg(F.max("label").alias("label"))
-        rows = rows.withColumn("path", F.regexp_replace(at(F.col("repository"), F.col("dir")), r"\|", "%7C"))
-        rows = rows.join(nearest_label(rows, labels), "path", "left")
-        rest = F.substring(F.col("path"), F.length("anchor") + 2, F.length("path"))
-        plain = F.when(F.col("label").isNotNull(), host_path(F.col("label"), rest)).otherwise(plain)
+        rows = _labelled(rows, module)
+        below = F.replace(F.when(F.col("anchor") == "", F.col("dir")).otherwise(F.substring(F.col("dir"), F.length("anchor") + 2, F.length("dir"))), F.lit("|"), F.lit("%7C"))
+        plain = F.when(F.col("label").isNotNull(), host_path(F.col("label"), below)).otherwise(plain)
     path = trim_prefix(plain, prefix) if trim_repository_prefix else plain
     return rows.select(
         path.alias("import_path"), "name", F.col("remote").alias("repository"), "directs", "source_files", package_type(F.col("name"), stdlib).alias("type"), F.lit(0.0).alias("ranking")

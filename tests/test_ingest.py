@@ -197,3 +197,19 @@ def test_a_malformed_manifest_is_an_error(spark, tmp_path, text):
     (tmp_path / "m.json").write_text(text)
     with pytest.raises(Exception, match="malformed|MALFORMED|Malformed"):
         ingest.read_manifests(spark, str(tmp_path), split=True).collect()
+
+
+def test_a_file_is_cut_once(spark):
+    """Neither the filter on what is made of a file's tokens nor its several uses cut the file again."""
+    rows = ingest.parse_sources(spark.createDataFrame([("package a", "a.go")], "content string, repo_path string")).filter("name is not null")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_labels_above_and_beside(spark):
+    files = [
+        ("r", "https://h.io/r", "a/x.go", 'package a // import "l.io/a"'), ("r", "https://h.io/r", "a/b/x.go", "package b"), ("r", "https://h.io/r", "a/b/c|d/x.go", "package c"),
+        ("r", "https://h.io/r", "m/go.mod", "module z.io/m\n"), ("r", "https://h.io/r", "m/x.go", 'package m // import "l.io/m"'), ("r", "https://h.io/r", "m/n/o/x.go", "package o"),
+        ("r", "https://h.io/r", "x.go", "package r"), ("s", "https://h.io/s", "go.mod", "module t.io/s\n"), ("s", "https://h.io/s", "p/q/x.go", "package q"), ("s", "https://h.io/s", "x.go", "package s"),
+    ]
+    got = ingest.ingest_sources(spark.createDataFrame(files, "repository string, remote string, repo_path string, content string"))
+    assert sorted(r["import_path"] for r in got.collect()) == ["h.io/r", "l.io/a", "l.io/a/b", "l.io/a/b/c%7Cd", "t.io/s", "t.io/s/p/q", "z.io/m", "z.io/m/n/o"]
