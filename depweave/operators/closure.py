@@ -67,10 +67,12 @@ def closures(packages: DataFrame, roots: DataFrame, skip_stdlib: bool = False) -
     Which sets have reached a row is a bitmap, a number for every WORD sets; a round carries the new bits along the
     edges, joined by ``bit_or`` (combined before the shuffle), and keeps those that the row had not.  So the jobs depend
     on the depth of the graph only, not on the number of sets, and sets that meet travel on together.  Root
-    paths without a row lead nowhere; null ones are ignored.
+    paths without a row lead nowhere; null ones are ignored.  Rows that are neither a root nor a target can't be reached:
+    they are left out before the rounds.
     """
     rounds = Rounds(packages.sparkSession, "closures")
-    rows = rounds.write(packages.select("import_path", "type", "directs"), keep=True)
+    ends = packages.select(F.explode("directs").alias("import_path")).unionByName(roots.select("import_path")).distinct()
+    rows = rounds.write(packages.select("import_path", "type", "directs").join(ends, "import_path", "left_semi"), keep=True)
     numbers = rounds.write(_numbered(roots, rounds), keep=True)
     few = F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers
     bit = F.expr("shiftleft(1L, bit)")
