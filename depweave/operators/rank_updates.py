@@ -53,10 +53,15 @@ class RankState:
         rows = packages.select("import_path", "directs")
         ends = rows.select(F.explode("directs").alias("import_path"))
         now = rows.select("import_path").unionByName(ends).distinct().withColumn("d", F.lit(1.0))
-        found = []
+        found, inner = [], rows
         for k in range(self.rounds + 1):
-            if k:
-                now = self._pushed(rows.join(found[-1], "import_path"), "d")
+            if k == 1:  # every row has 1
+                now = self._pushed(rows.withColumn("d", F.lit(1.0)), "d")
+            elif k:
+                if k == 2:  # from here on only rows that something links to have a term
+                    rows.join(found[1], "import_path", "left_semi").write.parquet(f"{folder}/inner")
+                    inner = self.spark.read.schema(rows.schema).parquet(f"{folder}/inner")
+                now = self._pushed(inner.join(found[-1], "import_path"), "d")
             now.write.parquet(f"{folder}/{k}")
             found.append(self.spark.read.schema("import_path string, d double").parquet(f"{folder}/{k}"))
         self.table.build(self._wide(found))
@@ -66,7 +71,8 @@ class RankState:
         """(import_path, d): 1 for nodes that appear with the new rows, -1 for those that nothing names any more."""
         names = lambda rows: rows.select("import_path").unionByName(rows.select(F.explode("directs").alias("import_path"))).distinct()
         before, after = names(old), names(new)
-        known = self.table.sums().filter("c0 > 0.5").select("import_path")
+        known = self.table.sums(lambda part: part.select("import_path", "c0").join(self._few(after), "import_path", "left_semi"))
+        known = known.filter("c0 > 0.5").select("import_path")
         come = after.join(known, "import_path", "left_anti")
         lost = self._few(before.join(after, "import_path", "left_anti"))
         still = packages.select("import_path").unionByName(packages.select(F.explode("directs").alias("import_path"))).join(lost, "import_path", "left_semi").distinct()
@@ -89,7 +95,7 @@ class RankState:
         old, new = (written(r.select("import_path", "directs"), n) for r, n in ((old, "old"), (new, "new")))
         sources = written(old.select("import_path").unionByName(new.select("import_path")).distinct(), "sources")
         terms = written(self.table.sums(lambda part: part.join(self._few(sources), "import_path", "left_semi")), "terms")
-        links = packages.select("import_path", "directs")
+        links, inner = packages.select("import_path", "directs"), None
         steps = [written(self._node_changes(old, new, links), "0")]
         self.moved = [steps[0].count()]
         for k in range(1, self.rounds + 1):
@@ -98,6 +104,10 @@ class RankState:
             own = terms.select("import_path", F.col(f"c{k - 1}").alias("c"))
             before = old.join(own, "import_path").withColumn("c", -F.col("c"))
             now = new.join(own, "import_path", "left").join(few, "import_path", "left").withColumn("c", F.coalesce("c", F.lit(0.0)) + F.coalesce("d", F.lit(0.0)))
+            if k > 1 and inner is None and self.moved[-1] > BROADCAST_ROWS:
+                # many terms changed, which are of targets from the first round on: rows that nothing links to are left out once
+                ends = self.table.sums(lambda part: part.select("import_path", "c1")).filter("c1 <> 0").select("import_path").unionByName(steps[1].select("import_path"))
+                inner = links = written(links.join(ends, "import_path", "left_semi"), "inner")
             rest = links.join(few.join(sources, "import_path", "left_anti"), "import_path").withColumnRenamed("d", "c")
             pushes = reduce(DataFrame.unionByName, [self._pushed(r, "c") for r in (before, now, rest)])
             pushes = pushes.groupBy("import_path").agg(F.sum("d").alias("d")).filter(F.abs("d") > TOLERANCE)
