@@ -11,10 +11,13 @@ from .reverse import SET_PATTERNS, matches
 _EDGE = ("target", "source", "repository")
 
 
+def _edges(rows: DataFrame, n: int) -> DataFrame:
+    return rows.select(F.explode("directs").alias("target"), F.col("import_path").alias("source"), "repository", F.lit(n).cast("long").alias("n"))
+
+
 def signed_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """(target, source, repository, n): how often each edge comes (n > 0) or goes where ``old`` rows become ``new`` ones."""
-    edges = lambda rows, n: rows.select(F.explode("directs").alias("target"), F.col("import_path").alias("source"), "repository", F.lit(n).cast("long").alias("n"))
-    return edges(old, -1).unionByName(edges(new, 1)).groupBy(*_EDGE).agg(F.sum("n").alias("n")).filter("n <> 0")
+    return _edges(old, -1).unionByName(_edges(new, 1)).groupBy(*_EDGE).agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
 class ReverseIndex:
@@ -27,8 +30,8 @@ class ReverseIndex:
         self.table = Differences(spark, root, _EDGE, "target", most)
 
     def build(self, packages: DataFrame) -> None:
-        """Begin anew with the edges of a whole package table."""
-        self.table.build(signed_edges(packages.limit(0), packages))
+        """Begin anew with the edges of a whole package table; one that a row lists twice is two rows, which readers add up."""
+        self.table.build(_edges(packages, 1))
 
     def apply(self, number: int, old: DataFrame, new: DataFrame) -> None:
         """Note that batch ``number`` turns ``old`` rows into ``new`` ones; call it before the package table changes."""

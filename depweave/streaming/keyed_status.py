@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.reverse_index import ReverseIndex
 from ..operators.status import HISTORY, KEY
-from ..sources.buckets import Buckets
+from ..sources.buckets import Buckets, parted
 from ..sources.scratch import new_folder, remove_folder
 from .status_stream import OBSERVATION
 
@@ -204,10 +204,11 @@ def run_keyed_crawl(
 
     def each(changed: DataFrame, number: int) -> None:
         repositories = changed.filter("kind = 'status' AND changed").select("repository").distinct()
-        loaded = manifests.join(repositories, "repository", "left_semi").select(*packages.read().columns)
         folder = new_folder(spark, "loaded")
-        loaded.write.parquet(folder)
-        loaded = spark.read.schema(loaded.schema).parquet(folder)
+        repositories.write.parquet(f"{folder}/repositories")
+        loaded = parted(manifests, spark.read.schema(repositories.schema).parquet(f"{folder}/repositories"))[0].select(*packages.read().columns)
+        loaded.write.parquet(f"{folder}/rows")
+        loaded = spark.read.schema(loaded.schema).parquet(f"{folder}/rows")
         if index is not None:
             index.apply(number, packages.replaced(loaded), loaded)
         packages.apply(loaded, reset=True)
