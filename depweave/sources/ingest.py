@@ -18,18 +18,20 @@ IGNORED_FILE = r"(^|/)([._][^/]*|[^/]*_test\.go)$"
 BETWEEN_VALUES = r"(?<=[\]}])\s*\n(?=\s*[\[{])"
 
 
-#: Strings of JSON, and an escaped character; what may stand before a value of a file.
-_STRING, _ESCAPE, _BEFORE = r'"[^"]*"', r"\\.", r"^(?:[\s\[\]]*|\s*,\s*)$"
+#: An escaped character of JSON; a string, or what begins one; what may stand before a value of a file.
+_ESCAPE, _STRING, _BEFORE = r"\\.", r'"[^"]*("|\z)', r"^(?:[\s\[\]]*|\s*,\s*)$"
 
 
 def split_values(spark: SparkSession, path: str) -> DataFrame:
     """(file, value): the objects of JSON files, elements of arrays or values one after the other, each as its text.
 
-    Files are read in pieces that end with a closing brace, by as many tasks as their size asks for.  Two prefix sums over
-    a file's pieces (within each block of the file, and over one row per block) tell whether a piece begins inside a
+    Files are read in pieces that end with a closing brace, by as many tasks as their size asks for.  Prefix sums over a
+    file's pieces (within each block of the file, and over one row per block) tell whether a piece begins inside a
     string, by the number of quotes before it, and how many braces are open there; where none is open after a piece, a
-    value ends.  A value's pieces are put together again: no task holds more than a block of a file, or one
-    value.  What stands between values must be white space, brackets or one comma, all brackets and quotes must be
+    value ends.  These sums need numbers of a piece only; they give for each block its first end of a value.  What stands
+    before that goes with the block in which the value began, so that texts move once: values lie together, and
+    nothing is open where such a run of pieces begins.  No task holds more than a block of a file, or one value.
+    What stands between values must be white space, brackets or one comma, all brackets and quotes must be
     closed at the end of a file; else reading is an error.
     """
     pieces = spark.read.option("lineSep", "}").text(path).select(
@@ -37,44 +39,64 @@ def split_values(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_size").alias("size"),
     )
     bare = F.regexp_replace("value", _ESCAPE, "")
-    pieces = pieces.withColumns({"bare": bare, "quotes": F.length(bare) - F.length(F.replace(bare, F.lit('"')))})
+    number = lambda text, c: F.length(text) - F.length(F.replace(text, F.lit(c)))
+    pieces = pieces.withColumn("bare", bare).select(
+        "file", "block", "at", "value", "size", F.octet_length("value").alias("bytes"), number("bare", '"').alias("quotes"), number("bare", "{").alias("inside"),
+        number(F.regexp_replace("bare", _STRING, ""), "{").alias("outside"),  # of the braces, where the piece begins outside of strings; the others count where not
+        F.regexp_extract("value", r"^[^{]*", 0).alias("lead"),
+    )
+    pieces = pieces.withColumns({"inside": F.col("inside") - F.col("outside"), "brackets": number("lead", "[") - number("lead", "]")}).drop("lead")
     # a table, since numbers of pieces must be the same in all that follows
-    pieces = Rounds(spark, "json-pieces").write(pieces, keep=True)
-
-    def before(rows: DataFrame, column: str) -> DataFrame:
-        """Adds before_<column>: the sum over the file's earlier pieces."""
-        blocks = rows.groupBy("file", "block").agg(F.sum(column).alias("_n"))
-        ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
-        blocks = blocks.select("file", "block", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
-        inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("_own", F.coalesce(F.sum(column).over(inside), F.lit(0))).join(blocks, ["file", "block"])
-        return rows.withColumn(f"before_{column}", F.col("_own") + F.col("_start")).drop("_own", "_start")
-
-    pieces = before(pieces, "quotes")
-    opened = F.col("before_quotes") % 2 == 1
-    # within quotes: from the beginning where a string is open there, and to the end where one stays open
-    plain = F.regexp_replace(F.when(opened, F.concat(F.lit('"'), "bare")).otherwise(F.col("bare")), _STRING, "")
-    closed = (F.col("before_quotes") + F.col("quotes")) % 2 == 0
-    plain = F.when(closed, plain).otherwise(F.regexp_replace(plain, '"[^"]*$', ""))
-    count = lambda c: F.length("plain") - F.length(F.replace("plain", F.lit(c)))
+    rounds = Rounds(spark, "json-pieces")
+    pieces = rounds.write(pieces, keep=True)
+    slim = pieces.drop("value")
+
+    def before(rows: DataFrame, column: Column, *within: str) -> Column:
+        return F.coalesce(F.sum(column).over(Window.partitionBy("file", *within).orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def traced(rows: DataFrame, within: str, odd: Column, depth: Column) -> DataFrame:
+        """Adds opened, depth and ended of each piece, from the quotes and braces before the first one of each ``within``."""
+        rows = rows.withColumn("opened", (before(rows, F.col("quotes"), within) + odd) % 2 == 1)
+        closed = F.col("opened") == (F.col("quotes") % 2 == 1)
+        # the brace that ended the piece counts unless it was in a string
+        rows = rows.withColumns({"braces": F.when(F.col("opened"), F.col("inside")).otherwise(F.col("outside")) - (closed & ~F.col("final")).cast("int"), "closed": closed})
+        rows = rows.withColumn("depth", before(rows, F.col("braces"), within) + depth)
+        return rows.withColumn("ended", F.col("closed") & ~F.col("final") & (F.col("depth") + F.col("braces") == 0))
+
+    # braces of a block for either beginning; the last piece's count nowhere, so that it may lack its brace here
+    own = slim.withColumn("odd", before(slim, F.col("quotes"), "block") % 2 == 1)
+    ends_closed = F.col("odd") == (F.col("quotes") % 2 == 1)
+    blocks = own.groupBy("file", "block").agg(
+        F.sum("quotes").alias("quotes"), F.max("at").alias("last"), F.max("size").alias("size"), F.sum(F.col("bytes").cast("long") + 1).alias("braced"),
+        F.sum(F.when(F.col("odd"), F.col("inside")).otherwise(F.col("outside")) - ends_closed.cast("int")).alias("even_braces"),
+        F.sum(F.when(F.col("odd"), F.col("outside")).otherwise(F.col("inside")) - (~ends_closed).cast("int")).alias("odd_braces"),
+    )
+    order = Window.partitionBy("file").orderBy("block")  # a row per block
+    ahead, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file")
+    blocks = blocks.withColumn("odd", F.coalesce(F.sum("quotes").over(ahead), F.lit(0)) % 2)
+    blocks = blocks.withColumn("start", F.coalesce(F.sum(F.when(F.col("odd") == 1, F.col("odd_braces")).otherwise(F.col("even_braces"))).over(ahead), F.lit(0)))
     # a file's last piece has no brace unless the bytes of all pieces and a brace for each are the whole file
-    braced = F.sum(F.octet_length("value")) + F.count("*")
-    size = pieces.groupBy("file").agg(F.max(F.struct("block", "at")).alias("last"), (braced > F.max("size")).alias("open_end"))
-    pieces = pieces.withColumns({"plain": plain, "closed": closed}).join(size, "file").withColumn("final", F.col("open_end") & (F.struct("block", "at") == F.col("last"))).drop("last", "open_end", "size")
-    shut = (F.col("closed") & ~F.col("final")).cast("int")  # the brace that ended the piece, unless it was in a string
-    pieces = before(pieces.withColumn("braces", count("{") - shut), "braces").withColumn("depth", F.col("before_braces") + F.col("braces"))
-    ended = (F.col("closed") & ~F.col("final") & (F.col("depth") == 0)).cast("int")
-    pieces = before(pieces.withColumn("ended", ended), "ended")
+    last = F.when((F.sum("braced").over(whole) > F.col("size")) & (F.col("block") == F.max("block").over(whole)), F.col("last"))
+    blocks = rounds.write(blocks.select("file", "block", "odd", "start", last.alias("last")), keep=True)
+
+    final = F.coalesce(F.col("at") == F.col("last"), F.lit(False))
+    ends = traced(slim.join(blocks, ["file", "block"]).withColumn("final", final), "block", F.col("odd"), F.col("start"))
+    ends = ends.groupBy("file", "block").agg(F.min(F.when(F.col("ended"), F.col("at"))).alias("first"), F.sum(F.when(F.col("depth") == 0, F.col("brackets")).otherwise(0)).alias("open"), F.max("last").alias("last"))
+    # where a block's first value began: the last block before that has an end, else the file's first
+    began = F.coalesce(F.max(F.when(F.col("first").isNotNull(), F.col("block"))).over(ahead), F.min("block").over(whole))
+    ends = rounds.write(ends.select("file", "block", "first", "last", began.alias("began"), F.sum("open").over(whole).alias("open")), keep=True)
+
+    texts = pieces.select("file", "block", "at", "value", "quotes", "inside", "outside").join(F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends, ["file", "block"])
+    texts = texts.withColumns({"home": F.when(F.col("at") > F.col("first"), F.col("block")).otherwise(F.col("began")), "final": final})
+    texts = texts.select("file", "home", "block", "at", "value", "quotes", "inside", "outside", "final", "open").repartition("file", "home")
+    texts = traced(texts, "home", F.lit(0), F.lit(0)).select("file", "home", "block", "at", "value", "final", "open", "ended")
+    texts = texts.withColumn("number", before(texts, F.col("ended").cast("int"), "home"))
     text = F.concat("value", F.when(F.col("final"), F.lit("")).otherwise(F.lit("}")))
-    brackets = F.when(F.col("before_braces") == 0, F.regexp_extract("plain", r"^[^{]*", 0)).otherwise(F.lit(""))
-    values = pieces.groupBy("file", F.col("before_ended").alias("number")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", text.alias("text")))), lambda x: x["text"]), "").alias("text"),
-        F.first(F.when(F.col("before_braces") == 0, brackets), ignorenulls=True).alias("lead"), F.max("ended").alias("whole"),
-    )
-    balance = values.groupBy("file").agg(F.sum(F.length("lead") - F.length(F.replace("lead", F.lit("["))) - F.length("lead") + F.length(F.replace("lead", F.lit("]")))).alias("open"))
-    values = values.join(balance, "file")
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", text.alias("text"))))
+    values = texts.groupBy("file", "home", "number").agg(parts.alias("parts"), F.max("ended").alias("whole"), F.max("open").alias("open"))
+    values = values.select("file", "whole", "open", F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("text"))
     rest = F.regexp_extract("text", r"(?s)\{.*", 0)
-    wrong = ~F.coalesce("lead", F.lit("")).rlike(_BEFORE) | (F.col("open") != 0) | (F.col("whole") == 0) & (rest != "")
+    wrong = ~F.regexp_extract("text", r"^[^{]*", 0).rlike(_BEFORE) | (F.col("open") != 0) | ~F.col("whole") & (rest != "")
     value = F.when(wrong, F.raise_error(F.concat(F.lit("malformed JSON in "), "file", F.lit(" near "), F.substring("text", 1, 60)))).otherwise(rest)
     return values.select("file", value.alias("value")).filter("value <> ''")
 

@@ -1,6 +1,7 @@
 """Packages from source files and manifests."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,3 +214,35 @@ def test_labels_above_and_beside(spark):
     ]
     got = ingest.ingest_sources(spark.createDataFrame(files, "repository string, remote string, repo_path string, content string"))
     assert sorted(r["import_path"] for r in got.collect()) == ["h.io/r", "l.io/a", "l.io/a/b", "l.io/a/b/c%7Cd", "t.io/s", "t.io/s/p/q", "z.io/m", "z.io/m/n/o"]
+
+
+def test_texts_of_a_large_manifest_move_once(spark, tmp_path):
+    """Prefix sums go over numbers of the pieces; only what puts values together moves their text."""
+    (tmp_path / "m.json").write_text(json.dumps([manifest(k) for k in range(300)], indent=2))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        plan = ingest.split_values(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"\bExchange (?:hash|range)partitioning", plan)) == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_value_longer_than_many_blocks(spark, tmp_path):
+    """Blocks in which no value ends go with the block where theirs began, whatever braces and quotes its strings hold."""
+    long = {"from": "q\\\"}{" * 3000, "remotes": [], "packages": [{"importPath": f"h/long{i}", "type": 1, "imports": ["}", "\"{"] * 20} for i in range(100)]}
+    repos = [manifest(1), long, manifest(2), long, long, manifest(4)]
+    (tmp_path / "m.json").write_text(json.dumps(repos, indent=1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        got = [json.loads(r["value"]) for r in ingest.split_values(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(json.dumps, got)) == sorted(map(json.dumps, repos))
+
+
+def test_a_string_between_values_is_an_error(spark, tmp_path):
+    (tmp_path / "m.json").write_text('[{"packages": []}, "a}b", {"packages": []}]')
+    with pytest.raises(Exception, match="malformed"):
+        ingest.read_manifests(spark, str(tmp_path), split=True).collect()
