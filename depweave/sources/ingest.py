@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, clean_repo_url, content_digest, has_domain, host_path, package_type, trim_prefix, type_number
+from .joins import BROADCAST_ROWS, to_join
 from .schema import MANIFEST
 from .scratch import Rounds
 
@@ -183,10 +184,6 @@ def read_source_tree(spark: SparkSession, root: str, remotes: DataFrame) -> Data
     return rows.join(remotes.select("repository", "remote"), "repository").select("repository", "remote", "repo_path", "content")
 
 
-#: Labels above other directories are broadcast up to this many, joined by a shuffle beyond.
-BROADCAST_ROWS = 100_000
-
-
 def _labelled(rows: DataFrame, modules: DataFrame) -> DataFrame:
     """Adds label and anchor: the label of the closest labelled directory of the same repository, the row's own included.
 
@@ -201,19 +198,17 @@ def _labelled(rows: DataFrame, modules: DataFrame) -> DataFrame:
     if modules.isEmpty():
         rows, label = rows.withColumn("_module", F.lit(None).cast("string")), comment
     else:
-        rows, label = rows.join(modules, place, "left"), F.greatest(comment, F.col("_module"))
+        rows, label = rows.join(to_join(modules), place, "left"), F.greatest(comment, F.col("_module"))
     rows = rows.withColumn("_own", label).drop("_module")
     labels = rows.filter("_own is not null").select(*place, F.col("_own").alias("label")).unionByName(modules.withColumnRenamed("_module", "label"))
-    labels = labels.groupBy(*place).agg(F.max("label").alias("label"))
+    labels = rounds.write(labels.groupBy(*place).agg(F.max("label").alias("label")).withColumnRenamed("dir", "anchor"), keep=True)
     up = F.when(F.col("dir") != "", F.concat(F.array(F.lit("")), F.slice(ancestors(F.col("dir")), 1, F.size(F.split("dir", "/")) - 1))).otherwise(F.array().cast("array<string>"))
-    bare = rows.filter("_own is null").select(*place, F.explode(up).alias("anchor")).distinct()
-    met = bare.select("repository", "anchor").distinct().join(labels.withColumnRenamed("dir", "anchor"), ["repository", "anchor"])
-    met = rounds.write(met, keep=True)
+    bare = rows.filter("_own is null").select(*place, F.explode(up).alias("anchor"))
+    met = rounds.write(bare.select("repository", "anchor").distinct().join(to_join(labels), ["repository", "anchor"]), keep=True)
     own = F.when(F.col("_own").isNotNull(), F.col("dir"))
-    count = met.count()
-    if not count:
+    if met.isEmpty():
         return rows.withColumns({"label": F.col("_own"), "anchor": own}).drop("_own")
-    above = bare.join(F.broadcast(met) if count <= BROADCAST_ROWS else met, ["repository", "anchor"])
+    above = bare.distinct().join(to_join(met), ["repository", "anchor"])
     best = above.groupBy(*place).agg(F.max_by(F.struct("label", "anchor"), F.length("anchor")).alias("_best"))
     rows = rows.join(best, place, "left")
     return rows.withColumns({"label": F.coalesce("_own", "_best.label"), "anchor": F.coalesce(own, F.col("_best.anchor"))}).drop("_own", "_best")
@@ -232,23 +227,30 @@ def ingest_sources(
     """
     own = files.filter(F.coalesce("remote", F.lit("")) != "")
     own = own.filter(~F.col("repo_path").rlike(IGNORED_DIRECTORY)).withColumn("dir", F.regexp_replace(F.col("repo_path"), r"/?[^/]*$", ""))
-    go = own.filter(F.col("repo_path").endswith(".go") & ~F.col("repo_path").rlike(IGNORED_FILE))
-    go = parse_sources(go).filter("name is not null").select("repository", "remote", "dir", "repo_path", "name", "comment", "imports", content_digest(F.col("content")).alias("digest"))
-    rows = go.groupBy("repository", "remote", "dir").agg(
+    source = F.col("repo_path").endswith(".go") & ~F.col("repo_path").rlike(IGNORED_FILE)
+    module = F.col("repo_path").rlike(r"(^|/)go\.mod$") if import_comments else F.lit(False)
+    # source and module files in one pass, as files may be costly to make or read; a module file has no content to be cut
+    label = F.regexp_extract("content", r"(?m)^\s*module\s+(\S+)", 1)
+    own = own.filter(source | module).withColumns({"module": F.when(module & has_domain(label), label), "content": F.when(source, F.col("content"))})
+    parsed = parse_sources(own).filter("name is not null or module is not null")
+    file = F.when(F.col("name").isNotNull(), F.struct("repo_path", content_digest(F.col("content")).alias("digest")))
+    rows = parsed.select("repository", "remote", "dir", "name", "comment", "imports", "module", file.alias("file")).groupBy("repository", "remote", "dir").agg(
         F.min("name").alias("name"), F.max("name").alias("_other"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("imports")))).alias("directs"),
-        F.max("comment").alias("comment"), F.array_sort(F.collect_list(F.struct("repo_path", "digest"))).alias("source_files"),
+        F.max("comment").alias("comment"), F.array_sort(F.collect_list("file")).alias("source_files"), F.max("module").alias("module"),
     )
-    rows = rows.filter(F.col("name") == F.col("_other")).drop("_other")
+    rows = rows.withColumn("name", F.when(F.col("name") == F.col("_other"), F.col("name"))).drop("_other").filter("name is not null or module is not null")
     if import_comments:
         rows = Rounds(files.sparkSession, "sources").write(rows, keep=True)  # read for its labels and for its rows
+    modules = rows.filter("module is not null").select("repository", "dir", F.col("module").alias("label"))
+    rows = rows.filter("name is not null").drop("module")
     prefix = clean_repo_url(F.col("remote"))
     if prefixes is not None:
-        rows = rows.join(prefixes.select("repository", F.nullif("prefix", F.lit("")).alias("_prefix")), "repository", "left")
+        known = Rounds(files.sparkSession, "prefixes").write(prefixes.select("repository", F.nullif("prefix", F.lit("")).alias("_prefix")), keep=True)
+        rows = rows.join(to_join(known), "repository", "left")
         prefix = F.coalesce(F.col("_prefix"), prefix)
     plain = host_path(prefix, F.col("dir"))
     if import_comments:
-        module = own.filter(F.col("repo_path").rlike(r"(^|/)go\.mod$")).select("repository", "dir", F.regexp_extract("content", r"(?m)^\s*module\s+(\S+)", 1).alias("label"))
-        rows = _labelled(rows, module)
+        rows = _labelled(rows, modules)
         below = F.replace(F.when(F.col("anchor") == "", F.col("dir")).otherwise(F.substring(F.col("dir"), F.length("anchor") + 2, F.length("dir"))), F.lit("|"), F.lit("%7C"))
         plain = F.when(F.col("label").isNotNull(), host_path(F.col("label"), below)).otherwise(plain)
     path = trim_prefix(plain, prefix) if trim_repository_prefix else plain
